@@ -9,6 +9,7 @@ from .decontaminate import benchmark_matches
 from .exact_dedup import exact_duplicates
 from .packing import pack_documents
 from .sharding import assign_shards
+from .simhash import near_duplicates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), every_hash=True)
 
@@ -39,4 +44,4 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op6_exact_dedup, op9_sharding, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_packing, op5_simhash_near_dedup, op6_exact_dedup, op9_sharding, op10_benchmark_decontamination)}
