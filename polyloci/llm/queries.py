@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_matches
 from .exact_dedup import exact_duplicates
+from .langid import fit, held_out, predict_languages
 from .packing import pack_documents
 from .sharding import assign_shards
 from .simhash import near_duplicates
+from .url_filter import judge_urls
+
+URL_RULES = ["block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +31,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = predict_languages(docs, fit(docs.filter(~held_out())))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
 
@@ -44,4 +58,4 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_simhash_near_dedup, op6_exact_dedup, op9_sharding, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_url_filter, op4_language_id, op5_simhash_near_dedup, op6_exact_dedup, op9_sharding, op10_benchmark_decontamination)}
