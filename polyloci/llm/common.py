@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A list of rows to leave out is broadcast up to this many rows (some 10 MB); longer ones are joined by shuffle.
+BROADCAST_ROWS = 150_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,3 +39,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def without(docs: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
+    """docs without the rows that have a match in gone (checkpointed rows, so that counting them is cheap)."""
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(side, same, "left_anti")

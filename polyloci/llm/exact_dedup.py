@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX_CHARS = 64
@@ -83,9 +83,9 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sha = F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256)
     marked = docs.withColumn("__row_sha", sha)
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__row_sha") == F.col("__sha"))
-    out = marked.join(gone.filter("NOT __stays"), same, "left_anti")
+    out = without(marked, gone.filter("NOT __stays"), same)
     repeats = gone.filter("__stays")
     if not repeats.isEmpty():
         again = marked.join(repeats, same, "left_semi").dropDuplicates([id_col, "__row_sha"])
-        out = out.join(repeats, same, "left_anti").unionByName(again)
+        out = without(out, repeats, same).unionByName(again)
     return out.select(*names)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, without
 from .components import components
 
 BITS = 64
@@ -64,14 +64,15 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of every row; fp is the fingerprint's 64 bits as a signed LONG."""
+    """(id, fp, text_hash) of every row; fp is the fingerprint's 64 bits as a signed LONG."""
 
     def run(batches):
         for batch in batches:
             fp = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2)], ["id", "fp", "text_hash"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, fp long")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col), F.xxhash64(text_col).alias("text_hash"))
+    return source.mapInArrow(run, "id long, fp long, text_hash long")
 
 
 def bit_counts(fps: DataFrame) -> np.ndarray:
@@ -265,6 +266,18 @@ def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+def labelled(docs: DataFrame, words: int, radius: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, text_hash, component_id) of every row."""
+    rows = cut(fingerprints(docs, words, id_col, text_col))
+    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    found = components(near_links(nodes, radius)).withColumnRenamed("id", "fp")
+    member = cut(found.join(nodes, "fp"))
+    heads = cut(member.groupBy("root").agg(F.min("least").alias("head")))
+    heads = cut(member.select("fp", "root").join(heads, "root").select("fp", "head"))
+    label = cut(nodes.join(heads, "fp", "left").select("fp", F.coalesce("head", "least").alias("component_id")))
+    return rows.join(label, "fp")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, fingerprint (16 hex digits), component_id.
 
@@ -273,11 +286,29 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     are kept and never are a component's id unless it has no other. Repeated rows fall in one component. An empty
     table gives no rows. Other columns are ignored.
     """
-    rows = cut(fingerprints(docs, words, id_col, text_col))
-    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    found = components(near_links(nodes, radius)).withColumnRenamed("id", "fp")
-    member = cut(found.join(nodes, "fp"))
-    heads = member.groupBy("root").agg(F.min("least").alias("head"))
-    heads = cut(member.select("fp", "root").join(heads, "root").select("fp", "head"))
-    label = cut(nodes.join(heads, "fp", "left").select("fp", F.coalesce("head", "least").alias("component_id")))
-    return rows.join(label, "fp").select(F.col("id").alias(id_col), hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+    rows = labelled(docs, words, radius, id_col, text_col)
+    return rows.select(F.col("id").alias(id_col), hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component, the one with the smallest id; columns unchanged.
+
+    Where several rows of a component share that id, the one with the least text hash stays, and one of rows that
+    repeat both. Rows are matched by id and text hash, so other rows of a repeated id are not touched.
+    """
+    names = docs.columns
+    rows = cut(labelled(docs, words, radius, id_col, text_col))
+    head = F.col("id").eqNullSafe(F.col("component_id"))
+    heads = rows.filter(head).groupBy("component_id").agg(F.min("text_hash").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    heads = cut(heads)
+    lost = rows.filter(~head).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
+    marked = docs.withColumn("__text_hash", F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__text_hash").eqNullSafe(F.col("__hash"))
+    if heads.isEmpty():
+        return without(marked, cut(lost.distinct()), same).select(*names)
+    more = rows.filter(head).alias("r").join(heads.alias("h"), F.col("r.component_id").eqNullSafe(F.col("h.component_id")) & (F.col("r.text_hash") != F.col("h.least")))
+    lost = lost.unionByName(more.select(F.col("r.id").alias("__id"), F.col("r.text_hash").alias("__hash")))
+    first = heads.select(F.col("component_id").alias("__id"), F.col("least").alias("__hash"))
+    again = marked.join(first, same, "left_semi").dropDuplicates([id_col, "__text_hash"])
+    out = without(marked, cut(lost.unionByName(first).distinct()), same)
+    return out.unionByName(again).select(*names)
