@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .binary_output import write_training_order
 from .decontaminate import benchmark_matches
 from .exact_dedup import exact_duplicates
 from .langid import fit, held_out, predict_languages
 from .packing import pack_documents
 from .sharding import assign_shards
 from .simhash import near_duplicates
+from .token_counts import count_tokens
 from .url_filter import judge_urls
 
 URL_RULES = ["block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/"]
@@ -31,6 +33,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_training_order(table(spark, sf_dir, "documents"), tokenizer_path()).drop("path")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -49,6 +55,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), every_hash=True)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = assign_shards(table(spark, sf_dir, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -58,4 +68,4 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_url_filter, op4_language_id, op5_simhash_near_dedup, op6_exact_dedup, op9_sharding, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_id_output, op3_url_filter, op4_language_id, op5_simhash_near_dedup, op6_exact_dedup, op7_token_counts, op9_sharding, op10_benchmark_decontamination)}
