@@ -9,6 +9,7 @@ from .binary_output import write_training_order
 from .decontaminate import benchmark_matches
 from .exact_dedup import exact_duplicates
 from .langid import fit, held_out, predict_languages
+from .line_dedup import line_duplicates
 from .packing import pack_documents
 from .sharding import assign_shards
 from .simhash import near_duplicates
@@ -59,6 +60,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = assign_shards(table(spark, sf_dir, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -68,4 +73,4 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_id_output, op3_url_filter, op4_language_id, op5_simhash_near_dedup, op6_exact_dedup, op7_token_counts, op9_sharding, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_id_output, op3_url_filter, op4_language_id, op5_simhash_near_dedup, op6_exact_dedup, op7_token_counts, op8_line_dedup, op9_sharding, op10_benchmark_decontamination)}
