@@ -45,3 +45,10 @@ def without(docs: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
     """docs without the rows that have a match in gone (checkpointed rows, so that counting them is cheap)."""
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.join(side, same, "left_anti")
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches in parts of a few rows: a worker holds the Python objects of one part at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

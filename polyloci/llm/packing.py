@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 
 from .bpe_tokens import END_OF_TEXT, WordBpe
 from .common import cut as cut_lineage
+from .common import slices
 
 CAPACITY = 2048
 #: Pieces are cut shorter, halving the longest length, while more than this share of the places would be padding.
@@ -42,7 +43,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def encode(batches):
         bpe = WordBpe.opened(tokenizer_path)
         end = np.array([END_OF_TEXT], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = bpe.ids(text) + end
@@ -75,9 +76,10 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
                     heapq.heappush(open_packs, (total, pattern, count - taken))
                 heapq.heappush(open_packs, (total + length, (*pattern, length), taken))
                 left -= taken
-            else:
-                heapq.heappush(open_packs, (length, (length,), left))
-                left = 0
+            else:  # all open packs are too full: new ones take as many pieces of this length as they hold
+                each = min(left, capacity // length)
+                heapq.heappush(open_packs, (each * length, (length,) * each, left // each))
+                left %= each
     merged: dict[tuple[int, ...], int] = {}
     for _, pattern, count in open_packs:
         merged[pattern] = merged.get(pattern, 0) + count

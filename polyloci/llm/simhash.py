@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, without
+from .common import cut, slices, without
 from .components import components
 
 BITS = 64
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     """(id, fp, text_hash) of every row; fp is the fingerprint's 64 bits as a signed LONG."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fp = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2)], ["id", "fp", "text_hash"])
 
@@ -267,14 +267,14 @@ def hex_digits(fp: Column) -> Column:
 
 
 def labelled(docs: DataFrame, words: int, radius: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp, text_hash, component_id) of every row."""
+    """(id, fp, text_hash, root, component_id) of every row; root is the component's least fingerprint."""
     rows = cut(fingerprints(docs, words, id_col, text_col))
     nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     found = components(near_links(nodes, radius)).withColumnRenamed("id", "fp")
     member = cut(found.join(nodes, "fp"))
     heads = cut(member.groupBy("root").agg(F.min("least").alias("head")))
-    heads = cut(member.select("fp", "root").join(heads, "root").select("fp", "head"))
-    label = cut(nodes.join(heads, "fp", "left").select("fp", F.coalesce("head", "least").alias("component_id")))
+    heads = cut(member.select("fp", "root").join(heads, "root").select("fp", "root", "head"))
+    label = cut(nodes.join(heads, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("head", "least").alias("component_id")))
     return rows.join(label, "fp")
 
 
@@ -299,14 +299,14 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_co
     names = docs.columns
     rows = cut(labelled(docs, words, radius, id_col, text_col))
     head = F.col("id").eqNullSafe(F.col("component_id"))
-    heads = rows.filter(head).groupBy("component_id").agg(F.min("text_hash").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    heads = rows.filter(head).groupBy("root", "component_id").agg(F.min("text_hash").alias("least"), F.count("*").alias("n")).filter("n > 1")
     heads = cut(heads)
     lost = rows.filter(~head).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
     marked = docs.withColumn("__text_hash", F.xxhash64(text_col))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__text_hash").eqNullSafe(F.col("__hash"))
     if heads.isEmpty():
         return without(marked, cut(lost.distinct()), same).select(*names)
-    more = rows.filter(head).alias("r").join(heads.alias("h"), F.col("r.component_id").eqNullSafe(F.col("h.component_id")) & (F.col("r.text_hash") != F.col("h.least")))
+    more = rows.filter(head).alias("r").join(heads.alias("h"), (F.col("r.root") == F.col("h.root")) & (F.col("r.text_hash") != F.col("h.least")))
     lost = lost.unionByName(more.select(F.col("r.id").alias("__id"), F.col("r.text_hash").alias("__hash")))
     first = heads.select(F.col("component_id").alias("__id"), F.col("least").alias("__hash"))
     again = marked.join(first, same, "left_semi").dropDuplicates([id_col, "__text_hash"])
