@@ -13,8 +13,8 @@ from itertools import pairwise
 import numpy as np
 
 END_OF_TEXT = 1
-#: Pre-tokens remembered by a process; beyond that it starts anew. About 100 MB.
-REMEMBERED = 400_000
+#: Pre-tokens remembered by a process; beyond that it starts anew. About 60 MB.
+REMEMBERED = 250_000
 #: Characters of a text that are split at once.
 SPAN = 1 << 20
 

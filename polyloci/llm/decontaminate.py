@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 Q = 8
 EDIT_RATE = 0.1
 #: Items indexed and broadcast at once: at most this many characters of items, however large the benchmark is.
 BLOCK_CHARS = 2_000_000
 #: Characters of text taken at once, in one or many documents; longer documents go in overlapping windows.
-WINDOW = 1 << 19
+WINDOW = 1 << 17
 _FILTER_BITS = 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -302,7 +304,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, edit_rate: float =
 
         def search(batches, shared=shared):
             ix = Index(shared.value, edit_rate)
-            for batch in batches:
+            for batch in slices(batches):
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 rows = [(ids[d], *rest) for d, *rest in find_items(texts, ix)]
                 if rows:
@@ -329,7 +331,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
         def clean(batches, shared=shared):
             ix = Index(shared.value, EDIT_RATE)
-            for batch in batches:
+            for batch in slices(batches):
                 texts = [t or "" for t in batch.column(at).to_pylist()]
                 bad = {d for d, *_ in find_items(texts, ix)}
                 yield batch.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_()))
