@@ -75,8 +75,8 @@ def plan_columns(manifest: DataFrame, min_n: int, pop: str = "pop", site: str =
 
 def pooled_ld(g: DataFrame, u: DataFrame, by: list[str]) -> DataFrame:
     """(by, i <= j, r) of pooled moments: population correlation; 0 without variance, 1 on the diagonal."""
-    d = g.filter("i = j").select(*by, F.col("i").alias("k"), F.col("g").alias("gg"))
-    s = u.join(d, (F.col("j") == F.col("k")) & _same(u, d, by)).select(*[u[c] for c in by], "j", "n", (F.col("u") / F.col("n")).alias("mean"), (F.col("gg") / F.col("n") - (F.col("u") / F.col("n")) ** 2).alias("var"))
+    d = g.filter("i = j").select(*by, F.col("i").alias("j"), F.col("g").alias("__gg"))
+    s = u.join(d, [*by, "j"]).select(*by, "j", "n", (F.col("u") / F.col("n")).alias("mean"), (F.col("__gg") / F.col("n") - (F.col("u") / F.col("n")) ** 2).alias("var"))
     a = s.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("j").alias("__i"), F.col("mean").alias("mi"), F.col("var").alias("vi"), "n")
     b = s.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("j").alias("__j"), F.col("mean").alias("mj"), F.col("var").alias("vj"))
     on_a = (F.col("i") == F.col("__i")) & _all([F.col(c) == F.col(f"__{c}") for c in by])
@@ -94,10 +94,6 @@ def _all(conds):
     return out
 
 
-def _same(a: DataFrame, b: DataFrame, by: list[str]):
-    return _all([a[c] == b[c] for c in by])
-
-
 def pooled_sumstats(u: DataFrame, diag: DataFrame, c: DataFrame, scalars: DataFrame, by: list[str]) -> DataFrame:
     """Beta, se, stat, dof, and the standardised effect, from pooled moments; variants without variance go."""
     x = u.select(*by, "j", "u").join(diag.select(*by, "j", "g"), [*by, "j"]).join(c.select(*by, "j", "c"), [*by, "j"]).join(side(scalars), by)

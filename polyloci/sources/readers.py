@@ -33,7 +33,7 @@ def read_fam(spark: SparkSession, path: str, site: str | None = None) -> DataFra
 def numbered_lines(spark: SparkSession, path: str, fields: dict[str, str], index: str) -> DataFrame:
     """A1 and A2 with the row number: the file is read whole, as one row, and split with positions, so that numbers don't depend
     on how it is cut. For variant and sample tables, which fit in a row."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias(index, "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias(index, "value"))
     return _columns(lines.withColumn(index, F.col(index).cast("long")), fields, None)
 
 
