@@ -128,7 +128,7 @@ def h2_manhattan(spark, sf):
 
 
 @query(f"""WITH {ASSOC}, p AS (SELECT site, variant, avg(c2) AS p FROM assoc GROUP BY site, variant), k AS (SELECT site, variant, round(p, 9) AS p, row_number() OVER (PARTITION BY site ORDER BY round(p, 9), variant) AS rank, count(*) OVER (PARTITION BY site) AS n FROM p)
-  SELECT site, variant, rank::INT AS rank, round(-log10((rank - 0.5) / n), 9) AS expected, round(-log10(p), 6) AS observed FROM k WHERE rank <= 50""")
+  SELECT site, variant, rank::INT AS rank, round(-log10((rank - 0.5) / n), 9) AS expected, round(-log10(greatest(p, 2.2250738585072014e-308)), 6) AS observed FROM k WHERE rank <= 50""")
 def h3_qq_points(spark, sf):
     p = assoc(spark, sf).groupBy("site", "variant").agg(r(F.avg("c2"), 9).alias("p"))
     return A.qq_points(p, 50, by=["site"], order=["variant"]).select("site", "variant", "rank", r("expected", 9).alias("expected"), r("observed").alias("observed"))
