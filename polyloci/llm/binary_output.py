@@ -1,10 +1,11 @@
 """Operator 2, token-id output in training order: fixed-stride binary shards written by range partitions.
 
-Documents are numbered, and a keyed Feistel permutation with cycle walking gives each its place. A shard is a range of
-places: one task reads the shard's documents, cuts their ids into sequences, and a second Feistel permutation, keyed by
-the shard, gives each sequence its slot. Slots count on from shard to shard, so a sequence's global slot is the shard's
-first slot plus its own, and its bytes are at (slot - first) * stride in the shard's file: reads are sequential and
-can resume anywhere. Numbers of documents are known before any text is tokenised, so texts are tokenised and moved once.
+A keyed Feistel permutation with cycle walking over the range of document ids gives each document its place, from the
+row alone. A shard is a range of places: one task reads the shard's documents, cuts their ids into sequences, and a
+second Feistel permutation, keyed by the shard, gives each sequence its slot. Slots count on from shard to shard, so a
+sequence's global slot is the shard's first slot plus its own, and its bytes are at (slot - first) * stride in the
+shard's file: reads are sequential and can resume anywhere. Texts are moved once and tokenised once; a single permutation
+of all sequences would need their number, and so a second pass, before anything could be moved.
 """
 
 from __future__ import annotations
@@ -17,14 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_tokens import END_OF_TEXT, WordBpe
-from .common import cut, new_table_path
-from .feistel import grid, permuted, round_keys, unpermute
-from .sharding import numbered
+from .common import cut, new_table_path, slices
+from .feistel import PRIME, ROUNDS, grid, permuted, round_keys, unpermute
 
 SEQUENCE = 512
 #: Documents of a shard, unless that would make more than MOST_SHARDS; their first slots are all the driver sees.
 SHARD_DOCS, MOST_SHARDS = 1024, 65536
 KEY = 31337
+#: Ids are taken modulo this, where their range is wider; ids that then meet only share a place.
+WIDEST = 1 << 60
 #: Ids are little-endian unsigned 16-bit; unused places of a sequence hold this.
 PADDING = 65535
 
@@ -37,8 +39,6 @@ def shard_name(shard: int) -> str:
 
 def sequence_slots(n: int, key: int) -> np.ndarray:
     """The slot of each of n sequences: permute() of feistel.py for all of [0, n) at once."""
-    from .feistel import PRIME, ROUNDS
-
     a, b = grid(n)
     x = np.arange(n, dtype=np.int64)
     todo = np.arange(n)
@@ -96,22 +96,18 @@ def write_training_order(docs: DataFrame, tokenizer_path: str, folder: str | Non
     folder = folder or new_table_path(spark, "shards")
     if "://" not in folder:
         folder = folder.replace("file:", "file://", 1) if folder.startswith("file:") else f"file://{folder}"
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.length(text_col).cast("long").alias("size"))
-    rows, n = numbered(narrow, ["id", "hash", "size"])
-    per_shard = max(SHARD_DOCS, -(-n // MOST_SHARDS))
-    # Rows equal in id and text share a key here; each takes one of their places, and which one makes no difference.
-    places = rows.groupBy("id", "hash", "size").agg(F.collect_list(permuted(F.col("row"), n, key)).alias("places"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.length(text_col).cast("long").alias("size"), F.col(text_col).alias("text"))
-    once = places.filter(F.size("places") == 1).select("id", "hash", "size", F.col("places")[0].alias("place"))
-    once = cut(once)
-    same = lambda x, y: x["id"].eqNullSafe(y["id"]) & x["hash"].eqNullSafe(y["hash"]) & x["size"].eqNullSafe(y["size"])
-    placed = texts.join(once, same(texts, once)).select(texts["id"], texts["text"], once["place"])
-    repeated = cut(places.filter(F.size("places") > 1))
-    if not repeated.isEmpty():
-        first = texts.join(repeated, same(texts, repeated)).select(texts["id"], texts["hash"], texts["size"], texts["text"], repeated["places"])
-        first = first.dropDuplicates(["id", "hash", "size"])
-        placed = placed.unionByName(first.select("id", "text", F.explode("places").alias("place")))
-    dealt = placed.withColumn("shard", F.floor(F.col("place") / F.lit(per_shard)).cast("int")).repartition("shard").sortWithinPartitions("shard", "place").select("shard", "id", "text")
+    ident = F.col(id_col).cast("long")
+    low, high, n = docs.agg(F.min(ident), F.max(ident), F.count("*")).first()
+    low, width = (low or 0), min(WIDEST, (high or 0) - (low or 0) + 1)
+    shards = min(MOST_SHARDS, max(1, -(-n // SHARD_DOCS)))
+    # A null id gets the place of a number made of its text.
+    number = F.coalesce(ident.cast("decimal(20,0)") - F.lit(low), F.xxhash64(F.col(text_col)).cast("decimal(20,0)"))
+    number = F.pmod(number, F.lit(width).cast("decimal(20,0)")).cast("long")
+    placed = docs.select(ident.alias("id"), F.col(text_col).alias("text"), permuted(number, width, key).alias("place"))
+    shard_of = F.least(F.floor(F.col("place") / F.lit(float(width)) * shards), F.lit(shards - 1)).cast("int")
+    order = ["shard", "place", "id", "text_hash"]
+    dealt = placed.withColumn("shard", shard_of).withColumn("text_hash", F.xxhash64("text"))
+    dealt = dealt.repartition("shard").sortWithinPartitions(*order).select("shard", "id", "text")
 
     def write(batches):
         bpe = WordBpe.opened(tokenizer_path)
@@ -129,7 +125,7 @@ def write_training_order(docs: DataFrame, tokenizer_path: str, folder: str | Non
             cols += [pa.array([shard] * len(parts), pa.int32()), pa.array(slots), pa.array([path] * len(parts), pa.string())]
             return pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "shard", "local_slot", "path"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for s, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if shard is not None and s != shard:
                     yield finish()
@@ -158,6 +154,6 @@ def write_training_order(docs: DataFrame, tokenizer_path: str, folder: str | Non
     )
 
 
-def document_at(place: int, documents: int, key: int = KEY) -> int:
-    """The row number of the document at a place: what a reader needs to find out where a slot comes from."""
-    return unpermute(place, documents, key)
+def document_at(place: int, low: int, high: int, key: int = KEY) -> int:
+    """The id of the document at a place, for ids from low to high: what a reader needs to see where a slot comes from."""
+    return low + unpermute(place, high - low + 1, key)
