@@ -142,3 +142,18 @@ def select_cohort(files: DataFrame, cases: DataFrame, allowed: list[str], patien
 def check_split(df: DataFrame, key: str, phase: str, a: str, b: str) -> DataFrame:
     """Keys that are in both phases; there must be none."""
     return df.filter(F.col(phase) == a).select(key).intersect(df.filter(F.col(phase) == b).select(key))
+
+
+def site_summary(people: DataFrame, blocks: DataFrame, variants: DataFrame, site: str = "site", pop: str = "pop") -> DataFrame:
+    """People, ancestries, moment blocks and flipped variants of each site; a site without blocks or flips has 0."""
+    n = people.groupBy(site).agg(F.count("*").alias("n_people"), F.count_distinct(pop).alias("n_ancestries"))
+    b = blocks.groupBy(site).agg(F.count("*").alias("n_blocks"))
+    v = variants.groupBy(site).agg(F.count_if(F.col("flip")).alias("n_flipped"))
+    return n.join(b, site, "left").join(v, site, "left").na.fill(0, ["n_blocks", "n_flipped"])
+
+
+def composition(df: DataFrame, by: list[str]) -> DataFrame:
+    """people of each cell and their share of the first key's people."""
+    c = df.groupBy(*by).agg(F.count("*").alias("n"))
+    total = c.groupBy(by[0]).agg(F.sum("n").alias("__all"))
+    return c.join(side(total), by[0]).withColumn("share", F.col("n") / F.col("__all")).drop("__all")

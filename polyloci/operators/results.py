@@ -232,3 +232,22 @@ def rare_shares(df: DataFrame, by: list[str]) -> DataFrame:
 def pop_probability(df: DataFrame, by: list[str], prob: str = "prob", call: float = 0.8) -> DataFrame:
     """median probability and the share that is called, by ancestry."""
     return df.groupBy(*by).agg(F.count(prob).alias("n"), F.percentile(prob, 0.5).alias("median"), F.avg((F.col(prob) > call).cast("double")).alias("share_called"))
+
+
+def size_divergence(df: DataFrame, by: list[str], size: str, divergence: str) -> DataFrame:
+    """correlation of two properties of loci, such as window size or LD strength and divergence."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.corr(size, divergence).alias("r"))
+
+
+def stratum_panels(df: DataFrame, by: list[str], cluster: str, draws: int = 2000) -> DataFrame:
+    """power, yield of sets, coverage with cluster intervals and median set size by stratum and design."""
+    metrics = {"power": (F.col("captured").cast("double"), F.lit(1.0)), "yield": (F.col("n_sets"), F.lit(1.0)), "coverage": (F.col("n_true_sets"), F.col("n_sets"))}
+    size = df.groupBy(*by).agg(F.percentile("best_size", 0.5).alias("median_size"))
+    return metric_summary(df, metrics, cluster, by, draws).join(size, by)
+
+
+def power_gain(df: DataFrame, key: list[str], arm: str, reference, cluster: str, draws: int = 2000) -> DataFrame:
+    """gain in power of each arm over a reference arm in percentage points, over the keys that all arms ran."""
+    x = pair_arms(df, key, arm)
+    d = paired_differences(x, key, "power", arm, reference, cluster, draws)
+    return d.select(arm, "n_clusters", *[(100 * F.col(c)).alias(c) for c in ("ratio", "lo", "hi")])

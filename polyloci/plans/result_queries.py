@@ -347,6 +347,42 @@ def f26_recall_curves(spark, sf):
     return _booted(R.clustered_ratio(grid(spark, sf).withColumn("den", F.col("n_causal")), "n_caught", "den", "region", ["h2", "n_causal"], 50), "h2", "n_causal")
 
 
+@query(f"""WITH {GRID}, r0 AS (SELECT stratum, architecture, region AS cluster, best_size, unnest([{{'m': 'power', 'num': captured::INT::DOUBLE, 'den': 1.0::DOUBLE}}, {{'m': 'yield', 'num': n_sets::DOUBLE, 'den': 1.0::DOUBLE}}, {{'m': 'coverage', 'num': n_true_sets::DOUBLE, 'den': n_sets::DOUBLE}}]) AS x FROM grid),
+  rws AS (SELECT stratum, architecture, cluster, x.m AS metric, x.num AS num, x.den AS den FROM r0), {_boot('rws', 'stratum, architecture, metric', 50)}, sz AS (SELECT stratum, architecture, quantile_cont(best_size, 0.5)::DOUBLE AS median_size FROM grid GROUP BY ALL)
+  SELECT boot.*, median_size FROM boot JOIN sz ON boot.stratum = sz.stratum AND boot.architecture = sz.architecture""")
+def f26_stratum_panels(spark, sf):
+    x = R.stratum_panels(grid(spark, sf), ["stratum", "architecture"], "region", 50)
+    return x.select("stratum", "architecture", "metric", "n_clusters", r("ratio", 9).alias("ratio"), r("lo", 9).alias("lo"), r("hi", 9).alias("hi"), "median_size")
+
+
+@query("SELECT p_partkey % 5 AS chrom, count(*) AS n, round(corr(p_size, p_retailprice), 6) AS r FROM part GROUP BY 1")
+def f25_size_divergence(spark, sf):
+    p = table(spark, sf, "part").withColumn("chrom", F.col("p_partkey") % 5)
+    return R.size_divergence(p, ["chrom"], "p_size", "p_retailprice").select("chrom", "n", r("r").alias("r"))
+
+
+@query("""WITH c AS (SELECT n_regionkey, c_mktsegment, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) SELECT *, round(n / sum(n) OVER (PARTITION BY n_regionkey), 9)::DOUBLE AS share FROM c""")
+def f25_composition(spark, sf):
+    x = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return H.composition(x, ["n_regionkey", "c_mktsegment"]).select("n_regionkey", "c_mktsegment", "n", r("share", 9).alias("share"))
+
+
+@query("""WITH p AS (SELECT n_regionkey AS site, count(*) AS n, count(DISTINCT c_mktsegment) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), b AS (SELECT n_regionkey AS site, count(*) AS b, count_if(s_suppkey % 3 = 0) AS f FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)
+  SELECT p.site, n AS n_people, k AS n_ancestries, coalesce(b, 0) AS n_blocks, coalesce(f, 0) AS n_flipped FROM p LEFT JOIN b ON p.site = b.site""")
+def e25_site_summary(spark, sf):
+    n = table(spark, sf, "nation")
+    people = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("site"), F.col("c_mktsegment").alias("pop"))
+    s = table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("site"), (F.col("s_suppkey") % 3 == 0).alias("flip"))
+    return H.site_summary(people, s, s)
+
+
+@query(f"""WITH {GRID}, g AS (SELECT locus, architecture, any_value(region) AS region, arm, avg(captured::INT) AS v FROM grid GROUP BY locus, architecture, arm), rws AS (SELECT a.arm, a.region AS cluster, a.v - b.v AS num, 1.0 AS den FROM g a JOIN g b ON a.locus = b.locus AND a.architecture = b.architecture WHERE a.arm = 1 AND b.arm = 0), {_boot('rws', 'arm', 200)} SELECT arm, n_clusters, round(100 * ratio, 6) AS ratio, round(100 * lo, 6) AS lo, round(100 * hi, 6) AS hi FROM boot""")
+def f13_power_gain(spark, sf):
+    g = grid(spark, sf).groupBy("locus", "architecture", "region", "arm").agg(F.avg(F.col("captured").cast("double")).alias("power"))
+    x = R.power_gain(g, ["locus", "architecture"], "arm", 0, "region", 200)
+    return x.select("arm", "n_clusters", r("ratio").alias("ratio"), r("lo").alias("lo"), r("hi").alias("hi"))
+
+
 # ---- integrity
 
 
