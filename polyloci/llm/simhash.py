@@ -133,6 +133,7 @@ def agreement(counts: np.ndarray, n: int, group: list[int]) -> np.ndarray:
 def plan_probes(counts: np.ndarray, n: int, radius: int) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition looked at, of the cheapest way to find all links within the radius."""
     best: tuple[float, list] = (math.inf, [])
+    n = max(n, 2)  # an empty table would make all plans cost nothing
     for parts in range(1, radius + 2):
         groups = group_bits(counts, n, parts)
         cost = []
