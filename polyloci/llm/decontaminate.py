@@ -9,6 +9,7 @@ so each stretch lies wholly in some band: bands with fewer shared q-grams are dr
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,8 +154,7 @@ def candidate_bands(codes: np.ndarray, doc_of: np.ndarray, ix: Index) -> tuple[n
     entry = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
     at = np.repeat(at, n)
     item, off, doc = ix.which[entry], ix.offsets[entry], doc_of[at]
-    half = ix.budget[item] + 1
-    band = (at - off) // half  # band b covers diagonals [b * half, (b + 2) * half): each hit is in two
+    band = (at - off) // half_of(ix, item)  # band b covers diagonals [b * half, (b + 2) * half): each hit is in two
     base = int(band.min()) - 1
     span = int(band.max()) - base + 1
     keys = np.concatenate([item * span + (band - base), item * span + (band - 1 - base)])
@@ -164,16 +164,23 @@ def candidate_bands(codes: np.ndarray, doc_of: np.ndarray, ix: Index) -> tuple[n
     runs = runs[first[enough]]  # bands with enough hits, counting repeats and whatever document they are in
     if not len(runs):
         return none
-    hit = np.flatnonzero(runs[np.minimum(np.searchsorted(runs, keys), len(runs) - 1)] == keys)
+    at_run = np.minimum(np.searchsorted(runs, keys), len(runs) - 1)
+    hit = np.flatnonzero(runs[at_run] == keys)
     one = hit % len(at)
-    hits = np.unique(np.stack([doc[one], item[one], keys[hit] % span + base, off[one]], 1), axis=0)
-    new = np.ones(len(hits), bool)
-    new[1:] = (hits[1:, :3] != hits[:-1, :3]).any(1)
-    start = np.flatnonzero(new)
+    # Distinct (band, document, place in the item), as one number each; then their count by band and document.
+    docs, places = int(doc.max()) + 1, int(off.max()) + 1
+    hits = np.unique((at_run[hit] * docs + doc[one]) * places + off[one]) // places
+    start = np.flatnonzero(np.concatenate(([True], hits[1:] != hits[:-1])))
     count = np.diff(np.append(start, len(hits)))
-    ok = count >= ix.least[hits[start, 1]]
-    doc, item, band = hits[start[ok], 0], hits[start[ok], 1], hits[start[ok], 2]
-    return doc, item, band * (ix.budget[item] + 1)
+    run, doc = hits[start] // docs, hits[start] % docs
+    item, band = runs[run] // span, runs[run] % span + base
+    ok = count >= ix.least[item]
+    return doc[ok], item[ok], band[ok] * half_of(ix, item[ok])
+
+
+def half_of(ix: Index, item: np.ndarray) -> np.ndarray:
+    """Half of a band's width: the edit budget plus one."""
+    return ix.budget[item] + 1
 
 
 def align(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, diagonal: np.ndarray, ix: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,10 +271,11 @@ def find_items(texts: list[str], ix: Index) -> Iterator[tuple[int, int, int, int
     if group:
         flush(group)
     for (d, it), spans in sorted(found.items()):
-        taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int]] = []  # disjoint and in order
         for edits, begin, finish in sorted(set(spans)):
-            if all(finish <= b or begin >= f for b, f in taken):
-                taken.append((begin, finish))
+            at = bisect.bisect_left(taken, (begin, finish))
+            if (at == 0 or taken[at - 1][1] <= begin) and (at == len(taken) or taken[at][0] >= finish):
+                taken.insert(at, (begin, finish))
                 yield d, ix.ids[it], begin, finish, edits, int(ix.length[it])
 
 

@@ -17,8 +17,10 @@ from .common import cut, stored
 
 #: Similarity of at least NUM / DEN.
 NUM, DEN = 4, 5
-#: Cells of the word counts that rarity is read from. Any order of words gives the same result; the size is fixed.
-CELL_BITS = 20
+#: Word counts are kept in two rows of 2**CELL_BITS cells; a word's count is the smaller of its two cells'. Any order of
+#: words gives the same result, so the size can be fixed: 16 MB are broadcast.
+CELL_BITS, CELL_ROWS = 23, 2
+_CELL_BLOCK = 1 << 16
 #: Cells of the map of classes that need verification; fixed too, and a collision only sends more sets.
 CLASS_BITS = 24
 #: Classes that share a word are compared in one piece up to this number, beyond it in blocks, two by two.
@@ -61,17 +63,34 @@ def line_words(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     return h, np.searchsorted(feeds, start), len(feeds)
 
 
+def cells(word: np.ndarray, row: int) -> np.ndarray:
+    return (word >> np.uint64(64 - CELL_BITS if row == 0 else 64 - 2 * CELL_BITS) & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
+
+
+def code(count: np.ndarray) -> np.ndarray:
+    """A count in a byte, on a logarithmic scale: 0 for none, 1 for one, and so on up to 255 for some 290,000 and more."""
+    return np.where(count > 0, np.minimum(255, 1 + np.rint(14 * np.log2(np.maximum(count, 1)))), 0).astype(np.uint8)
+
+
+def rarity(word: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The code of each word's count, or of a larger one."""
+    out = counts[0][cells(word, 0)]
+    for row in range(1, CELL_ROWS):
+        out = np.minimum(out, counts[row][cells(word, row)])
+    return out
+
+
 class Lines:
     """The lines of some texts with their sets of words, ordered by rank within a line."""
 
     def __init__(self, data: bytes, counts: np.ndarray | None):
         word, line, self.n = line_words(data)
-        rank = np.zeros(len(word), np.uint32) if counts is None else counts[word >> np.uint64(64 - CELL_BITS)]
+        rank = np.zeros(len(word), np.uint8) if counts is None else rarity(word, counts)
         order = np.lexsort((word, rank, line))
-        word, line = word[order], line[order]
+        word, line, rank = word[order], line[order], rank[order]
         new = np.ones(len(word), bool)
         new[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
-        self.word, self.line = word[new], line[new]
+        self.word, self.line, self.rank = word[new], line[new], rank[new]
         self.first = np.searchsorted(self.line, np.arange(self.n))
         self.size = np.diff(np.append(self.first, len(self.line)))
         with np.errstate(over="ignore"):
@@ -110,34 +129,58 @@ def prefix_lengths(size: np.ndarray) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame) -> np.ndarray:
-    """How often the words of each cell occur, over all texts; saturates at 2**32 - 1."""
+    """Codes of how often the words of each cell occur, over all texts. Tasks send the cells they met, in blocks; a block is
+    added up in one place, and the driver gets one byte a cell."""
+    blocks = (1 << CELL_BITS) // _CELL_BLOCK
 
-    def run(batches):
-        counts = np.zeros(1 << CELL_BITS, np.int64)
+    def count(batches):
+        total = np.zeros((CELL_ROWS, 1 << CELL_BITS), np.int32)
         for batch in batches:
             for _, parts in _chunks(batch):
                 word, _, _ = line_words(b"".join(parts))
-                counts += np.bincount((word >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(counts))
-        cell = np.flatnonzero(counts)
-        for s in range(0, len(cell), 1 << 16):
-            part = cell[s : s + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], ["cell", "n"])
-
-    out = np.zeros(1 << CELL_BITS, np.uint32)
-    found = docs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    if found.num_rows:
-        out[found["cell"].to_numpy()] = np.minimum(found["n"].to_numpy(), (1 << 32) - 1)
+                for row in range(CELL_ROWS):
+                    np.add.at(total[row], cells(word, row), 1)
+        for row in range(CELL_ROWS):
+            for b in range(blocks):
+                part = total[row, b * _CELL_BLOCK : (b + 1) * _CELL_BLOCK]
+                met = np.flatnonzero(part)
+                if len(met):
+                    yield pa.RecordBatch.from_arrays([pa.array([row * blocks + b], pa.int32()), pa.array([met.astype("<u2").tobytes()], pa.binary()), pa.array([part[met].astype("<u4").tobytes()], pa.binary())], ["block", "cells", "counts"])
+
+    def add(batches):
+        block, total = None, np.zeros(_CELL_BLOCK, np.int64)
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([code(total).tobytes()], pa.binary())], ["block", "codes"])
+
+        for batch in batches:
+            for k, met, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != block:
+                    if block is not None:
+                        yield done()
+                    block, total = k, np.zeros(_CELL_BLOCK, np.int64)
+                total[np.frombuffer(met, "<u2")] += np.frombuffer(n, "<u4")
+        if block is not None:
+            yield done()
+
+    met = docs.mapInArrow(count, "block int, cells binary, counts binary").repartition("block").sortWithinPartitions("block")
+    out = np.zeros((CELL_ROWS, 1 << CELL_BITS), np.uint8)
+    for k, codes in met.mapInArrow(add, "block int, codes binary").collect():  # CELL_ROWS * 2**CELL_BITS bytes in all
+        row, b = divmod(k, blocks)
+        out[row, b * _CELL_BLOCK : (b + 1) * _CELL_BLOCK] = np.frombuffer(codes, np.uint8)
     return out
 
 
-LINES = "id long, text_hash long, line long, class long, size int, parity long, prefix array<long>"
+LINES = "id long, text_hash long, line long, class long, size int, parity long, prefix array<long>, common array<long>"
 
 
 def _lines(docs: DataFrame, counts) -> DataFrame:
-    """One row per line of every text; prefix (rarest words) only where the class is new to the task."""
+    """One row per line of every text. Only where the class is new to the task: prefix, its rarest words without those that
+    occur once in all texts and so can't be shared, 0 in their place, and common, those that may occur over BLOCK times."""
 
     def run(batches):
         seen: set[int] = set()
+        often = int(code(np.array([BLOCK]))[0])
         for batch in batches:
             ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for rows, parts in _chunks(batch):
@@ -146,23 +189,29 @@ def _lines(docs: DataFrame, counts) -> DataFrame:
                 row = np.repeat(np.array(rows), per)
                 nth = np.arange(x.n) - np.repeat(np.cumsum(per) - per, per)
                 length = prefix_lengths(x.size)
-                prefix = []
+                words = np.where(x.rank > 1, x.word, np.uint64(0)).view(np.int64)
+                prefix, common = [], []
                 for i, k in enumerate(x.key.tolist()):
                     if not x.size[i] or k in seen:
                         prefix.append(None)
+                        common.append(None)
                         continue
                     seen.add(k)
-                    prefix.append(x.word[x.first[i] : x.first[i] + length[i]].view(np.int64))
+                    own = slice(x.first[i], x.first[i] + length[i])
+                    prefix.append(words[own])
+                    many = x.rank[own] >= often
+                    common.append(words[own][many] if many.any() else None)
                 if len(seen) > 400_000:
                     seen.clear()
-                cols = [pa.array([ids[r] for r in row], pa.int64()), pa.array([hashes[r] for r in row], pa.int64()), pa.array(nth), pa.array(x.key), pa.array(x.size.astype(np.int32)), pa.array(x.parity()), pa.array(prefix, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "text_hash", "line", "class", "size", "parity", "prefix"])
+                cols = [pa.array([ids[r] for r in row], pa.int64()), pa.array([hashes[r] for r in row], pa.int64()), pa.array(nth), pa.array(x.key), pa.array(x.size.astype(np.int32)), pa.array(x.parity()), pa.array(prefix, pa.list_(pa.int64())), pa.array(common, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "text_hash", "line", "class", "size", "parity", "prefix", "common"])
 
     return docs.mapInArrow(run, LINES)
 
 
 def candidate_pairs(key: np.ndarray, size: np.ndarray, pos: np.ndarray, cls: np.ndarray, parity: np.ndarray) -> np.ndarray:
-    """Pairs of classes that share a word and pass the length, positional and parity filters. Rows: by key, then size."""
+    """(a, b, key) of classes that share a word and pass the length, positional and parity filters, each pair with its least
+    key. Rows are sorted by key, then size."""
     out = []
     d, live = 1, np.arange(max(0, len(key) - 1))
     while len(live):
@@ -172,22 +221,30 @@ def candidate_pairs(key: np.ndarray, size: np.ndarray, pos: np.ndarray, cls: np.
         i, j = i[near], j[near]
         live = i
         need = -(-NUM * (size[i] + size[j]) // (NUM + DEN))
-        ok = (cls[i] != cls[j]) & (1 + np.minimum(size[i] - pos[i], size[j] - pos[j]) - 1 >= need)
+        ok = (cls[i] != cls[j]) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need)
         ok &= (size[i] + size[j] - np.bitwise_count((parity[i] ^ parity[j]).view(np.uint64)).astype(np.int64)) // 2 >= need
         if ok.any():
-            out.append(np.stack([np.minimum(cls[i[ok]], cls[j[ok]]), np.maximum(cls[i[ok]], cls[j[ok]])], 1))
+            out.append(np.stack([np.minimum(cls[i[ok]], cls[j[ok]]), np.maximum(cls[i[ok]], cls[j[ok]]), key[i[ok]]], 1))
         d += 1
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+    if not out:
+        return np.zeros((0, 3), np.int64)
+    rows = np.concatenate(out)
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    first = np.ones(len(rows), bool)
+    first[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
+    return rows[first]
 
 
 def _pairs(batches):
-    """mapInArrow over (key, size, pos, class, parity) sorted by key and size: candidate pairs (a, b)."""
+    """mapInArrow over (key, at, class, parity) sorted by key and at, the size and the position in one number: candidate
+    pairs (a, b, key)."""
     held = None
 
     def out(cols):
-        ab = candidate_pairs(*cols)
+        key, at, cls, parity = cols
+        ab = candidate_pairs(key, at >> 32, at & 0xFFFFFFFF, cls, parity)
         for s in range(0, len(ab), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(ab[s : s + (1 << 16), 0]), pa.array(ab[s : s + (1 << 16), 1])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(ab[s : s + (1 << 16), c]) for c in range(3)], ["a", "b", "key"])
 
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
@@ -222,12 +279,36 @@ def _sets(docs: DataFrame, wanted) -> DataFrame:
     return docs.mapInArrow(run, "class long, words array<long>")
 
 
+def _verified(batches):
+    """mapInArrow over (key, kind, a, b, words) sorted by key and kind: first a bucket's sets (kind 0, class a), then its pairs
+    (kind 1): the pairs that are similar."""
+    at, sets = None, {}
+    for batch in batches:
+        found = []
+        keys, kinds, firsts, seconds = (batch.column(c).to_pylist() for c in range(4))
+        words = batch.column(4)
+        for i, (key, kind, a, b) in enumerate(zip(keys, kinds, firsts, seconds, strict=True)):
+            if key != at:
+                at, sets = key, {}
+            if kind == 0:
+                sets[a] = frozenset(words[i].as_py())
+            else:
+                x, y = sets[a], sets[b]
+                if (NUM + DEN) * len(x & y) >= NUM * (len(x) + len(y)):
+                    found.append((a, b))
+        if found:
+            ab = np.array(found, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
+
+
 def similar_classes(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of all classes with similarity of at least NUM / DEN; checkpointed."""
     spark = docs.sparkSession
-    known = lines.filter("prefix IS NOT NULL").select("class", "size", "parity", F.posexplode("prefix").alias("pos", "key"))
-    posts = known.select("key", "size", "pos", "class", "parity").distinct()
-    hot = cut(posts.groupBy("key").count().filter(F.col("count") > BLOCK))
+    place = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at")
+    posts = lines.filter("prefix IS NOT NULL").select("class", "size", "parity", F.posexplode("prefix").alias("pos", "key"))
+    posts = posts.filter("key <> 0").select("key", place, "class", "parity")
+    hot = lines.filter("common IS NOT NULL").select("class", F.explode("common").alias("key"))
+    hot = cut(hot.groupBy("key").agg(F.count("*").alias("count")).filter(F.col("count") > BLOCK))
     many = hot.count()
     if many:
         side = F.broadcast(hot) if many <= 10_000 else hot
@@ -236,22 +317,25 @@ def similar_classes(docs: DataFrame, lines: DataFrame) -> DataFrame:
         posts = posts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
         posts = posts.withColumn("key", F.when(F.col("blocks") > 1, pair).otherwise(F.col("key")))
-    dealt = posts.select("key", "size", "pos", "class", "parity").repartition("key").sortWithinPartitions("key", "size")
-    pairs = cut(dealt.mapInArrow(_pairs, "a long, b long").distinct())
-
-    cell = F.shiftrightunsigned("class", 64 - CLASS_BITS)
-    both = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
-    bits = both.select(F.shiftright(cell, 3).alias("byte"), F.expr(f"shiftleft(1, int(shiftrightunsigned(class, {64 - CLASS_BITS}) & 7))").alias("bit"))
+    dealt = posts.select("key", "at", "class", "parity").repartition("key").sortWithinPartitions("key", "at")
+    pairs = dealt.mapInArrow(_pairs, "a long, b long, key long").groupBy("a", "b").agg(F.min("key").alias("key"))
+    pairs = stored(pairs, "pairs")
+
+    # A bucket gets the sets of its classes once, however many pairs they are in.
+    member = pairs.select("key", F.explode(F.array("a", "b")).alias("class")).distinct()
+    member = stored(member, "members")
+    shifted = F.shiftrightunsigned("class", 64 - CLASS_BITS)
+    bits = member.select(F.shiftright(shifted, 3).alias("byte"), F.expr(f"shiftleft(1, int(shiftrightunsigned(class, {64 - CLASS_BITS}) & 7))").alias("bit"))
     bits = bits.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2**CLASS_BITS / 8 rows
     wanted = np.zeros((1 << CLASS_BITS) // 8, np.uint8)
     if bits.num_rows:
         wanted[bits["byte"].to_numpy()] = bits["bits"].to_numpy()
-    sets = _sets(docs, spark.sparkContext.broadcast(wanted))
-    sets = cut(sets.join(both.distinct(), "class", "left_semi").groupBy("class").agg(F.first("words").alias("words")))
-    a, b = sets.select(F.col("class").alias("a"), F.col("words").alias("wa")), sets.select(F.col("class").alias("b"), F.col("words").alias("wb"))
-    common = F.size(F.array_intersect("wa", "wb"))
-    fits = (NUM + DEN) * common >= NUM * (F.size("wa") + F.size("wb"))
-    return cut(pairs.join(a, "a").join(b, "b").filter(fits).select("a", "b"))
+    sets = _sets(docs, spark.sparkContext.broadcast(wanted)).dropDuplicates(["class"])
+    none = F.lit(None)
+    sent = sets.join(member, "class").select("key", F.lit(0).alias("kind"), F.col("class").alias("a"), none.cast("long").alias("b"), "words")
+    asked = pairs.select("key", F.lit(1).alias("kind"), "a", "b", none.cast("array<long>").alias("words"))
+    both = sent.unionByName(asked).repartition("key").sortWithinPartitions("key", "kind")
+    return cut(both.mapInArrow(_verified, "a long, b long"))
 
 
 def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,3 +1,4 @@
+import functools
 import zlib
 from collections import Counter
 
@@ -11,11 +12,17 @@ from polyloci.llm.bpe_tokens import WordBpe
 from polyloci.llm.queries import op1_packing, table, tokenizer_path
 
 
-def reference_ids(text):
+@functools.cache
+def reference_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
     t.encode_special_tokens = True
+    return t
+
+
+def reference_ids(text):
+    t = reference_tokenizer()
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
 
 
