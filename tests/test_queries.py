@@ -22,9 +22,9 @@ def plain(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return "null"
     if isinstance(v, float):
-        return f"{v:.6g}"
+        return f"{v:.5g}"
     if isinstance(v, (bool, int)):
-        return f"{float(v):.6g}"
+        return f"{float(v):.5g}"
     return str(v)
 
 
