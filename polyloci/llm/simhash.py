@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -148,7 +149,8 @@ def plan_probes(counts: np.ndarray, n: int, radius: int) -> list[tuple[list[int]
                     sums[e] += sums[e - 1] / a
             for e in range(radius + 1):
                 loose = sums[e]
-                row.append(PROBE * n * math.comb(len(g), e) + VERIFY * pairs * loose)
+                # no probe masks out more bits than there are: such a threshold must not look free
+                row.append(PROBE * n * math.comb(len(g), e) + VERIFY * pairs * loose if e <= len(g) else math.inf)
             cost.append(row)
         # least[s]: cost and thresholds of the partitions so far, with sum of (threshold + 1) = s
         least: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -267,11 +269,10 @@ def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def labelled(docs: DataFrame, words: int, radius: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp, text_hash, root, component_id) of every row; root is the component's least fingerprint."""
-    rows = cut(fingerprints(docs, words, id_col, text_col))
+def labels(rows: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, fp, text_hash, root, component_id) of every row; root is the component's least fp by links(nodes)."""
     nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    found = components(near_links(nodes, radius)).withColumnRenamed("id", "fp")
+    found = components(links(nodes)).withColumnRenamed("id", "fp")
     member = cut(found.join(nodes, "fp"))
     heads = cut(member.groupBy("root").agg(F.min("least").alias("head")))
     heads = cut(member.select("fp", "root").join(heads, "root").select("fp", "root", "head"))
@@ -279,6 +280,11 @@ def labelled(docs: DataFrame, words: int, radius: int, id_col: str, text_col: st
     return rows.join(label, "fp")
 
 
+def labelled(docs: DataFrame, words: int, radius: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, text_hash, root, component_id) of every row; root is the component's least fingerprint."""
+    return labels(cut(fingerprints(docs, words, id_col, text_col)), lambda nodes: near_links(nodes, radius))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, fingerprint (16 hex digits), component_id.
 
@@ -297,8 +303,12 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_co
     Where several rows of a component share that id, the one with the least text hash stays, and one of rows that
     repeat both. Rows are matched by id and text hash, so other rows of a repeated id are not touched.
     """
+    return drop_labelled(docs, cut(labelled(docs, words, radius, id_col, text_col)), id_col, text_col)
+
+
+def drop_labelled(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows that `rows` (as of labels, checkpointed) has in a component but not at its head."""
     names = docs.columns
-    rows = cut(labelled(docs, words, radius, id_col, text_col))
     head = F.col("id").eqNullSafe(F.col("component_id"))
     heads = rows.filter(head).groupBy("root", "component_id").agg(F.min("text_hash").alias("least"), F.count("*").alias("n")).filter("n > 1")
     heads = cut(heads)
