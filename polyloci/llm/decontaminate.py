@@ -23,8 +23,11 @@ Q = 8
 EDIT_RATE = 0.1
 #: Items indexed and broadcast at once: at most this many characters of items, however large the benchmark is.
 BLOCK_CHARS = 2_000_000
-#: Characters of text taken at once, in one or many documents; longer documents go in overlapping windows.
+#: Characters of text taken at once, in one or many documents; longer documents go in overlapping windows, which are
+#: larger where items are long (see _windows).
 WINDOW = 1 << 17
+#: Candidates aligned at once, and numbers in each array of an alignment; one candidate may take more.
+ROWS, CELLS = 512, 1 << 21
 _FILTER_BITS = 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -229,15 +232,31 @@ def align(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, d
 
 
 def _windows(texts: list[str], reach: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(document, window, normal form, place in the text) of each text, in windows that overlap by `reach`."""
+    """(document, window, normal form, place in the text) of each text, in windows that overlap by `reach`.
+
+    Windows are twice the reach at least, so that a stretch of any item lies whole in one, wherever it is.
+    """
+    window = max(WINDOW, 2 * reach)
     for d, text in enumerate(texts):
         codes, where = normal_form(code_points(text))
         start = 0
         while True:
-            yield d, start, codes[start : start + WINDOW], where[start : start + WINDOW]
-            if start + WINDOW >= len(codes):
+            yield d, start, codes[start : start + window], where[start : start + window]
+            if start + window >= len(codes):
                 break
-            start += WINDOW - min(reach, WINDOW // 2)
+            start += window - reach
+
+
+def _batches(item: np.ndarray, ix: Index) -> Iterator[np.ndarray]:
+    """Places in `item` to align at once: items of like length together, so that a long one widens no other's arrays."""
+    wide = np.maximum(ix.length[item], 4 * ix.budget[item] + 3)
+    order = np.argsort(wide, kind="stable")
+    start = 0
+    while start < len(order):
+        some = wide[order[start : start + ROWS]]
+        fit = int((some * np.arange(1, len(some) + 1) <= CELLS).sum())
+        yield order[start : start + max(1, fit)]
+        start += max(1, fit)
 
 
 def find_items(texts: list[str], ix: Index) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -254,9 +273,9 @@ def find_items(texts: list[str], ix: Index) -> Iterator[tuple[int, int, int, int
         if len(codes) < Q:
             return
         doc, item, diagonal = candidate_bands(codes, np.repeat(np.arange(len(group)), sizes), ix)
-        for s in range(0, len(doc), 512):
-            d, it = doc[s : s + 512], item[s : s + 512]
-            edits, begin, end = align(codes, starts[d], starts[d] + sizes[d], it, diagonal[s : s + 512], ix)
+        for part in _batches(item, ix):
+            d, it = doc[part], item[part]
+            edits, begin, end = align(codes, starts[d], starts[d] + sizes[d], it, diagonal[part], ix)
             for j in np.flatnonzero((edits <= ix.budget[it]) & (end > begin)):
                 span = (int(edits[j]), int(where[begin[j]]), int(where[end[j] - 1]) + 1)
                 found.setdefault((group[d[j]][0], int(it[j])), []).append(span)
