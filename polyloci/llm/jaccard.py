@@ -1,9 +1,9 @@
-"""Near-dedup by exact Jaccard similarity of word shingles.
+"""Exact Jaccard similarity of word shingles within groups of candidate texts.
 
-Shingles have one order for all texts, rare ones first. Two sets of at least the similarity t share one of the first
-n - ceil(t * n) + 1 shingles of each (n: own size), so texts meet in the buckets of these. What meets is compared by
-size and by the parities of shingle counts in 512 cells, which differ in at most as many cells as the sets do in
-members, and is then verified on whole sets. None of this loses a pair; the order only sets how large buckets get.
+A group is compared whole in one task while it is small. A larger one is dealt at random into chunks, more than once;
+the links found so join most of what belongs together. The texts that are then still outside their group's largest
+component, and only these, visit every chunk. So each pair of a group is either compared or already connected, and
+links grow with texts, not with pairs.
 """
 
 from __future__ import annotations
@@ -16,18 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, stored
+from .common import BROADCAST_ROWS, cut, slices, stored
 from .components import components
-from .simhash import BLOCK, SEED, SPAN, drop_labelled, labels
 
-#: Texts from which common shingles are learnt, about, and their number; both bear on speed alone.
-LEARNT, COMMON = 20_000, 50_000
-#: Shingles of more of these texts are common.
-RARE = 16
-CELL_BITS = 9
-#: In buckets up to this size all pairs are looked at once.
-FEW = 32
-_WORDS = (1 << CELL_BITS) // 64
+SEED = 42
+#: Bytes of text split at once.
+SPAN = 4 << 20
+#: Texts, and bytes of their sets, compared in one piece.
+CHUNK_ROWS, CHUNK_BYTES = 2048, 16 << 20
+#: Random deals of a large group before the last one, which leaves nothing out.
+DEALS = 3
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -44,8 +42,8 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
             stop += 1
         tokens = held + data[start:stop].split()
         if len(tokens) >= words:
-            shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False))
-            runs.append(np.unique(np.fromiter(map(xxh64_intdigest, shingles, itertools.repeat(SEED)), np.uint64, len(tokens) - words + 1)))
+            shingles = set(tokens) if words == 1 else list(map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False)))
+            runs.append(np.unique(np.fromiter(map(xxh64_intdigest, shingles, itertools.repeat(SEED)), np.uint64, len(shingles))))
         held = tokens[-(words - 1) :] if words > 1 else []
         start = stop
     if not runs and held:
@@ -53,213 +51,154 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.concatenate(runs)) if runs else np.zeros(0, np.uint64)
 
 
-def _node(s: np.ndarray) -> int:
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(s.tobytes(), SEED)
-
+class _Chunk:
+    """Sets that are compared with one another, their members numbered."""
+
+    def __init__(self, sets: list[np.ndarray], t: Fraction):
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.end = np.cumsum(self.size)
+        _, code = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+        self.code, self.mark, self.t = code, np.zeros(len(code) + 1, bool), t
+
+    def members(self, i: int) -> np.ndarray:
+        return self.code[self.end[i] - self.size[i] : self.end[i]]
+
+    def gathered(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The members of some rows one after another, and where each row ends."""
+        size = self.size[rows]
+        end = np.cumsum(size)
+        return self.code[np.arange(int(size.sum())) + np.repeat(self.end[rows] - end, size)], end
+
+    def similar(self, x: int, rows: np.ndarray, code: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which of the gathered rows have at least the similarity to row x."""
+        own = self.members(x)
+        self.mark[own] = True
+        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.mark[code])))
+        self.mark[own] = False
+        shared = total[end] - total[end - self.size[rows]]
+        p, q = self.t.numerator, self.t.denominator
+        return shared * (p + q) >= (self.size[x] + self.size[rows]) * p
+
+
+def spanning_pairs(sets: list[np.ndarray], t: Fraction) -> list[tuple[int, int]]:
+    """Similar pairs that connect all that similar pairs connect; fewer than there are sets."""
+    chunk, links = _Chunk(sets, t), []
+    rest = np.arange(len(sets))
+    rows = rest
+    code, end = chunk.gathered(rows)
+    alive = np.ones(len(sets), bool)
+    front: list[int] = []
+    while True:
+        rest = rows[alive[rows]]
+        if not len(rest):
+            return links
+        if 2 * len(rest) < len(rows):
+            rows = rest
+            code, end = chunk.gathered(rows)
+        x = front.pop() if front else int(rest[0])
+        alive[x] = False
+        hit = rows[chunk.similar(x, rows, code, end) & alive[rows]]
+        alive[hit] = False
+        links += [(x, int(y)) for y in hit]
+        front += hit.tolist()
+
+
+def visiting_pairs(home: list[np.ndarray], home_root: np.ndarray, guests: list[np.ndarray], guest_root: np.ndarray, t: Fraction) -> list[tuple[int, int]]:
+    """(guest, home) pairs that are similar, one for each root that a guest meets and that isn't its own."""
+    chunk, links = _Chunk(home + guests, t), []
+    rows = np.arange(len(home))
+    code, end = chunk.gathered(rows)
+    for g, own in enumerate(guest_root):
+        hit = np.flatnonzero(chunk.similar(len(home) + g, rows, code, end) & (home_root != own))
+        _, first = np.unique(home_root[hit], return_index=True)
+        links += [(g, int(h)) for h in hit[first]]
+    return links
+
+
+def _compared(batches, t: Fraction):
+    """mapInArrow over (key, node, root, guest, items) sorted by key: links (a, b) within each key."""
+    at, held = None, []
+
+    def out():
+        home = [r for r in held if not r[2]]
+        guests = [r for r in held if r[2]]
+        sets = [np.frombuffer(r[3], np.uint64) for r in home]
+        if guests:
+            roots = [np.array([r[1] for r in rows], np.int64) for rows in (home, guests)]
+            found = [(guests[i][0], home[j][0]) for i, j in visiting_pairs(sets, roots[0], [np.frombuffer(r[3], np.uint64) for r in guests], roots[1], t)]
+        else:
+            found = [(home[i][0], home[j][0]) for i, j in spanning_pairs(sets, t)]
+        if found:
+            ab = np.array(found, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
-def _longs(values) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
+    for batch in slices(batches):
+        for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != at:
+                if len(held) > 1:
+                    yield from out()
+                at, held = key, []
+            held.append(row)
+    if len(held) > 1:
+        yield from out()
 
 
-def common_shingles(docs: DataFrame, words: int, t: Fraction, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of common shingles, sorted, and in how many of the texts looked at they are. At most COMMON; what can't
-    come first in a text even if as many go behind is not counted."""
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def text_sets(docs: DataFrame, texts: DataFrame, words: int, text_col: str) -> DataFrame:
+    """(node, grp, n, items) of the texts asked for by (node, grp), node being the text's xxhash64; stored."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in slices(batches):
-            sets = (shingle_set(x, words) for x in batch.column(0).to_pylist())
-            found = [s[: 2 * len(first_shingles(s, none, t))] for s in sets]
-            yield pa.RecordBatch.from_arrays([_longs(np.concatenate([*found, np.zeros(0, np.uint64)]))], ["h"])
-
-    every = docs.count() // LEARNT + 1
-    some = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(every)) == 0).select(text_col)
-    count = some.mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") > RARE)
-    rows = count.orderBy(F.desc("count"), "h").limit(COMMON).collect()
-    h = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], np.array([r[1] for r in rows], np.int64)[order]
-
-
-def first_shingles(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], t: Fraction) -> np.ndarray:
-    """The shingles of a set of which any set of at least the similarity t has one among its own."""
-    h, times = common
-    rank = np.zeros(len(s), np.int64)
-    if len(h):
-        at = np.minimum(np.searchsorted(h, s), len(h) - 1)
-        rank = np.where(h[at] == s, times[at], 0)
-    least = -(-len(s) * t.numerator // t.denominator)
-    return s[np.argsort(rank, kind="stable")[: len(s) - least + 1]] if len(s) else s
-
-
-def sketches(docs: DataFrame, words: int, t: Fraction, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, fp, n, parity, first) of every row; fp names the set of shingles."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words, t, text_col))
-
-    def run(batches):
-        for batch in slices(batches):
-            sets = [shingle_set(x, words) for x in batch.column(1).to_pylist()]
-            parity = [np.packbits(np.bincount((s >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS) & 1).tobytes() for s in sets]
-            first = [first_shingles(s, shared.value, t).view(np.int64) for s in sets]
-            cols = [batch.column(0), batch.column(2), _longs([_node(s) for s in sets]), pa.array([len(s) for s in sets], pa.int32()), pa.array(parity, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "text_hash", "fp", "n", "parity", "first"])
-
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col), F.xxhash64(text_col).alias("text_hash"))
-    return source.mapInArrow(run, "id long, text_hash long, fp long, n int, parity binary, first array<long>")
-
-
-def _met(batches):
-    """mapInArrow over (key, fp) sorted by key: (key, fp, count) of the keys of two rows or more."""
-    key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def out(key, fp):
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        count = np.diff(np.append(starts, len(key)))
-        count = np.repeat(count, count)
-        some = count > 1
-        return pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(fp[some]), pa.array(count[some])], ["key", "fp", "count"])
-
-    for batch in batches:
-        key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
-        fp = np.concatenate([fp, batch.column(1).to_numpy(zero_copy_only=False)])
-        last = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0
-        if last:
-            yield out(key[:last], fp[:last])
-            key, fp = key[last:], fp[last:]
-    if len(key):
-        yield out(key, fp)
-
-
-def buckets(sketch: DataFrame) -> DataFrame:
-    """(key, fp, count) of rows that meet others; buckets over BLOCK are cut in blocks, put together in twos."""
-    entries = sketch.select(F.explode("first").alias("key"), "fp")
-    entries = entries.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "key long, fp long, count long")
-    entries = entries.withColumn("blocks", F.ceil(F.col("count") / F.lit(BLOCK)).cast("int"))
-    entries = entries.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    return entries.select(F.when(F.col("blocks") > 1, pair).otherwise(F.col("key")).alias("key"), "fp", "count")
-
-
-def _alike(n, parity, i, j, t: Fraction) -> np.ndarray:
-    """May rows i and j reach the similarity? Never false where they do."""
-    p, q = t.numerator, t.denominator
-    fits = np.minimum(n[i], n[j]) * q >= np.maximum(n[i], n[j]) * p
-    odd = np.bitwise_count(parity[i] ^ parity[j]).sum(-1, dtype=np.int64)
-    return fits & (odd * (p + q) <= (n[i] + n[j]) * (q - p))
-
-
-def candidates(key, fp, n, parity, root, t: Fraction, spanning: bool) -> list[np.ndarray]:
-    """Pairs (a, b) of rows of one bucket that differ in root and may be alike. Rows are sorted by key and fp. If
-    spanning, each row of a bucket of over FEW is in one pair at most with a row before it, so that pairs grow with
-    rows."""
-    out = []
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])))
-    key, fp, n, parity, root = key[new], fp[new], n[new], parity[new], root[new]
-    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    sizes = np.diff(np.append(starts, len(key)))
-    few = np.repeat(sizes <= FEW, sizes)
-    for d in range(1, min(FEW, int(sizes.max()))):
-        i = np.flatnonzero(few[d:] & (key[d:] == key[:-d]) & (root[d:] != root[:-d]))
-        for s in range(0, len(i), 1 << 16):
-            part = i[s : s + (1 << 16)]
-            part = part[_alike(n, parity, part, part + d, t)]
-            out.append(np.stack([fp[part], fp[part + d]], 1))
-    for s, m in zip(starts[sizes > FEW], sizes[sizes > FEW], strict=True):
-        rest = np.arange(s, s + m)
-        while len(rest) > 1:
-            x, rest = rest[0], rest[1:]
-            near = rest[root[rest] != root[x]]
-            near = near[_alike(n, parity, x, near, t)]
-            out.append(np.stack([np.full(len(near), fp[x]), fp[near]], 1))
-            if spanning:
-                rest = np.setdiff1d(rest, near, assume_unique=True)
-    return out
-
-
-def _candidates(batches, t: Fraction, spanning: bool):
-    """mapInArrow over (key, fp, n, parity, root) sorted by key: candidates (a, b)."""
-    held: list[np.ndarray] = []
-
-    def out(cols):
-        found = candidates(*cols, t, spanning) if len(cols[0]) > 1 else []
-        if found:
-            ab = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ab.min(1)), pa.array(ab.max(1))], ["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        parity = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, _WORDS)
-        key, fp, n, root = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
-        cols = [key, fp, n.astype(np.int64), parity, root]
-        held = [np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols
-        last = int(np.searchsorted(held[0], held[0][-1], "left"))
-        if last:
-            yield from out([x[:last] for x in held])
-            held = [x[last:] for x in held]
-    if held:
-        yield from out(held)
-
-
-def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, t: Fraction, text_col: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have at least the similarity t."""
-    p, q = t.numerator, t.denominator
-
-    def whole(batches):
-        for batch in slices(batches):
-            sets = [shingle_set(x, words) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([_longs([_node(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "items"])
-
-    def test(batches):
-        for batch in slices(batches):
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                good.append(len(np.intersect1d(x, y, assume_unique=True)) * (p + q) >= (len(x) + len(y)) * p)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    pairs = cut(pairs.distinct())
-    need = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    need = cut(rows.join(need, "fp").groupBy("fp").agg(F.min("text_hash").alias("__hash")).select("__hash"))
-    texts = docs.select(text_col, F.xxhash64(text_col).alias("__hash")).join(need, "__hash", "left_semi").dropDuplicates(["__hash"]).select(text_col)
-    sets = stored(texts.mapInArrow(whole, "fp long, items binary"), "shingle_sets")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return cut(both.mapInArrow(test, "a long, b long"))
-
-
-def similar_links(sketch: DataFrame, rows: DataFrame, docs: DataFrame, words: int, t: Fraction, text_col: str) -> DataFrame:
-    """Verified links (a, b) that connect all sets of at least the similarity t.
-
-    Spanning candidates come first; then only pairs that these leave in two components are looked at, so that a large
-    group of near copies doesn't list all of its pairs.
-    """
-    met = stored(buckets(sketch), "shingle_buckets")
-    nodes = cut(sketch.select("fp", "n", "parity").join(met.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]))
-
-    def found(entries: DataFrame, nodes: DataFrame, spanning: bool) -> DataFrame:
-        dealt = entries.join(nodes, "fp").select("key", "fp", "n", "parity", "root")
-        dealt = dealt.repartition("key").sortWithinPartitions("key", "fp")
-        pairs = dealt.mapInArrow(lambda batches: _candidates(batches, t, spanning), "a long, b long")
-        return verified(pairs, rows, docs, words, t, text_col)
-
-    links = found(met, nodes.withColumn("root", F.col("fp")), True)
-    root = components(links).withColumnRenamed("id", "fp")
-    after = nodes.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return links.unionByName(found(met.filter(F.col("count") > FEW), after, False))
-
-
-def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component of similar texts, the one with the smallest id; columns unchanged.
-
-    Texts link where the Jaccard similarity of their sets of word shingles is at least `similarity`; every such pair
-    is connected. Null, empty and blank texts have no shingle and link to one another. Which row of a repeated id
-    stays is as in simhash.drop_near_duplicates.
+            new = []
+            for i, h in enumerate(batch.column(0).to_pylist()):
+                if h not in seen:
+                    seen.add(h)
+                    new.append(i)
+            if len(seen) > 400_000:
+                seen.clear()
+            part = batch.take(pa.array(new, pa.int64()))
+            sets = [shingle_set(x, words) for x in part.column(2).to_pylist()]
+            n, items = pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n, items], ["node", "grp", "n", "items"])
+
+    side = F.broadcast(texts) if texts.count() <= BROADCAST_ROWS else texts
+    rows = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("__text")).join(side, "node").select("node", "grp", "__text")
+    return stored(rows.mapInArrow(run, "node long, grp long, n long, items binary").dropDuplicates(["node"]), "shingle_sets")
+
+
+def similar_links(sets: DataFrame, t: Fraction) -> DataFrame:
+    """Links (a, b) of nodes that connect all pairs of one group with at least the similarity t; checkpointed.
+
+    sets: (node, grp, n, items), stored. Where most texts of a large group are like no other of it, the last deal
+    compares nearly all of its pairs; the others take time in proportion to their texts and chunks.
     """
-    t = Fraction(str(similarity))
-    sketch = stored(sketches(docs, words, t, id_col, text_col), "sketches")
-    rows = sketch.select("id", "fp", "text_hash")
-    links = similar_links(sketch, rows, docs, words, t, text_col)
-    return drop_labelled(docs, cut(labels(rows, lambda nodes: links)), id_col, text_col)
+    pieces = F.greatest(F.ceil(F.count("*") / F.lit(CHUNK_ROWS)), F.ceil(F.sum("n") * 8 / F.lit(CHUNK_BYTES))).cast("int")
+    large = cut(sets.groupBy("grp").agg(pieces.alias("pieces")).filter("pieces > 1"))
+    many = large.count()
+    side = F.broadcast(large) if many <= BROADCAST_ROWS else large
+    none = F.lit(0).cast("long")
+
+    def deal(rows: DataFrame) -> DataFrame:
+        dealt = rows.select("key", "node", "root", "guest", "items").repartition("key").sortWithinPartitions("key")
+        return cut(dealt.mapInArrow(lambda batches: _compared(batches, t), "a long, b long"))
+
+    whole = sets.join(side, "grp", "left_anti") if many else sets
+    links = deal(whole.select(F.xxhash64("grp").alias("key"), "node", none.alias("root"), F.lit(False).alias("guest"), "items"))
+    if not many:
+        return links
+    split = sets.join(side, "grp")
+    place = F.pmod(F.xxhash64("node", F.lit(0)), F.col("pieces"))
+    for k in range(DEALS):
+        key = F.xxhash64("grp", F.pmod(F.xxhash64("node", F.lit(k)), F.col("pieces")))
+        links = links.unionByName(deal(split.select(key.alias("key"), "node", none.alias("root"), F.lit(False).alias("guest"), "items")))
+    found = components(links).withColumnRenamed("id", "node")
+    rooted = split.select("node", "grp", "pieces").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = cut(rooted)
+    main = rooted.groupBy("grp", "root").count().groupBy("grp").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    away = cut(rooted.join(F.broadcast(main) if many <= BROADCAST_ROWS else main, "grp").filter("root <> main").select("node", "root", "pieces"))
+    if away.isEmpty():
+        return links
+    home = sets.join(rooted, ["node", "grp"]).select(F.xxhash64("grp", place).alias("key"), "node", "root", F.lit(False).alias("guest"), "items")
+    guests = sets.join(away, "node").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    guests = guests.select(F.xxhash64("grp", F.col("at").cast("long")).alias("key"), "node", "root", F.lit(True).alias("guest"), "items")
+    return links.unionByName(deal(home.unionByName(guests)))

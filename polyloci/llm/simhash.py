@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Callable
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +20,13 @@ from pyspark.sql import functions as F
 
 from .common import cut, slices, without
 from .components import components
+from .jaccard import SEED, SPAN, shingle_set, similar_links, text_sets
 
 BITS = 64
 #: Relative costs of writing one probe and of comparing one candidate pair.
 PROBE, VERIFY = 300.0, 1.0
 #: Buckets up to this size are compared in one piece; larger ones are cut in blocks, compared two by two.
 BLOCK = 2048
-#: Bytes of text split at once.
-SPAN = 4 << 20
-SEED = 42
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -64,12 +63,22 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(sum(1 << b for b in range(BITS) if 2 * ones[b] > total))
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, text_hash) of every row; fp is the fingerprint's 64 bits as a signed LONG."""
+def set_fingerprint(text: str | None, words: int) -> int:
+    """As fingerprint(), but each shingle counts once, however often it occurs."""
+    h = shingle_set(text, words)
+    ones = np.zeros(BITS, np.int64)
+    for s in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[s : s + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
+    """(id, fp, text_hash) of every row; fp is the fingerprint's 64 bits as a signed LONG. once: of sets of shingles."""
+    one = set_fingerprint if once else fingerprint
 
     def run(batches):
         for batch in slices(batches):
-            fp = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            fp = np.array([one(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2)], ["id", "fp", "text_hash"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col), F.xxhash64(text_col).alias("text_hash"))
@@ -323,3 +332,24 @@ def drop_labelled(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str)
     again = marked.join(first, same, "left_semi").dropDuplicates([id_col, "__text_hash"])
     out = without(marked, cut(lost.unionByName(first).distinct()), same)
     return out.unionByName(again).select(*names)
+
+
+def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component of similar texts, the one with the smallest id; columns unchanged.
+
+    Candidates are texts whose SimHash of distinct words differs in at most `radius` bits, and what such links connect.
+    Within these, texts link where the Jaccard similarity of their sets of `words`-word shingles is at least
+    `similarity`, which is computed exactly. An edited word changes `words` shingles but one word, so fingerprints of
+    words keep near copies much closer than those of shingles do. Null, empty and blank texts have no shingle and link
+    to one another. Which row of a repeated id stays is as in drop_near_duplicates. An empty table gives no rows.
+    """
+    rows = cut(fingerprints(docs, 1, id_col, text_col, once=True))
+    nodes = cut(rows.groupBy("fp").agg(F.count("*").alias("n")))
+    found = components(near_links(nodes.select("fp"), radius)).withColumnRenamed("id", "fp")
+    grouped = nodes.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("grp"), "n")
+    several = grouped.groupBy("grp").agg(F.sum("n").alias("n")).filter("n > 1").select("grp")
+    grouped = cut(grouped.select("fp", "grp").join(several, "grp", "left_semi"))
+    near = cut(rows.join(grouped, "fp").select("id", F.col("text_hash").alias("fp"), "text_hash", "grp"))
+    texts = cut(near.select(F.col("text_hash").alias("node"), "grp").distinct())
+    links = similar_links(text_sets(docs, texts, words, text_col), Fraction(str(similarity)))
+    return drop_labelled(docs, cut(labels(near.drop("grp"), lambda _: links)), id_col, text_col)
