@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from polyloci.llm.common import stored
 from polyloci.llm.decontaminate import drop_contaminated
 from polyloci.llm.exact_dedup import drop_exact_duplicates
-from polyloci.llm.jaccard import drop_similar
 from polyloci.llm.langid import fit, keep_known_languages
 from polyloci.llm.packing import pack_documents
 from polyloci.llm.queries import table, tokenizer_path
+from polyloci.llm.simhash import drop_similar
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,10 +24,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts whose 5-word shingles have Jaccard >= 0.8, the one with the smallest id.
-
-    All such pairs are linked. They lie up to 14 bits apart in 64-bit SimHash, so no affordable radius finds them.
-    """
+    """One document of each component of near copies, the one with the smallest id: candidates by SimHash, links by a
+    Jaccard similarity of 5-word shingles of 0.8 or more. Null, empty and blank texts are copies of one another."""
     return drop_similar(docs, words=5, similarity=0.8)
 
 
