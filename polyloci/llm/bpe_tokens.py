@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public word-level BPE vocabulary, with a memory of the pre-tokens met before.
 
 A pre-token's ids don't depend on its neighbours, so a text's ids are those of its pre-tokens in a row. Texts with
-characters outside the Latin blocks, or with unusual control characters, go through the library as they are.
+characters outside the Latin blocks, letters whose lower case lies outside them, unusual control characters or names of
+special tokens go through the library as they are.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ _NUMBER = "0-9²³¹¼½¾"
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
 #: The byte-level alphabet: bytes that aren't printable have characters from 256 on, in order.
 _PRINTABLE = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
-_UNUSUAL = re.compile("[^\t\n\x0b\f\r\x20-\x7e\xa0-ɏ]|[ıİ]")
+#: Letters up to U+024F whose lower case isn't one letter of the range.
+_FAR = "".join(c for c in map(chr, range(0xA0, 0x250)) if c.isalpha() and not re.fullmatch(f"[{_LETTER}]", c.lower()))
+_UNUSUAL = re.compile(f"[^\t\n\x0b\f\r\x20-\x7e\xa0-ɏ]|[ı{_FAR}]")
 
 
 class WordBpe:
-    """Encodes as Tokenizer.encode(text, add_special_tokens=False) does; names of special tokens are ordinary text."""
+    """Encodes as Tokenizer.encode(text, add_special_tokens=False) does."""
 
     _open: dict[str, WordBpe] = {}
 
@@ -35,8 +38,9 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        names = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(names), re.IGNORECASE) if names else None
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -72,7 +76,7 @@ class WordBpe:
             return b""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        if _UNUSUAL.search(text):
+        if _UNUSUAL.search(text) or self.special and self.special.search(text):
             return self._whole(text)
         out = []
         for span in self._spans(text):

@@ -16,9 +16,7 @@ from polyloci.llm.queries import op1_packing, table, tokenizer_path
 def reference_tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def reference_ids(text):
@@ -75,6 +73,19 @@ def test_tokens_of_unusual_texts(text):
     assert WordBpe.opened(tokenizer_path()).ids(text) == reference_ids(text)[:-1].tobytes()
 
 
+def test_tokens_of_every_latin_character():
+    own = WordBpe.opened(tokenizer_path())
+    for i in range(0x20, 0x250):
+        for text in (f"a{chr(i)}b", chr(i), f"x {chr(i)}{chr(i)} y"):
+            assert own.ids(text) == reference_ids(text)[:-1].tobytes(), hex(i)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([chr(i) for i in [*range(0x20, 0x250), 9, 10, 13]] + ["<|endoftext|>", "<|STARTOFTEXT|>", "don't"]), max_size=30).map("".join))
+def test_tokens_of_random_texts(text):
+    assert WordBpe.opened(tokenizer_path()).ids(text) == reference_ids(text)[:-1].tobytes()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=20))
 def test_histogram_packing_keeps_every_length(histogram):
