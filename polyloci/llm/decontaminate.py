@@ -72,44 +72,64 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
 
 
-def gram_hashes(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every stretch of Q = 8 code points."""
-    if len(codes) < Q:
+def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
+    """A 64-bit hash of every stretch of q code points."""
+    if len(codes) < q:
         return np.zeros(0, np.uint64)
-    h = codes.astype(np.uint64) + np.uint64(1)
-    step = 1
+    one = codes.astype(np.uint64) + np.uint64(1)
     with np.errstate(over="ignore"):
-        factor = _MULT
-        while step < Q:
-            h = h[:-step] * factor + h[step:]
-            factor = factor * factor
-            step *= 2
+        if q == Q:
+            h, step, factor = one, 1, _MULT
+            while step < Q:
+                h = h[:-step] * factor + h[step:]
+                factor = factor * factor
+                step *= 2
+        else:
+            h = one[: len(one) - q + 1]
+            for i in range(1, q):
+                h = h * _MULT + one[i : len(one) - q + 1 + i]
         h = h * _MULT
     return h ^ (h >> np.uint64(29))
 
 
+def gram_size(n: int, k: int) -> int:
+    """The longest q, up to Q, for which k edits leave one of n characters' q-grams whole: n - q + 1 - k * q >= 1."""
+    return min(Q, n // (k + 1))
+
+
+def item_codes(text: str | None) -> np.ndarray:
+    codes, _ = normal_form(code_points(text or ""))
+    return codes[:-1] if len(codes) and codes[-1] == 32 else codes
+
+
+def indexes(items: list[tuple[int, str]], edit_rate: float) -> list[Index]:
+    """One index for each size of q-grams that the items need; items without letters or digits are left out."""
+    by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for item_id, text in items:
+        codes = item_codes(text)
+        if len(codes):
+            by_size.setdefault(gram_size(len(codes), int(edit_rate * len(codes))), []).append((item_id, codes))
+    return [Index(own, edit_rate, q) for q, own in sorted(by_size.items())]
+
+
 class Index:
     """The q-grams of some benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str]], edit_rate: float):
+    def __init__(self, items: list[tuple[int, np.ndarray]], edit_rate: float, q: int):
+        self.q = q
         hashes, which, offsets = [], [], []
         self.ids, self.codes, self.budget, self.least = [], [], [], []
-        for item_id, text in items:
-            codes, _ = normal_form(code_points(text or ""))
-            if len(codes) and codes[-1] == 32:
-                codes = codes[:-1]
+        for item_id, codes in items:
             n = len(codes)
-            if n < Q:
-                continue
-            k = min(int(edit_rate * n), (n - Q) // Q)
-            h = gram_hashes(codes)
+            k = int(edit_rate * n)
+            h = gram_hashes(codes, q)
             hashes.append(h)
             which.append(np.full(len(h), len(self.ids)))
             offsets.append(np.arange(len(h)))
             self.ids.append(item_id)
             self.codes.append(codes)
             self.budget.append(k)
-            self.least.append(max(1, n - Q + 1 - k * Q))
+            self.least.append(n - q + 1 - k * q)
         h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
         w = np.concatenate([*which, np.zeros(0, np.int64)])
         o = np.concatenate([*offsets, np.zeros(0, np.int64)])
@@ -128,7 +148,7 @@ class Index:
         match is lost; at least a third of the least count stays."""
         keep = np.ones(len(which), bool)
         for i, start in enumerate(np.searchsorted(which, np.arange(len(self.ids)))):
-            own = times[start : start + len(self.codes[i]) - Q + 1]
+            own = times[start : start + len(self.codes[i]) - self.q + 1]
             order = np.argsort(-own, kind="stable")[: self.least[i] - max(1, min(self.least[i], 3 + self.least[i] // 3))]
             order = order[own[order] > 1]
             keep[start + order] = False
@@ -144,13 +164,13 @@ class Index:
 def candidate_bands(codes: np.ndarray, doc_of: np.ndarray, ix: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, item, first diagonal) of each band that keeps enough q-grams. doc_of: the document of each character."""
     none = (np.zeros(0, np.int64),) * 3
-    h = gram_hashes(codes)
+    h = gram_hashes(codes, ix.q)
     at = np.flatnonzero(ix.quick[h >> np.uint64(64 - _FILTER_BITS)])
     if not len(at):
         return none
     lo = np.searchsorted(ix.hashes, h[at], "left")
     n = np.searchsorted(ix.hashes, h[at], "right") - lo
-    real = (n > 0) & (doc_of[at] == doc_of[at + Q - 1])
+    real = (n > 0) & (doc_of[at] == doc_of[at + ix.q - 1])
     at, lo, n = at[real], lo[real], n[real]
     if not len(at):
         return none
@@ -259,10 +279,13 @@ def _batches(item: np.ndarray, ix: Index) -> Iterator[np.ndarray]:
         start += max(1, fit)
 
 
-def find_items(texts: list[str], ix: Index) -> Iterator[tuple[int, int, int, int, int, int]]:
+def find_items(texts: list[str], ixs: list[Index]) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(document, item id, begin, finish, edits, item characters), in code points of the texts."""
-    if not ix.ids:
-        return
+    for ix in ixs:
+        yield from _find_items(texts, ix)
+
+
+def _find_items(texts: list[str], ix: Index) -> Iterator[tuple[int, int, int, int, int, int]]:
     found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
 
     def flush(group: list) -> None:
@@ -270,7 +293,7 @@ def find_items(texts: list[str], ix: Index) -> Iterator[tuple[int, int, int, int
         where = np.concatenate([g[3] for g in group])
         sizes = np.array([len(g[2]) for g in group])
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        if len(codes) < Q:
+        if len(codes) < ix.q:
             return
         doc, item, diagonal = candidate_bands(codes, np.repeat(np.arange(len(group)), sizes), ix)
         for part in _batches(item, ix):
@@ -316,9 +339,9 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, edit_rate: float =
     """Every stretch of a document that is an item up to floor(edit_rate * its length) edits (SCHEMA).
 
     begin and finish are code points of the original text; stretches of one item in one document don't overlap, and
-    the ones with fewest edits are kept. Null and empty texts and items match nothing, nor do items of fewer than 8
-    characters in normal form; items under about 80 characters get a smaller budget, so that one shared q-gram at
-    least is needed. Repeated documents and items give repeated rows. Ids may be null. Other columns are ignored.
+    the ones with fewest edits are kept. Null and empty texts and items match nothing. Items that are short for their
+    budget, those under 8 characters among them, are looked for by shorter q-grams: the lemma holds for every length,
+    and one of a few characters is found wherever these stand, within words too. Repeated documents and items give repeated rows. Ids may be null. Other columns are ignored.
 
     The documents are read once for each block of items and never shuffled. A block's index is broadcast; its size is
     bounded by BLOCK_CHARS, and a larger benchmark takes more blocks.
@@ -330,7 +353,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, edit_rate: float =
         shared = spark.sparkContext.broadcast(block)
 
         def search(batches, shared=shared):
-            ix = Index(shared.value, edit_rate)
+            ix = indexes(shared.value, edit_rate)
             for batch in slices(batches):
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 rows = [(ids[d], *rest) for d, *rest in find_items(texts, ix)]
@@ -357,7 +380,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
         shared = spark.sparkContext.broadcast(block)
 
         def clean(batches, shared=shared):
-            ix = Index(shared.value, EDIT_RATE)
+            ix = indexes(shared.value, EDIT_RATE)
             for batch in slices(batches):
                 texts = [t or "" for t in batch.column(at).to_pylist()]
                 bad = {d for d, *_ in find_items(texts, ix)}

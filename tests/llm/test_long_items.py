@@ -20,7 +20,7 @@ def test_items_as_long_as_windows(chars, monkeypatch):
     """An item near or above the window's size is found at every offset, as in one window."""
     rng = np.random.default_rng(chars)
     item, short = prose(rng, chars), prose(rng, 120)
-    ix = D.Index([(7, item), (8, short)], D.EDIT_RATE)
+    ix = D.indexes([(7, item), (8, short)], D.EDIT_RATE)
     texts = []
     for offset in (0, 1, 300, 511, 512, 700, 1023, 1024, 1900, 3333):
         before, after = prose(rng, offset + 1)[:offset], prose(rng, 3000)
