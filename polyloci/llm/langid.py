@@ -19,8 +19,11 @@ DIMS, MAX_N = 4096, 3
 SAMPLE = 1600
 CLUSTERS = 4
 ROUNDS = 12
-#: A text is rejected below this share of the similarity that all but one in a hundred sample documents reach.
-REJECT_SHARE = 0.2
+#: A text is rejected below this share of the similarity that all but one in a hundred sample documents of about its own
+#: number of distinct n-grams (a power of two apart) reach; where under LEAST_SAMPLE such documents, below FAR_SHARE of
+#: what all but one in a hundred of all sample documents reach.
+REJECT_SHARE, FAR_SHARE, LEAST_SAMPLE = 0.75, 0.2, 20
+SIZES = DIMS.bit_length()
 #: Texts vectorised at once.
 CHUNK_DOCS, CHUNK_CHARS = 256, 1 << 19
 
@@ -42,6 +45,9 @@ def _lower_letters() -> np.ndarray:
 def _letters(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
     codes = np.where(codes < 1 << 16, _lower_letters()[np.minimum(codes, (1 << 16) - 1)], codes)
+    for far in np.unique(codes[codes >= 1 << 16]).tolist():
+        c = chr(far)
+        codes[codes == far] = (ord(c.lower()) if len(c.lower()) == 1 else far) if c.isalpha() else 32
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32)
     return codes[keep]
@@ -90,7 +96,8 @@ def gram_counts(texts: list[str | None]) -> Iterator[np.ndarray]:
 
 @dataclass
 class Model:
-    """idf, the centroids' unit vectors, their languages, and the least similarity by language."""
+    """idf, the centroids' unit vectors, their languages, and the least similarity by the bits of a text's number of distinct
+    n-grams."""
 
     idf: np.ndarray
     centroids: np.ndarray
@@ -105,7 +112,8 @@ class Model:
         """Language, cosine to the nearest centroid from 0 to 1, and whether it is too far from all centroids."""
         lang, score, rejected = [], [], []
         for counts in gram_counts(texts):
-            empty = counts.sum(1) == 0
+            grams = (counts > 0).sum(1)
+            empty = grams == 0
             if not self.langs:
                 best, who = np.zeros(len(counts)), np.zeros(len(counts), int)
                 empty[:] = True
@@ -113,13 +121,27 @@ class Model:
                 cos = self.vectors(counts) @ self.centroids.T
                 at = cos.argmax(1)
                 best, who = np.clip(cos[np.arange(len(at)), at], 0, 1), self.owner[at]
-            for e, b, w in zip(empty, best, who, strict=True):
+            for e, b, w, least in zip(empty, best, who, self.least[size_class(grams)], strict=True):
                 lang.append(UNDETERMINED if e else self.langs[w])
                 score.append(0.0 if e else float(b))
-                rejected.append(bool(e or b < self.least[w]))
+                rejected.append(bool(e or b < least))
         return lang, score, rejected
 
 
+def size_class(grams: np.ndarray) -> np.ndarray:
+    return np.ceil(np.log2(grams + 1)).astype(int)
+
+
+def least_similarity(cos: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The similarity below which texts are rejected, by size class, from those of sample documents."""
+    own = size_class(grams)
+    out = np.full(SIZES + 1, FAR_SHARE * float(np.quantile(cos, 0.01)) if len(cos) else 0.0)
+    for k in range(SIZES + 1):
+        if (own == k).sum() >= LEAST_SAMPLE:
+            out[k] = max(out[k], REJECT_SHARE * float(np.quantile(cos[own == k], 0.01)))
+    return out
+
+
 def tf_idf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = np.log1p(counts) * idf
     return (x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)).astype(np.float32)
@@ -168,10 +190,10 @@ def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col
         total[cell] = n
     idf = (np.log((1 + total[DIMS]) / (1 + total[:DIMS])) + 1).astype(np.float32)
     each = max(8, sample // max(1, len(labels)))
-    share = F.create_map(*[x for k, c in labels.items() for x in (F.lit(k), F.lit(int(min(1.0, each / c) * 1_000_000)))]) if labels else None
+    share = F.create_map(*[x for k, c in labels.items() for x in (F.lit(k), F.lit(max(1, int(min(1.0, each / c) * (1 << 40)))))]) if labels else None
     grams: dict[str, list[np.ndarray]] = {}
     if labels:
-        picked = rows.filter(F.pmod(F.xxhash64("id", F.length("text")), F.lit(1_000_000)) < share[F.col("lang")])
+        picked = rows.filter(F.pmod(F.xxhash64("id", F.length("text")), F.lit(1 << 40)) < share[F.col("lang")])
 
         def vectors(batches):
             for batch in slices(batches):
@@ -186,15 +208,17 @@ def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col
             x = np.zeros(DIMS, np.float32)
             x[cells] = counts
             grams.setdefault(lang, []).append(x)
-    langs, centroids, owner, least = sorted(grams), [], [], []
+    langs, centroids, owner, cos, sizes = sorted(grams), [], [], [], []
     for w, lang in enumerate(langs):
         x = np.stack(grams[lang])
         x = tf_idf(x[np.lexsort(x.T[:64])], idf)  # an order that doesn't depend on the order of arrival
         c = cluster(x, CLUSTERS)
         centroids.append(c)
         owner += [w] * len(c)
-        least.append(REJECT_SHARE * float(np.quantile((x @ c.T).max(1), 0.01)))
-    return Model(idf, np.concatenate(centroids) if langs else np.zeros((0, DIMS), np.float32), np.array(owner, int), langs, np.array(least or [0.0]))
+        cos.append((x @ c.T).max(1))
+        sizes.append((x > 0).sum(1))
+    least = least_similarity(np.concatenate([*cos, np.zeros(0)]), np.concatenate([*sizes, np.zeros(0, int)]))
+    return Model(idf, np.concatenate(centroids) if langs else np.zeros((0, DIMS), np.float32), np.array(owner, int), langs, least)
 
 
 def held_out(id_col: str = "doc_id"):

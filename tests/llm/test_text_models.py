@@ -49,6 +49,22 @@ def test_benchmark_matches_against_full_alignment(spark):
     assert got == want and 20 < len(want) < 60
 
 
+def test_items_of_every_short_length():
+    """Items of 1 to 60 characters, with as many edits as their budget and with one more."""
+    rng = random.Random(2)
+    for n in [*range(1, 33), 39, 40, 47, 60]:
+        item = "".join(rng.choice("abcdefgh") for _ in range(n))
+        for e in (0, int(0.1 * n), int(0.1 * n) + 1):
+            own = list(item)
+            for at in rng.sample(range(n), min(n, e)):
+                own[at] = rng.choice("xyz")
+            text = "qq ww " + "".join(own) + " rr tt"
+            want = edits(item, text)
+            got = [r[4] for r in D.find_items([text], D.indexes([(1, item)], 0.1))]
+            assert (min(got) if got else None) == (want if want <= int(0.1 * n) else None), (n, e)
+    assert [r[2:4] for r in D.find_items(["xx the cat yy"], D.indexes([(1, "the cat")], 0.1))] == [(3, 10)]
+
+
 def test_benchmark_query_finds_planted_items_only(spark, small):
     docs = table(spark, small, "documents").collect()
     items = table(spark, small, "benchmark").collect()
@@ -73,7 +89,7 @@ def test_benchmark_of_odd_rows(spark, odd_docs, no_docs, monkeypatch):
 def test_windows_of_long_texts(spark, monkeypatch):
     item = "the quick brown fox jumps over the lazy dog and runs away into the dark forest"
     text = "lorem ipsum dolor " * 300 + item + " sit amet" * 300
-    ix = D.Index([(9, item)], 0.1)
+    ix = D.indexes([(9, item)], 0.1)
     whole = list(D.find_items([text], ix))
     monkeypatch.setattr(D, "WINDOW", 512)
     assert list(D.find_items([text], ix)) == whole and len(whole) == 1
@@ -91,6 +107,23 @@ def test_languages_of_held_out_documents(spark):
     assert sum(r["rejected"] for r in rows) < 0.005 * len(rows)
 
 
+def test_unseen_languages_are_rejected(spark):
+    """A language left out of the training rows: its longer documents are rejected, and hardly any of the others are."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    for lang in ("de", "fr"):
+        model = G.fit(docs.filter(f"lang <> '{lang}'"))
+        rows = G.predict_languages(docs, model).join(docs, "doc_id").select("rejected", "lang", "n_chars").collect()
+        unseen = [r["rejected"] for r in rows if r["lang"] == lang and r["n_chars"] > 300]
+        assert sum(unseen) >= 0.9 * len(unseen) > 10
+        assert sum(r["rejected"] for r in rows if r["lang"] != lang) < 0.01 * len(rows)
+
+
+def test_texts_without_letters_are_undetermined(spark):
+    model = G.fit(table(spark, "/root/testdata/sf0.001", "documents"))
+    assert model.predict(["😀😀 😀", "🎉", "12 ;;", None, "", "𐐀 a"])[0][:5] == ["und"] * 5
+    assert model.predict(["𐐀𐐁"])[0] != ["und"] and G._letters("𐐀😀").tolist() == [ord("𐐨"), 32]
+
+
 def test_languages_of_odd_rows(spark, odd_docs, no_docs):
     model = G.fit(table(spark, "/root/testdata/sf0.001", "documents"))
     rows = G.predict_languages(odd_docs, model).collect()
