@@ -2,8 +2,9 @@
 
 A line is the set of its words. Lines of equal sets are one class. Words are ordered by rarity; two classes with Jaccard
 similarity of at least 0.8 share a word among the first n - ceil(0.8 n) + 1 of both, have sizes within that ratio, and
-have enough words left after the first word they share. Pairs that pass, and whose words' parities don't rule them out,
-are verified on the whole sets.
+have enough words left after the first word they share. Classes with any partner that passes, and whose words' parities
+don't rule it out, come to the bucket of that word with their whole sets. There pairs are verified and counted, each in
+the bucket of the first word that both share: what leaves a bucket is a count for each class, never a list of pairs.
 """
 
 from __future__ import annotations
@@ -209,10 +210,10 @@ def _lines(docs: DataFrame, counts) -> DataFrame:
     return docs.mapInArrow(run, LINES)
 
 
-def candidate_pairs(key: np.ndarray, size: np.ndarray, pos: np.ndarray, cls: np.ndarray, parity: np.ndarray) -> np.ndarray:
-    """(a, b, key) of classes that share a word and pass the length, positional and parity filters, each pair with its least
-    key. Rows are sorted by key, then size."""
-    out = []
+def with_partner(key: np.ndarray, size: np.ndarray, pos: np.ndarray, cls: np.ndarray, parity: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which rows pass the length, positional and parity filters with some other class of their key. Rows are sorted by key,
+    then size; rows of one block (own, if not negative) meet elsewhere."""
+    out = np.zeros(len(key), bool)
     d, live = 1, np.arange(max(0, len(key) - 1))
     while len(live):
         i = live[live + d < len(key)]
@@ -221,30 +222,25 @@ def candidate_pairs(key: np.ndarray, size: np.ndarray, pos: np.ndarray, cls: np.
         i, j = i[near], j[near]
         live = i
         need = -(-NUM * (size[i] + size[j]) // (NUM + DEN))
-        ok = (cls[i] != cls[j]) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need)
+        ok = (cls[i] != cls[j]) & ((own[i] < 0) | (own[i] != own[j]))
+        ok &= np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need
         ok &= (size[i] + size[j] - np.bitwise_count((parity[i] ^ parity[j]).view(np.uint64)).astype(np.int64)) // 2 >= need
-        if ok.any():
-            out.append(np.stack([np.minimum(cls[i[ok]], cls[j[ok]]), np.maximum(cls[i[ok]], cls[j[ok]]), key[i[ok]]], 1))
+        out[i[ok]] = True
+        out[j[ok]] = True
         d += 1
-    if not out:
-        return np.zeros((0, 3), np.int64)
-    rows = np.concatenate(out)
-    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-    first = np.ones(len(rows), bool)
-    first[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
-    return rows[first]
-
-
-def _pairs(batches):
-    """mapInArrow over (key, at, class, parity) sorted by key and at, the size and the position in one number: candidate
-    pairs (a, b, key)."""
+    return out
+
+
+def _members(batches):
+    """mapInArrow over (key, at, class, parity, own) sorted by key and at, the size and the position in one number: the rows
+    (key, class, pos, own) that need verification in their bucket."""
     held = None
 
     def out(cols):
-        key, at, cls, parity = cols
-        ab = candidate_pairs(key, at >> 32, at & 0xFFFFFFFF, cls, parity)
-        for s in range(0, len(ab), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(ab[s : s + (1 << 16), c]) for c in range(3)], ["a", "b", "key"])
+        key, at, cls, parity, own = cols
+        pos = at & 0xFFFFFFFF
+        ok = with_partner(key, at >> 32, pos, cls, parity, own)
+        yield pa.RecordBatch.from_arrays([pa.array(key[ok]), pa.array(cls[ok]), pa.array(pos[ok].astype(np.int32)), pa.array(own[ok].astype(np.int32))], ["key", "class", "pos", "own"])
 
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
@@ -253,89 +249,162 @@ def _pairs(batches):
         if not len(cols[0]):
             continue
         last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-        yield from out([c[:last] for c in cols])
+        if last:
+            yield from out([c[:last] for c in cols])
         held = [c[last:] for c in cols]
     if held is not None:
         yield from out(held)
 
 
-def _sets(docs: DataFrame, wanted) -> DataFrame:
-    """(class, words) of the classes whose cell is set in the map `wanted`; a class may come from several tasks."""
+def _sets(docs: DataFrame, wanted, counts) -> DataFrame:
+    """(class, words) of the classes whose cell is set in the map `wanted`, words by rank; a class may come from several tasks."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             for _, parts in _chunks(batch):
-                x = Lines(b"".join(parts), None)
+                x = Lines(b"".join(parts), counts.value)
                 cell = (x.key.view(np.uint64) >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
                 hit = np.flatnonzero((wanted.value[cell >> 3] >> (cell & 7)) & 1)
                 hit = [i for i in hit if int(x.key[i]) not in seen and x.size[i]]
                 seen.update(x.key[hit].tolist())
                 if len(seen) > 400_000:
                     seen.clear()
-                words = [x.word[x.first[i] : x.first[i] + x.size[i]].view(np.int64) for i in hit]
-                yield pa.RecordBatch.from_arrays([pa.array(x.key[hit], pa.int64()), pa.array(words, pa.list_(pa.int64()))], ["class", "words"])
+                words = [x.word[x.first[i] : x.first[i] + x.size[i]].tobytes() for i in hit]
+                yield pa.RecordBatch.from_arrays([pa.array(x.key[hit], pa.int64()), pa.array(words, pa.binary())], ["class", "words"])
+
+    return docs.mapInArrow(run, "class long, words binary")
 
-    return docs.mapInArrow(run, "class long, words array<long>")
 
+def few_links(words: list[np.ndarray], pos: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of a small bucket that are similar and share no word before the bucket's, by plain sets."""
+    lists = [w.tolist() for w in words]
+    sets = [frozenset(w) for w in lists]
+    before = [frozenset(w[:p]) for w, p in zip(lists, pos.tolist(), strict=True)]
+    out = []
+    for j in range(1, len(sets)):
+        for i in range(j):
+            n, m = len(sets[i]), len(sets[j])
+            if (own[i] < 0 or own[i] != own[j]) and DEN * n >= NUM * m and DEN * m >= NUM * n and before[i].isdisjoint(before[j]):
+                if (NUM + DEN) * len(sets[i] & sets[j]) >= NUM * (n + m):
+                    out.append((i, j))
+    return out
+
+
+def many_links(words: list[np.ndarray], pos: np.ndarray, own: np.ndarray):
+    """As few_links(), for any number of rows sorted by size: for each row, the later ones that it links to."""
+    size = np.array([len(w) for w in words], np.int64)
+    start = np.concatenate(([0], np.cumsum(size)))
+    _, code = np.unique(np.concatenate(words), return_inverse=True)
+    early = np.arange(len(code)) - np.repeat(start[:-1], size) < np.repeat(pos, size)
+    mark, first = np.zeros(len(code) + 1, bool), np.zeros(len(code) + 1, bool)
+    for i in range(len(words) - 1):
+        stop = int(np.searchsorted(size, size[i] * DEN // NUM, "right"))
+        if stop <= i + 1:
+            continue
+        mine = code[start[i] : start[i + 1]]
+        mark[mine] = True
+        first[mine[: pos[i]]] = True
+        part = slice(start[i + 1], start[stop])
+        at = start[i + 1 : stop] - start[i + 1]
+        shared = np.add.reduceat(mark[code[part]], at, dtype=np.int32)
+        ok = (NUM + DEN) * shared >= NUM * (size[i] + size[i + 1 : stop])
+        if own[i] >= 0:
+            ok &= own[i + 1 : stop] != own[i]
+        if ok.any():
+            ok &= ~np.logical_or.reduceat(first[code[part]] & early[part], at)
+        mark[mine] = False
+        first[mine[: pos[i]]] = False
+        hit = np.flatnonzero(ok)
+        if len(hit):
+            yield i, hit + i + 1
+
+
+#: Buckets of up to so many classes are verified by plain sets.
+FEW = 24
+COUNTED = "class long, links long, has_id boolean, id long, text_hash long, line long"
+
+
+def _counted(batches):
+    """mapInArrow over (key, size, class, pos, own, words, has_id, id, text_hash, line) sorted by key and size: for each class
+    with links in the bucket, how many, and the earliest place of the classes linked to (COUNTED)."""
+    at, held = None, []
+
+    def out():
+        cls = np.array([r[1] for r in held], np.int64)
+        pos, own = np.array([r[2] for r in held]), np.array([r[3] for r in held])
+        words = [np.frombuffer(r[4], np.uint64) for r in held]
+        place = np.empty(len(held), np.int64)
+        place[np.lexsort([np.array([r[c] for r in held], np.int64) for c in (8, 7, 6, 5)])] = np.arange(len(held))
+        links, least = np.zeros(len(held), np.int64), np.full(len(held), len(held))
+        if len(held) <= FEW:
+            for i, j in few_links(words, pos, own):
+                links[i] += 1
+                links[j] += 1
+                least[i], least[j] = min(least[i], place[j]), min(least[j], place[i])
+        else:
+            for i, hit in many_links(words, pos, own):
+                links[i] += len(hit)
+                links[hit] += 1
+                least[i] = min(least[i], place[hit].min())
+                least[hit] = np.minimum(least[hit], place[i])
+        who = np.empty(len(held), np.int64)
+        who[place] = np.arange(len(held))
+        return [(int(cls[i]), int(links[i]), *held[who[least[i]]][5:9]) for i in np.flatnonzero(links)]
+
+    def batch_of(rows):
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["class", "links", "has_id", "id", "text_hash", "line"])
 
-def _verified(batches):
-    """mapInArrow over (key, kind, a, b, words) sorted by key and kind: first a bucket's sets (kind 0, class a), then its pairs
-    (kind 1): the pairs that are similar."""
-    at, sets = None, {}
     for batch in batches:
         found = []
-        keys, kinds, firsts, seconds = (batch.column(c).to_pylist() for c in range(4))
-        words = batch.column(4)
-        for i, (key, kind, a, b) in enumerate(zip(keys, kinds, firsts, seconds, strict=True)):
+        for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if key != at:
-                at, sets = key, {}
-            if kind == 0:
-                sets[a] = frozenset(words[i].as_py())
-            else:
-                x, y = sets[a], sets[b]
-                if (NUM + DEN) * len(x & y) >= NUM * (len(x) + len(y)):
-                    found.append((a, b))
+                if len(held) > 1:
+                    found += out()
+                at, held = key, []
+            held.append(row)
         if found:
-            ab = np.array(found, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
+            yield batch_of(found)
+    if len(held) > 1 and (found := out()):
+        yield batch_of(found)
 
 
-def similar_classes(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of all classes with similarity of at least NUM / DEN; checkpointed."""
+def class_links(docs: DataFrame, lines: DataFrame, counts, firsts: DataFrame) -> DataFrame:
+    """(class, links, other) of the classes with links: the number of classes with similarity of at least NUM / DEN, and the
+    earliest place of these; checkpointed. firsts: (class, first), the place of each class."""
     spark = docs.sparkSession
     place = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at")
     posts = lines.filter("prefix IS NOT NULL").select("class", "size", "parity", F.posexplode("prefix").alias("pos", "key"))
-    posts = posts.filter("key <> 0").select("key", place, "class", "parity")
+    posts = posts.filter("key <> 0").select("key", place, "class", "parity", F.lit(-1).alias("own"))
     hot = lines.filter("common IS NOT NULL").select("class", F.explode("common").alias("key"))
     hot = cut(hot.groupBy("key").agg(F.count("*").alias("count")).filter(F.col("count") > BLOCK))
     many = hot.count()
     if many:
         side = F.broadcast(hot) if many <= 10_000 else hot
         posts = posts.join(side, "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / F.lit(BLOCK)), F.lit(1)).cast("int"))
-        posts = posts.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+        posts = posts.withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
         posts = posts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+        pair = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
         posts = posts.withColumn("key", F.when(F.col("blocks") > 1, pair).otherwise(F.col("key")))
-    dealt = posts.select("key", "at", "class", "parity").repartition("key").sortWithinPartitions("key", "at")
-    pairs = dealt.mapInArrow(_pairs, "a long, b long, key long").groupBy("a", "b").agg(F.min("key").alias("key"))
-    pairs = stored(pairs, "pairs")
+        # Two classes of one block meet in the bucket of that block alone.
+        posts = posts.withColumn("own", F.when(F.col("mine") != F.col("other"), F.col("mine")).otherwise(-1))
+    dealt = posts.select("key", "at", "class", "parity", "own").repartition("key").sortWithinPartitions("key", "at")
+    # A class may come from several tasks, and so more than once to a bucket.
+    member = stored(dealt.mapInArrow(_members, "key long, class long, pos int, own int").distinct(), "members")
 
-    # A bucket gets the sets of its classes once, however many pairs they are in.
-    member = pairs.select("key", F.explode(F.array("a", "b")).alias("class")).distinct()
-    member = stored(member, "members")
     shifted = F.shiftrightunsigned("class", 64 - CLASS_BITS)
     bits = member.select(F.shiftright(shifted, 3).alias("byte"), F.expr(f"shiftleft(1, int(shiftrightunsigned(class, {64 - CLASS_BITS}) & 7))").alias("bit"))
     bits = bits.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2**CLASS_BITS / 8 rows
     wanted = np.zeros((1 << CLASS_BITS) // 8, np.uint8)
     if bits.num_rows:
         wanted[bits["byte"].to_numpy()] = bits["bits"].to_numpy()
-    sets = _sets(docs, spark.sparkContext.broadcast(wanted)).dropDuplicates(["class"])
-    none = F.lit(None)
-    sent = sets.join(member, "class").select("key", F.lit(0).alias("kind"), F.col("class").alias("a"), none.cast("long").alias("b"), "words")
-    asked = pairs.select("key", F.lit(1).alias("kind"), "a", "b", none.cast("array<long>").alias("words"))
-    both = sent.unionByName(asked).repartition("key").sortWithinPartitions("key", "kind")
-    return cut(both.mapInArrow(_verified, "a long, b long"))
+    sets = _sets(docs, spark.sparkContext.broadcast(wanted), counts).dropDuplicates(["class"])
+    placed = sets.join(firsts, "class").select("class", "words", F.octet_length("words").alias("size"), F.col("first.id").isNotNull().alias("has_id"), F.coalesce("first.id", F.lit(0)).alias("id"), F.coalesce("first.text_hash", F.lit(0)).alias("text_hash"), "first.line")
+    both = member.join(placed, "class").select("key", "size", "class", "pos", "own", "words", "has_id", "id", "text_hash", "line")
+    found = both.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_counted, COUNTED)
+    other = F.struct(F.when(F.col("has_id"), F.col("id")).alias("id"), "text_hash", "line")
+    return cut(found.groupBy("class").agg(F.sum("links").alias("links"), F.min(other).alias("other")))
 
 
 def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -351,21 +420,15 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     counts = spark.sparkContext.broadcast(word_counts(source))
     lines = stored(_lines(source, counts), "lines")
-    pairs = similar_classes(source, lines)
-
     place = F.struct("id", "text_hash", "line")
-    firsts = lines.filter("size > 0").groupBy("class").agg(F.min(place).alias("first"))
-    ends = pairs.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("class"), F.col("a").alias("other")))
-    linked = cut(firsts.join(ends.select("class").distinct(), "class", "left_semi"))
-    other = linked.select(F.col("class").alias("other"), F.col("first").alias("other_first"))
-    found = ends.join(linked, "class").join(other, "other")
-    found = found.groupBy("class").agg(F.count("*").alias("links"), F.max((F.col("other_first") < F.col("first")).cast("int")).alias("later"))
-    info = cut(firsts.join(found, "class", "left").select("class", "first", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("later", F.lit(0)).alias("later")))
+    firsts = stored(lines.filter("size > 0").groupBy("class").agg(F.min(place).alias("first")), "classes")
+    found = class_links(source, lines, counts, firsts)
+    info = firsts.join(found, "class", "left").select("class", "first", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("later"))
     empty = F.col("size") == 0
     out = lines.select("id", "text_hash", "line", "class", "size").join(info, "class", "left")
     return out.select(
         F.col("id").alias(id_col), "line",
         F.when(~empty, F.col("class")).alias("class_id"),
         F.when(empty, F.lit(0)).otherwise(F.col("links")).cast("long").alias("links"),
-        (empty | ((F.col("first") == place) & (F.col("later") == 0))).alias("kept"),
+        (empty | ((F.col("first") == place) & ~F.col("later"))).alias("kept"),
     )
