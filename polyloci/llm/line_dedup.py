@@ -210,9 +210,10 @@ def _lines(docs: DataFrame, counts) -> DataFrame:
     return docs.mapInArrow(run, LINES)
 
 
-def with_partner(key: np.ndarray, size: np.ndarray, pos: np.ndarray, cls: np.ndarray, parity: np.ndarray, own: np.ndarray) -> np.ndarray:
+def with_partner(key: np.ndarray, size: np.ndarray, pos: np.ndarray, cls: np.ndarray, parity: np.ndarray, own: np.ndarray, head: np.ndarray) -> np.ndarray:
     """Which rows pass the length, positional and parity filters with some other class of their key. Rows are sorted by key,
-    then size; rows of one block (own, if not negative) meet elsewhere."""
+    then size; rows of one block (own, if not negative) meet elsewhere, and so do rows that have the first word of both
+    (head, 0 where there is none before the key) in common."""
     out = np.zeros(len(key), bool)
     d, live = 1, np.arange(max(0, len(key) - 1))
     while len(live):
@@ -222,7 +223,7 @@ def with_partner(key: np.ndarray, size: np.ndarray, pos: np.ndarray, cls: np.nda
         i, j = i[near], j[near]
         live = i
         need = -(-NUM * (size[i] + size[j]) // (NUM + DEN))
-        ok = (cls[i] != cls[j]) & ((own[i] < 0) | (own[i] != own[j]))
+        ok = (cls[i] != cls[j]) & ((own[i] < 0) | (own[i] != own[j])) & ((head[i] == 0) | (head[i] != head[j]))
         ok &= np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need
         ok &= (size[i] + size[j] - np.bitwise_count((parity[i] ^ parity[j]).view(np.uint64)).astype(np.int64)) // 2 >= need
         out[i[ok]] = True
@@ -232,14 +233,14 @@ def with_partner(key: np.ndarray, size: np.ndarray, pos: np.ndarray, cls: np.nda
 
 
 def _members(batches):
-    """mapInArrow over (key, at, class, parity, own) sorted by key and at, the size and the position in one number: the rows
+    """mapInArrow over (key, at, class, parity, own, head) sorted by key and at, the size and the position in one number: the rows
     (key, class, pos, own) that need verification in their bucket."""
     held = None
 
     def out(cols):
-        key, at, cls, parity, own = cols
+        key, at, cls, parity, own, head = cols
         pos = at & 0xFFFFFFFF
-        ok = with_partner(key, at >> 32, pos, cls, parity, own)
+        ok = with_partner(key, at >> 32, pos, cls, parity, own, head)
         yield pa.RecordBatch.from_arrays([pa.array(key[ok]), pa.array(cls[ok]), pa.array(pos[ok].astype(np.int32)), pa.array(own[ok].astype(np.int32))], ["key", "class", "pos", "own"])
 
     for batch in batches:
@@ -375,8 +376,11 @@ def class_links(docs: DataFrame, lines: DataFrame, counts, firsts: DataFrame) ->
     earliest place of these; checkpointed. firsts: (class, first), the place of each class."""
     spark = docs.sparkSession
     place = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at")
-    posts = lines.filter("prefix IS NOT NULL").select("class", "size", "parity", F.posexplode("prefix").alias("pos", "key"))
-    posts = posts.filter("key <> 0").select("key", place, "class", "parity", F.lit(-1).alias("own"))
+    # The first word that is not alone in all texts; most similar classes share it, and then need to meet in no other bucket.
+    first = F.coalesce(F.get(F.filter("prefix", lambda w: w != 0), F.lit(0)), F.lit(0)).alias("first")
+    posts = lines.filter("prefix IS NOT NULL").select("class", "size", "parity", first, F.posexplode("prefix").alias("pos", "key"))
+    posts = posts.filter("key <> 0").withColumn("head", F.when(F.col("key") != F.col("first"), F.col("first")).otherwise(0))
+    posts = posts.select("key", place, "class", "parity", F.lit(-1).alias("own"), "head")
     hot = lines.filter("common IS NOT NULL").select("class", F.explode("common").alias("key"))
     hot = cut(hot.groupBy("key").agg(F.count("*").alias("count")).filter(F.col("count") > BLOCK))
     many = hot.count()
@@ -389,7 +393,7 @@ def class_links(docs: DataFrame, lines: DataFrame, counts, firsts: DataFrame) ->
         posts = posts.withColumn("key", F.when(F.col("blocks") > 1, pair).otherwise(F.col("key")))
         # Two classes of one block meet in the bucket of that block alone.
         posts = posts.withColumn("own", F.when(F.col("mine") != F.col("other"), F.col("mine")).otherwise(-1))
-    dealt = posts.select("key", "at", "class", "parity", "own").repartition("key").sortWithinPartitions("key", "at")
+    dealt = posts.select("key", "at", "class", "parity", "own", "head").repartition("key").sortWithinPartitions("key", "at")
     # A class may come from several tasks, and so more than once to a bucket.
     member = stored(dealt.mapInArrow(_members, "key long, class long, pos int, own int").distinct(), "members")
 
