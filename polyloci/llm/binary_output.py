@@ -1,11 +1,10 @@
 """Operator 2, token-id output in training order: fixed-stride binary shards written by range partitions.
 
-A keyed Feistel permutation with cycle walking over the range of document ids gives each document its place, from the
-row alone. A shard is a range of places: one task reads the shard's documents, cuts their ids into sequences, and a
-second Feistel permutation, keyed by the shard, gives each sequence its slot. Slots count on from shard to shard, so a
-sequence's global slot is the shard's first slot plus its own, and its bytes are at (slot - first) * stride in the
-shard's file: reads are sequential and can resume anywhere. Texts are moved once and tokenised once; a single permutation
-of all sequences would need their number, and so a second pass, before anything could be moved.
+Texts are tokenised once and their ids, cut into sequences, are stored as a table. A sequence's row number in it goes
+through one keyed Feistel permutation with cycle walking over all sequences, which gives its global slot; from the slot
+follow the shard and the place in it. Range partitions of shards then write one file a shard: a sequence's bytes are at
+(slot - the shard's first slot) * stride, so reads are sequential and can resume anywhere. The sequences of a document
+spread over all shards, so no id, text or source makes a large shard.
 """
 
 from __future__ import annotations
@@ -18,46 +17,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_tokens import END_OF_TEXT, WordBpe
-from .common import cut, new_table_path, slices
-from .feistel import PRIME, ROUNDS, grid, permuted, round_keys, unpermute
+from .common import cut, new_table_path, slices, stored
+from .feistel import permuted, unpermute
 
 SEQUENCE = 512
-#: Documents of a shard, unless that would make more than MOST_SHARDS; their first slots are all the driver sees.
-SHARD_DOCS, MOST_SHARDS = 1024, 65536
+#: Sequences of a shard: 8 MB, which a task holds while it writes them. The last shard may have fewer.
+SHARD_SEQUENCES = 8192
 KEY = 31337
-#: Ids are taken modulo this, where their range is wider; ids that then meet only share a place.
-WIDEST = 1 << 60
 #: Ids are little-endian unsigned 16-bit; unused places of a sequence hold this.
 PADDING = 65535
 
-MANIFEST = "doc_id long, start long, length long, ids_crc32 long, shard int, local_slot long, path string"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, ids binary"
+MANIFEST = "doc_id long, start long, length long, ids_crc32 long, slot long, shard int, byte_offset long, path string"
 
 
 def shard_name(shard: int) -> str:
     return f"shard-{shard:06d}.bin"
 
 
-def sequence_slots(n: int, key: int) -> np.ndarray:
-    """The slot of each of n sequences: permute() of feistel.py for all of [0, n) at once."""
-    a, b = grid(n)
-    x = np.arange(n, dtype=np.int64)
-    todo = np.arange(n)
-    keys = round_keys(key)
-    while len(todo):
-        left, right = x[todo] // b, x[todo] % b
-        for i in range(ROUNDS):
-            v = right if i % 2 == 0 else left
-            t = (v + keys[i]) % PRIME
-            f = ((t * t + keys[i]) % PRIME * 48271 + v) % PRIME
-            if i % 2 == 0:
-                left = (left + f) % a
-            else:
-                right = (right + f) % b
-        x[todo] = left * b + right
-        todo = todo[x[todo] >= n]
-    return x
-
-
 def _write(folder: str, shard: int, data: bytes) -> str:
     """Write a shard's file whole, then give it its name: a task that is run again leaves the same file."""
     import uuid
@@ -83,6 +60,39 @@ def read_slots(path: str, first: int, count: int, sequence: int = SEQUENCE) -> l
     return [row[: int((row != PADDING).sum())] for row in data]
 
 
+def sequences(docs: DataFrame, tokenizer_path: str, sequence: int, id_col: str, text_col: str) -> DataFrame:
+    """PIECES: the ids of every text and its end id, cut into sequences; ids as they stand in a shard, without padding."""
+
+    def run(batches):
+        bpe = WordBpe.opened(tokenizer_path)
+        end = np.array([END_OF_TEXT], "<u4").tobytes()
+        for batch in slices(batches):
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.frombuffer(bpe.ids(text) + end, "<u4")
+                for at in range(0, len(ids), sequence):
+                    own = ids[at : at + sequence]
+                    rows.append((doc, at, len(own), zlib.crc32(own.tobytes()), own.astype("<u2").tobytes()))
+            if rows:
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.binary()], strict=True)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "ids"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+
+
+def with_row_numbers(table: DataFrame) -> tuple[DataFrame, int]:
+    """A table read from files with `row`, gapless from 0 by file name and place in the file, and the row count. Nothing is
+    moved; the driver sees one count a file."""
+    placed = table.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__index"))
+    firsts, total = [], 0
+    for name, count in sorted(tuple(r) for r in placed.groupBy("__file").count().collect()):
+        firsts.append((name, total))
+        total += count
+    firsts = table.sparkSession.createDataFrame(firsts, "__file string, __first long")
+    out = placed.join(F.broadcast(firsts), "__file").withColumn("row", F.col("__first") + F.col("__index"))
+    return out.drop("__file", "__first", "__index"), total
+
+
 def write_training_order(docs: DataFrame, tokenizer_path: str, folder: str | None = None, sequence: int = SEQUENCE, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards and returns one row per sequence: doc_id, start (its document's ids before it), length,
     ids_crc32 (of the ids as unsigned 32-bit), slot, shard, byte_offset, path.
@@ -90,70 +100,46 @@ def write_training_order(docs: DataFrame, tokenizer_path: str, folder: str | Non
     Every id of every document, the end id included, is in exactly one sequence. Null texts are empty and give one
     sequence. Ids may be null or repeated; an empty table gives no rows and no files. Other columns are ignored. The
     folder is a URI all executors can write to; by default a new one below the shared folder. The result is
-    checkpointed: the files are there when it is returned, and are not written again when it is used.
+    checkpointed: the files are there when it is returned, and are not written again when it is used. The order is the
+    same for every run over the same input partitions, and a task that is run again writes the same file.
     """
     spark = docs.sparkSession
     folder = folder or new_table_path(spark, "shards")
     if "://" not in folder:
         folder = folder.replace("file:", "file://", 1) if folder.startswith("file:") else f"file://{folder}"
-    ident = F.col(id_col).cast("long")
-    low, high, n = docs.agg(F.min(ident), F.max(ident), F.count("*")).first()
-    low, width = (low or 0), min(WIDEST, (high or 0) - (low or 0) + 1)
-    shards = min(MOST_SHARDS, max(1, -(-n // SHARD_DOCS)))
-    # A null id gets the place of a number made of its text.
-    number = F.coalesce(ident.cast("decimal(20,0)") - F.lit(low), F.xxhash64(F.col(text_col)).cast("decimal(20,0)"))
-    number = F.pmod(number, F.lit(width).cast("decimal(20,0)")).cast("long")
-    placed = docs.select(ident.alias("id"), F.col(text_col).alias("text"), permuted(number, width, key).alias("place"))
-    shard_of = F.least(F.floor(F.col("place") / F.lit(float(width)) * shards), F.lit(shards - 1)).cast("int")
-    order = ["shard", "place", "id", "text_hash"]
-    dealt = placed.withColumn("shard", shard_of).withColumn("text_hash", F.xxhash64("text"))
-    dealt = dealt.repartition("shard").sortWithinPartitions(*order).select("shard", "id", "text")
+    pieces, total = with_row_numbers(stored(sequences(docs, tokenizer_path, sequence, id_col, text_col), "sequences"))
+    each = SHARD_SEQUENCES
+    slotted = pieces.withColumn("slot", permuted(F.col("row"), total, key)).withColumn("shard", F.floor(F.col("slot") / F.lit(each)).cast("int"))
+    dealt = slotted.repartitionByRange("shard").sortWithinPartitions("slot").select("shard", "slot", "doc_id", "start", "length", "ids_crc32", "ids")
 
     def write(batches):
-        bpe = WordBpe.opened(tokenizer_path)
-        end = np.array([END_OF_TEXT], "<u4").tobytes()
-        shard, info, parts = None, [], []
+        shard, data, info = None, None, []
 
         def finish():
-            slots = sequence_slots(len(parts), key + 1 + shard)
-            data = np.full((len(parts), sequence), PADDING, "<u2")
-            for own, slot in zip(parts, slots, strict=True):
-                data[slot, : len(own)] = own
             path = _write(folder, shard, data.tobytes())
-            doc, start, length, crc = zip(*info, strict=True)
-            cols = [pa.array(c, pa.int64()) for c in (doc, start, length, crc)]
-            cols += [pa.array([shard] * len(parts), pa.int32()), pa.array(slots), pa.array([path] * len(parts), pa.string())]
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "shard", "local_slot", "path"])
+            cols = list(zip(*info, strict=True))
+            slot = np.array(cols[0], np.int64)
+            out = [pa.array(c, pa.int64()) for c in cols[1:]] + [pa.array(slot), pa.array(np.full(len(slot), shard, np.int32))]
+            out += [pa.array((slot - shard * each) * 2 * sequence), pa.array([path] * len(slot), pa.string())]
+            return pa.RecordBatch.from_arrays(out, ["doc_id", "start", "length", "ids_crc32", "slot", "shard", "byte_offset", "path"])
 
         for batch in slices(batches):
-            for s, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shard is not None and s != shard:
-                    yield finish()
-                    info, parts = [], []
-                shard = s
-                ids = np.frombuffer(bpe.ids(text) + end, "<u4")
-                for at in range(0, len(ids), sequence):
-                    own = ids[at : at + sequence]
-                    info.append((doc, at, len(own), zlib.crc32(own.tobytes())))
-                    parts.append(own.astype("<u2"))
-        if parts:
+            for s, *row, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s != shard:
+                    if shard is not None:
+                        yield finish()
+                    shard, info = s, []
+                    data = np.full((min(each, total - s * each), sequence), PADDING, "<u2")
+                own = np.frombuffer(ids, "<u2")
+                data[row[0] - s * each, : len(own)] = own
+                info.append(row)
+        if shard is not None:
             yield finish()
 
-    manifest = cut(dealt.mapInArrow(write, MANIFEST))
-    sizes = sorted(tuple(r) for r in manifest.groupBy("shard").count().collect())  # at most MOST_SHARDS rows
-    firsts, before = [], 0
-    for s, c in sizes:
-        firsts.append((s, before))
-        before += c
-    firsts = spark.createDataFrame(firsts, "shard int, first long")
-    out = manifest.join(F.broadcast(firsts), "shard")
-    return out.select(
-        F.col("doc_id").alias(id_col), "start", "length", "ids_crc32",
-        (F.col("first") + F.col("local_slot")).alias("slot"), "shard",
-        (F.col("local_slot") * F.lit(2 * sequence)).alias("byte_offset"), "path",
-    )
-
-
-def document_at(place: int, low: int, high: int, key: int = KEY) -> int:
-    """The id of the document at a place, for ids from low to high: what a reader needs to see where a slot comes from."""
-    return low + unpermute(place, high - low + 1, key)
+    out = cut(dealt.mapInArrow(write, MANIFEST))
+    return out.withColumnRenamed("doc_id", id_col)
+
+
+def row_at(slot: int, total: int, key: int = KEY) -> int:
+    """The row number of the sequence at a slot, of all there are."""
+    return unpermute(slot, total, key)

@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -18,7 +19,6 @@ def test_permutation_is_one_to_one_and_the_same_everywhere(spark, n):
     assert sorted(places) == list(range(n))
     assert [unpermute(y, n, 99) for y in places] == list(range(n))
     assert [r[0] for r in spark.range(n).orderBy("id").select(permuted(F.col("id"), n, 99)).collect()] == places
-    assert B.sequence_slots(n, 99).tolist() == places
 
 
 def test_permutation_mixes():
@@ -57,6 +57,23 @@ def test_shards_are_written_whole_and_read_back(spark, odd_docs, no_docs, tmp_pa
     assert B.write_training_order(no_docs, tokenizer_path(), f"file://{tmp_path}/b").count() == 0
 
 
+def test_slots_are_one_permutation_of_all_sequences(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(B, "SHARD_SEQUENCES", 100)
+    docs = table(spark, small, "documents")
+    rows = B.write_training_order(docs, tokenizer_path(), f"file://{tmp_path}/c").collect()
+    again = B.write_training_order(docs, tokenizer_path(), f"file://{tmp_path}/d").collect()
+    assert sorted(tuple(r)[:7] for r in rows) == sorted(tuple(r)[:7] for r in again)
+    n = len(rows)
+    assert sorted(B.row_at(r["slot"], n) for r in rows) == list(range(n))
+    assert all(r["shard"] == r["slot"] // 100 and r["byte_offset"] == r["slot"] % 100 * 1024 for r in rows)
+    sizes = {r["path"].removeprefix("file://"): min(100, n - 100 * r["shard"]) * 1024 for r in rows}
+    assert {p: Path(p).stat().st_size for p in sizes} == sizes
+    spread = {}
+    for r in rows:
+        spread.setdefault(r["doc_id"], []).append(r["shard"])
+    assert len(set(max(spread.values(), key=len))) > len(sizes) // 2
+
+
 def test_output_query_covers_every_document(spark, small):
     rows = op2_token_id_output(spark, small).collect()
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in table(spark, small, "documents").collect()}
