@@ -8,40 +8,32 @@ pre-tokens that share it, and a pre-token's count is read at its last node.
 
 from __future__ import annotations
 
-import math
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Score of a character that no piece covers, below any piece's; such characters count one token each.
-UNKNOWN = -30.0
+#: A character that no piece covers counts one token and scores so much below the lowest piece.
+UNKNOWN_BELOW = 10.0
 #: Nodes and pre-tokens a process keeps; beyond that it starts a new trie. About 250 MB.
-MOST_NODES, MOST_WORDS = 600_000, 400_000
-
+MOST_NODES, MOST_WORDS = 600_000, 300_000
+#: Longer pre-tokens are split by themselves, without a trie, in memory for the longest piece only.
+LONG = 256
 
-def zipf_scores(pieces: list[str]) -> dict[str, float]:
-    """A unigram model of a ranked vocabulary: the log-probability of rank r (from 0) is -log((r + 1) * H)."""
-    total = math.log(sum(1 / (r + 1) for r in range(len(pieces))) or 1.0)
-    out: dict[str, float] = {}
-    for r, p in enumerate(pieces):
-        out.setdefault(p, -math.log(r + 1) - total)
-    return out
 
-
-def vocabulary(path: str) -> list[str]:
-    """The ordinary pieces of a SentencePiece model, in rank order; control, unknown and byte pieces are left out."""
+def piece_scores(path: str) -> dict[str, float]:
+    """The ordinary pieces of a SentencePiece model and the scores that its file states; control, unknown and byte pieces are
+    left out. The scores serve as a unigram model: a split's score is the sum of its pieces'."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     n = sp.get_piece_size()
-    return [sp.id_to_piece(i) for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+    return {sp.id_to_piece(i): sp.get_score(i) for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
 
 
 #: Scores are whole millionths, with the number of tokens in the low bits: a split is one integer, and the larger is
 #: the better one, of equal scores the one with fewer tokens.
-SCALE, TOKEN_BITS = 1_000_000, 24
+SCALE, TOKEN_BITS = 1_000_000, 40
 
 
 def split_value(score: float) -> int:
@@ -61,20 +53,41 @@ class Trie:
             if len(p) > 1:
                 ends.setdefault(p[-2:], set()).add(len(p))
         self.lengths = {e: tuple(sorted(n)) for e, n in ends.items()}
-        self.unknown = split_value(UNKNOWN)
+        self.longest = max(map(len, scores), default=1)
+        self.unknown = split_value(min(scores.values(), default=0.0) - UNKNOWN_BELOW)
+        self.counts: dict[str, int] = {}
         self._clear()
 
     @classmethod
     def opened(cls, path: str) -> Trie:
         if path not in cls._open:
-            cls._open[path] = cls(zipf_scores(vocabulary(path)))
+            cls._open[path] = cls(piece_scores(path))
         return cls._open[path]
 
     def _clear(self) -> None:
+        """Start a new trie. Counts of the last pre-tokens are still at hand, so that frequent ones are never split again."""
         # node: children by character, and the value of the best split of the prefix that ends here
         self.root: tuple[dict, int] = ({}, 0)
         self.nodes = 0
-        self.counts: dict[str, int] = {}
+        self.older, self.counts = self.counts, {}
+
+    def count_long(self, pre_token: str) -> int:
+        """As count(), holding the best values of the last prefixes only."""
+        value_of, lengths, unknown, keep = self.values.get, self.lengths.get, self.unknown, self.longest
+        best, first = [0], 0  # best[i]: of the prefix of first + i characters
+        for end, c in enumerate(pre_token, 1):
+            top = best[-1] + value_of(c, unknown)
+            for n in lengths(pre_token[end - 2 : end], ()) if end > 1 else ():
+                if n > end:
+                    break
+                value = value_of(pre_token[end - n : end])
+                if value is not None and best[end - n - first] + value > top:
+                    top = best[end - n - first] + value
+            best.append(top)
+            if len(best) > 2 * keep + 64:
+                first += len(best) - keep - 1
+                del best[: len(best) - keep - 1]
+        return -best[-1] & ((1 << TOKEN_BITS) - 1)
 
     def count(self, pre_token: str) -> int:
         """Tokens of the best split of a pre-token, which is put in the trie."""
@@ -98,19 +111,21 @@ class Trie:
 
     def tokens(self, words: list[str]) -> int:
         """Tokens of the words as they stand in a text, each after the mark of its start."""
-        counts = self.counts
         try:
-            return sum(map(counts.__getitem__, words))
+            return sum(map(self.counts.__getitem__, words))
         except KeyError:
             pass
-        if self.nodes > MOST_NODES or len(counts) > MOST_WORDS:
-            self._clear()
-            counts = self.counts
         total = 0
         for w in words:
-            n = counts.get(w)
+            n = self.counts.get(w)
             if n is None:
-                n = counts[w] = self.count(MARK + w)
+                if len(w) > LONG:
+                    total += self.count_long(MARK + w)
+                    continue
+                if self.nodes > MOST_NODES or len(self.counts) > MOST_WORDS:
+                    self._clear()
+                n = self.older.get(w)
+                self.counts[w] = n = self.count(MARK + w) if n is None else n
             total += n
         return total
 
@@ -119,7 +134,8 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     """id_col, pre_tokens and tokens of every row, in one pass over whole texts and without a shuffle.
 
     Null and empty texts have none of either. Ids may be null or repeated; an empty table gives no rows; other columns
-    are ignored. Each process shares its trie among all its tasks, and its size is bounded.
+    are ignored. Each process shares its trie among all its tasks, and its size is bounded, however long a text or a
+    pre-token is.
     """
 
     def run(batches):
