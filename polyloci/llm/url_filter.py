@@ -16,11 +16,13 @@ DIMS, MIN_N, MAX_N = 1 << 14, 3, 5
 MOST_LABELLED = 5000
 STEPS, RATE, L2 = 400, 0.5, 1e-4
 
-# Parts of host names, by label, of which the small labelled table is made.
-BLOCK_NAMES = ["spam-farm", "cheap-pills", "ads-track", "casino-win", "adult-x", "free-bets", "casino", "pills-online", "spam", "adult-video", "bets-live", "win-cash", "ad-tracker", "xxx-free", "cheap-loans", "porn"]
-ALLOW_NAMES = ["library", "news", "university", "weather", "recipes", "gardening", "theatre", "history", "travel", "museum", "football", "physics", "translation", "thethering", "nation", "station", "thinking", "therapy", "north", "brother", "action", "anthem", "earth", "health", "rhythm", "theory", "thread", "throne", "method", "weather-online", "the-times", "country", "energy", "shop", "windows", "adults-learning", "freedom", "tracking-parcel", "alphabet", "farmers"]
-HOST_FRAMES = ["{}.example.com", "www.{}.example.net", "blog.{}.example.org", "m.{}.example.com"]
-PATH_FRAMES = ["/en/12", "/fr/345/", "/de/6.html", "/es/78"]
+# General words of unwanted and of ordinary sites, of which the small labelled table is made. They come from
+# no table of documents or pages.
+BLOCK_WORDS = ["casino", "poker", "roulette", "slots", "jackpot", "betting", "bets", "gambling", "lottery", "porn", "xxx", "sex", "nude", "escort", "camgirls", "adult", "hentai", "viagra", "cialis", "pills", "steroids", "payday", "loans", "forex", "spam", "phishing", "malware", "keygen", "crack", "warez", "serials", "adserver", "ads", "popunder", "tracker", "clickbait", "replica", "giveaway", "cheats", "hookup"]
+ALLOW_WORDS = ["library", "news", "university", "weather", "recipes", "gardening", "theatre", "history", "travel", "museum", "football", "physics", "translation", "school", "nation", "station", "thinking", "therapy", "north", "brother", "action", "anthem", "earth", "health", "rhythm", "theory", "thread", "throne", "method", "clinic", "times", "country", "energy", "shop", "windows", "learning", "freedom", "parcel", "alphabet", "farmers", "jardin", "ciudad", "garten", "verein", "bibliothek", "zeitung", "journal", "musique", "escuela", "biblioteca", "noticias", "salud", "kirche", "rathaus", "mairie", "sante", "cuisine", "deportes", "wetter", "reisen", "society", "council", "institute", "research", "archive", "software", "engineering", "medicine", "law", "bakery"]
+BLOCK_FRAMES = ["{}.com", "www.{}-online.net", "free-{}.org", "best{}.biz", "{}24.info"]
+ALLOW_FRAMES = ["{}.com", "www.{}-online.net", "the-{}.org", "city{}.edu", "{}24.info"]
+PATHS = ["/", "/index.html", "/a/b/3", "/view"]
 
 
 @dataclass(frozen=True)
@@ -79,7 +81,8 @@ class Rules:
 
 def labelled_urls() -> list[tuple[str, int]]:
     """The small labelled table: (url, 1 to block, 0 to allow)."""
-    return [(f"https://{h.format(name)}{p}", label) for label, names in ((1, BLOCK_NAMES), (0, ALLOW_NAMES)) for name in names for h in HOST_FRAMES for p in PATH_FRAMES]
+    kinds = ((1, BLOCK_WORDS, BLOCK_FRAMES), (0, ALLOW_WORDS, ALLOW_FRAMES))
+    return [(f"https://{f.format(word)}{p}", label) for label, words, frames in kinds for word in words for f in frames for p in PATHS]
 
 
 def features(host: str, path: str) -> list[int]:
