@@ -41,12 +41,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case: `name`, or that with marks after it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
     """docs without the rows that have a match in gone (checkpointed rows, so that counting them is cheap)."""
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.join(side, same, "left_anti")
 
 
+def passed_through(docs: DataFrame, run) -> DataFrame:
+    """docs through mapInArrow(run), which leaves the columns as they are, whatever their names."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def slices(batches, rows: int = 512):
     """Arrow batches in parts of a few rows: a worker holds the Python objects of one part at a time."""
     for batch in batches:

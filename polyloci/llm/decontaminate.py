@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import passed_through, slices
 
 Q = 8
 EDIT_RATE = 0.1
@@ -386,5 +386,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                 bad = {d for d, *_ in find_items(texts, ix)}
                 yield batch.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = passed_through(docs, clean)
     return docs

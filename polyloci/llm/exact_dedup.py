@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored, without
+from .common import cut, fresh, stored, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX_CHARS = 64
@@ -78,15 +78,15 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     that repeat both id and text, and rows of a dropped copy, are told apart by a number within (id, hash).
     """
     names = docs.columns
+    ident, digest, row_digest, keep, count = (fresh(docs, x) for x in ("gone_id", "gone_sha", "row_sha", "gone_keep", "gone_count"))
     dropped = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept"))
-    gone = dropped.groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count("*").alias("__gone"), F.max("keep_id").alias("__keep"))
-    gone = cut(gone.select("__id", "__sha", "__gone", F.col("__id").eqNullSafe(F.col("__keep")).alias("__stays")))
-    sha = F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256)
-    marked = docs.withColumn("__row_sha", sha)
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__row_sha") == F.col("__sha"))
-    out = without(marked, gone.filter("NOT __stays"), same)
-    repeats = gone.filter("__stays")
+    gone = dropped.groupBy(F.col(id_col).alias(ident), F.col("text_sha256").alias(digest)).agg(F.count("*").alias(count), F.max("keep_id").alias(keep))
+    gone = cut(gone.select(ident, digest, F.col(ident).eqNullSafe(F.col(keep)).alias(keep)))
+    marked = docs.withColumn(row_digest, F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256))
+    same = F.col(id_col).eqNullSafe(F.col(ident)) & (F.col(row_digest) == F.col(digest))
+    out = without(marked, gone.filter(~F.col(keep)), same)
+    repeats = gone.filter(F.col(keep))
     if not repeats.isEmpty():
-        again = marked.join(repeats, same, "left_semi").dropDuplicates([id_col, "__row_sha"])
+        again = marked.join(repeats, same, "left_semi").dropDuplicates([id_col, row_digest])
         out = without(out, repeats, same).unionByName(again)
-    return out.select(*names)
+    return out.select(*[F.col(f"`{c}`") for c in names])

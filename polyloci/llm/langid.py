@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import passed_through, slices
 
 UNDETERMINED = "und"
 #: Hashed n-grams of 1 to MAX_N letters; an n-gram may hold the space between two words.
@@ -253,4 +253,4 @@ def keep_known_languages(docs: DataFrame, model: Model, text_col: str = "text")
             _, _, rejected = shared.value.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return passed_through(docs, run)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, without
+from .common import cut, fresh, slices, without
 from .components import components
 from .jaccard import SEED, SPAN, shingle_set, similar_links, text_sets
 
@@ -317,19 +317,20 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_co
 
 def drop_labelled(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs without the rows that `rows` (as of labels, checkpointed) has in a component but not at its head."""
-    names = docs.columns
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    ident, digest, row_digest = (fresh(docs, x) for x in ("gone_id", "gone_hash", "row_hash"))
     head = F.col("id").eqNullSafe(F.col("component_id"))
     heads = rows.filter(head).groupBy("root", "component_id").agg(F.min("text_hash").alias("least"), F.count("*").alias("n")).filter("n > 1")
     heads = cut(heads)
-    lost = rows.filter(~head).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
-    marked = docs.withColumn("__text_hash", F.xxhash64(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__text_hash").eqNullSafe(F.col("__hash"))
+    lost = rows.filter(~head).select(F.col("id").alias(ident), F.col("text_hash").alias(digest))
+    marked = docs.withColumn(row_digest, F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col(ident)) & F.col(row_digest).eqNullSafe(F.col(digest))
     if heads.isEmpty():
         return without(marked, cut(lost.distinct()), same).select(*names)
     more = rows.filter(head).alias("r").join(heads.alias("h"), (F.col("r.root") == F.col("h.root")) & (F.col("r.text_hash") != F.col("h.least")))
-    lost = lost.unionByName(more.select(F.col("r.id").alias("__id"), F.col("r.text_hash").alias("__hash")))
-    first = heads.select(F.col("component_id").alias("__id"), F.col("least").alias("__hash"))
-    again = marked.join(first, same, "left_semi").dropDuplicates([id_col, "__text_hash"])
+    lost = lost.unionByName(more.select(F.col("r.id").alias(ident), F.col("r.text_hash").alias(digest)))
+    first = heads.select(F.col("component_id").alias(ident), F.col("least").alias(digest))
+    again = marked.join(first, same, "left_semi").dropDuplicates([id_col, row_digest])
     out = without(marked, cut(lost.unionByName(first).distinct()), same)
     return out.unionByName(again).select(*names)
 

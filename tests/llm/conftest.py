@@ -1,6 +1,6 @@
 import pytest
 
-DOC = "doc_id long, text string, lang string, source string, n_chars long, fp string, `row` string"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, fp string, `row` string, row_sha string, gone_id string, Row_Hash string, `a.b` string"
 
 
 @pytest.fixture(scope="session")
@@ -18,7 +18,7 @@ def odd_docs(spark):
         (6, "été naïve 日本語 Привет 😀", "fr", "s", 3, "1", "z"),
         (6, "another text under the same id", "en", "s", 3, "1", "z"),
     ]
-    return spark.createDataFrame(rows, DOC)
+    return spark.createDataFrame([(*r, "sha", "gone", "hash", "dot") for r in rows], DOC)
 
 
 @pytest.fixture(scope="session")

@@ -28,6 +28,7 @@ def test_exact_groups_of_odd_rows(spark, odd_docs, no_docs):
     assert sum(r["kept"] for r in rows) == len(groups)
     left = drop_exact_duplicates(odd_docs)
     assert left.columns == odd_docs.columns and Counter(lowered(r["text"]) for r in left.collect()) == Counter(list(groups))
+    assert all((r["row_sha"], r["gone_id"], r["Row_Hash"], r["a.b"]) == ("sha", "gone", "hash", "dot") for r in left.collect())
     assert exact_duplicates(no_docs).count() == 0 and drop_exact_duplicates(no_docs).count() == 0
 
 
@@ -79,6 +80,7 @@ def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
     left = S.drop_near_duplicates(odd_docs)
     assert left.columns == odd_docs.columns
     assert Counter(plain_fingerprint(r["text"]) for r in left.collect()) == Counter(set(fps))
+    assert all((r["row_sha"], r["gone_id"], r["Row_Hash"]) == ("sha", "gone", "hash") for r in left.collect())
     assert S.near_duplicates(no_docs).count() == 0 and S.drop_near_duplicates(no_docs).count() == 0
 
 
