@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -28,7 +29,7 @@ def class_weights(df: DataFrame, label: str, by: list[str]) -> DataFrame:
     """n / (k count) of each class, k the number of classes in the whole table; 0 where a group lacks the class."""
     classes = df.select(label).distinct()
     k = classes.count()
-    grid = df.select(*by).distinct().crossJoin(F.broadcast(classes)) if by else classes
+    grid = df.select(*by).distinct().crossJoin(F.broadcast(classes) if k <= 10_000 else classes) if by else classes
     c = df.groupBy(*by, label).agg(F.count("*").alias("c"))
     n = df.groupBy(*by).agg(F.count("*").alias("n"))
     x = grid.join(c, [*by, label], "left")
@@ -50,21 +51,21 @@ def confusion(df: DataFrame, by: list[str], true: str = "y", pred: str = "pred")
     return df.groupBy(*by, true, pred).agg(F.count("*").alias("n"))
 
 
-def classification_metrics(df: DataFrame, by: list[str], true: str = "y", bins: int = 15, sure: float = 0.8) -> DataFrame:
-    """accuracy, balanced accuracy (classes present), macro F1 (classes true or predicted), calibration error over equal
-    bins of confidence, and share and accuracy of confident rows. Needs pred and conf."""
+def classification_metrics(df: DataFrame, by: list[str], true: str = "y", bins: int = 15, sure: float = 0.9) -> DataFrame:
+    """accuracy, balanced accuracy (classes present), macro F1 (all classes there are logits for; one that is neither true
+    nor predicted counts 0), calibration error over equal bins of confidence, and share and accuracy of confident rows. Needs
+    probs, pred and conf."""
     ok = (F.col("pred") == F.col(true)).cast("double")
-    one = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(ok).alias("accuracy"), F.avg((F.col("conf") >= sure).cast("double")).alias("confident_rate"), F.avg(F.when(F.col("conf") >= sure, ok)).alias("confident_accuracy"))
+    one = df.groupBy(*by).agg(F.count("*").alias("n"), F.max(F.size("probs")).alias("__k"), F.avg(ok).alias("accuracy"), F.avg((F.col("conf") >= sure).cast("double")).alias("confident_rate"), F.avg(F.when(F.col("conf") >= sure, ok)).alias("confident_accuracy"))
     c = confusion(df, by, true)
     t = c.groupBy(*by, F.col(true).alias("k")).agg(F.sum("n").alias("t"), F.sum(F.when(F.col("pred") == F.col(true), F.col("n")).otherwise(0)).alias("tp"))
     p = c.groupBy(*by, F.col("pred").alias("k")).agg(F.sum("n").alias("p"))
     f = t.join(p, [*by, "k"], "full").na.fill(0, ["t", "tp", "p"])
-    f = f.groupBy(*by).agg(F.avg(F.when(F.col("t") > 0, F.col("tp") / F.col("t"))).alias("balanced_accuracy"), F.avg(2 * F.col("tp") / (F.col("t") + F.col("p"))).alias("macro_f1"))
+    f = f.groupBy(*by).agg(F.avg(F.when(F.col("t") > 0, F.col("tp") / F.col("t"))).alias("balanced_accuracy"), F.sum(2 * F.col("tp") / (F.col("t") + F.col("p"))).alias("macro_f1"))
     b = df.withColumn("bin", F.least(F.floor(F.col("conf") * bins), F.lit(bins - 1))).groupBy(*by, "bin").agg(F.count("*").alias("m"), F.avg("conf").alias("c"), F.avg(ok).alias("a"))
     ece = b.groupBy(*by).agg((F.sum(F.col("m") * F.abs(F.col("a") - F.col("c"))) / F.sum("m")).alias("ece"))
-    if by:
-        return one.join(f, by).join(ece, by)
-    return one.crossJoin(f).crossJoin(ece)
+    out = one.join(f, by).join(ece, by) if by else one.crossJoin(f).crossJoin(ece)
+    return out.withColumn("macro_f1", F.col("macro_f1") / F.col("__k")).drop("__k")
 
 
 def class_recall(df: DataFrame, by: list[str], true: str = "y") -> DataFrame:
@@ -88,17 +89,19 @@ def fit_temperature(df: DataFrame, true: str = "y", logits: str = "logits") -> D
     return m.agg(F.min_by("temperature", F.struct(F.round("nll", 12), "temperature")).alias("temperature"), F.min("nll").alias("nll"))
 
 
-def balanced_accuracy_interval(cm: DataFrame, true: str = "y", draws: int = 4000) -> DataFrame:
-    """95 % interval of balanced accuracy by redrawing each class's correct rows from a normal of the binomial's mean and
-    variance, at quantiles that are fixed by draw and class."""
-    c = cm.groupBy(true).agg(F.sum("n").alias("t"), (F.sum(F.when(F.col("pred") == F.col(true), F.col("n")).otherwise(0)) / F.sum("n")).alias("r"))
-    d = c.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    seed = lambda k: F.pmod(F.xxhash64(F.col("draw"), F.col(true), F.lit(k)), F.lit(1_000_003)) / 1_000_003.0
-    z = F.sqrt(-2 * F.log(F.greatest(seed(1), F.lit(1e-6)))) * F.cos(2 * np.pi * seed(2))
-    x = d.withColumn("x", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("r") + z * F.sqrt(F.col("r") * (1 - F.col("r")) / F.col("t")))))
-    b = x.groupBy("draw").agg(F.avg("x").alias("b"))
-    point = c.agg(F.avg("r").alias("balanced_accuracy"))
-    return point.crossJoin(b.agg(F.percentile("b", 0.025).alias("lo"), F.percentile("b", 0.975).alias("hi")))
+def balanced_accuracy_interval(cm: DataFrame, true: str = "y", draws: int = 4000, seed: int = 0) -> DataFrame:
+    """balanced accuracy and its 95 % interval, each class's correct rows redrawn from a binomial. What is drawn from has
+    one row a class."""
+    c = cm.groupBy(F.col(true).alias("k")).agg(F.sum("n").cast("long").alias("t"), F.sum(F.when(F.col("pred") == F.col(true), F.col("n")).otherwise(0)).cast("long").alias("hit"))
+
+    def redraw(rows):
+        rows = rows.sort_values("k")
+        t, hit = rows["t"].to_numpy(), rows["hit"].to_numpy()
+        rng = np.random.default_rng(seed)
+        lo, hi = np.percentile(np.mean([rng.binomial(n, x / n, size=draws) / n for n, x in zip(t, hit, strict=True)], axis=0), [2.5, 97.5])
+        return pd.DataFrame({"balanced_accuracy": [float((hit / t).mean())], "lo": [lo], "hi": [hi]})
+
+    return c.filter("t > 0").groupBy().applyInPandas(redraw, "balanced_accuracy double, lo double, hi double")
 
 
 def arm_gap(df: DataFrame, key: list[str], arm: str, value: str, arms: tuple[str, str]) -> DataFrame:

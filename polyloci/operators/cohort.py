@@ -76,14 +76,14 @@ def split_sites(people: DataFrame, sizes: list[tuple[str, int]], person: str, se
 
 
 def patient_holdout(df: DataFrame, patient: str, label: str, seed: int) -> DataFrame:
-    """Adds split: a fifth of each label's patients to test, a tenth of the rest to validation, one at least of each; labels
+    """Adds split: a fifth of each label's patients to test, a tenth of the rest to validation, rounded half to even, one at least of each; labels
     with under three patients, and patients with two labels, are marked `excluded`."""
     p = df.groupBy(patient).agg(F.count_distinct(label).alias("k"), F.min(label).alias("__label"))
     good = p.filter("k = 1")
     w = W.partitionBy("__label")
     good = good.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(order_key(F.col(patient).cast("long"), seed), patient)))
-    test = F.greatest(F.lit(1), F.floor(F.col("n") * 0.2))
-    val = F.greatest(F.lit(1), F.floor((F.col("n") - test) * 0.1))
+    test = F.greatest(F.lit(1), F.bround(F.col("n") * 0.2, 0))
+    val = F.greatest(F.lit(1), F.bround((F.col("n") - test) * 0.1, 0))
     split = F.when(F.col("n") < 3, "excluded").when(F.col("r") <= test, "test").when(F.col("r") <= test + val, "validation").otherwise("train")
     good = good.select(patient, split.alias("split"))
     return df.join(good, patient, "left").withColumn("split", F.coalesce("split", F.lit("excluded")))

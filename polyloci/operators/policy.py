@@ -5,31 +5,72 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Permission and modifier codes of the public Data Use Ontology.
-GENERAL, HEALTH, DISEASE, POPULATION = "DUO:0000042", "DUO:0000006", "DUO:0000007", "DUO:0000011"
+# Permission, purpose and modifier codes of the public Data Use Ontology.
+UNRESTRICTED, GENERAL, HEALTH, DISEASE, POPULATION = "DUO:0000004", "DUO:0000042", "DUO:0000006", "DUO:0000007", "DUO:0000011"
 NO_METHODS, RESEARCH_TYPE, NON_COMMERCIAL, NON_PROFIT_ONLY = "DUO:0000015", "DUO:0000012", "DUO:0000046", "DUO:0000045"
 NON_PROFIT_NON_COMMERCIAL, PUBLICATION, COLLABORATION, ETHICS = "DUO:0000018", "DUO:0000019", "DUO:0000020", "DUO:0000021"
 GEOGRAPHY, MORATORIUM, TIME_LIMIT, USER, PROJECT, INSTITUTION = "DUO:0000022", "DUO:0000024", "DUO:0000025", "DUO:0000026", "DUO:0000027", "DUO:0000028"
-RETURN, GENETIC_ONLY, CLINICAL_CARE = "DUO:0000029", "DUO:0000016", "DUO:0000043"
+RETURN, GENETIC_ONLY, CLINICAL_CARE, NO_ANCESTRY = "DUO:0000029", "DUO:0000016", "DUO:0000043", "DUO:0000044"
+METHODS, GENETIC = "DUO:0000031", "DUO:0000038"
+BIOMEDICAL = ["DUO:0000037", "DUO:0000038", "DUO:0000039", "DUO:0000040"]
+ANCESTRY = ["DUO:0000032", "DUO:0000033"]
+#: What a request has to attest to under a modifier, and the field that a modifier's values are compared with.
+ATTESTED = {NON_COMMERCIAL: ["non_commercial"], NON_PROFIT_ONLY: ["not_for_profit_organisation"], NON_PROFIT_NON_COMMERCIAL: ["non_commercial", "not_for_profit_organisation"], PUBLICATION: ["publication_agreed"], COLLABORATION: ["collaboration_agreed"], MORATORIUM: ["moratorium_accepted"], RETURN: ["return_to_resource_agreed"]}
+COMPARED = {GEOGRAPHY: "geography", USER: "requester", PROJECT: "project", INSTITUTION: "institution"}
 
 PERMITTED, UNDETERMINED, DENIED = 0, 1, 2
+#: Requests, and distinct terms, are broadcast up to so many rows.
+SMALL = 10_000
+
+
+def _list(c: Column | str) -> Column:
+    return F.coalesce(c if isinstance(c, Column) else F.col(c), F.array().cast("array<string>"))
+
+
+def _plain(c: Column | str) -> Column:
+    return F.lower(F.trim(F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit(""))))
 
 
 def _values(c: Column) -> Column:
     """The values that aren't blank, in lower case."""
-    v = F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)))
-    return F.filter(v, lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(_list(c), _plain), lambda x: x != "")
+
 
+def _or_denied(ok: Column) -> Column:
+    return F.when(F.coalesce(ok, F.lit(False)), PERMITTED).otherwise(DENIED)
 
-def _is(flag: str) -> Column:
-    """Permitted if the request says yes, denied if no, undetermined if it doesn't say."""
-    return F.when(F.col(flag), PERMITTED).when(~F.col(flag), DENIED).otherwise(UNDETERMINED)
 
+def _all_in(purposes: Column, codes: list[str]) -> Column:
+    """There is a purpose, and each is one of the codes."""
+    return (F.size(purposes) > 0) & F.forall(purposes, lambda p: p.isin(codes))
 
-def _among(field: str, values: Column) -> Column:
-    """Permitted if the request's field is one of the values; undetermined if either is missing."""
-    f = F.lower(F.trim(F.col(field)))
-    return F.when((F.size(values) == 0) | f.isNull() | (f == ""), UNDETERMINED).when(F.array_contains(values, f), PERMITTED).otherwise(DENIED)
+
+def _permission_level() -> Column:
+    purposes, code, disease = _list("purposes"), F.trim("permission"), _plain("disease")
+    return (
+        F.when(code.isin(UNRESTRICTED, GENERAL), PERMITTED)
+        .when(code == HEALTH, _or_denied(_all_in(purposes, BIOMEDICAL)))
+        .when(code == DISEASE, _or_denied((disease != "") & F.array_contains(_values(F.col("permission_value")), disease)))
+        .when(code == POPULATION, _or_denied(_all_in(purposes, ANCESTRY)))
+        .otherwise(DENIED)
+    )
+
+
+def _modifier_level(as_of: str) -> Column:
+    """The outcome of the modifier `rule` with its values `v`. One that nobody wrote a rule for is undetermined."""
+    purposes, code = _list("purposes"), F.col("rule")
+    limit = F.element_at(F.filter(F.transform(_list(F.col("m.value")), lambda x: F.trim(x)), lambda x: x != ""), 1)
+    until = F.when(limit.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(limit))
+    level = F.when(code == NO_METHODS, _or_denied(~F.array_contains(purposes, METHODS)))
+    level = level.when(code == GENETIC_ONLY, _or_denied(_all_in(purposes, [GENETIC])))
+    level = level.when(code == NO_ANCESTRY, _or_denied(~F.exists(purposes, lambda p: p.isin(ANCESTRY))))
+    level = level.when(code == ETHICS, _or_denied(_plain("ethics_approval") != ""))
+    for k, flags in ATTESTED.items():
+        level = level.when(code == k, _or_denied(F.least(*[F.coalesce(f, F.lit(False)) for f in [*flags, *flags]])))
+    for k, field in COMPARED.items():
+        level = level.when(code == k, F.when(F.size("v") == 0, UNDETERMINED).otherwise(_or_denied(F.array_contains("v", _plain(field)))))
+    level = level.when(code == TIME_LIMIT, F.when((F.size("v") == 0) | until.isNull(), UNDETERMINED).otherwise(_or_denied(until >= F.to_date(F.lit(as_of)))))
+    return level.when(code == CLINICAL_CARE, PERMITTED).otherwise(UNDETERMINED)
 
 
 def evaluate_data_use(profiles: DataFrame, requests: DataFrame, as_of: str) -> DataFrame:
@@ -37,51 +78,24 @@ def evaluate_data_use(profiles: DataFrame, requests: DataFrame, as_of: str) -> D
 
     profiles: dataset_id, permission, permission_value, modifiers array<struct<id, value>>. requests: request_id, disease,
     geography, requester, project, institution, ethics_approval, purposes, acknowledged and the flags. One row per rule;
-    the worst one decides. An acknowledged code turns undetermined into permitted, never denied. Requests are a stated
-    query set and small; they are broadcast if checked to be so by Spark.
+    the worst one decides. What a request leaves out counts against it; a restriction that can't be checked, or has no
+    rule, is undetermined, and only that can be acknowledged. Requests are a stated query set. Rules are evaluated once for
+    each distinct terms, of which there are few, and the datasets then get their terms' decisions by a join.
     """
-    pairs = profiles.crossJoin(requests)
-    purposes = _values(F.col("purposes"))
-    has = lambda p: F.array_contains(purposes, p)
-    pv = _values(F.col("permission_value"))
-    permission = (
-        F.when(F.col("permission") == GENERAL, PERMITTED)
-        .when(F.col("permission") == HEALTH, F.when(F.size(purposes) == 0, UNDETERMINED).when(has("health") | has("disease"), PERMITTED).otherwise(DENIED))
-        .when(F.col("permission") == DISEASE, _among("disease", pv))
-        .when(F.col("permission") == POPULATION, F.when(F.size(purposes) == 0, UNDETERMINED).when(has("ancestry"), PERMITTED).otherwise(DENIED))
-        .otherwise(UNDETERMINED)
-    )
-    base = pairs.select("dataset_id", "request_id", F.col("permission").alias("rule"), permission.alias("level"), "acknowledged")
-    m = pairs.withColumn("m", F.explode("modifiers")).withColumn("rule", F.col("m.id")).withColumn("v", _values(F.col("m.value")))
-    approval = F.coalesce(F.trim("ethics_approval"), F.lit("")) != ""
-    until = F.try_to_date(F.element_at(F.col("v"), 1))
-    dated = lambda ok: F.when((F.size("v") == 0) | until.isNull(), UNDETERMINED).when(ok, PERMITTED).otherwise(DENIED)
-    rule = (
-        F.when(F.col("rule") == NO_METHODS, F.when(has("methods"), DENIED).otherwise(PERMITTED))
-        .when(F.col("rule") == RESEARCH_TYPE, F.when((F.size("v") == 0) | (F.size(purposes) == 0), UNDETERMINED).when(F.size(F.array_intersect("v", purposes)) > 0, PERMITTED).otherwise(DENIED))
-        .when(F.col("rule") == NON_COMMERCIAL, _is("non_commercial"))
-        .when(F.col("rule") == NON_PROFIT_ONLY, _is("not_for_profit_organisation"))
-        .when(F.col("rule") == NON_PROFIT_NON_COMMERCIAL, F.greatest(_is("non_commercial"), _is("not_for_profit_organisation")))
-        .when(F.col("rule") == PUBLICATION, _is("publication_agreed"))
-        .when(F.col("rule") == COLLABORATION, _is("collaboration_agreed"))
-        .when(F.col("rule") == ETHICS, F.when(approval, PERMITTED).otherwise(UNDETERMINED))
-        .when(F.col("rule") == GEOGRAPHY, _among("geography", F.col("v")))
-        .when(F.col("rule") == MORATORIUM, F.when(F.col("moratorium_accepted"), PERMITTED).otherwise(dated(until <= F.to_date(F.lit(as_of)))))
-        .when(F.col("rule") == TIME_LIMIT, dated(until >= F.to_date(F.lit(as_of))))
-        .when(F.col("rule") == USER, _among("requester", F.col("v")))
-        .when(F.col("rule") == PROJECT, _among("project", F.col("v")))
-        .when(F.col("rule") == INSTITUTION, _among("institution", F.col("v")))
-        .when(F.col("rule") == RETURN, _is("return_to_resource_agreed"))
-        .when(F.col("rule") == GENETIC_ONLY, F.when(F.size(purposes) == 0, UNDETERMINED).when(has("genetic"), PERMITTED).otherwise(DENIED))
-        .when(F.col("rule") == CLINICAL_CARE, F.when(F.size(purposes) == 0, UNDETERMINED).when(has("clinical"), PERMITTED).otherwise(DENIED))
-        .otherwise(UNDETERMINED)
-    )
-    rules = base.unionByName(m.select("dataset_id", "request_id", "rule", rule.alias("level"), "acknowledged"))
-    said = F.coalesce(F.array_contains("acknowledged", F.col("rule")), F.lit(False))
-    rules = rules.withColumn("level", F.when((F.col("level") == UNDETERMINED) & said, PERMITTED).otherwise(F.col("level")))
+    terms = ["permission", "permission_value", "modifiers"]
+    keyed = profiles.withColumn("terms", F.sha2(F.to_json(F.struct(*terms), {"ignoreNullFields": "false"}), 256))
+    distinct = keyed.dropDuplicates(["terms"]).select("terms", *terms)
+    pairs = distinct.crossJoin(F.broadcast(requests) if requests.count() <= SMALL else requests)
+    base = pairs.select("terms", "request_id", F.coalesce(F.trim("permission"), F.lit("(none)")).alias("rule"), _permission_level().alias("level"))
+    m = pairs.withColumn("m", F.explode("modifiers")).withColumn("rule", F.trim("m.id")).withColumn("v", _values(F.col("m.value")))
+    level = _modifier_level(as_of)
+    said = F.array_contains(_list("acknowledged"), F.col("rule"))
+    level = F.when((level == UNDETERMINED) & F.coalesce(said, F.lit(False)), PERMITTED).otherwise(level)
+    rules = base.unionByName(m.select("terms", "request_id", "rule", level.alias("level")))
     name = F.when(F.col("level") == DENIED, "denied").when(F.col("level") == UNDETERMINED, "undetermined").otherwise("permitted")
-    worst = rules.groupBy("dataset_id", "request_id").agg(F.max("level").alias("level"), F.sort_array(F.collect_set(F.when(F.col("level") > PERMITTED, F.concat("rule", F.lit(" "), name)))).alias("reasons"))
-    return worst.select("dataset_id", "request_id", name.alias("decision"), F.array_join("reasons", "; ").alias("reasons"))
+    worst = rules.groupBy("terms", "request_id").agg(F.max("level").alias("level"), F.sort_array(F.collect_set(F.when(F.col("level") > PERMITTED, F.concat("rule", F.lit(" "), name)))).alias("reasons"))
+    worst = worst.select("terms", "request_id", name.alias("decision"), F.array_join("reasons", "; ").alias("reasons"))
+    return keyed.select("dataset_id", "terms").join(worst, "terms").select("dataset_id", "request_id", "decision", "reasons")
 
 
 def blocking(decisions: DataFrame, site: str = "dataset_id", study: str = "request_id") -> DataFrame:

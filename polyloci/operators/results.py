@@ -85,15 +85,15 @@ def bootstrap_draws(df: DataFrame, cluster: str, by: list[str], draws: int, seed
 
 def clustered_ratio(df: DataFrame, num: str, den: str, cluster: str, by: list[str], draws: int = 2000, seed: int = 17) -> DataFrame:
     """F2: sum(num) / sum(den) with the 2.5 and 97.5 % quantiles over resampled clusters, widened to hold the ratio. Bounds are
-    null with fewer than two clusters or where a draw has nothing to divide by."""
+    null with fewer than two clusters or nothing to divide by; draws with nothing to divide by are left out."""
     totals = df.groupBy(*by, cluster).agg(F.sum(num).cast("double").alias("num"), F.sum(den).cast("double").alias("den"))
     point = totals.groupBy(*by).agg(F.count("*").alias("n_clusters"), safe_div(F.sum("num"), F.sum("den")).alias("ratio"))
     d = bootstrap_draws(totals, cluster, by, draws, seed).join(totals, [*by, cluster])
     d = d.groupBy(*by, "draw").agg(F.sum(F.col("times") * F.col("num")).alias("num"), F.sum(F.col("times") * F.col("den")).alias("den"))
     d = d.withColumn("r", safe_div(F.col("num"), F.col("den")))
-    q = d.groupBy(*by).agg(F.percentile("r", 0.025).alias("lo"), F.percentile("r", 0.975).alias("hi"), F.count_if(F.col("r").isNull()).alias("bad"))
+    q = d.groupBy(*by).agg(F.percentile("r", 0.025).alias("lo"), F.percentile("r", 0.975).alias("hi"))
     out = point.join(q, by) if by else point.crossJoin(q)
-    ok = (F.col("n_clusters") >= 2) & (F.col("bad") == 0)
+    ok = (F.col("n_clusters") >= 2) & F.col("ratio").isNotNull()
     return out.select(*by, "n_clusters", "ratio", F.when(ok, F.least("lo", "ratio")).alias("lo"), F.when(ok, F.greatest("hi", "ratio")).alias("hi"))
 
 
@@ -129,15 +129,15 @@ def paired_method_summary(df: DataFrame, metrics: dict[str, tuple[Column, Column
     d = d.groupBy("metric", "draw").pivot(method, list(methods)).agg(F.sum(F.col("times") * F.col("num")).alias("num"), F.sum(F.col("times") * F.col("den")).alias("den"))
     ratio = lambda m: safe_div(F.col(f"`{m}_num`"), F.col(f"`{m}_den`"))
     d = d.withColumn("x", ratio(methods[1]) - ratio(methods[0]))
-    q = d.groupBy("metric").agg(F.percentile("x", 0.025).alias("lo"), F.percentile("x", 0.975).alias("hi"), F.count_if(F.col("x").isNull()).alias("bad"))
+    q = d.groupBy("metric").agg(F.percentile("x", 0.025).alias("lo"), F.percentile("x", 0.975).alias("hi"))
     p = t.groupBy("metric").pivot(method, list(methods)).agg(F.sum("num").alias("num"), F.sum("den").alias("den")).select("metric", ratio(methods[0]).alias("first"), ratio(methods[1]).alias("second"))
-    ok = F.col("bad") == 0
-    return p.join(q, "metric").select("metric", "first", "second", (F.col("second") - F.col("first")).alias("difference"), F.when(ok, F.col("lo")).alias("lo"), F.when(ok, F.col("hi")).alias("hi"))
+    return p.join(q, "metric").select("metric", "first", "second", (F.col("second") - F.col("first")).alias("difference"), "lo", "hi")
 
 
 def rank_candidates(df: DataFrame, by: str, coverage: float = 0.93, fdr: float = 0.05) -> DataFrame:
-    """candidates with power, coverage, fdr and solo; those that pass the screen first, then power, solo, name."""
-    x = df.withColumn("eligible", (F.col("coverage") >= coverage) & (F.col("fdr") <= fdr))
+    """candidates with power, coverage, fdr and solo; those that pass the screen first, then power, solo, name. A
+    candidate without confident variants has no false ones."""
+    x = df.withColumn("eligible", (F.col("coverage") >= coverage) & (F.coalesce("fdr", F.lit(0.0)) <= fdr))
     order = [F.desc("eligible"), F.desc("power"), F.desc("solo"), F.col(by)]
     return x.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*order)))
 
@@ -171,15 +171,22 @@ def power_coverage(df: DataFrame, by: list[str], least: int = 20) -> DataFrame:
 
 
 def runtime_profile(df: DataFrame, by: list[str], value: str = "runtime_s") -> DataFrame:
-    """rows and total time by decade of run time."""
+    """rows and total time by decade of run time. Quantiles and cost: runtime_cost()."""
     return df.filter(F.col(value) > 0).groupBy(*by, F.floor(F.log10(value)).cast("int").alias("decade")).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
-def contamination_bins(df: DataFrame, by: list[str], pip: str = "pip", causal: str = "causal") -> DataFrame:
-    """share of variants that are not causal by confidence bin."""
-    edges = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
+def runtime_cost(df: DataFrame, by: list[str], instances: int, workers: int = 1, value: str = "runtime_s") -> DataFrame:
+    """quantiles of run time, and the hours that `instances` more would take on `workers` at the mean."""
+    q = F.percentile(value, F.array(*[F.lit(p) for p in (0.5, 0.9, 0.99)]))
+    x = df.groupBy(*by).agg(F.count("*").alias("n"), q.alias("q"), F.avg(value).alias("mean"), F.max(value).alias("largest"))
+    return x.select(*by, "n", *[F.col("q")[i].alias(n) for i, n in enumerate(("p50", "p90", "p99"))], "mean", "largest", (F.col("mean") * instances / workers / 3600).alias("projected_hours"))
+
+
+def contamination_bins(df: DataFrame, by: list[str], pip: str = "pip", flag: str = "inconsistent") -> DataFrame:
+    """share of instances with an inconsistently coded causal variant, by bin of confidence."""
+    edges = (0.1, 0.3, 0.5, 0.7, 0.9, 0.95)
     b = reduce(lambda acc, e: acc + (F.col(pip) > e).cast("int"), edges, F.lit(0))
-    return df.withColumn("bin", b).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg((~F.col(causal)).cast("double")).alias("contamination"))
+    return df.withColumn("bin", b).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg(F.col(flag).cast("double")).alias("contamination"))
 
 
 def weakest_signal(df: DataFrame, by: list[str]) -> DataFrame:

@@ -252,17 +252,22 @@ def ld_prune(edges: DataFrame, variants: DataFrame, by: list[str], threshold: fl
 
 
 def even_stride(df: DataFrame, by: list[str], order: str, k: int) -> DataFrame:
-    """H9: at most k rows of each group at an even stride in order."""
+    """H9: k rows of each group at even places from its first to its last in order; all rows of a group of at most k."""
     w = W.partitionBy(*by)
     x = df.withColumn("__n", F.count("*").over(w)).withColumn("__r", F.row_number().over(w.orderBy(order)) - 1)
-    step = F.greatest(F.lit(1), F.ceil(F.col("__n") / k))
-    return x.filter(F.col("__r") % step == 0).drop("__n", "__r")
+    step = (F.col("__n") - 1) / max(1, k - 1)
+    guess = F.floor(F.col("__r") / step)
+    there = lambda i: (i >= 0) & (i < k) & (F.bround(i * step, 0) == F.col("__r"))
+    taken = there(guess - 1) | there(guess) | there(guess + 1) | there(guess + 2)
+    return x.filter((F.col("__n") <= k) | (taken if k > 1 else F.col("__r") == 0)).drop("__n", "__r")
 
 
 def pick_tags(variants: DataFrame, edges: DataFrame, by: list[str], k: int, threshold: float, window: int) -> DataFrame:
-    """H9: even stride to 2 k, LD pruning, then even stride to k."""
-    first = even_stride(variants, by, "j", 2 * k)
-    return even_stride(ld_prune(edges, first, by, threshold, window), by, "j", k)
+    """H9: groups of at most k are kept whole; others get max(2 k, k + 50) even places, LD pruning, then k even places."""
+    x = variants.withColumn("__n", F.count("*").over(W.partitionBy(*by)))
+    few, many = x.filter(F.col("__n") <= k).drop("__n"), x.filter(F.col("__n") > k).drop("__n")
+    first = even_stride(many, by, "j", max(2 * k, k + 50))
+    return few.unionByName(even_stride(ld_prune(edges, first, by, threshold, window), by, "j", k))
 
 
 def manhattan_locus(ss: DataFrame, pips: DataFrame, truth: DataFrame, key: list[str]) -> DataFrame:

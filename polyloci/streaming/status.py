@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import new_path
+
 
 def site_status(events: DataFrame, interval: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Status of each site by interval: online if all up, unknown if all failed to answer, degraded if some are up, else
@@ -31,7 +33,17 @@ def stream_pool(blocks: DataFrame, key: list[str], value: str, late: str = "1 ho
 
 
 def run_available(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Everything a finite stream holds, as a batch; for tests and queries."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Everything a finite stream holds, as a batch; for tests and queries. In complete mode each batch's result is a table of its
+    own in the shared folder, of which the last is read; in append mode all are. Progress is kept there as well."""
+    spark = stream.sparkSession
+    path = new_path(spark, name)
+    done: list[int] = []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/result/batch={batch}")
+        done.append(batch)
+
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/progress").foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    tables = done[-1:] if mode == "complete" else sorted(set(done))
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/result/batch={b}" for b in tables])

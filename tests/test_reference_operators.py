@@ -257,18 +257,82 @@ def test_federated_logistic_learns_and_one_site_is_gradient_descent(spark):
     assert out[-1]["accuracy"] >= 0.85 and [r["round"] for r in out] == [0, 1, 2]
 
 
-def test_balanced_accuracy_interval_is_near_normal(spark):
+def test_balanced_accuracy_interval_redraws_binomials(spark):
     cm = spark.createDataFrame([(0, 0, 80), (0, 1, 20), (1, 1, 60), (1, 0, 40)], "y int, pred int, n int")
     r = C.balanced_accuracy_interval(cm).first()
-    sd = math.sqrt(0.8 * 0.2 / 100 + 0.6 * 0.4 / 100) / 2
-    assert math.isclose(r["balanced_accuracy"], 0.7)
-    assert abs(r["lo"] - (0.7 - 1.96 * sd)) < 0.01 and abs(r["hi"] - (0.7 + 1.96 * sd)) < 0.01
-
-
-@pytest.mark.parametrize(("change", "decision"), [({}, "permitted"), ({"ethics": None}, "undetermined"), ({"ethics": None, "ack": [P.ETHICS]}, "permitted"), ({"until": "2020-01-01"}, "denied"), ({"until": "2020-01-01", "ack": [P.TIME_LIMIT]}, "denied"), ({"until": "soon"}, "undetermined"), ({"until": "10000 years"}, "undetermined")])
-def test_data_use_rules(spark, change, decision):
-    v = {"ethics": "yes", "ack": [], "until": "2030-01-01"} | change
-    prof = spark.createDataFrame([(1, P.GENERAL, [], [(P.ETHICS, []), (P.TIME_LIMIT, [" ", v["until"]])])], "dataset_id int, permission string, permission_value array<string>, modifiers array<struct<id:string,value:array<string>>>")
-    flags = ["non_commercial", "not_for_profit_organisation", "publication_agreed", "collaboration_agreed", "moratorium_accepted", "return_to_resource_agreed"]
-    req = spark.createDataFrame([(1, "x", "eu", "me", "p", "i", v["ethics"], ["health"], v["ack"], *[True] * 6)], "request_id int, disease string, geography string, requester string, project string, institution string, ethics_approval string, purposes array<string>, acknowledged array<string>, " + ", ".join(f"{f} boolean" for f in flags))
-    assert P.evaluate_data_use(prof, req, "2025-06-01").first()["decision"] == decision
+    rng = np.random.default_rng(0)
+    want = np.percentile(np.mean([rng.binomial(100, 0.8, size=4000) / 100, rng.binomial(100, 0.6, size=4000) / 100], axis=0), [2.5, 97.5])
+    assert math.isclose(r["balanced_accuracy"], 0.7) and np.allclose([r["lo"], r["hi"]], want)
+
+
+def test_ratio_of_draws_with_nothing_to_divide_by(spark):
+    """Three clusters, one of which has a denominator: draws without it are left out, and the others give 1."""
+    df = spark.createDataFrame([("a", 2.0, 2.0), ("b", 0.0, 0.0), ("c", 0.0, 0.0)], "cluster string, num double, den double")
+    x = R.clustered_ratio(df, "num", "den", "cluster", []).first()
+    assert (x["ratio"], x["lo"], x["hi"]) == (1.0, 1.0, 1.0)
+    none = R.clustered_ratio(df.filter("num = 0"), "num", "den", "cluster", []).first()
+    assert none["ratio"] is None and none["lo"] is None and none["hi"] is None
+
+
+@pytest.mark.parametrize(("n", "k"), [(9, 8), (100, 7), (5, 5), (3, 8), (50, 1), (1000, 333)])
+def test_even_places(spark, n, k):
+    got = [r["j"] for r in V.even_stride(spark.range(n).selectExpr("0 AS g", "id AS j"), ["g"], "j", k).orderBy("j").collect()]
+    assert got == (list(range(n)) if n <= k else np.unique(np.linspace(0, n - 1, k).round().astype(int)).tolist())
+
+
+def test_macro_f1_counts_all_classes_with_logits(spark):
+    df = spark.createDataFrame([(0, [2.0, 0.0, 0.0]), (1, [0.0, 3.0, 0.0]), (1, [2.0, 0.0, 0.0])], "y int, logits array<double>")
+    x = C.classification_metrics(C.softmax_columns(df), []).first()
+    assert math.isclose(x["macro_f1"], (2 / 3 + 2 / 3 + 0) / 3) and math.isclose(x["balanced_accuracy"], 0.75)
+
+
+FLAGS = ["non_commercial", "not_for_profit_organisation", "publication_agreed", "collaboration_agreed", "moratorium_accepted", "return_to_resource_agreed"]
+G, POP, ANC, METH = "DUO:0000038", "DUO:0000032", "DUO:0000033", "DUO:0000031"
+#: permission, its values, modifiers, what the request says besides (genetic research by me@example.org), decision on 2026-06-01
+CASES = [
+    *[(P.GENERAL, [], [], {"purposes": [p]}, "permitted") for p in (G, POP, ANC, METH)],
+    (P.UNRESTRICTED, [], [], {"purposes": [G, POP, METH]}, "permitted"),
+    ("none", [], [], {}, "denied"),
+    (P.HEALTH, [], [], {"purposes": [POP]}, "denied"),
+    (P.HEALTH, [], [], {}, "permitted"),
+    (P.HEALTH, [], [], {"purposes": [G, POP]}, "denied"),
+    (P.DISEASE, ["type 2 diabetes"], [], {"disease": "Type 2 Diabetes"}, "permitted"),
+    (P.DISEASE, ["type 2 diabetes"], [], {"disease": "asthma"}, "denied"),
+    (P.DISEASE, ["type 2 diabetes"], [], {}, "denied"),
+    (P.POPULATION, [], [], {"purposes": [ANC]}, "permitted"),
+    (P.POPULATION, [], [], {}, "denied"),
+    (P.GENERAL, [], [(P.NO_ANCESTRY, None)], {"purposes": [POP]}, "denied"),
+    (P.GENERAL, [], [(P.NO_ANCESTRY, None)], {}, "permitted"),
+    (P.GENERAL, [], [(P.NO_METHODS, None)], {"purposes": [METH]}, "denied"),
+    (P.GENERAL, [], [(P.NO_METHODS, None)], {}, "permitted"),
+    *[case for code, flags in P.ATTESTED.items() for case in ((P.GENERAL, [], [(code, None)], {}, "denied"), (P.GENERAL, [], [(code, None)], {f: True for f in flags}, "permitted"))],
+    (P.GENERAL, [], [(P.NON_PROFIT_NON_COMMERCIAL, None)], {"non_commercial": True}, "denied"),
+    (P.GENERAL, [], [(P.ETHICS, None)], {}, "denied"),
+    (P.GENERAL, [], [(P.ETHICS, None)], {"ethics_approval": "IRB-2026-114"}, "permitted"),
+    (P.GENERAL, [], [(P.ETHICS, None)], {"acknowledged": [P.ETHICS]}, "denied"),
+    (P.GENERAL, [], [(P.USER, ["me@example.org"])], {}, "permitted"),
+    (P.GENERAL, [], [(P.USER, ["me@example.org"])], {"requester": "someone@else.org"}, "denied"),
+    (P.GENERAL, [], [(P.USER, ["me@example.org"])], {"requester": ""}, "denied"),
+    *[case for code, f in ((P.PROJECT, "project"), (P.INSTITUTION, "institution"), (P.GEOGRAPHY, "geography")) for case in ((P.GENERAL, [], [(code, ["ALPHA"])], {f: "alpha"}, "permitted"), (P.GENERAL, [], [(code, ["ALPHA"])], {f: "beta"}, "denied"), (P.GENERAL, [], [(code, ["ALPHA"])], {}, "denied"), (P.GENERAL, [], [(code, ["", "  "])], {f: ""}, "undetermined"), (P.GENERAL, [], [(code, None)], {f: "alpha"}, "undetermined"))],
+    (P.GENERAL, [], [(P.TIME_LIMIT, [" 2026-06-01 "])], {}, "permitted"),
+    (P.GENERAL, [], [(P.TIME_LIMIT, ["2026-05-31"])], {"acknowledged": [P.TIME_LIMIT]}, "denied"),
+    *[(P.GENERAL, [], [(P.TIME_LIMIT, [t])], {}, "undetermined") for t in ("31-12-2020", "December 2020", "2020/12/31", "soon", "10000 years")],
+    (P.GENERAL, [], [(P.TIME_LIMIT, ["soon"])], {"acknowledged": [P.TIME_LIMIT]}, "permitted"),
+    *[(permission, [], mods, {"purposes": p}, "denied") for permission, mods in ((P.HEALTH, []), (P.POPULATION, []), (P.GENERAL, [(P.GENETIC_ONLY, None)])) for p in ([], None)],
+    (P.GENERAL, [], [(P.GENETIC_ONLY, None)], {"purposes": [G, "DUO:0000037"]}, "denied"),
+    (P.GENERAL, [], None, {"acknowledged": None}, "permitted"),
+    (P.GENERAL, [], [(P.RESEARCH_TYPE, ["no use in studies of X"])], {}, "undetermined"),
+    (P.GENERAL, [], [(P.RESEARCH_TYPE, ["no use in studies of X"])], {"acknowledged": [P.RESEARCH_TYPE]}, "permitted"),
+    (P.GENERAL, [], [(P.CLINICAL_CARE, None), ("DUO:0000001", None)], {}, "undetermined"),
+    (P.GENERAL, [], [(P.CLINICAL_CARE, None)], {}, "permitted"),
+]
+
+
+def test_data_use_rules(spark):
+    base = {"disease": None, "geography": None, "requester": "me@example.org", "project": None, "institution": None, "ethics_approval": None, "purposes": [G], "acknowledged": [], **{f: None for f in FLAGS}}
+    prof = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(CASES)], "dataset_id int, permission string, permission_value array<string>, modifiers array<struct<id:string,value:array<string>>>")
+    text = "disease string, geography string, requester string, project string, institution string, ethics_approval string, purposes array<string>, acknowledged array<string>, " + ", ".join(f"{f} boolean" for f in FLAGS)
+    req = spark.createDataFrame([(i, *(base | c[3]).values()) for i, c in enumerate(CASES)], "request_id int, " + text)
+    rows = P.evaluate_data_use(prof, req, "2026-06-01").filter("dataset_id = request_id").collect()
+    got = {r["dataset_id"]: r["decision"] for r in rows}
+    assert [got[i] for i in range(len(CASES))] == [c[4] for c in CASES], [(c, got[i]) for i, c in enumerate(CASES) if got[i] != c[4]]
