@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, stored, without
+from .common import BROADCAST_ROWS, cut, fresh, stored, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX_CHARS = 64
@@ -63,9 +63,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # Copies of a text may be a third of all rows: everything about a group is a partial aggregation.
     twins = rows.filter("survives").groupBy("sha", "id").agg(F.count("*").alias("rows"))
-    # As a written table it has no partitioning of its own, so both sides of the join are shuffled and a hot group is split.
+    # As a written table it has no partitioning of its own: where it is too large to be broadcast, both sides of the join are
+    # shuffled and a hot group is split.
     groups = stored(twins.groupBy("sha").agg(F.max("id").alias("keep_id"), F.sum("rows").alias("group_size")), "groups")
-    found = twins.join(groups, "sha").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    found = twins.join(F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups, "sha").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     found = found.select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "sha")
     alone = rows.filter("NOT survives").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     return found.unionByName(alone).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))

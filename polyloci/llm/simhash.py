@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, slices, without
+from .common import BROADCAST_ROWS, cut, fresh, slices, without
 from .components import components
 from .jaccard import SEED, SPAN, shingle_set, similar_links, text_sets
 
@@ -348,7 +348,8 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, radiu
     nodes = cut(rows.groupBy("fp").agg(F.count("*").alias("n")))
     found = components(near_links(nodes.select("fp"), radius)).withColumnRenamed("id", "fp")
     grouped = nodes.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("grp"), "n")
-    several = grouped.groupBy("grp").agg(F.sum("n").alias("n")).filter("n > 1").select("grp")
+    several = cut(grouped.groupBy("grp").agg(F.sum("n").alias("n")).filter("n > 1").select("grp"))
+    several = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
     grouped = cut(grouped.select("fp", "grp").join(several, "grp", "left_semi"))
     near = cut(rows.join(grouped, "fp").select("id", F.col("text_hash").alias("fp"), "text_hash", "grp"))
     texts = cut(near.select(F.col("text_hash").alias("node"), "grp").distinct())
