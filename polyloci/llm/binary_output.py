@@ -1,10 +1,11 @@
 """Operator 2, token-id output in training order: fixed-stride binary shards written by range partitions.
 
-Texts are tokenised once and their ids, cut into sequences, are stored as a table. A sequence's row number in it goes
+Texts are tokenised once; the ids of a partition's documents, each with its end id, are cut into sequences one after another,
+so that only a partition's last sequence is padded, and stored as a table. A sequence's row number in it goes
 through one keyed Feistel permutation with cycle walking over all sequences, which gives its global slot; from the slot
-follow the shard and the place in it. Range partitions of shards then write one file a shard: a sequence's bytes are at
-(slot - the shard's first slot) * stride, so reads are sequential and can resume anywhere. The sequences of a document
-spread over all shards, so no id, text or source makes a large shard.
+follow the shard, which is a range of slots, and the place in it. The task that gets a shard writes its file: a sequence's
+bytes are at (slot - the shard's first slot) * stride, so reads are sequential and can resume anywhere. The sequences of a
+document spread over all shards, so no id, text or source makes a large shard.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ KEY = 31337
 #: Ids are little-endian unsigned 16-bit; unused places of a sequence hold this.
 PADDING = 65535
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, ids binary"
-MANIFEST = "doc_id long, start long, length long, ids_crc32 long, slot long, shard int, byte_offset long, path string"
+#: One row a sequence: its ids without padding, and the documents' pieces in it, in order, as five 64-bit numbers each: whether there is an id, the id, start, length and CRC-32.
+SEQUENCES = "ids binary, pieces binary"
+MANIFEST = "doc_id long, start long, length long, ids_crc32 long, slot long, offset long, shard int, byte_offset long, path string"
 
 
 def shard_name(shard: int) -> str:
@@ -61,23 +63,46 @@ def read_slots(path: str, first: int, count: int, sequence: int = SEQUENCE) -> l
 
 
 def sequences(docs: DataFrame, tokenizer_path: str, sequence: int, id_col: str, text_col: str) -> DataFrame:
-    """PIECES: the ids of every text and its end id, cut into sequences; ids as they stand in a shard, without padding."""
+    """SEQUENCES: the ids of every text and its end id, one document after another, cut every `sequence` ids."""
 
     def run(batches):
         bpe = WordBpe.opened(tokenizer_path)
         end = np.array([END_OF_TEXT], "<u4").tobytes()
+        held, info = [], []  # ids of the open sequence, and the pieces they are from
+        rows: list[tuple[bytes, bytes]] = []
+        size = 0
+
+        def close():
+            rows.append((np.concatenate(held).astype("<u2").tobytes(), np.array(info, "<i8").tobytes()))
+            held.clear()
+            info.clear()
+
+        def out():
+            ids, pieces = zip(*rows, strict=True)
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(pieces, pa.binary())], ["ids", "pieces"])
+
         for batch in slices(batches):
-            rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(bpe.ids(text) + end, "<u4")
-                for at in range(0, len(ids), sequence):
-                    own = ids[at : at + sequence]
-                    rows.append((doc, at, len(own), zlib.crc32(own.tobytes()), own.astype("<u2").tobytes()))
-            if rows:
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.binary()], strict=True)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "ids"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+                data = bpe.ids(text) + end
+                ids, at = np.frombuffer(data, "<u4"), 0
+                while at < len(ids):
+                    n = min(len(ids) - at, sequence - size)
+                    held.append(ids[at : at + n])
+                    info.append((doc is not None, doc or 0, at, n, zlib.crc32(data[4 * at : 4 * (at + n)])))
+                    at += n
+                    size += n
+                    if size == sequence:
+                        close()
+                        size = 0
+                if len(rows) >= 512:
+                    yield out()
+        if info:
+            close()
+        if rows:
+            yield out()
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SEQUENCES)
 
 
 def with_row_numbers(table: DataFrame) -> tuple[DataFrame, int]:
@@ -94,11 +119,12 @@ def with_row_numbers(table: DataFrame) -> tuple[DataFrame, int]:
 
 
 def write_training_order(docs: DataFrame, tokenizer_path: str, folder: str | None = None, sequence: int = SEQUENCE, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the shards and returns one row per sequence: doc_id, start (its document's ids before it), length,
-    ids_crc32 (of the ids as unsigned 32-bit), slot, shard, byte_offset, path.
+    """Writes the shards and returns one row per piece of a document in a sequence: doc_id, start (its document's ids before
+    it), length, ids_crc32 (of the ids as unsigned 32-bit), slot, offset (ids before it in the sequence), shard,
+    byte_offset (of the sequence in the shard), path.
 
-    Every id of every document, the end id included, is in exactly one sequence. Null texts are empty and give one
-    sequence. Ids may be null or repeated; an empty table gives no rows and no files. Other columns are ignored. The
+    Every id of every document, the end id included, is in exactly one piece. Null texts are empty and give a piece of the
+    end id alone. Ids may be null or repeated; an empty table gives no rows and no files. Other columns are ignored. The
     folder is a URI all executors can write to; by default a new one below the shared folder. The result is
     checkpointed: the files are there when it is returned, and are not written again when it is used. The order is the
     same for every run over the same input partitions, and a task that is run again writes the same file.
@@ -110,29 +136,33 @@ def write_training_order(docs: DataFrame, tokenizer_path: str, folder: str | Non
     pieces, total = with_row_numbers(stored(sequences(docs, tokenizer_path, sequence, id_col, text_col), "sequences"))
     each = SHARD_SEQUENCES
     slotted = pieces.withColumn("slot", permuted(F.col("row"), total, key)).withColumn("shard", F.floor(F.col("slot") / F.lit(each)).cast("int"))
-    dealt = slotted.repartitionByRange("shard").sortWithinPartitions("slot").select("shard", "slot", "doc_id", "start", "length", "ids_crc32", "ids")
+    dealt = slotted.repartition("shard").sortWithinPartitions("slot").select("shard", "slot", "ids", "pieces")
 
     def write(batches):
         shard, data, info = None, None, []
 
         def finish():
             path = _write(folder, shard, data.tobytes())
-            cols = list(zip(*info, strict=True))
-            slot = np.array(cols[0], np.int64)
-            out = [pa.array(c, pa.int64()) for c in cols[1:]] + [pa.array(slot), pa.array(np.full(len(slot), shard, np.int32))]
-            out += [pa.array((slot - shard * each) * 2 * sequence), pa.array([path] * len(slot), pa.string())]
-            return pa.RecordBatch.from_arrays(out, ["doc_id", "start", "length", "ids_crc32", "slot", "shard", "byte_offset", "path"])
+            slots, pieces = np.concatenate([s for s, _ in info]), np.concatenate([p for _, p in info])
+            before = np.cumsum(pieces[:, 3]) - pieces[:, 3]
+            first = np.concatenate(([True], slots[1:] != slots[:-1]))
+            offset = before - before[np.maximum.accumulate(np.where(first, np.arange(len(slots)), 0))]
+            doc = pa.array(pieces[:, 1].copy(), mask=pieces[:, 0] == 0)
+            cols = [doc, *(pa.array(pieces[:, c].copy()) for c in (2, 3, 4)), pa.array(slots), pa.array(offset), pa.array(np.full(len(slots), shard, np.int32))]
+            cols += [pa.array((slots - shard * each) * 2 * sequence), pa.array([path] * len(slots), pa.string())]
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "slot", "offset", "shard", "byte_offset", "path"])
 
         for batch in slices(batches):
-            for s, *row, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for s, slot, ids, pieces in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if s != shard:
                     if shard is not None:
                         yield finish()
                     shard, info = s, []
                     data = np.full((min(each, total - s * each), sequence), PADDING, "<u2")
                 own = np.frombuffer(ids, "<u2")
-                data[row[0] - s * each, : len(own)] = own
-                info.append(row)
+                data[slot - s * each, : len(own)] = own
+                own = np.frombuffer(pieces, "<i8").reshape(-1, 5)
+                info.append((np.full(len(own), slot), own))
         if shard is not None:
             yield finish()
 

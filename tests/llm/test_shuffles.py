@@ -39,21 +39,37 @@ def test_shards_of_odd_rows(spark, odd_docs, no_docs):
     assert assign_shards(no_docs).count() == 0
 
 
-def test_shards_are_written_whole_and_read_back(spark, odd_docs, no_docs, tmp_path):
+def check_output(rows, texts, sequence):
+    """Each id of each document is in one piece, the pieces of a sequence follow one another, and files say what rows say."""
     bpe = WordBpe.opened(tokenizer_path())
-    out = B.write_training_order(odd_docs, tokenizer_path(), f"file://{tmp_path}/a", sequence=64).collect()
-    assert sorted(r["slot"] for r in out) == list(range(len(out)))
-    got = Counter()
-    for r in out:
-        ids = B.read_slots(r["path"], r["byte_offset"] // 128, 1, 64)[0]
+    got, taken, read = Counter(), {}, {}
+    for r in rows:
+        if (r["path"], r["byte_offset"]) not in read:
+            read[r["path"], r["byte_offset"]] = B.read_slots(r["path"], r["byte_offset"] // (2 * sequence), 1, sequence)[0]
+        whole = read[r["path"], r["byte_offset"]]
+        ids = whole[r["offset"] : r["offset"] + r["length"]]
         assert zlib.crc32(ids.astype("<u4").tobytes()) == r["ids_crc32"] and len(ids) == r["length"]
-        got[r["doc_id"], r["start"], ids.tobytes()] += 1
+        got[r["doc_id"]] += len(ids)
+        taken.setdefault(r["slot"], []).append((r["offset"], r["length"], len(whole)))
+    for own in taken.values():
+        own.sort()
+        assert [o for o, _, _ in own] == [sum(n for _, n, _ in own[:i]) for i in range(len(own))] and sum(n for _, n, _ in own) == own[0][2]
     want = Counter()
-    for r in odd_docs.collect():
-        ids = np.append(np.frombuffer(bpe.ids(r["text"]), "<u4"), 1).astype("<u2")
-        for s in range(0, len(ids), 64):
-            want[r["doc_id"], s, ids[s : s + 64].tobytes()] += 1
-    assert got == want
+    for doc, text in texts:
+        want[doc] += len(bpe.ids(text)) // 4 + 1
+    assert got == want and sorted(taken) == list(range(len(taken)))
+    return taken
+
+
+def test_shards_are_written_whole_and_read_back(spark, odd_docs, no_docs, tmp_path):
+    bpe = WordBpe.opened(tokenizer_path())
+    rows = B.write_training_order(odd_docs, tokenizer_path(), f"file://{tmp_path}/a", sequence=64).collect()
+    docs = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
+    taken = check_output(rows, docs, 64)
+    assert sum(own[0][2] < 64 for own in taken.values()) <= odd_docs.rdd.getNumPartitions()
+    pieces = sorted((r["start"], r["slot"], r["offset"], r["length"], r["path"], r["byte_offset"]) for r in rows if r["doc_id"] == 5)
+    ids = np.concatenate([B.read_slots(path, at // 128, 1, 64)[0][offset : offset + length] for _, _, offset, length, path, at in pieces])
+    assert ids.astype("<u4").tobytes() == bpe.ids(next(t for d, t in docs if d == 5)) + np.array([1], "<u4").tobytes()
     assert B.write_training_order(no_docs, tokenizer_path(), f"file://{tmp_path}/b").count() == 0
 
 
@@ -62,9 +78,9 @@ def test_slots_are_one_permutation_of_all_sequences(spark, small, tmp_path, monk
     docs = table(spark, small, "documents")
     rows = B.write_training_order(docs, tokenizer_path(), f"file://{tmp_path}/c").collect()
     again = B.write_training_order(docs, tokenizer_path(), f"file://{tmp_path}/d").collect()
-    assert sorted(tuple(r)[:7] for r in rows) == sorted(tuple(r)[:7] for r in again)
-    n = len(rows)
-    assert sorted(B.row_at(r["slot"], n) for r in rows) == list(range(n))
+    assert sorted(tuple(r)[:8] for r in rows) == sorted(tuple(r)[:8] for r in again)
+    n = max(r["slot"] for r in rows) + 1
+    assert sorted({B.row_at(r["slot"], n) for r in rows}) == list(range(n))
     assert all(r["shard"] == r["slot"] // 100 and r["byte_offset"] == r["slot"] % 100 * 1024 for r in rows)
     sizes = {r["path"].removeprefix("file://"): min(100, n - 100 * r["shard"]) * 1024 for r in rows}
     assert {p: Path(p).stat().st_size for p in sizes} == sizes
@@ -77,4 +93,4 @@ def test_slots_are_one_permutation_of_all_sequences(spark, small, tmp_path, monk
 def test_output_query_covers_every_document(spark, small):
     rows = op2_token_id_output(spark, small).collect()
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in table(spark, small, "documents").collect()}
-    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    assert sorted({r["slot"] for r in rows}) == list(range(max(r["slot"] for r in rows) + 1))
