@@ -13,9 +13,11 @@ BROADCAST_ROWS = 150_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a new one where that is unset and Spark runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.getCheckpointDir() is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-polyloci-", dir="/tmp"))
         base = spark.sparkContext.getCheckpointDir()
