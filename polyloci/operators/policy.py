@@ -19,7 +19,7 @@ ATTESTED = {NON_COMMERCIAL: ["non_commercial"], NON_PROFIT_ONLY: ["not_for_profi
 COMPARED = {GEOGRAPHY: "geography", USER: "requester", PROJECT: "project", INSTITUTION: "institution"}
 
 PERMITTED, UNDETERMINED, DENIED = 0, 1, 2
-#: Requests, and distinct terms, are broadcast up to so many rows.
+#: Requests are broadcast up to so many rows.
 SMALL = 10_000
 
 
@@ -56,10 +56,10 @@ def _permission_level() -> Column:
     )
 
 
-def _modifier_level(as_of: str) -> Column:
-    """The outcome of the modifier `rule` with its values `v`. One that nobody wrote a rule for is undetermined."""
-    purposes, code = _list("purposes"), F.col("rule")
-    limit = F.element_at(F.filter(F.transform(_list(F.col("m.value")), lambda x: F.trim(x)), lambda x: x != ""), 1)
+def _modifier_level(m: Column, as_of: str) -> Column:
+    """The outcome of one modifier, a struct of id and value. One that nobody wrote a rule for is undetermined."""
+    purposes, code, v = _list("purposes"), F.trim(m["id"]), _values(m["value"])
+    limit = F.element_at(F.filter(F.transform(_list(m["value"]), lambda x: F.trim(x)), lambda x: x != ""), 1)
     until = F.when(limit.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(limit))
     level = F.when(code == NO_METHODS, _or_denied(~F.array_contains(purposes, METHODS)))
     level = level.when(code == GENETIC_ONLY, _or_denied(_all_in(purposes, [GENETIC])))
@@ -68,34 +68,30 @@ def _modifier_level(as_of: str) -> Column:
     for k, flags in ATTESTED.items():
         level = level.when(code == k, _or_denied(F.least(*[F.coalesce(f, F.lit(False)) for f in [*flags, *flags]])))
     for k, field in COMPARED.items():
-        level = level.when(code == k, F.when(F.size("v") == 0, UNDETERMINED).otherwise(_or_denied(F.array_contains("v", _plain(field)))))
-    level = level.when(code == TIME_LIMIT, F.when((F.size("v") == 0) | until.isNull(), UNDETERMINED).otherwise(_or_denied(until >= F.to_date(F.lit(as_of)))))
-    return level.when(code == CLINICAL_CARE, PERMITTED).otherwise(UNDETERMINED)
+        level = level.when(code == k, F.when(F.size(v) == 0, UNDETERMINED).otherwise(_or_denied(F.array_contains(v, _plain(field)))))
+    level = level.when(code == TIME_LIMIT, F.when((F.size(v) == 0) | until.isNull(), UNDETERMINED).otherwise(_or_denied(until >= F.to_date(F.lit(as_of)))))
+    level = level.when(code == CLINICAL_CARE, PERMITTED).otherwise(UNDETERMINED)
+    said = F.coalesce(F.array_contains(_list("acknowledged"), code), F.lit(False))
+    return F.when((level == UNDETERMINED) & said, PERMITTED).otherwise(level)
 
 
 def evaluate_data_use(profiles: DataFrame, requests: DataFrame, as_of: str) -> DataFrame:
     """K1: every dataset against every request: decision (permitted, denied, undetermined) and sorted reasons.
 
     profiles: dataset_id, permission, permission_value, modifiers array<struct<id, value>>. requests: request_id, disease,
-    geography, requester, project, institution, ethics_approval, purposes, acknowledged and the flags. One row per rule;
-    the worst one decides. What a request leaves out counts against it; a restriction that can't be checked, or has no
-    rule, is undetermined, and only that can be acknowledged. Requests are a stated query set. Rules are evaluated once for
-    each distinct terms, of which there are few, and the datasets then get their terms' decisions by a join.
+    geography, requester, project, institution, ethics_approval, purposes, acknowledged and the flags. The worst rule
+    decides. What a request leaves out counts against it; a restriction that can't be checked, or has no rule, is
+    undetermined, and only that can be acknowledged. Requests are a stated query set; rules are evaluated within the row of
+    a dataset and a request, so that nothing is shuffled.
     """
-    terms = ["permission", "permission_value", "modifiers"]
-    keyed = profiles.withColumn("terms", F.sha2(F.to_json(F.struct(*terms), {"ignoreNullFields": "false"}), 256))
-    distinct = keyed.dropDuplicates(["terms"]).select("terms", *terms)
-    pairs = distinct.crossJoin(F.broadcast(requests) if requests.count() <= SMALL else requests)
-    base = pairs.select("terms", "request_id", F.coalesce(F.trim("permission"), F.lit("(none)")).alias("rule"), _permission_level().alias("level"))
-    m = pairs.withColumn("m", F.explode("modifiers")).withColumn("rule", F.trim("m.id")).withColumn("v", _values(F.col("m.value")))
-    level = _modifier_level(as_of)
-    said = F.array_contains(_list("acknowledged"), F.col("rule"))
-    level = F.when((level == UNDETERMINED) & F.coalesce(said, F.lit(False)), PERMITTED).otherwise(level)
-    rules = base.unionByName(m.select("terms", "request_id", "rule", level.alias("level")))
-    name = F.when(F.col("level") == DENIED, "denied").when(F.col("level") == UNDETERMINED, "undetermined").otherwise("permitted")
-    worst = rules.groupBy("terms", "request_id").agg(F.max("level").alias("level"), F.sort_array(F.collect_set(F.when(F.col("level") > PERMITTED, F.concat("rule", F.lit(" "), name)))).alias("reasons"))
-    worst = worst.select("terms", "request_id", name.alias("decision"), F.array_join("reasons", "; ").alias("reasons"))
-    return keyed.select("dataset_id", "terms").join(worst, "terms").select("dataset_id", "request_id", "decision", "reasons")
+    pairs = profiles.crossJoin(F.broadcast(requests) if requests.count() <= SMALL else requests)
+    rule = lambda code, level: F.struct(code.alias("rule"), level.alias("level"))
+    first = F.array(rule(F.coalesce(F.trim("permission"), F.lit("(none)")), _permission_level()))
+    rest = F.transform("modifiers", lambda m: rule(F.trim(m["id"]), _modifier_level(m, as_of)))
+    judged = pairs.select("dataset_id", "request_id", F.concat(first, F.coalesce(rest, F.slice(first, 1, 0))).alias("rules"))
+    name = lambda level: F.when(level == DENIED, "denied").when(level == UNDETERMINED, "undetermined").otherwise("permitted")
+    against = F.transform(F.filter("rules", lambda x: x["level"] > PERMITTED), lambda x: F.concat_ws(" ", x["rule"], name(x["level"])))
+    return judged.select("dataset_id", "request_id", name(F.array_max(F.col("rules")["level"])).alias("decision"), F.array_join(F.array_sort(F.array_distinct(against)), "; ").alias("reasons"))
 
 
 def blocking(decisions: DataFrame, site: str = "dataset_id", study: str = "request_id") -> DataFrame:
