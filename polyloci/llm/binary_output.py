@@ -18,26 +18,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_tokens import END_OF_TEXT, WordBpe
-from .common import cut, new_table_path, slices, stored
+from .common import new_table_path, slices, stored
 from .feistel import permuted, unpermute
 
 SEQUENCE = 512
 #: Sequences of a shard: 8 MB, which a task holds while it writes them. The last shard may have fewer.
 SHARD_SEQUENCES = 8192
 KEY = 31337
+#: The stored sequences are read once: compressing them harder saves disk and costs some 30 CPU seconds a GB.
+ZSTD_LEVEL = 7
 #: Ids are little-endian unsigned 16-bit; unused places of a sequence hold this.
 PADDING = 65535
 
-#: One row a sequence: its ids without padding, and the documents' pieces in it, in order, as five 64-bit numbers each: whether there is an id, the id, start, length and CRC-32.
+#: One row a sequence: its ids without padding, and the documents' pieces in it, in order, as PIECE records.
 SEQUENCES = "ids binary, pieces binary"
-MANIFEST = "doc_id long, start long, length long, ids_crc32 long, slot long, offset long, shard int, byte_offset long, path string"
+#: Whether the document has an id, that id, the piece's start and its length.
+PIECE = np.dtype([("known", "u1"), ("doc", "<i8"), ("start", "<i8"), ("length", "<u4")])
+#: What the writing tasks return; shard, byte_offset and path follow from the slot.
+MANIFEST = "doc_id long, start long, length long, ids_crc32 long, slot long, offset long"
 
 
-def shard_name(shard: int) -> str:
-    return f"shard-{shard:06d}.bin"
+SHARD_NAME = "shard-%06d.bin"
 
 
-def _write(folder: str, shard: int, data: bytes) -> str:
+def _write(folder: str, shard: int, data: bytes) -> None:
     """Write a shard's file whole, then give it its name: a task that is run again leaves the same file."""
     import uuid
 
@@ -45,11 +49,10 @@ def _write(folder: str, shard: int, data: bytes) -> str:
 
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    name, draft = f"{root}/{shard_name(shard)}", f"{root}/.{shard_name(shard)}-{uuid.uuid4().hex}"
+    name, draft = f"{root}/{SHARD_NAME % shard}", f"{root}/.{SHARD_NAME % shard}-{uuid.uuid4().hex}"
     with store.open_output_stream(draft) as out:
         out.write(data)
     store.move(draft, name)
-    return f"{folder}/{shard_name(shard)}"
 
 
 def read_slots(path: str, first: int, count: int, sequence: int = SEQUENCE) -> list[np.ndarray]:
@@ -73,7 +76,7 @@ def sequences(docs: DataFrame, tokenizer_path: str, sequence: int, id_col: str,
         size = 0
 
         def close():
-            rows.append((np.concatenate(held).astype("<u2").tobytes(), np.array(info, "<i8").tobytes()))
+            rows.append((np.concatenate(held).astype("<u2").tobytes(), np.array(info, PIECE).tobytes()))
             held.clear()
             info.clear()
 
@@ -84,12 +87,11 @@ def sequences(docs: DataFrame, tokenizer_path: str, sequence: int, id_col: str,
 
         for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = bpe.ids(text) + end
-                ids, at = np.frombuffer(data, "<u4"), 0
+                ids, at = np.frombuffer(bpe.ids(text) + end, "<u4"), 0
                 while at < len(ids):
                     n = min(len(ids) - at, sequence - size)
                     held.append(ids[at : at + n])
-                    info.append((doc is not None, doc or 0, at, n, zlib.crc32(data[4 * at : 4 * (at + n)])))
+                    info.append((doc is not None, doc or 0, at, n))
                     at += n
                     size += n
                     if size == sequence:
@@ -125,15 +127,15 @@ def write_training_order(docs: DataFrame, tokenizer_path: str, folder: str | Non
 
     Every id of every document, the end id included, is in exactly one piece. Null texts are empty and give a piece of the
     end id alone. Ids may be null or repeated; an empty table gives no rows and no files. Other columns are ignored. The
-    folder is a URI all executors can write to; by default a new one below the shared folder. The result is
-    checkpointed: the files are there when it is returned, and are not written again when it is used. The order is the
+    folder is a URI all executors can write to; by default a new one below the shared folder. The result is a
+    stored table: the files are there when it is returned, and are not written again when it is used. The order is the
     same for every run over the same input partitions, and a task that is run again writes the same file.
     """
     spark = docs.sparkSession
     folder = folder or new_table_path(spark, "shards")
     if "://" not in folder:
         folder = folder.replace("file:", "file://", 1) if folder.startswith("file:") else f"file://{folder}"
-    pieces, total = with_row_numbers(stored(sequences(docs, tokenizer_path, sequence, id_col, text_col), "sequences"))
+    pieces, total = with_row_numbers(stored(sequences(docs, tokenizer_path, sequence, id_col, text_col), "sequences", ZSTD_LEVEL))
     each = SHARD_SEQUENCES
     slotted = pieces.withColumn("slot", permuted(F.col("row"), total, key)).withColumn("shard", F.floor(F.col("slot") / F.lit(each)).cast("int"))
     dealt = slotted.repartition("shard").sortWithinPartitions("slot").select("shard", "slot", "ids", "pieces")
@@ -142,15 +144,16 @@ def write_training_order(docs: DataFrame, tokenizer_path: str, folder: str | Non
         shard, data, info = None, None, []
 
         def finish():
-            path = _write(folder, shard, data.tobytes())
-            slots, pieces = np.concatenate([s for s, _ in info]), np.concatenate([p for _, p in info])
-            before = np.cumsum(pieces[:, 3]) - pieces[:, 3]
+            _write(folder, shard, data.tobytes())
+            slots = np.repeat(np.array([i[0] for i in info], "<i8"), [len(i[1]) for i in info])
+            pieces, crcs = np.concatenate([i[1] for i in info]), np.concatenate([i[2] for i in info])
+            length = pieces["length"].astype("<i8")
+            before = np.cumsum(length) - length
             first = np.concatenate(([True], slots[1:] != slots[:-1]))
             offset = before - before[np.maximum.accumulate(np.where(first, np.arange(len(slots)), 0))]
-            doc = pa.array(pieces[:, 1].copy(), mask=pieces[:, 0] == 0)
-            cols = [doc, *(pa.array(pieces[:, c].copy()) for c in (2, 3, 4)), pa.array(slots), pa.array(offset), pa.array(np.full(len(slots), shard, np.int32))]
-            cols += [pa.array((slots - shard * each) * 2 * sequence), pa.array([path] * len(slots), pa.string())]
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "slot", "offset", "shard", "byte_offset", "path"])
+            doc = pa.array(pieces["doc"].copy(), mask=pieces["known"] == 0)
+            cols = [doc, *(pa.array(c) for c in (pieces["start"].copy(), length, crcs, slots, offset))]
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "slot", "offset"])
 
         for batch in slices(batches):
             for s, slot, ids, pieces in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -161,12 +164,15 @@ def write_training_order(docs: DataFrame, tokenizer_path: str, folder: str | Non
                     data = np.full((min(each, total - s * each), sequence), PADDING, "<u2")
                 own = np.frombuffer(ids, "<u2")
                 data[slot - s * each, : len(own)] = own
-                own = np.frombuffer(pieces, "<i8").reshape(-1, 5)
-                info.append((np.full(len(own), slot), own))
+                wide, pieces = own.astype("<u4").tobytes(), np.frombuffer(pieces, PIECE)
+                ends = (4 * np.cumsum(pieces["length"].astype("<i8"))).tolist()
+                info.append((slot, pieces, np.array([zlib.crc32(wide[a:b]) for a, b in zip([0, *ends], ends, strict=False)], "<i8")))
         if shard is not None:
             yield finish()
 
-    out = cut(dealt.mapInArrow(write, MANIFEST))
+    out = stored(dealt.mapInArrow(write, MANIFEST), "manifest")
+    out = out.withColumn("shard", F.floor(F.col("slot") / each).cast("int")).withColumn("byte_offset", F.col("slot") % each * (2 * sequence))
+    out = out.withColumn("path", F.format_string(f"{folder.replace('%', '%%')}/{SHARD_NAME}", "shard"))
     return out.withColumnRenamed("doc_id", id_col)
 
 

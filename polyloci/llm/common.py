@@ -36,10 +36,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """Write df as a compressed table in the shared folder and read it again; for what is too wide to checkpoint."""
     path = new_table_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).option("parquet.page.size", 4 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
