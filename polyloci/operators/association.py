@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.lineage import cut
 from ..functions.scalars import TINY, neglog10, odds_ratio, safe_div
 
 #: Sites up to this number have their covariate sums joined by broadcast.
@@ -96,12 +97,15 @@ def _linear(m: DataFrame, site: str, variant: str) -> DataFrame:
 def fit_null(df: DataFrame, site: str = "site", case: str = "case", covs: tuple[str, ...] = ("c1", "c2"), iterations: int = 25, tol: float = 1e-8) -> DataFrame:
     """E3 (action): covariate-only logistic model of each site by iteratively reweighted least squares.
 
-    One aggregation an iteration gives each site's small normal equations; these are solved at the driver. Returns
+    Rows of equal covariates are counted once and checkpointed, so that no iteration computes df again. One aggregation an
+    iteration gives each site's small normal equations; these are solved at the driver. Returns
     (site, b0, b1, ..).
     """
     spark = df.sparkSession
     k = len(covs) + 1
-    rows = df.select(site, F.col(case).cast("double").alias("y"), F.array(F.lit(1.0), *[F.col(c).cast("double") for c in covs]).alias("c")).dropna()
+    rows = df.select(F.col(site).alias("__site"), F.col(case).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(covs)]).dropna()
+    rows = rows.groupBy("__site", *[f"c{i}" for i in range(len(covs))]).agg(F.count("*").alias("n"), F.sum("y").alias("y"))
+    rows = cut(rows.select(F.col("__site").alias(site), "n", "y", F.array(F.lit(1.0), *[f"c{i}" for i in range(len(covs))]).alias("c")))
     names = [r[0] for r in rows.select(site).distinct().collect()]
     beta = {s: np.zeros(k) for s in names}
     schema = f"`{site}` {dict(df.dtypes)[site]}, b array<double>"
@@ -110,8 +114,8 @@ def fit_null(df: DataFrame, site: str = "site", case: str = "case", covs: tuple[
         eta = F.aggregate(F.zip_with("c", "b", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
         mu = F.greatest(F.least(1 / (1 + F.exp(-eta)), F.lit(1 - 1e-8)), F.lit(1e-8))
         r = rows.join(side(b), site).withColumn("mu", mu).withColumn("w", F.col("mu") * (1 - F.col("mu")))
-        sums = [F.sum(F.col("c")[i] * (F.col("y") - F.col("mu"))).alias(f"s{i}") for i in range(k)]
-        sums += [F.sum(F.col("w") * F.col("c")[i] * F.col("c")[j]).alias(f"h{i}{j}") for i in range(k) for j in range(i, k)]
+        sums = [F.sum(F.col("c")[i] * (F.col("y") - F.col("n") * F.col("mu"))).alias(f"s{i}") for i in range(k)]
+        sums += [F.sum(F.col("n") * F.col("w") * F.col("c")[i] * F.col("c")[j]).alias(f"h{i}{j}") for i in range(k) for j in range(i, k)]
         moved = 0.0
         for row in r.groupBy(site).agg(*sums).collect():
             h = np.array([[row[f"h{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)])
@@ -194,6 +198,30 @@ def r_squared(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return ok.groupBy(*by).agg(F.count("*").alias("n"), F.regr_r2(F.col(y), F.col(x)).alias("r2"))
 
 
+def r_squared_given(df: DataFrame, score: str, covs: tuple[str, str], y: str, by: list[str]) -> DataFrame:
+    """R squared of a linear fit of y on an intercept, two covariates and a score, from one aggregation of moments about
+    the groups' means. Rows that lack a value are left out; null where y or the covariates don't vary."""
+    cols = {"g": score, "a": covs[0], "b": covs[1], "y": y}
+    x = df.select(*by, *[F.col(c).cast("double").alias(k) for k, c in cols.items()]).dropna()
+    pairs = ("aa", "ab", "bb", "ag", "bg", "ay", "by", "gg", "gy", "yy")
+    m = x.groupBy(*by).agg(F.count("*").alias("n"), *[F.covar_pop(f"`{p[0]}`", f"`{p[1]}`").alias(f"s_{p}") for p in pairs])
+    s = {p: F.col(f"s_{p}") for p in pairs}
+    # Take a out of b, g and y, then b out of g and y, then g out of y.
+    rest = lambda uv, u, v, by_what: uv - safe_div(u * v, by_what, F.lit(0.0))
+    bb, bg, b_y = (rest(s[f"b{v}"], s["ab"], s[f"a{v}"], s["aa"]) for v in "bgy")
+    gg, gy, yy = (rest(s[u + v], s[f"a{u}"], s[f"a{v}"], s["aa"]) for u, v in ("gg", "gy", "yy"))
+    gg, gy, yy = rest(gg, bg, bg, bb), rest(gy, bg, b_y, bb), rest(yy, b_y, b_y, bb)
+    yy = rest(yy, gy, gy, gg)
+    return m.select(*by, "n", (1 - safe_div(yy, s["yy"])).alias("r2"))
+
+
+def auroc_given(df: DataFrame, score: str, covs: tuple[str, ...], case: str, site: str) -> DataFrame:
+    """E9 (action): area under the ROC curve of the probabilities of a logistic fit of the case on covariates and a score."""
+    terms = (*covs, score)
+    x = df.dropna(subset=[site, case, *terms])
+    return auroc(null_mean(x, fit_null(x, site, case, terms), site, terms), "mu", case, [site])
+
+
 def auroc(df: DataFrame, score: str, case: str, by: list[str]) -> DataFrame:
     """Area under the ROC curve by ranks, ties at their average rank; null without both classes.
 

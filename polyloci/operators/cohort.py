@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.ranks import rank_within
 from .association import side
 from .variants import order_key
 
@@ -45,15 +47,14 @@ def assign_individuals(people: DataFrame, quota: DataFrame, person: str, seed: i
             raise ValueError("an ancestry has too few people")
     upto = F.sum("quota").over(W.partitionBy(pop).orderBy(site))
     q = quota.withColumn("__hi", upto).withColumn("__lo", F.col("__hi") - F.col("quota")).select(F.col(pop).alias("__pop"), site, "__lo", "__hi")
-    r = F.row_number().over(W.partitionBy(pop).orderBy(order_key(F.col(person).cast("long"), seed), person)) - 1
-    x = people.withColumn("__r", r)
+    x = rank_within(people.withColumn("__k", order_key(F.col(person).cast("long"), seed)), [pop], ["__k", person], "__r").select(*people.columns, "__r")
     return x.join(side(q), (F.col(pop) == F.col("__pop")) & (F.col("__r") >= F.col("__lo")) & (F.col("__r") < F.col("__hi"))).drop("__pop", "__lo", "__hi", "__r")
 
 
 def compose_cohort(people: DataFrame, quota: DataFrame, person: str, seed: int, by: list[str]) -> DataFrame:
     """The first `quota` people of each cell in an order that doesn't depend on the quota, so smaller cohorts are nested."""
-    r = F.row_number().over(W.partitionBy(*by).orderBy(order_key(F.col(person).cast("long"), seed), person))
-    return people.join(side(quota), by).withColumn("__r", r).filter(F.col("__r") <= F.col("quota")).drop("__r", "quota")
+    x = rank_within(people.withColumn("__k", order_key(F.col(person).cast("long"), seed)), by, ["__k", person], "__r")
+    return x.join(side(quota), by).filter(F.col("__r") < F.col("quota")).drop("__r", "__r_n", "__k", "quota")
 
 
 def split_sites(people: DataFrame, sizes: list[tuple[str, int]], person: str, seed: int, buckets: int = 256) -> DataFrame:
@@ -102,6 +103,53 @@ def skewed_quotas(labels: DataFrame, sites: int, skew: float, label: str, size:
     return x.withColumn("quota", (F.col("__base") + (F.col("__r") <= left).cast("long")).cast("long")).select(label, "site", "quota")
 
 
+def site_capacities(n: int, small_fraction: float, sites: int = 4) -> list[int]:
+    """People of each site: the last has a small share, the others the rest in equal parts, the first ones one more."""
+    if n < sites:
+        raise ValueError(f"{sites} sites need at least {sites} people")
+    small = max(1, min(n - sites + 1, round(n * small_fraction)))
+    rest, over = divmod(n - small, sites - 1)
+    return [rest + (i < over) for i in range(sites - 1)] + [small]
+
+
+def capacity_quotas(counts: dict[str, int], capacities: list[int], preference: dict[str, list[float]], minimum: int = 0) -> list[tuple[str, int, int]]:
+    """(label, site, quota) that use up all people and fill all capacities, `minimum` of each label at each site at
+    least. What is left of a label goes to sites by preference times free capacity. A table of labels by sites."""
+    if minimum < 0:
+        raise ValueError("the class minimum must not be negative")
+    if sum(counts.values()) != sum(capacities):
+        raise ValueError("capacities must add up to the number of people")
+    if min(capacities) < minimum * len(counts):
+        raise ValueError("a site's capacity is too small for the class minimum")
+    free = [c - minimum * len(counts) for c in capacities]
+    out = []
+    for label, n in sorted(counts.items()):
+        left = n - minimum * len(capacities)
+        if left < 0:
+            raise ValueError(f"label {label!r} has too few people for the class minimum at all sites")
+        quota = [minimum] * len(capacities)
+        while left:
+            weight = [p * f for p, f in zip(preference[label], free, strict=True)]
+            weight = weight if sum(weight) > 0 else free
+            give = [min(f, int(left * w / sum(weight))) for w, f in zip(weight, free, strict=True)]
+            if not any(give):
+                give[max(range(len(weight)), key=weight.__getitem__)] = 1
+            quota, free = [q + g for q, g in zip(quota, give, strict=True)], [f - g for f, g in zip(free, give, strict=True)]
+            left -= sum(give)
+        out += [(label, site, q) for site, q in enumerate(quota)]
+    return out
+
+
+def partition_sites(people: DataFrame, person: str, label: str, alpha: float, small_fraction: float, seed: int, minimum: int = 0, sites: int = 4) -> DataFrame:
+    """Adds site, from 0: label counts skewed by a Dirichlet preference for each label, within fixed capacities of the
+    sites, the last of them small, and with a least count of each label at each site. The driver sees one count a label."""
+    counts = {r[0]: r[1] for r in people.groupBy(label).count().collect()}
+    rows = np.random.default_rng(seed).dirichlet(np.full(sites, alpha), size=len(counts)).tolist() if counts else []
+    quotas = capacity_quotas(counts, site_capacities(sum(counts.values()), small_fraction, sites), dict(zip(sorted(counts), rows, strict=True)), minimum)
+    quota = people.sparkSession.createDataFrame(quotas, f"`{label}` {dict(people.dtypes)[label]}, site int, quota long")
+    return assign_individuals(people, quota, person, seed, label)
+
+
 def median_panel(df: DataFrame, score: str, tie: str) -> DataFrame:
     """The locus with the median score of each stratum, the upper one of an even number."""
     w = W.partitionBy("stratum")

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.scalars import normalize_chr
 from ..functions.lineage import cut
+from ..functions.ranks import rank_within
+from ..functions.scalars import normalize_chr
 from .association import side
 
 LCG, MERSENNE = 48271, 2147483647
@@ -164,13 +165,11 @@ def candidate_windows(variants: DataFrame, size: int, step: int) -> DataFrame:
 
 
 def stratify(df: DataFrame, score: str, tie: list[str]) -> DataFrame:
-    """H5: terciles by score: n div 3 low, n div 3 high, the rest medium. Locus tables are small: one window over all."""
-    w = W.partitionBy(F.lit(1))
-    n, r = F.count("*").over(w), F.row_number().over(w.orderBy(score, *tie))
-    third = F.floor(F.col("__n") / 3)
-    x = df.withColumn("__n", n).withColumn("__r", r)
-    name = F.when(F.col("__r") <= third, "low").when(F.col("__r") > F.col("__n") - third, "high").otherwise("medium")
-    return x.withColumn("stratum", name).drop("__n", "__r")
+    """H5: terciles by score: n div 3 low, n div 3 high, the rest medium."""
+    x = rank_within(df.withColumn("__all", F.lit(1)), ["__all"], [score, *tie], "__r")
+    third = F.floor(F.col("__r_n") / 3)
+    name = F.when(F.col("__r") < third, "low").when(F.col("__r") >= F.col("__r_n") - third, "high").otherwise("medium")
+    return x.withColumn("stratum", name).select(*df.columns, "stratum")
 
 
 def sample_strata(df: DataFrame, k: int, key: str, seed: int, strict: bool = True) -> DataFrame:
@@ -212,6 +211,19 @@ def drop_overlaps(df: DataFrame, bucket: int, priority: list[str], key: str, wit
     return df.join(kept.select(F.col("k").alias(key)), key, "left_semi")
 
 
+def drop_overlaps_by_extremeness(df: DataFrame, bucket: int, score: str, key: str) -> DataFrame:
+    """H6: greedy choice of non-overlapping windows in two passes: within each stratum the most extreme first (highest of
+    high, lowest of low, otherwise closest to the stratum's median), then over all strata by rank / size of the stratum.
+    Ties take the stratum's name, then the key."""
+    x = rank_within(df, ["stratum"], [score, key], "__r")
+    middle = (F.col("__r") == F.floor((F.col("__r_n") - 1) / 2)) | (F.col("__r") == F.floor(F.col("__r_n") / 2))
+    x = x.join(side(x.filter(middle).groupBy("stratum").agg(F.avg(score).alias("__median"))), "stratum").drop("__r", "__r_n")
+    far = F.when(F.col("stratum") == "high", -F.col(score)).when(F.col("stratum") == "low", F.col(score)).otherwise(F.abs(F.col(score) - F.col("__median")))
+    x = rank_within(x.withColumn("__far", far), ["stratum"], ["__far", key], "__r").withColumn("__priority", F.col("__r") / F.col("__r_n"))
+    first = drop_overlaps(x, bucket, ["__priority"], key, within=["stratum"])
+    return drop_overlaps(first, bucket, ["__priority", "stratum"], key).select(*df.columns)
+
+
 def region_ids(df: DataFrame) -> DataFrame:
     """H7: connected runs of overlapping windows: region is numbered within the chromosome."""
     w = W.partitionBy("chrom").orderBy("start_bp", "end_bp")
@@ -227,6 +239,20 @@ def region_stratum(df: DataFrame) -> DataFrame:
     return c.withColumn("__r", best).filter("__r = 1").select("chrom", "region", "stratum")
 
 
+def split_regions(df: DataFrame, seed: int) -> DataFrame:
+    """H7: adds region, and split: `development` for a third of the regions of each stratum, one at least, in a reproducible
+    order, `evaluation` for the rest. A stratum of fewer than two regions is an error."""
+    x = region_ids(df)
+    regions = region_stratum(x).withColumn("__k", order_key(F.col("chrom").cast("long") * 1_000_003 + F.col("region"), seed))
+    ranked = rank_within(regions, ["stratum"], ["__k", "chrom", "region"], "__r")
+    few = ranked.filter("__r_n < 2").select("stratum").first()
+    if few is not None:
+        raise ValueError(f"stratum {few[0]} has fewer than two separate regions")
+    first = F.col("__r") < F.greatest(F.lit(1), F.floor(F.col("__r_n") / 3))
+    ranked = ranked.select("chrom", "region", F.when(first, "development").otherwise("evaluation").alias("split"))
+    return x.join(ranked, ["chrom", "region"])
+
+
 def ld_prune(edges: DataFrame, variants: DataFrame, by: list[str], threshold: float, window: int) -> DataFrame:
     """H8: from left to right a variant is kept unless its r2 with one of the last `window` kept reaches the threshold.
 

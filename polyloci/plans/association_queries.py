@@ -103,6 +103,23 @@ def e9_r_squared(spark, sf):
     return A.r_squared(_pgs(spark, sf), "raw", "y", ["label"]).select("label", "n", r("r2").alias("r2"))
 
 
+@query(f"""WITH {_PGS}, x AS (SELECT label, y, raw AS g, (sample % 11)::DOUBLE AS a, (sample % 7)::DOUBLE AS b FROM pgs),
+  m AS (SELECT label, y - avg(y) OVER w AS y, g - avg(g) OVER w AS g, a - avg(a) OVER w AS a, b - avg(b) OVER w AS b FROM x WINDOW w AS (PARTITION BY label)),
+  k AS (SELECT label, y AS y0, b - a * sum(a * b) OVER w / sum(a * a) OVER w AS b, g - a * sum(a * g) OVER w / sum(a * a) OVER w AS g, y - a * sum(a * y) OVER w / sum(a * a) OVER w AS y FROM m WINDOW w AS (PARTITION BY label)),
+  t AS (SELECT label, y0, g - b * sum(b * g) OVER w / sum(b * b) OVER w AS g, y - b * sum(b * y) OVER w / sum(b * b) OVER w AS y FROM k WINDOW w AS (PARTITION BY label))
+  SELECT label, count(*) AS n, round(1 - (sum(y * y) - sum(g * y) * sum(g * y) / sum(g * g)) / sum(y0 * y0), 6) AS r2 FROM t GROUP BY label""")
+def e9_r_squared_given(spark, sf):
+    x = _pgs(spark, sf).withColumn("c1", F.col("sample") % 11).withColumn("c2", F.col("sample") % 7)
+    return A.r_squared_given(x, "raw", ("c1", "c2"), "y", ["label"]).select("label", "n", r("r2").alias("r2"))
+
+
+@query()
+def e9_auroc_given(spark, sf):
+    """No SQL: the logistic fit is iterative. Tested against Newton's method in NumPy."""
+    x = assoc(spark, sf).withColumn("score", F.col("y") / 10_000)
+    return A.auroc_given(x, "score", ("c1", "c2"), "is_case", "site")
+
+
 @query(f"""WITH {ASSOC}, a AS (SELECT site, c1, is_case, count(*) AS k FROM assoc GROUP BY ALL)
   SELECT p.site, round(sum(p.k * n.k * CASE WHEN p.c1 > n.c1 THEN 1.0 WHEN p.c1 = n.c1 THEN 0.5 ELSE 0 END) / sum(p.k * n.k), 9)::DOUBLE AS auroc
   FROM (SELECT * FROM a WHERE is_case) p JOIN (SELECT * FROM a WHERE NOT is_case) n ON p.site = n.site GROUP BY p.site""")

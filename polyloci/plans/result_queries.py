@@ -490,6 +490,13 @@ def h15_skewed_quotas(spark, sf):
     return H.skewed_quotas(n, 4, 1.0, "o_orderpriority")
 
 
+@query()
+def h15_partition_sites(spark, sf):
+    """No SQL: label preferences are drawn. Tested for capacities, class minimum, skew and repeatability."""
+    people = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    return H.partition_sites(people, "c_custkey", "c_mktsegment", 0.5, 0.1, 7, minimum=1)
+
+
 @query(f"""WITH l AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {LCG.format('c_custkey', 6)}, c_custkey) AS rk FROM customer) SELECT o_orderkey FROM orders WHERE o_orderkey % 10 < 3 AND o_custkey IN (SELECT c_custkey FROM l WHERE rk <= 8)""")
 def h17_sample_instances(spark, sf):
     loci = table(spark, sf, "customer").select(F.col("c_custkey").alias("locus"), F.col("c_mktsegment").alias("stratum"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from polyloci.functions import scalars as S
+from polyloci.functions.ranks import rank_within
 from polyloci.operators import association as A
 from polyloci.operators import classify as C
 from polyloci.operators import cohort as H
@@ -336,3 +337,89 @@ def test_data_use_rules(spark):
     rows = P.evaluate_data_use(prof, req, "2026-06-01").filter("dataset_id = request_id").collect()
     got = {r["dataset_id"]: r["decision"] for r in rows}
     assert [got[i] for i in range(len(CASES))] == [c[4] for c in CASES], [(c, got[i]) for i, c in enumerate(CASES) if got[i] != c[4]]
+
+
+def test_ranks_within_groups_of_any_size(spark):
+    rng = random.Random(2)
+    rows = [(k, "a" if k % 3 else "b", rng.randint(0, 5)) for k in range(200)]
+    df = spark.createDataFrame(rows, "k int, g string, v int")
+    for by in (["g"], []):
+        x = rank_within(df.withColumn("one", F.lit(1)), by or ["one"], ["v", "k"], "r").collect()
+        groups = {"a", "b"} if by else {None}
+        for g in groups:
+            want = [k for _, k in sorted((v, k) for k, h, v in rows if g in (None, h))]
+            own = sorted((r for r in x if g in (None, r["g"])), key=lambda r: r["r"])
+            assert [r["k"] for r in own] == want and [r["r"] for r in own] == list(range(len(want))) and {r["r_n"] for r in own} == {len(want)}
+    assert rank_within(df.limit(0), ["g"], ["v", "k"], "r").count() == 0
+
+
+def greedy(rows):
+    kept = []
+    for row in rows:
+        if not any(row[1] == k[1] and row[2] <= k[3] and k[2] <= row[3] for k in kept):
+            kept.append(row)
+    return kept
+
+
+def test_overlaps_go_in_two_passes_by_extremeness(spark):
+    rng = random.Random(8)
+    for n in (0, 1, 80):
+        rows = [(k, rng.randint(0, 1), s := rng.randint(0, 400), s + rng.randint(1, 30), float(rng.randint(0, 20)), rng.choice(["high", "low", "medium"])) for k in range(n)]
+        first = []
+        for stratum in ("high", "low", "medium"):
+            own = [r for r in rows if r[5] == stratum]
+            middle = float(np.median([r[4] for r in own])) if own else 0.0
+            far = {"high": lambda r: -r[4], "low": lambda r: r[4], "medium": lambda r, m=middle: abs(r[4] - m)}[stratum]
+            ranked = sorted(own, key=lambda r: (far(r), r[0]))
+            first += greedy([(*r, i / len(own)) for i, r in enumerate(ranked)])
+        want = {r[0] for r in greedy(sorted(first, key=lambda r: (r[6], r[5])))}
+        df = spark.createDataFrame(rows, "w int, chrom int, start_bp int, end_bp int, score double, stratum string")
+        got = V.drop_overlaps_by_extremeness(df, 50, "score", "w")
+        assert got.columns == df.columns and {r["w"] for r in got.collect()} == want
+
+
+def test_a_third_of_each_stratums_regions_is_for_development(spark):
+    rows = [(k, k % 2, 100 * k + d, 100 * k + d + 20, ["low", "high"][k % 5 == 0]) for k in range(40) for d in (0, 10)]
+    df = spark.createDataFrame(rows, "w int, chrom int, start_bp int, end_bp int, stratum string")
+    x = V.split_regions(df, 3).collect()
+    regions = {(r["chrom"], r["region"]): (r["stratum"], r["split"]) for r in x}
+    assert len(x) == 80 and len(regions) == 40
+    count = {s: sum(v == s for v in regions.values()) for s in set(regions.values())}
+    assert count == {("low", "development"): 10, ("low", "evaluation"): 22, ("high", "development"): 2, ("high", "evaluation"): 6}
+    with pytest.raises(ValueError, match="fewer than two"):
+        V.split_regions(df.filter("w in (0, 1, 2)"), 3)
+
+
+def test_sites_have_their_capacities_and_the_class_minimum(spark):
+    people = spark.createDataFrame([(k, "abc"[min(2, k % 7 // 2)]) for k in range(101)], "k int, label string")
+    got = H.partition_sites(people, "k", "label", 0.3, 0.1, 5, minimum=2).collect()
+    assert sorted(r["k"] for r in got) == list(range(101))
+    assert [sum(r["site"] == s for r in got) for s in range(4)] == [31, 30, 30, 10] == H.site_capacities(101, 0.1)
+    assert min(sum(r["site"] == s and r["label"] == c for r in got) for s in range(4) for c in "abc") >= 2
+    assert got == H.partition_sites(people, "k", "label", 0.3, 0.1, 5, minimum=2).collect()
+    for bad, message in (({"minimum": 4}, "capacity"), ({"minimum": -1}, "negative")):
+        with pytest.raises(ValueError, match=message):
+            H.partition_sites(people, "k", "label", 0.3, 0.1, 5, **bad)
+    with pytest.raises(ValueError, match="at least 4"):
+        H.partition_sites(people.limit(3), "k", "label", 0.3, 0.1, 5)
+
+
+def test_score_evaluation_takes_covariates(spark):
+    rng = np.random.default_rng(6)
+    c1, c2, score = rng.integers(0, 4, 300).astype(float), rng.normal(size=300), rng.normal(size=300)
+    y = 1 + 0.5 * c1 - c2 + 0.7 * score + rng.normal(size=300)
+    case = rng.random(300) < 1 / (1 + np.exp(-(0.4 * c1 + c2 + score - 1)))
+    rows = list(zip([1] * 300, c1.tolist(), c2.tolist(), score.tolist(), y.tolist(), case.tolist(), strict=True)) + [(1, None, 0.0, 1.0, 1.0, True), (2, 1.0, 1.0, 1.0, 1.0, True)]
+    df = spark.createDataFrame(rows, "site int, c1 double, c2 double, score double, y double, ill boolean")
+    x = np.column_stack([np.ones(300), c1, c2, score])
+    rss = np.linalg.lstsq(x, y, rcond=None)[1][0]
+    got = {r["site"]: (r["n"], r["r2"]) for r in A.r_squared_given(df, "score", ("c1", "c2"), "y", ["site"]).collect()}
+    assert got[1] == (300, pytest.approx(1 - rss / ((y - y.mean()) ** 2).sum(), abs=1e-9)) and got[2] == (1, None)
+    b = np.zeros(4)
+    for _ in range(30):
+        mu = 1 / (1 + np.exp(-x @ b))
+        b += np.linalg.solve((x * (mu * (1 - mu))[:, None]).T @ x, x.T @ (case - mu))
+    p = x @ b
+    want = (p[case][:, None] > p[~case][None, :]).mean()
+    area = {r["site"]: r["auroc"] for r in A.auroc_given(df.filter("site = 1"), "score", ("c1", "c2"), "ill", "site").collect()}
+    assert area == {1: pytest.approx(want, abs=1e-9)}
