@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,7 +15,7 @@ def rank_within(df: DataFrame, by: list[str], order: list[str], name: str) -> Da
     """Adds `name`, a row's place from 0 within its group in ascending order, and `name`_n, the group's size.
 
     Rows are dealt by ranges of (by, order), numbered within a range, and moved up by the rows of the ranges before: no
-    task holds a whole group. `order` must have no ties. The ranged rows are checkpointed, so ranges are the same in both
+    task holds a whole group. `order` must have no ties, or ties between equal rows only; null is a group. The ranged rows are checkpointed, so ranges are the same in both
     of their uses.
     """
     x = cut(df.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()))
@@ -22,5 +24,7 @@ def rank_within(df: DataFrame, by: list[str], order: list[str], name: str) -> Da
     before = F.coalesce(F.sum("__rows").over(w.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     n = n.withColumn("__before", before).withColumn(f"{name}_n", F.sum("__rows").over(w)).drop("__rows")
     place = F.row_number().over(W.partitionBy(*by, "__p").orderBy(*order)) - 1
-    x = x.withColumn("__place", place).join(n, [*by, "__p"])
-    return x.withColumn(name, F.col("__before") + F.col("__place")).drop("__p", "__place", "__before")
+    n = n.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate([*by, "__p"])], "__before", f"{name}_n")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate([*by, "__p"])])
+    x = x.withColumn("__place", place).join(n, same)
+    return x.withColumn(name, F.col("__before") + F.col("__place")).drop("__p", "__place", "__before", *[f"__by{i}" for i in range(len(by) + 1)])

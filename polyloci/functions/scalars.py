@@ -54,37 +54,43 @@ def _two_sided(z: pd.Series) -> pd.Series:
     return pd.Series(np.clip(out, TINY, 1.0)).where(z.notna().to_numpy())
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function, by Lentz's method."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Continued fraction of the incomplete beta function, by Lentz's method, for whole arrays; each entry stops by itself."""
+    guard = lambda v: np.where(np.abs(v) > 1e-300, v, 1e-300)
+    c, d = np.ones_like(x), 1.0 / guard(1.0 - (a + b) * x / (a + 1.0))
+    h, live = d.copy(), np.ones(len(x), bool)
     for m in range(1, 500):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + num * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + num / (c if abs(c) > tiny else tiny)
-            h *= d * c
-        if abs(d * c - 1.0) < 1e-15:
+            d = 1.0 / guard(1.0 + num * d)
+            c = 1.0 + num / guard(c)
+            h = np.where(live, h * d * c, h)
+        live &= np.abs(d * c - 1.0) >= 1e-15
+        if not live.any():
             break
     return h
 
 
-def t_tail(t: float, df: float) -> float:
-    """Two-sided tail of Student's t: the regularised incomplete beta function at df / (df + t^2)."""
-    if not (t == t and df > 0):
-        return math.nan
-    x = df / (df + t * t)
-    if x >= 1.0:
-        return 1.0
-    a, b = df / 2.0, 0.5
-    log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1.0) / (a + b + 2.0):
-        p = math.exp(log_front) * _beta_fraction(a, b, x) / a
-    else:
-        p = 1.0 - math.exp(log_front) * _beta_fraction(b, a, 1.0 - x) / b
-    return min(1.0, max(TINY, p))
+def _log_gamma(v: np.ndarray) -> np.ndarray:
+    known, at = np.unique(v, return_inverse=True)
+    return np.array([math.lgamma(k) for k in known])[at]
+
+
+def t_tails(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Two-sided tails of Student's t: the regularised incomplete beta function at df / (df + t^2). NaN where t or df is
+    none, or df is not above 0."""
+    out = np.full(len(t), np.nan)
+    ok = ~np.isnan(t) & (df > 0)
+    n, x = df[ok], df[ok] / (df[ok] + t[ok] * t[ok])
+    p, inside = np.ones(len(x)), (x < 1.0)
+    a, x = n[inside] / 2.0, x[inside]
+    b = np.full(len(a), 0.5)
+    with np.errstate(divide="ignore"):
+        front = np.exp(_log_gamma(a + b) - _log_gamma(a) - math.lgamma(0.5) + a * np.log(x) + b * np.log1p(-x))
+    low = x < (a + 1.0) / (a + b + 2.0)
+    fraction = _beta_fraction(np.where(low, a, b), np.where(low, b, a), np.where(low, x, 1.0 - x))
+    p[inside] = np.where(low, front * fraction / a, 1.0 - front * fraction / b)
+    out[ok] = np.clip(p, TINY, 1.0)
+    return out
 
 
 @F.pandas_udf(T.DoubleType())
@@ -96,7 +102,7 @@ def p_norm(z: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def p_t(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided tail of Student's t."""
-    return pd.Series([t_tail(a, b) for a, b in zip(t.to_numpy(float), df.to_numpy(float), strict=True)])
+    return pd.Series(t_tails(t.to_numpy(float), df.to_numpy(float)))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -235,13 +235,15 @@ def auroc(df: DataFrame, score: str, case: str, by: list[str]) -> DataFrame:
 
 
 def hits_table(df: DataFrame, threshold: float, k: int, trait: list[str], order: list[str], p: str = "p") -> DataFrame:
-    """H1: a trait's significant rows, or its k rows with the smallest p if there are none, with rank and hit_set."""
-    n = df.groupBy(*trait).agg(F.count_if(F.col(p) < threshold).alias("__hits"))
-    wide = df.join(side(n), trait)
-    rank = F.row_number().over(W.partitionBy(*trait).orderBy(F.col(p).asc_nulls_last(), *order))
-    wide = wide.filter((F.col("__hits") == 0) | (F.col(p) < threshold)).withColumn("rank", rank)
-    wide = wide.filter((F.col("__hits") > 0) | (F.col("rank") <= k))
-    return wide.withColumn("hit_set", F.when(F.col("__hits") > 0, "significant").otherwise("top")).drop("__hits")
+    """H1: a trait's significant rows, or its k rows with the smallest p if there are none, with rank and hit_set.
+
+    The k smallest are cut within tasks before they meet; a trait has significant rows if and only if the first of them is.
+    """
+    w = W.partitionBy(*trait).orderBy(F.col(p).asc_nulls_last(), *order)
+    hits = df.filter(F.col(p) < threshold).withColumn("rank", F.row_number().over(w)).withColumn("hit_set", F.lit("significant"))
+    top = df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    top = top.withColumn("__least", F.min(p).over(W.partitionBy(*trait))).filter(~F.coalesce(F.col("__least") < threshold, F.lit(False))).drop("__least")
+    return hits.unionByName(top.withColumn("hit_set", F.lit("top")))
 
 
 def manhattan_points(df: DataFrame, chrom: str = "chrom", bp: str = "bp", gap: int = 1_000_000) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.lineage import cut
 from ..functions.scalars import safe_div
 from .association import side
 
@@ -126,7 +127,7 @@ def fed_logistic(df: DataFrame, rounds: int, site: str = "site", x: str = "x", y
     """
     spark = df.sparkSession
     p = len(df.select(x).first()[0]) + 1
-    rows = df.select(site, F.concat(F.array(F.lit(1.0)), F.col(x)).alias("f"), F.col(y).cast("double").alias("y"), test)
+    rows = cut(df.select(site, F.concat(F.array(F.lit(1.0)), F.col(x)).alias("f"), F.col(y).cast("double").alias("y"), test))
     train, held = rows.filter(~F.col(test)), rows.filter(test)
     counts = {r[0]: r[1] for r in train.groupBy(site).count().collect()}
     w = np.zeros(p)

@@ -2,35 +2,23 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lineage import cut
 from ..functions.scalars import safe_div
 from .association import side
 
 
-def geno_moments(geno: DataFrame, by: list[str], sample: str = "sample", j: str = "j") -> tuple[DataFrame, DataFrame]:
+def geno_moments(geno: DataFrame, by: list[str], sample: str = "sample", j: str = "j", rows: int = 4096) -> tuple[DataFrame, DataFrame]:
     """G = X'X as rows (by, i <= j, g) and (by, j, u, n), from raw whole dosages without missing values.
 
-    One row per sample holds its dosages; pairs are made within it and added up before the shuffle. Sums of whole numbers
-    are exact.
+    One row per sample holds its dosages. Gram blocks of an Arrow batch of samples, `rows` at a time, are added up by
+    Spark, so a pair of variants is a row once for each batch, not for each sample. Sums of whole numbers are exact.
     """
-    x = geno.groupBy(*by, sample).agg(F.array_sort(F.collect_list(F.struct(F.col(j).cast("int").alias("j"), F.col("dosage").cast("long").alias("d")))).alias("x"))
-    wide = x.filter(F.size("x") > 0)
-    pair = wide.select(*by, F.posexplode("x").alias("p", "a"), "x").select(*by, "a", F.explode(F.slice("x", F.col("p") + 1, F.size("x"))).alias("b"))
-    g = pair.groupBy(*by, F.col("a.j").alias("i"), F.col("b.j").alias("j")).agg(F.sum(F.col("a.d") * F.col("b.d")).alias("g"))
-    u = geno.groupBy(*by, F.col(j).cast("int").alias("j")).agg(F.sum(F.col("dosage").cast("long")).alias("u"), F.count("dosage").alias("n"))
-    return g, u
-
-
-def geno_moments_blocked(geno: DataFrame, by: list[str], sample: str = "sample", j: str = "j", rows: int = 4096) -> DataFrame:
-    """E10 for many variants: Gram blocks of some samples at a time in Arrow batches, added up by Spark. Same rows as G."""
     x = geno.groupBy(*by, sample).agg(F.array_sort(F.collect_list(F.struct(F.col(j).cast("int").alias("j"), F.col("dosage").cast("double").alias("d")))).alias("x"))
     x = x.select(*by, F.col("x.j").alias("js"), F.col("x.d").alias("d"))
     fields = [f for f in x.schema if f.name in by]
@@ -40,18 +28,20 @@ def geno_moments_blocked(geno: DataFrame, by: list[str], sample: str = "sample",
         for batch in batches:
             pdf = batch.to_pandas()
             pdf["__axis"] = [tuple(v) for v in pdf["js"]]
-            for key, part in pdf.groupby([*by, "__axis"], sort=False):
+            for key, part in pdf.groupby([*by, "__axis"], sort=False, dropna=False):
                 axis = np.array(key[-1])
                 total = np.zeros((len(axis), len(axis)))
                 for s in range(0, len(part), rows):
                     m = np.stack(part["d"].iloc[s : s + rows].to_list())
                     total += m.T @ m
                 a, b = np.triu_indices(len(axis))
-                cols = [pa.array([k] * len(a)) for k in key[:-1]] + [pa.array(axis[a], pa.int32()), pa.array(axis[b], pa.int32()), pa.array(np.rint(total[a, b]).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, schema=None, names=[*by, "i", "j", "g"])
+                first = batch.slice(int(part.index[0]), 1)
+                cols = [pa.repeat(first.column(c)[0], len(a)) for c in by] + [pa.array(axis[a], pa.int32()), pa.array(axis[b], pa.int32()), pa.array(np.rint(total[a, b]).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, names=[*by, "i", "j", "g"])
 
-    parts = x.mapInArrow(gram, schema)
-    return parts.groupBy(*by, "i", "j").agg(F.sum("g").alias("g"))
+    g = x.mapInArrow(gram, schema).groupBy(*by, "i", "j").agg(F.sum("g").alias("g"))
+    u = geno.groupBy(*by, F.col(j).cast("int").alias("j")).agg(F.sum(F.col("dosage").cast("long")).alias("u"), F.count("dosage").alias("n"))
+    return g, u
 
 
 def pheno_moments(geno: DataFrame, pheno: DataFrame, by: list[str], sample: str = "sample", j: str = "j") -> tuple[DataFrame, DataFrame]:
@@ -77,11 +67,13 @@ def pooled_ld(g: DataFrame, u: DataFrame, by: list[str]) -> DataFrame:
     """(by, i <= j, r) of pooled moments: population correlation; 0 without variance, 1 on the diagonal."""
     d = g.filter("i = j").select(*by, F.col("i").alias("j"), F.col("g").alias("__gg"))
     s = u.join(d, [*by, "j"]).select(*by, "j", "n", (F.col("u") / F.col("n")).alias("mean"), (F.col("__gg") / F.col("n") - (F.col("u") / F.col("n")) ** 2).alias("var"))
+    s = cut(s)
+    some = F.broadcast if s.count() <= 50_000 else lambda x: x
     a = s.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("j").alias("__i"), F.col("mean").alias("mi"), F.col("var").alias("vi"), "n")
     b = s.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("j").alias("__j"), F.col("mean").alias("mj"), F.col("var").alias("vj"))
     on_a = (F.col("i") == F.col("__i")) & _all([F.col(c) == F.col(f"__{c}") for c in by])
     on_b = (F.col("j") == F.col("__j")) & _all([F.col(c) == F.col(f"_b_{c}") for c in by])
-    x = g.join(side(a, 50_000), on_a).join(side(b, 50_000), on_b)
+    x = g.join(some(a), on_a).join(some(b), on_b)
     r = (F.col("g") / F.col("n") - F.col("mi") * F.col("mj")) / F.sqrt(F.col("vi") * F.col("vj"))
     ok = (F.col("vi") > 1e-12) & (F.col("vj") > 1e-12)
     return x.select(*by, "i", "j", F.when(F.col("i") == F.col("j"), 1.0).when(ok, r).otherwise(0.0).alias("r"))
@@ -165,32 +157,20 @@ RING = 1 << 64
 FRACTION_BITS = 20
 
 
-def _mask(a: str, b: str, element: str, secret: str) -> int:
-    return int.from_bytes(hashlib.sha256(f"{secret}|{a}|{b}|{element}".encode()).digest()[:8], "big")
-
-
 def mask_moments(df: DataFrame, sites: list[str], secret: str, site: str = "site", element: str = "element", value: str = "value") -> DataFrame:
     """Fixed-point values with a mask for each other site, added by the earlier and taken by the later one, in Z / 2^64.
 
     Columns: site, element, masked DECIMAL(20, 0). Without all sites' rows the values tell nothing.
     """
-    order = {s: i for i, s in enumerate(sites)}
-
-    @F.pandas_udf(T.StringType())
-    def masked(s: pd.Series, e: pd.Series, v: pd.Series) -> pd.Series:
-        out = []
-        for own, el, x in zip(s, e, v, strict=True):
-            total = round(x * (1 << FRACTION_BITS))
-            for other in sites:
-                if other != own:
-                    lo, hi = sorted((own, other), key=order.__getitem__)
-                    m = _mask(lo, hi, el, secret)
-                    total += m if own == lo else -m
-            out.append(str(total % RING))
-        return pd.Series(out)
-
-    m = masked(F.col(site).cast("string"), F.col(element).cast("string"), F.col(value).cast("double"))
-    return df.select(site, element, m.cast("decimal(20,0)").alias("masked"))
+    own, name = F.col(site).cast("string"), F.col(element).cast("string")
+    ring = F.lit(str(RING)).cast("decimal(21,0)")
+    total = F.bround(F.col(value).cast("double") * (1 << FRACTION_BITS), 0).cast("decimal(38,0)")
+    for i, a in enumerate(sites):
+        for b in sites[i + 1 :]:
+            digest = F.sha2(F.concat_ws("|", F.lit(secret), F.lit(a), F.lit(b), name), 256)
+            m = F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")
+            total = total + F.when(own == a, m).when(own == b, -m).otherwise(0)
+    return df.select(site, element, F.pmod(total.cast("decimal(38,0)"), ring).cast("decimal(20,0)").alias("masked"))
 
 
 def secure_sum(masked: DataFrame, sites: list[str], site: str = "site", element: str = "element") -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+from ..functions.ranks import rank_within
+
 # Permission, purpose and modifier codes of the public Data Use Ontology.
 UNRESTRICTED, GENERAL, HEALTH, DISEASE, POPULATION = "DUO:0000004", "DUO:0000042", "DUO:0000006", "DUO:0000007", "DUO:0000011"
 NO_METHODS, RESEARCH_TYPE, NON_COMMERCIAL, NON_PROFIT_ONLY = "DUO:0000015", "DUO:0000012", "DUO:0000046", "DUO:0000045"
@@ -21,6 +24,8 @@ COMPARED = {GEOGRAPHY: "geography", USER: "requester", PROJECT: "project", INSTI
 PERMITTED, UNDETERMINED, DENIED = 0, 1, 2
 #: Requests are broadcast up to so many rows.
 SMALL = 10_000
+#: Lines or digests that are hashed as one.
+FAN = 4096
 
 
 def _list(c: Column | str) -> Column:
@@ -95,14 +100,28 @@ def evaluate_data_use(profiles: DataFrame, requests: DataFrame, as_of: str) -> D
 
 
 def blocking(decisions: DataFrame, site: str = "dataset_id", study: str = "request_id") -> DataFrame:
-    """K2: sites that block a study, and how many."""
-    return decisions.filter("decision <> 'permitted'").groupBy(study).agg(F.count("*").alias("n_blocking"), F.array_join(F.sort_array(F.collect_list(F.col(site).cast("string"))), ",").alias("sites"))
+    """K2: one row for each site that blocks a study, with n_blocking, the study's number of such sites."""
+    rows = decisions.filter("decision <> 'permitted'").select(study, site)
+    return rows.join(rows.groupBy(study).agg(F.count("*").alias("n_blocking")), study)
+
 
+def fingerprint(df: DataFrame, key: list[str], order: str, line: Column, fan: int = FAN) -> DataFrame:
+    """G5 (action): SHA-256 of a group's lines in order, parted by line feeds.
 
-def fingerprint(df: DataFrame, key: list[str], order: str, line: Column) -> DataFrame:
-    """SHA-256 of a group's lines in order, parted by line feeds."""
-    x = df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))).alias("a"))
-    return x.select(*key, F.sha2(F.array_join(F.col("a")["l"], "\n").cast("binary"), 256).alias("fingerprint"))
+    A group of more than `fan` lines is a tree: each `fan` lines in order are hashed, and the digests take the lines' place
+    until one is left; a digest alone in its block is passed on. So no task holds more than `fan` lines of a group.
+    """
+    x = rank_within(df.select(*key, F.col(order).alias("__o"), line.alias("__l")), key, ["__o", "__l"], "__r").select(*key, "__r", "__l")
+    leaf = True
+    while True:
+        x = x.groupBy(*key, F.floor(F.col("__r") / fan).alias("__b")).agg(F.array_sort(F.collect_list(F.struct("__r", "__l"))).alias("__a"))
+        digest = F.sha2(F.array_join(F.col("__a")["__l"], "\n").cast("binary"), 256)
+        if not leaf:
+            digest = F.when(F.size("__a") == 1, F.col("__a")[0]["__l"]).otherwise(digest)
+        x = cut(x.select(*key, F.col("__b").alias("__r"), digest.alias("__l")))
+        if x.filter("__r > 0").isEmpty():
+            return x.select(*key, F.col("__l").alias("fingerprint"))
+        leaf = False
 
 
 def diff_manifest(a: DataFrame, b: DataFrame, key: str = "path", digest: str = "sha256") -> DataFrame:
@@ -118,10 +137,12 @@ def content_manifest(files: DataFrame, key: str, content: Column, parent: Column
 
 
 def bundle_ids(manifest: DataFrame) -> DataFrame:
-    """One level of the Merkle tree: each parent's SHA-256 of its children's names and digests in name order, with size."""
-    x = manifest.groupBy("parent").agg(F.sum("size").alias("size"), F.array_sort(F.collect_list(F.struct("path", "sha256"))).alias("c"))
-    lines = F.transform("c", lambda s: F.concat_ws(" ", s["path"], s["sha256"]))
-    return x.select(F.col("parent").alias("path"), "size", F.sha2(F.array_join(lines, "\n").cast("binary"), 256).alias("sha256"))
+    """G6 (action): one level of the Merkle tree: each parent's fingerprint of its children's names and digests in name order,
+    with size."""
+    ids = fingerprint(manifest, ["parent"], "path", F.concat_ws(" ", "path", "sha256"))
+    size = manifest.groupBy(F.col("parent").alias("__parent")).agg(F.sum("size").alias("size"))
+    x = ids.join(size, F.col("parent").eqNullSafe(F.col("__parent")))
+    return x.select(F.col("parent").alias("path"), "size", F.col("fingerprint").alias("sha256"))
 
 
 def scan_files(spark, path: str) -> DataFrame:

@@ -415,13 +415,20 @@ def g4_diff_manifest(spark, sf):
     return P.diff_manifest(m, b)
 
 
-@query("SELECT l_suppkey, sha256(string_agg(l_orderkey || ':' || l_linenumber, chr(10) ORDER BY l_orderkey * 10 + l_linenumber, l_orderkey || ':' || l_linenumber)) AS fingerprint FROM lineitem GROUP BY 1")
+def _tree(lines: str) -> str:
+    """The tree of fingerprint() over rows (k, o, l) up to two levels, which is FAN squared lines a group."""
+    leaves = f"SELECT k, r // {P.FAN} AS b, sha256(string_agg(l, chr(10) ORDER BY r)) AS d FROM (SELECT k, l, row_number() OVER (PARTITION BY k ORDER BY o, l) - 1 AS r FROM ({lines})) GROUP BY 1, 2"
+    return f"b AS ({leaves}), t AS (SELECT k, CASE WHEN count(*) = 1 THEN min(d) ELSE sha256(string_agg(d, chr(10) ORDER BY b)) END AS d FROM b GROUP BY k)"
+
+
+@query(f"WITH {_tree("SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS o, l_orderkey || ':' || l_linenumber AS l FROM lineitem")} SELECT k AS l_suppkey, d AS fingerprint FROM t")
 def g5_fingerprint(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("o", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     return P.fingerprint(li, ["l_suppkey"], "o", F.concat_ws(":", "l_orderkey", "l_linenumber"))
 
 
-@query("""WITH m AS (SELECT doc_id::VARCHAR AS path, source AS parent, strlen(coalesce(text, ''))::BIGINT AS size, sha256(coalesce(text, '')) AS h FROM documents) SELECT parent AS path, sum(size)::BIGINT AS size, sha256(string_agg(path || ' ' || h, chr(10) ORDER BY path, h)) AS sha256 FROM m GROUP BY parent""")
+@query(f"""WITH m AS (SELECT doc_id::VARCHAR AS path, source AS parent, strlen(coalesce(text, ''))::BIGINT AS size, sha256(coalesce(text, '')) AS h FROM documents),
+  {_tree("SELECT parent AS k, path AS o, path || ' ' || h AS l FROM m")}, z AS (SELECT parent, sum(size)::BIGINT AS size FROM m GROUP BY 1) SELECT parent AS path, size, d AS sha256 FROM z JOIN t ON parent IS NOT DISTINCT FROM k""")
 def g6_bundle_ids(spark, sf):
     d = table(spark, sf, "documents")
     return P.bundle_ids(P.content_manifest(d, "doc_id", F.coalesce("text", F.lit("")), F.col("source")))
@@ -696,7 +703,7 @@ def k1_evaluate_data_use(spark, sf):
     return P.evaluate_data_use(_profiles(spark, sf), _requests(spark, sf), "2025-06-01").select("dataset_id", "request_id", "decision")
 
 
-@query(f"WITH {_DUO} SELECT request_id, count(*) AS n_blocking, string_agg(dataset_id::VARCHAR, ',' ORDER BY dataset_id::VARCHAR) AS sites FROM dd WHERE decision <> 'permitted' GROUP BY 1")
+@query(f"WITH {_DUO} SELECT request_id, dataset_id, count(*) OVER (PARTITION BY request_id) AS n_blocking FROM dd WHERE decision <> 'permitted'")
 def k2_blocking(spark, sf):
     return P.blocking(P.evaluate_data_use(_profiles(spark, sf), _requests(spark, sf), "2025-06-01"))
 

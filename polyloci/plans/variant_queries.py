@@ -154,7 +154,7 @@ def e10_geno_moments(spark, sf):
 
 @query(f"WITH {_G} SELECT site, pop, locus, i, j, g FROM g")
 def e10_geno_moments_blocked(spark, sf):
-    return M.geno_moments_blocked(geno(spark, sf), ["site", "pop", "locus"])
+    return M.geno_moments(geno(spark, sf), ["site", "pop", "locus"], rows=64)[0]
 
 
 @query(f"WITH {GENO} SELECT site, pop, j, round(sum(dosage * y), 6) AS c FROM geno GROUP BY site, pop, j")

@@ -1,5 +1,6 @@
 """Closed forms, known answers and invariances of the operators; no llm import here."""
 
+import hashlib
 import math
 import random
 
@@ -19,12 +20,16 @@ from polyloci.operators import results as R
 from polyloci.operators import variants as V
 
 
+def _t(t, df):
+    return S.t_tails(np.array([t], float), np.array([df], float))[0]
+
+
 def test_tails_of_known_values():
-    assert S.t_tail(0.0, 5) == 1.0
-    assert math.isclose(S.t_tail(2.570581835636314, 5), 0.05, rel_tol=1e-9)
-    assert math.isclose(S.t_tail(12.706204736174698, 1), 0.05, rel_tol=1e-9)
-    assert math.isclose(S.t_tail(1.959963984540054, 1e9), 0.05, rel_tol=1e-6)
-    assert S.t_tail(1e6, 100) == S.TINY or S.t_tail(1e6, 100) < 1e-300
+    assert _t(0.0, 5) == 1.0
+    assert math.isclose(_t(2.570581835636314, 5), 0.05, rel_tol=1e-9)
+    assert math.isclose(_t(12.706204736174698, 1), 0.05, rel_tol=1e-9)
+    assert math.isclose(_t(1.959963984540054, 1e9), 0.05, rel_tol=1e-6)
+    assert _t(1e6, 100) == S.TINY or _t(1e6, 100) < 1e-300
 
 
 def test_tail_columns(spark):
@@ -132,7 +137,7 @@ def test_pooling_does_not_depend_on_the_sites(spark, sites):
     gm, _ = M.geno_moments(geno, ["site"])
     want = {(i, j): int((g[:, i] * g[:, j]).sum()) for i in range(4) for j in range(i, 4)}
     assert {(r["i"], r["j"]): r["g"] for r in M.pool(gm, ["i", "j"], ["g"]).collect()} == want
-    assert {(r["i"], r["j"]): r["g"] for r in M.pool(M.geno_moments_blocked(geno, ["site"]), ["i", "j"], ["g"]).collect()} == want
+    assert {(r["i"], r["j"]): r["g"] for r in M.pool(M.geno_moments(geno, ["site"], rows=7)[0], ["i", "j"], ["g"]).collect()} == want
 
 
 def test_masked_sum(spark):
@@ -423,3 +428,33 @@ def test_score_evaluation_takes_covariates(spark):
     want = (p[case][:, None] > p[~case][None, :]).mean()
     area = {r["site"]: r["auroc"] for r in A.auroc_given(df.filter("site = 1"), "score", ("c1", "c2"), "ill", "site").collect()}
     assert area == {1: pytest.approx(want, abs=1e-9)}
+
+
+@pytest.mark.parametrize("fan", [2, 3, 50])
+def test_fingerprint_is_a_tree_of_bounded_blocks(spark, fan):
+    def tree(lines):
+        digests, leaf = lines, True
+        while leaf or len(digests) > 1:
+            blocks = [digests[i : i + fan] for i in range(0, len(digests), fan)]
+            digests = [b[0] if len(b) == 1 and not leaf else hashlib.sha256("\n".join(b).encode()).hexdigest() for b in blocks]
+            leaf = False
+        return digests[0]
+
+    sizes = {"a": 1, "b": 2, "c": 7, "d": 19, None: 5}
+    rows = [(k, i // 2, f"{k}{i}") for k, n in sizes.items() for i in range(n)] + [("e", 1, "x"), ("e", 1, "x"), ("e", 0, "z")]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, o int, l string").repartition(3)
+    got = {r["k"]: r["fingerprint"] for r in P.fingerprint(df, ["k"], "o", F.col("l"), fan).collect()}
+    assert got == {k: tree([x[2] for x in sorted(r for r in rows if r[0] == k)]) for k in [*sizes, "e"]}
+    assert P.fingerprint(df.limit(0), ["k"], "o", F.col("l"), fan).count() == 0
+
+
+def test_blocking_sites_are_rows(spark):
+    d = spark.createDataFrame([("a", 1, "denied"), ("b", 1, "undetermined"), ("c", 1, "permitted"), ("a", 2, "permitted"), ("b", 3, "denied")], "dataset_id string, request_id int, decision string")
+    assert sorted((r["request_id"], r["dataset_id"], r["n_blocking"]) for r in P.blocking(d).collect()) == [(1, "a", 2), (1, "b", 2), (3, "b", 1)]
+
+
+def test_hits_or_the_smallest_p(spark):
+    rows = [("x", i, p) for i, p in enumerate([0.5, 0.001, 0.002, None])] + [("y", i, p) for i, p in enumerate([0.5, 0.1, None, 0.1])] + [("z", 0, None)]
+    got = A.hits_table(spark.createDataFrame(rows, "t string, v int, p double"), 0.01, 2, ["t"], ["v"]).collect()
+    assert sorted((r["t"], r["v"], r["rank"], r["hit_set"]) for r in got) == [("x", 1, 1, "significant"), ("x", 2, 2, "significant"), ("y", 1, 1, "top"), ("y", 3, 2, "top"), ("z", 0, 1, "top")]
