@@ -112,13 +112,13 @@ def p_chi2(x: pd.Series) -> pd.Series:
 
 
 def neglog10(p: Column) -> Column:
-    """-log10 p, with p at least TINY."""
-    return -F.log10(F.greatest(p, F.lit(TINY)))
+    """-log10 p, with p at least TINY; null stays null."""
+    return F.when(p.isNotNull(), -F.log10(F.greatest(p, F.lit(TINY))))
 
 
 def odds_ratio(beta: Column) -> Column:
-    """exp(beta), the exponent within +-50."""
-    return F.exp(F.greatest(F.least(beta, F.lit(50.0)), F.lit(-50.0)))
+    """exp(beta), the exponent within +-50; null stays null."""
+    return F.when(beta.isNotNull(), F.exp(F.greatest(F.least(beta, F.lit(50.0)), F.lit(-50.0))))
 
 
 def maf(af: Column) -> Column:

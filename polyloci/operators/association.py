@@ -18,6 +18,8 @@ from ..functions.scalars import TINY, neglog10, odds_ratio, safe_div
 
 #: Sites up to this number have their covariate sums joined by broadcast.
 BROADCAST_SITES = 10_000
+#: A covariate is explained by others if so small a share of its squares is left.
+SINGULAR = 1e-9
 
 
 def side(df: DataFrame, most: int = BROADCAST_SITES) -> DataFrame:
@@ -113,7 +115,7 @@ def fit_null(df: DataFrame, site: str = "site", case: str = "case", covs: tuple[
         b = spark.createDataFrame([(s, v.tolist()) for s, v in beta.items()], schema)
         eta = F.aggregate(F.zip_with("c", "b", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
         mu = F.greatest(F.least(1 / (1 + F.exp(-eta)), F.lit(1 - 1e-8)), F.lit(1e-8))
-        r = rows.join(side(b), site).withColumn("mu", mu).withColumn("w", F.col("mu") * (1 - F.col("mu")))
+        r = rows.join(F.broadcast(b) if len(beta) <= BROADCAST_SITES else b, site).withColumn("mu", mu).withColumn("w", F.col("mu") * (1 - F.col("mu")))
         sums = [F.sum(F.col("c")[i] * (F.col("y") - F.col("n") * F.col("mu"))).alias(f"s{i}") for i in range(k)]
         sums += [F.sum(F.col("n") * F.col("w") * F.col("c")[i] * F.col("c")[j]).alias(f"h{i}{j}") for i in range(k) for j in range(i, k)]
         moved = 0.0
@@ -138,7 +140,8 @@ def null_mean(df: DataFrame, null: DataFrame, site: str = "site", covs: tuple[st
 def gwas_score(df: DataFrame, site: str = "site", variant: str = "variant", g: str = "dosage", case: str = "case", covs: tuple[str, str] = ("c1", "c2")) -> DataFrame:
     """Logistic score test of each variant at each site, from rows with mu of the null model.
 
-    Columns: site, variant, n, beta, se, stat and odds_ratio.
+    Columns: site, variant, n, beta, se, stat and odds_ratio. The intercept and the covariates are taken out one by one; one
+    that those before it explain takes out nothing. A variant without information left has null beta and se and stat 0.
     """
     df = df.select(site, variant, "mu", F.col(covs[0]).cast("double").alias("c1"), F.col(covs[1]).cast("double").alias("c2"), F.col(g).cast("double").alias("g"), F.col(case).cast("double").alias("y")).dropna()
     w, r = F.col("mu") * (1 - F.col("mu")), F.col("y") - F.col("mu")
@@ -148,12 +151,18 @@ def gwas_score(df: DataFrame, site: str = "site", variant: str = "variant", g: s
         sums += [F.sum(w * F.col("g") * c[i]).alias(f"a{i}"), F.sum(r * c[i]).alias(f"d{i}")]
         sums += [F.sum(w * c[i] * c[j]).alias(f"A{i}{j}") for j in range(i, 3)]
     m = df.groupBy(site, variant).agg(*sums)
-    a = {k: F.col(f"A{k}") for k in ("00", "01", "02", "11", "12", "22")}
-    m = m.withColumns({f"x{i}": x for i, x in enumerate(_solve3(a, [F.col(f"a{i}") for i in range(3)]))})
-    dot = lambda p: sum((F.col(f"{p}{i}") * F.col(f"x{i}") for i in range(3)), F.lit(0.0))
-    m = m.withColumn("info", F.col("gg") - dot("a")).withColumn("u", F.col("gr") - dot("d"))
-    info = F.when(F.col("info") > 1e-9, F.col("info"))
-    m = m.withColumn("beta", F.col("u") / info).withColumn("se", 1 / F.sqrt(info))
+    m = m.withColumns({f"own{k}": F.col(f"A{k}{k}") for k in range(3)})
+    for k in range(3):
+        pivot = F.when(F.col(f"A{k}{k}") > SINGULAR * F.col(f"own{k}"), F.col(f"A{k}{k}"))
+        less = lambda out, x, y: {out: F.col(out) - F.coalesce(F.col(x) * F.col(y) / pivot, F.lit(0.0))}  # noqa: B023, E731
+        new = less("gg", f"a{k}", f"a{k}") | less("gr", f"a{k}", f"d{k}")
+        for i in range(k + 1, 3):
+            new |= less(f"a{i}", f"A{k}{i}", f"a{k}") | less(f"d{i}", f"A{k}{i}", f"d{k}")
+            for j in range(i, 3):
+                new |= less(f"A{i}{j}", f"A{k}{i}", f"A{k}{j}")
+        m = m.withColumns(new)
+    info = F.when(F.col("gg") > 1e-9, F.col("gg"))
+    m = m.withColumn("beta", F.col("gr") / info).withColumn("se", 1 / F.sqrt(info))
     return m.select(site, variant, "n", "beta", "se", safe_div(F.col("beta"), F.col("se"), F.lit(0.0)).alias("stat"), odds_ratio(F.col("beta")).alias("odds_ratio"))
 
 

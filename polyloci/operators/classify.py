@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions.lineage import cut
 from ..functions.scalars import safe_div
-from .association import side
+from .association import BROADCAST_SITES, side
 
 
 def select_panel(df: DataFrame, k: int, feature: str = "feature", value: str = "value") -> DataFrame:
@@ -146,7 +146,7 @@ def fed_logistic(df: DataFrame, rounds: int, site: str = "site", x: str = "x", y
         for _ in range(steps):
             t = spark.createDataFrame([(s, v.tolist()) for s, v in local.items()], f"`{site}` {kind}, w array<double>")
             e = 1 / (1 + F.exp(-dot)) - F.col("y")
-            g = train.join(side(t), site).withColumn("e", e).groupBy(site).agg(F.count("*").alias("n"), *[F.sum(F.col("e") * F.col("f")[i]).alias(f"g{i}") for i in range(p)])
+            g = train.join(F.broadcast(t) if len(local) <= BROADCAST_SITES else t, site).withColumn("e", e).groupBy(site).agg(F.count("*").alias("n"), *[F.sum(F.col("e") * F.col("f")[i]).alias(f"g{i}") for i in range(p)])
             for row in g.collect():  # one row per site
                 local[row[site]] = local[row[site]] - rate * np.array([row[f"g{i}"] for i in range(p)]) / row["n"]
         total = sum(counts.values())

@@ -62,12 +62,41 @@ def e1_impute_dosage(spark, sf):
     return x.groupBy("site", "j", "locus").agg(F.count("*").alias("n"), F.count_if("missing").alias("n_missing"), r(F.first("maf"), 8).alias("maf"), r(F.sum("dosage_imputed")).alias("total"))
 
 
-@query()
+# The error function by its series exp(-x^2) sum x^(2n + 1) / gamma(n + 3/2), whose terms are positive; for x up to 6 or so.
+_TWO_SIDED = "CASE WHEN {0} = 0 THEN 1.0 ELSE 1 - list_sum(list_transform(range(0, 200), lambda n: exp(-{0} * {0} / 2 + (2 * n + 1) * ln(abs({0}) / sqrt(2.0::DOUBLE)) - lgamma(n + 1.5)))) END"
+_COFACTORS = """{0}11 * {0}22 - {0}12 * {0}12 AS c00, {0}02 * {0}12 - {0}01 * {0}22 AS c01, {0}01 * {0}12 - {0}02 * {0}11 AS c02, {0}00 * {0}22 - {0}02 * {0}02 AS c11, {0}01 * {0}02 - {0}00 * {0}12 AS c12,
+  {0}00 * {0}11 - {0}01 * {0}01 AS c22, {0}00 * ({0}11 * {0}22 - {0}12 * {0}12) + {0}01 * ({0}02 * {0}12 - {0}01 * {0}22) + {0}02 * ({0}01 * {0}12 - {0}02 * {0}11) AS det"""
+_MU = "greatest(least(1 / (1 + exp(-(b0 + b1 * {0}.c1 + b2 * {0}.c2))), 1 - 1e-8::DOUBLE), 1e-8::DOUBLE) AS mu"
+_WEIGHTED = "sum(w) AS h00, sum(w * c1) AS h01, sum(w * c2) AS h02, sum(w * c1 * c1) AS h11, sum(w * c1 * c2) AS h12, sum(w * c2 * c2) AS h22"
+
+# Newton's method by twelve steps, which is more than it takes.
+NEWTON = f"""{ASSOC}, same AS (SELECT site, c1, c2, count(*) AS n, sum(CASE WHEN is_case THEN 1.0::DOUBLE ELSE 0 END) AS y FROM assoc GROUP BY ALL),
+fit AS (SELECT site, 0 AS it, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM (SELECT DISTINCT site FROM same)
+  UNION ALL SELECT site, it + 1, b0 + (c00 * s0 + c01 * s1 + c02 * s2) / det, b1 + (c01 * s0 + c11 * s1 + c12 * s2) / det, b2 + (c02 * s0 + c12 * s1 + c22 * s2) / det
+  FROM (SELECT *, {_COFACTORS.format("h")} FROM (SELECT site, it, b0, b1, b2, sum(e) AS s0, sum(e * c1) AS s1, sum(e * c2) AS s2, {_WEIGHTED}
+    FROM (SELECT *, y - n * mu AS e, n * mu * (1 - mu) AS w FROM (SELECT f.*, s.c1, s.c2, s.n, s.y, {_MU.format("s")} FROM fit f JOIN same s ON f.site = s.site WHERE it < 12)) GROUP BY site, it, b0, b1, b2))),
+sums AS (SELECT site, variant, count(*) AS n, sum(w * g * g) AS gg, sum(g * r) AS gr, sum(w * g) AS a0, sum(w * g * c1) AS a1, sum(w * g * c2) AS a2, sum(r) AS d0, sum(r * c1) AS d1, sum(r * c2) AS d2, {_WEIGHTED}
+    FROM (SELECT site, variant, g, c1, c2, y - mu AS r, mu * (1 - mu) AS w FROM (SELECT a.site, variant, dosage::DOUBLE AS g, c1, c2, CASE WHEN is_case THEN 1.0::DOUBLE ELSE 0 END AS y, {_MU.format("a")} FROM assoc a JOIN fit ON a.site = fit.site AND it = 12)) GROUP BY site, variant)"""
+
+
+def _taken_out() -> str:
+    """`sums` with the intercept and the covariates taken out one by one: what is left of gg and gr."""
+    sql = "SELECT *, h00 AS own0, h11 AS own1, h22 AS own2 FROM sums"
+    for k in range(3):
+        less = lambda out, x, y: f"CASE WHEN h{k}{k} > {A.SINGULAR}::DOUBLE * own{k} THEN {out} - {x} * {y} / h{k}{k} ELSE {out} END AS {out}"  # noqa: B023, E731
+        new = [less("gg", f"a{k}", f"a{k}"), less("gr", f"a{k}", f"d{k}")]
+        for i in range(k + 1, 3):
+            new += [less(f"a{i}", f"h{k}{i}", f"a{k}"), less(f"d{i}", f"h{k}{i}", f"d{k}")] + [less(f"h{i}{j}", f"h{k}{i}", f"h{k}{j}") for j in range(i, 3)]
+        sql = f"SELECT * REPLACE ({', '.join(new)}) FROM ({sql})"
+    return f"SELECT site, variant, n, gr AS u, CASE WHEN gg > 1e-9 THEN gg END AS info FROM ({sql})"
+
+
+@query(f"""WITH RECURSIVE {NEWTON}, sc AS (SELECT *, coalesce(u / sqrt(info), 0) AS z FROM ({_taken_out()}))
+  SELECT site, variant, n, round(u / info, 6) + 0 AS beta, round(1 / sqrt(info), 6) AS se, round(z, 6) + 0 AS stat, CASE WHEN info IS NOT NULL THEN round(exp(greatest(least(u / info, 50), -50)), 6) END AS odds_ratio, round({_TWO_SIDED.format("z")}, 6) AS p FROM sc""")
 def e3_e4_logistic_score(spark, sf):
-    """No SQL: the null model is iterative. Tested against Newton's method in NumPy."""
     df = assoc(spark, sf).withColumnRenamed("is_case", "case")
     out = A.gwas_score(A.null_mean(df, A.fit_null(df)))
-    return out.withColumn("p", S.p_chi2(F.col("stat") * F.col("stat")))
+    return out.withColumn("p", S.p_chi2(F.col("stat") * F.col("stat"))).select("site", "variant", "n", *[r(c).alias(c) for c in ("beta", "se", "stat", "odds_ratio", "p")])
 
 
 @query(f"""WITH {ASSOC} SELECT site, round(sum(y * c1) / sum(c1), 4) AS mean, round(sum(c1), 2) AS total_weight FROM assoc GROUP BY site""")
@@ -190,11 +219,13 @@ def b3_b4_parse_ids(spark, sf):
     return S.parse_architecture(S.split_instance(x)).select("o_orderkey", "ncsl", "h2", "rg", "locus_id", "replicate")
 
 
-@query()
+# Student's tail by the series of the incomplete beta function at t^2 / (df + t^2), whose terms are positive.
+@query(f"""WITH x AS (SELECT DISTINCT l_discount, l_quantity, round((l_discount - 0.05) * 100, 6) AS z, l_quantity + 1.0::DOUBLE AS df FROM lineitem), y AS (SELECT *, z * z / (df + z * z) AS y FROM x),
+  p AS (SELECT *, {_TWO_SIDED.format("z")} AS pn, CASE WHEN z = 0 THEN 1.0 ELSE 1 - exp(0.5 * ln(y) + df / 2 * ln(1 - y) + lgamma(df / 2 + 0.5) - lgamma(0.5) - lgamma(df / 2)) * 2 * list_sum(list_transform(range(0, 1500), lambda n: exp(lgamma(df / 2 + 0.5 + n) + lgamma(1.5) - lgamma(df / 2 + 0.5) - lgamma(1.5 + n) + n * ln(y)))) END AS pt FROM y)
+  SELECT l_orderkey, l_linenumber, round(pn, 8) AS p_norm, round(pt, 8) AS p_t, round(pn, 8) AS p_chi2 FROM lineitem l JOIN p ON l.l_discount = p.l_discount AND l.l_quantity = p.l_quantity""")
 def b6_tail_probabilities(spark, sf):
-    """No SQL: neither engine has the error function. Tested against literals."""
-    x = table(spark, sf, "lineitem").withColumn("z", (F.col("l_discount") - 0.05) * 100).withColumn("df", F.col("l_quantity") + 1)
-    return x.select("l_orderkey", "l_linenumber", S.p_norm(F.col("z")).alias("p_norm"), S.p_t(F.col("z"), F.col("df")).alias("p_t"), S.p_chi2(F.col("z") * F.col("z")).alias("p_chi2"))
+    x = table(spark, sf, "lineitem").withColumn("z", F.round((F.col("l_discount") - 0.05) * 100, 6)).withColumn("df", F.col("l_quantity") + 1)
+    return x.select("l_orderkey", "l_linenumber", r(S.p_norm(F.col("z")), 8).alias("p_norm"), r(S.p_t(F.col("z"), F.col("df")), 8).alias("p_t"), r(S.p_chi2(F.col("z") * F.col("z")), 8).alias("p_chi2"))
 
 
 @query("""SELECT count(*) AS n_rows, count_if(NOT (v >= 0 AND v <= 1)) AS n_out_of_range, count_if(trim(t) = '') AS n_blank, (count(*) - count(DISTINCT (s, t)))::BIGINT AS n_duplicate

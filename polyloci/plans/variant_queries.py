@@ -290,9 +290,24 @@ def h4_candidate_windows(spark, sf):
     return V.candidate_windows(positions(spark, sf), 50_000, 25_000)
 
 
-@query()
+def _one_by_one(name: str, rows: str, by: str) -> str:
+    """A greedy choice as a recursion: in each group of `by` the windows of `rows` in the order of q, a window kept unless it
+    overlaps one kept before; `name` has the last state of each group."""
+    add = """CASE WHEN len(list_filter(kept, lambda k: k.s <= o.end_bp AND o.start_bp <= k.e)) > 0 THEN kept ELSE list_append(kept, {'w': o."window", 's': o.start_bp, 'e': o.end_bp}) END"""
+    same = " AND ".join(f"g.{c.strip()} = o.{c.strip()}" for c in by.split(","))
+    own = ", ".join(f"g.{c.strip()}" for c in by.split(","))
+    return f"""{name}_all AS (SELECT {by}, 0::BIGINT AS q, []::STRUCT(w BIGINT, s BIGINT, e BIGINT)[] AS kept FROM (SELECT DISTINCT {by} FROM {rows})
+  UNION ALL SELECT {own}, g.q + 1, {add} FROM {name}_all g JOIN {rows} o ON {same} AND o.q = g.q + 1),
+{name} AS (SELECT unnest(arg_max(kept, q)).w AS w FROM {name}_all GROUP BY {by})"""
+
+
+@query(f"""WITH RECURSIVE {_TER}, md AS (SELECT stratum, quantile_cont(score, 0.5) AS md FROM str GROUP BY stratum),
+far AS (SELECT str.*, CASE str.stratum WHEN 'high' THEN -score WHEN 'low' THEN score ELSE abs(score - md) END AS far FROM str JOIN md ON str.stratum = md.stratum),
+pr AS (SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY far, "window") - 1) / count(*) OVER (PARTITION BY stratum) AS pr FROM far),
+o1 AS (SELECT *, row_number() OVER (PARTITION BY stratum, chrom ORDER BY pr, "window") AS q FROM pr), {_one_by_one("k1", "o1", "stratum, chrom")},
+o2 AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pr, stratum, "window") AS q FROM pr JOIN k1 ON w = "window"), {_one_by_one("k2", "o2", "chrom")}
+SELECT stratum, "window", chrom, start_bp, end_bp FROM str JOIN k2 ON "window" = w""")
 def h6_drop_overlaps(spark, sf):
-    """No SQL: a greedy choice in two passes. Tested against the choice one by one."""
     return V.drop_overlaps_by_extremeness(_strata(spark, sf), 10_000, "score", "window").select("stratum", "window", "chrom", "start_bp", "end_bp")
 
 
@@ -322,9 +337,14 @@ def h7_split_regions(spark, sf):
     return V.split_regions(x, 9).select("window", "chrom", "region", "split")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_R2}, v AS (SELECT site, locus, j, row_number() OVER (PARTITION BY site, locus ORDER BY j) AS q FROM (SELECT DISTINCT site, locus, j FROM r2)),
+near AS (SELECT site, locus, j, list(i) AS near FROM r2 WHERE i < j AND r2 >= 0.02 GROUP BY ALL), o AS (SELECT v.*, coalesce(near, []) AS near FROM v LEFT JOIN near n ON v.site = n.site AND v.locus = n.locus AND v.j = n.j),
+g AS (SELECT site, locus, 0::BIGINT AS q, []::INT[] AS kept FROM (SELECT DISTINCT site, locus FROM v)
+  UNION ALL SELECT g.site, g.locus, g.q + 1, CASE WHEN len(list_intersect(list_slice(kept, greatest(len(kept) - 4, 1), len(kept)), near)) > 0 THEN kept ELSE list_append(kept, j) END FROM g JOIN o ON g.site = o.site AND g.locus = o.locus AND o.q = g.q + 1),
+k AS (SELECT site, locus, arg_max(kept, q) AS kept FROM g GROUP BY site, locus),
+p AS (SELECT site, locus, kept, unnest(range(0, len(kept))) AS p, len(kept) AS n FROM k)
+SELECT site, locus, kept[p + 1] AS j FROM p WHERE n <= 8 OR list_contains(list_transform(range(0, 8), lambda i: round_even(i * ((n - 1) / 7), 0)::BIGINT), p)""")
 def h8_h9_pick_tags(spark, sf):
-    """No SQL: pruning goes from left to right. Tested against the loop."""
     x = _r2(spark, sf)
     v = x.select("site", "locus", "j").distinct()
     return V.pick_tags(v, x.filter("i < j").select("site", "locus", "i", "j", "r2"), ["site", "locus"], 8, 0.02, 5)

@@ -458,3 +458,10 @@ def test_hits_or_the_smallest_p(spark):
     rows = [("x", i, p) for i, p in enumerate([0.5, 0.001, 0.002, None])] + [("y", i, p) for i, p in enumerate([0.5, 0.1, None, 0.1])] + [("z", 0, None)]
     got = A.hits_table(spark.createDataFrame(rows, "t string, v int, p double"), 0.01, 2, ["t"], ["v"]).collect()
     assert sorted((r["t"], r["v"], r["rank"], r["hit_set"]) for r in got) == [("x", 1, 1, "significant"), ("x", 2, 2, "significant"), ("y", 1, 1, "top"), ("y", 3, 2, "top"), ("z", 0, 1, "top")]
+
+
+def test_no_value_has_no_log_and_no_odds(spark):
+    df = spark.createDataFrame([(None,), (0.0,), (100.0,)], "x double")
+    rows = df.select(S.neglog10(F.col("x")).alias("l"), S.odds_ratio(F.col("x")).alias("o")).collect()
+    assert rows[0]["l"] is None and rows[0]["o"] is None
+    assert rows[1]["l"] > 307 and rows[1]["o"] == 1.0 and math.isclose(rows[2]["o"], math.exp(50))
