@@ -152,9 +152,8 @@ def partition_sites(people: DataFrame, person: str, label: str, alpha: float, sm
 
 def median_panel(df: DataFrame, score: str, tie: str) -> DataFrame:
     """The locus with the median score of each stratum, the upper one of an even number."""
-    w = W.partitionBy("stratum")
-    x = df.withColumn("__n", F.count("*").over(w)).withColumn("__r", F.row_number().over(w.orderBy(score, tie)))
-    return x.filter(F.col("__r") == F.floor(F.col("__n") / 2) + 1).drop("__n", "__r")
+    x = rank_within(df, ["stratum"], [score, tie], "__r")
+    return x.filter(F.col("__r") == F.floor(F.col("__r_n") / 2)).drop("__r", "__r_n")
 
 
 def sample_instances(loci: DataFrame, manifest: DataFrame, k: int, replicates: int, locus: str, seed: int) -> DataFrame:

@@ -23,10 +23,10 @@ def single_effect_pip(ss: DataFrame, tau: DataFrame, by: list[str], pop: str = "
 
 
 def softmax(df: DataFrame, by: list[str], col: str, out: str) -> DataFrame:
-    top = df.groupBy(*by).agg(F.max(col).alias("__top"))
-    x = df.join(top, by).withColumn("__e", F.exp(F.col(col) - F.col("__top")))
-    total = x.groupBy(*by).agg(F.sum("__e").alias("__sum"))
-    return x.join(total, by).withColumn(out, F.col("__e") / F.col("__sum")).drop("__e", "__sum", "__top")
+    """Adds out, exp(col) as a share of its group's total; a group is a locus's variants."""
+    w = W.partitionBy(*by)
+    x = df.withColumn("__e", F.exp(F.col(col) - F.max(col).over(w)))
+    return x.withColumn(out, F.col("__e") / F.sum("__e").over(w)).drop("__e")
 
 
 def credible_set(df: DataFrame, by: list[str], level: float, alpha: str = "pip", order: str = "j", p: str | None = None, threshold: float = 1e-5) -> DataFrame:
@@ -99,35 +99,37 @@ def fit_multi_effect(ss: DataFrame, ld: DataFrame, by: list[str], ld_by: list[st
     converged or nonconverged. The heavy sums are done before: this step sees a locus's variants, not its people.
     """
     extra = [c for c in by if c not in ld_by]
-    stats = ss.groupBy(*ld_by).agg(F.collect_list(F.struct(*extra, pop, "j", "beta_hat", "n")).alias("ss"))
-    pairs = ld.groupBy(*ld_by).agg(F.collect_list(F.struct(pop, "i", "j", "r")).alias("ld"))
+    columns = lambda df, cols, name: df.groupBy(*ld_by).agg(F.collect_list(F.struct(*cols)).alias("__c")).select(*ld_by, *[F.col("__c")[c].alias(f"{name}_{c}") for c in cols])
+    own_cols, ld_cols = [*extra, pop, "j", "beta_hat", "n"], [pop, "i", "j", "r"]
+    stats, pairs = columns(ss, own_cols, "ss"), columns(ld, ld_cols, "ld")
     types = dict(ss.dtypes)
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in by], FIT])
 
     def run(batches):
         for pdf in batches:
-            for _, row in pdf.iterrows():
-                s = pd.DataFrame([r if isinstance(r, dict) else r.asDict() for r in row["ss"]])
-                l = pd.DataFrame([r if isinstance(r, dict) else r.asDict() for r in row["ld"]])
+            for row in pdf.to_dict("records"):
+                s = pd.DataFrame({c: row[f"ss_{c}"] for c in own_cols})
+                lp, li, lj, lr = (np.asarray(row[f"ld_{c}"]) for c in ld_cols)
+                of = {p: (li[lp == p], lj[lp == p], lr[lp == p]) for p in pd.unique(lp)}
                 out = []
-                groups = s.groupby(extra) if extra else [((), s)]
-                for key, own in groups:
-                    axis = sorted(own["j"].unique())
-                    at = {j: k for k, j in enumerate(axis)}
+                for key, own in s.groupby(extra) if extra else [((), s)]:
+                    axis = np.unique(own["j"])
                     beta, mats, ns, tau = [], [], [], []
                     for p, part in own.groupby(pop):
                         b = np.zeros(len(axis))
-                        b[[at[j] for j in part["j"]]] = part["beta_hat"]
+                        b[np.searchsorted(axis, part["j"])] = part["beta_hat"]
                         mat = np.eye(len(axis))
-                        lp = l[(l[pop] == p) & l["i"].isin(at) & l["j"].isin(at)]
-                        i, j = lp["i"].map(at).to_numpy(), lp["j"].map(at).to_numpy()
-                        mat[i, j] = mat[j, i] = lp["r"]
+                        if p in of:
+                            i, j, r = of[p]
+                            mine = np.isin(i, axis) & np.isin(j, axis)
+                            i, j = np.searchsorted(axis, i[mine]), np.searchsorted(axis, j[mine])
+                            mat[i, j] = mat[j, i] = r[mine]
                         beta.append(b)
                         mats.append(mat)
                         ns.append(float(part["n"].max()))
                         tau.append(max(float((b * b).max()), 1e-12))
                     alpha, sigma2, rounds, ok = ibss(beta, mats, ns, tau, min(effects, len(axis)), tol, most)
-                    k, v = np.meshgrid(np.arange(alpha.shape[0]), np.array(axis), indexing="ij")
+                    k, v = np.meshgrid(np.arange(alpha.shape[0]), axis, indexing="ij")
                     f = pd.DataFrame({"component": k.ravel(), "variant": v.ravel(), "alpha": alpha.ravel()})
                     f["sigma2"], f["iterations"], f["status"] = sigma2, rounds, "converged" if ok else "nonconverged"
                     for c, x in zip(extra, key if isinstance(key, tuple) else (key,), strict=True):

@@ -465,3 +465,18 @@ def test_no_value_has_no_log_and_no_odds(spark):
     rows = df.select(S.neglog10(F.col("x")).alias("l"), S.odds_ratio(F.col("x")).alias("o")).collect()
     assert rows[0]["l"] is None and rows[0]["o"] is None
     assert rows[1]["l"] > 307 and rows[1]["o"] == 1.0 and math.isclose(rows[2]["o"], math.exp(50))
+
+
+def test_joint_fit_of_several_instances_of_a_locus(spark):
+    rng = np.random.default_rng(4)
+    ld = np.corrcoef(rng.normal(size=(200, 6)).T)
+    pairs = [(loc, p, i, j, float(ld[i, j])) for loc in (1, 2) for p in ("A", "B") for i in range(6) for j in range(i, 6)]
+    b = {(loc, rep, p): rng.normal(size=6) * 0.1 for loc in (1, 2) for rep in (0, 1) for p in ("A", "B")}
+    ss = [(loc, rep, p, j, float(v[j]), 500) for (loc, rep, p), v in b.items() for j in range(6)]
+    df = I.fit_multi_effect(spark.createDataFrame(ss, "locus int, rep int, pop string, j int, beta_hat double, n int"), spark.createDataFrame(pairs, "locus int, pop string, i int, j int, r double"), ["locus", "rep"], ["locus"], effects=3)
+    got = {(r["locus"], r["rep"], r["component"], r["variant"]): r["alpha"] for r in df.collect()}
+    for loc in (1, 2):
+        for rep in (0, 1):
+            own = [b[loc, rep, p] for p in ("A", "B")]
+            alpha, *_ = I.ibss(own, [ld, ld], [500.0, 500.0], [float((v * v).max()) for v in own], 3)
+            assert np.allclose([[got[loc, rep, k, j] for j in range(6)] for k in range(3)], alpha, atol=1e-9)
