@@ -183,9 +183,9 @@ def sample_strata(df: DataFrame, k: int, key: str, seed: int, strict: bool = Tru
 def drop_overlaps(df: DataFrame, bucket: int, priority: list[str], key: str, within: list[str] | None = None) -> DataFrame:
     """H6: greedy choice of non-overlapping windows, best priority first.
 
-    In each pass the live windows that beat all live neighbours they overlap are kept and these neighbours drop out: the
-    same choice as one by one, as priorities with the key are unique. Passes are checkpointed; there are as many as the
-    longest falling chain of neighbours.
+    In each pass the live windows that beat all live neighbours they overlap are kept and these neighbours drop out with
+    their overlaps: the same choice as one by one, as priorities with the key are unique. A pass writes what it drops and the
+    overlaps left; there are as many passes as the longest falling chain of neighbours.
     """
     order = F.struct(*priority, key)
     rows = df.select(F.col(key).alias("k"), "chrom", "start_bp", "end_bp", *(within or []), order.alias("p"))
@@ -197,18 +197,13 @@ def drop_overlaps(df: DataFrame, bucket: int, priority: list[str], key: str, wit
     for c in on:
         cond = cond & c
     edges = cut(a.join(b, cond).select(F.col("a.k").alias("k"), F.col("b.k").alias("other"), (F.col("b.p") < F.col("a.p")).alias("beaten")).distinct())
-    live, kept = cut(rows.select("k")), None
-    while not live.isEmpty():
-        now = edges.join(live, "k", "left_semi").join(live.select(F.col("k").alias("other")), "other", "left_semi")
-        lost = now.filter("beaten").select("k").distinct()
-        won = live.join(lost, "k", "left_anti")
-        kept = won if kept is None else kept.unionByName(won)
-        kept = cut(kept)
-        gone = edges.join(kept.select(F.col("k").alias("other")), "other", "left_semi").select("k").distinct()
-        live = cut(live.join(kept, "k", "left_anti").join(gone, "k", "left_anti"))
-    if kept is None:
-        return df
-    return df.join(kept.select(F.col("k").alias(key)), key, "left_semi")
+    dropped = rows.select("k").limit(0)
+    while not edges.isEmpty():
+        won = edges.groupBy("k").agg(F.max("beaten").alias("beaten")).filter(~F.col("beaten")).select(F.col("k").alias("other"))
+        lost = cut(edges.join(won, "other", "left_semi").select("k").distinct())
+        dropped = dropped.unionByName(lost)
+        edges = cut(edges.join(lost, "k", "left_anti").join(lost.select(F.col("k").alias("other")), "other", "left_anti"))
+    return df.join(dropped.select(F.col("k").alias(key)), key, "left_anti")
 
 
 def drop_overlaps_by_extremeness(df: DataFrame, bucket: int, score: str, key: str) -> DataFrame:
