@@ -15,8 +15,8 @@ def rank_within(df: DataFrame, by: list[str], order: list[str], name: str) -> Da
     """Adds `name`, a row's place from 0 within its group in ascending order, and `name`_n, the group's size.
 
     Rows are dealt by ranges of (by, order), numbered within a range, and moved up by the rows of the ranges before: no
-    task holds a whole group. `order` must have no ties, or ties between equal rows only; null is a group. The ranged rows are checkpointed, so ranges are the same in both
-    of their uses.
+    task holds a whole group. `order` must have no ties, or ties between equal rows only; null is a group. The ranged rows
+    are checkpointed, so ranges are the same in both of their uses.
     """
     x = cut(df.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()))
     n = x.groupBy(*by, "__p").agg(F.count("*").alias("__rows"))  # a row or two for each range or group
