@@ -12,6 +12,7 @@ from .exact_dedup import exact_duplicates
 from .langid import fit, held_out, predict_languages
 from .line_dedup import line_duplicates
 from .packing import pack_documents
+from .prefix_trie import ordered_turns, prefix_trie, shared_histories
 from .sharding import assign_shards
 from .simhash import near_duplicates
 from .token_counts import count_tokens
@@ -74,8 +75,12 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*shared_histories(ordered_turns(table(spark, sf_dir, "conversations"))))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_id_output, op3_url_filter, op4_language_id, op5_simhash_near_dedup, op6_exact_dedup, op7_token_counts, op8_line_dedup, op9_sharding, op10_benchmark_decontamination, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_id_output, op3_url_filter, op4_language_id, op5_simhash_near_dedup, op6_exact_dedup, op7_token_counts, op8_line_dedup, op9_sharding, op10_benchmark_decontamination, op12_conversation_trie, op13_collocations)}

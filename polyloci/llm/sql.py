@@ -63,7 +63,7 @@ OP12 = f"""
 WITH {_crc_table()},
 turns AS (
   SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
   FROM conversations WHERE conv_id IS NOT NULL
 ),
 convs AS (SELECT c, c - c % 20 AS base, {_CRC_DECIMAL} % 4 AS h FROM (SELECT DISTINCT c FROM turns), crc_table),
