@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, stored
+from .common import cut, small_side, stored
 
 #: Components of up to so many nodes are rolled up within a task.
 TASK_NODES = 4096
@@ -31,11 +31,6 @@ TASK_NODES = 4096
 BLOCK = 4096
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """A stored or checkpointed table, broadcast where it has few rows; else it is joined by shuffle, where hot keys are split."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def by_ranges(df: DataFrame, by: str, order: list[str], parts: int | None = None) -> DataFrame:
     """df dealt by ranges of (by, order), with the range of a row as __p; checkpointed, so that ranges stay as they are."""
     keys = [by, *order]

@@ -17,6 +17,7 @@ from .sharding import assign_shards
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .url_filter import judge_urls
+from .warc import archive_pages
 
 URL_RULES = ["block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/"]
 
@@ -75,6 +76,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = archive_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*shared_histories(ordered_turns(table(spark, sf_dir, "conversations"))))
 
@@ -83,4 +89,4 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_id_output, op3_url_filter, op4_language_id, op5_simhash_near_dedup, op6_exact_dedup, op7_token_counts, op8_line_dedup, op9_sharding, op10_benchmark_decontamination, op12_conversation_trie, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_id_output, op3_url_filter, op4_language_id, op5_simhash_near_dedup, op6_exact_dedup, op7_token_counts, op8_line_dedup, op9_sharding, op10_benchmark_decontamination, op11_warc, op12_conversation_trie, op13_collocations)}
