@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,9 +34,12 @@ MOST_HASHES, MOST_PHRASES = 2_000_000, 200_000
 MAP_BITS = 28
 #: Hash partitions: a power of two near the number of input partitions, so that a summary stays as small as a task's input.
 LEAST_PARTS, MOST_PARTS = 1 << 6, 1 << 16
+RANK_GROUPS = 16
 
+#: keys: 32 bits of each hash after those that name the partition, in ascending order of counts; counts: (count, keys with it).
+#: Two phrases with the same bits count as one here, which can only let more survive.
 BLOCKS = "part int, keys binary, counts binary, mass long"
-COUNTED = "lang string, phrase binary, words int, count long"
+COUNTED = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("phrase", pa.binary()), ("words", pa.int32()), ("count", pa.int64())])
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[list(SPACES)], _CLASS[list(BREAKS)] = 1, 2
@@ -178,10 +182,15 @@ def _summaries(docs: DataFrame, maps, lengths: tuple[int, ...], part_bits: int)
         def out(keys, counts):
             edges = np.searchsorted(keys, np.arange(1 << part_bits, dtype=np.uint64) << np.uint64(64 - part_bits))
             edges = np.append(edges, len(keys)).tolist()
-            full = [p for p in range(1 << part_bits) if edges[p] < edges[p + 1]]
-            cells = [(p, keys[edges[p] : edges[p + 1]].tobytes(), counts[edges[p] : edges[p + 1]]) for p in full]
-            columns = [pa.array([c[0] for c in cells], pa.int32()), pa.array([c[1] for c in cells], pa.binary()), pa.array([c[2].astype("<u4").tobytes() for c in cells], pa.binary()), pa.array([int(c[2].sum()) for c in cells], pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["part", "keys", "counts", "mass"])
+            short = (keys >> np.uint64(32 - part_bits)).astype(np.uint32)
+            rows = []
+            for part, (start, end) in enumerate(zip(edges, edges[1:], strict=False)):
+                if start < end:
+                    own = counts[start:end]
+                    order = np.argsort(own, kind="stable")
+                    value, run = np.unique(own, return_counts=True)
+                    rows.append((part, short[start:end][order].tobytes(), np.stack((value, run)).astype("<u4").tobytes(), int(own.sum())))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["part", "keys", "counts", "mass"])
 
         for batch in batches:
             for words, _, single in _grams(batch, languages):
@@ -212,9 +221,8 @@ def _survivors(blocks: DataFrame, least: int, part_bits: int) -> SurvivorMap:
         part, summary = None, None
 
         def out():
-            cell = (summary.at_least(least) >> np.uint64(64 - bits)) & np.uint64((1 << own) - 1)
             held = np.zeros(1 << own, np.uint8)
-            held[cell.astype(np.int64)] = 1
+            held[summary.at_least(least) >> np.uint32(32 - own)] = 1
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())], ["part", "held"])
 
         for batch in batches:
@@ -224,7 +232,8 @@ def _survivors(blocks: DataFrame, least: int, part_bits: int) -> SurvivorMap:
                         yield out()
                     part = p.as_py()
                     summary = Summary(sizes[part])
-                summary.merge(np.frombuffer(keys.as_buffer(), "<u8"), np.frombuffer(counts.as_buffer(), "<u4").astype(np.int64))
+                value, run = np.frombuffer(counts.as_buffer(), "<u4").reshape(2, -1).astype(np.int64)
+                summary.merge(np.frombuffer(keys.as_buffer(), "<u4"), np.repeat(value, run))
         if summary:
             yield out()
 
@@ -235,20 +244,45 @@ def _survivors(blocks: DataFrame, least: int, part_bits: int) -> SurvivorMap:
     return SurvivorMap(bits, data)
 
 
-def _exact(docs: DataFrame, maps, longest: int) -> DataFrame:
-    """COUNTED: each task's counts of surviving phrases by their words, and of all words (as the phrase of no words)."""
+def _added(tables: list[pa.Table]) -> pa.Table:
+    """The tables as one, each phrase of a language once."""
+    rows = pa.concat_tables(tables).group_by(["part", "lang", "phrase", "words"]).aggregate([("count", "sum")])
+    return rows.rename_columns(["count" if c == "count_sum" else c for c in rows.column_names]).select(COUNTED.names)
 
-    def run(batches):
+
+def _packed(rows: pa.Table) -> pa.RecordBatch:
+    """One row a hash partition, with its phrases in ascending order, compressed."""
+    rows = rows.sort_by([("part", "ascending"), ("lang", "ascending"), ("phrase", "ascending")]).combine_chunks()
+    part = rows["part"].to_numpy()
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    blobs = []
+    for start, end in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True):
+        sink = pa.BufferOutputStream()
+        own = pa.concat_tables([rows.slice(start, end - start)]).combine_chunks()
+        with pa.ipc.new_stream(sink, COUNTED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(own)
+        blobs.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(blobs, pa.binary())], ["part", "rows"])
+
+
+def _exact(docs: DataFrame, maps, longest: int, least: int, part_bits: int) -> DataFrame:
+    """(lang, phrase, words, count): exact counts of surviving phrases by their words, from `least` on, and of all words of a
+    language (as the phrase of no words). Tasks send their counts packed by hash partition."""
+
+    def count(batches):
         languages, known = Languages(), maps.value
         found: dict[tuple, list] = {}
         totals: dict[str, int] = {}
+        tables: list[pa.Table] = []
+        shift = 64 - part_bits
 
-        def out():
-            rows = [(lang, phrase, n, count) for count, phrase, lang, n in found.values()] + [(x, b"", 0, c) for x, c in totals.items()]
+        def close():
+            rows = [(key >> shift, lang, phrase, n, count) for (key, _), (count, phrase, lang, n) in found.items()]
+            rows += [(0, x, b"", 0, c) for x, c in totals.items()]
             found.clear()
             totals.clear()
-            columns = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int32(), pa.int64()), strict=True)], ["lang", "phrase", "words", "count"])
+            if rows:
+                tables.append(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), COUNTED.types, strict=True)], schema=COUNTED))
 
         for batch in batches:
             names = batch.column(1).to_pylist()
@@ -273,11 +307,37 @@ def _exact(docs: DataFrame, maps, longest: int) -> DataFrame:
                         else:
                             row[0] += c
                 if len(found) >= MOST_PHRASES or len(totals) >= MOST_PHRASES:
-                    yield out()
-        if found or totals:
-            yield out()
+                    close()
+                    if sum(len(t) for t in tables) >= 4 * MOST_PHRASES:
+                        tables = [_added(tables)]
+                        if len(tables[0]) >= 3 * MOST_PHRASES:
+                            yield _packed(tables.pop())
+        close()
+        if tables:
+            yield _packed(_added(tables))
+
+    def add(batches):
+        part, tables = None, []
+
+        def out():
+            rows = _added(tables)
+            rows = rows.filter((pc.field("count") >= least) | (pc.field("words") == 0)).select(["lang", "phrase", "words", "count"])
+            return rows.combine_chunks().to_batches()
+
+        for batch in batches:
+            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if p != part:
+                    if tables:
+                        yield from out()
+                    part, tables = p, []
+                tables.append(pa.ipc.open_stream(blob.as_buffer()).read_all())
+                if sum(len(t) for t in tables) >= 4 * MOST_PHRASES:
+                    tables = [_added(tables)]
+        if tables:
+            yield from out()
 
-    return docs.mapInArrow(run, COUNTED)
+    packed = docs.mapInArrow(count, "part int, rows binary")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(add, "lang string, phrase binary, words int, count long")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -292,9 +352,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, t
         sent = spark.sparkContext.broadcast(dict(maps)) if maps else None
         found = _survivors(stored(_summaries(own, sent, lengths, part_bits), f"grams{lengths[0]}"), least, part_bits)
         maps |= dict.fromkeys(lengths, found)
-    counted = _exact(own, spark.sparkContext.broadcast(maps), longest)
-    total = counted.groupBy("lang", "phrase", "words").agg(F.sum("count").alias("count")).filter((F.col("count") >= least) | (F.col("words") == 0))
-    return stored(total.select("lang", F.col("phrase").cast("string").alias("phrase"), "words", "count"), "phrases")
+    counted = _exact(own, spark.sparkContext.broadcast(maps), longest, least, part_bits)
+    return stored(counted.select("lang", F.col("phrase").cast("string").alias("phrase"), "words", "count"), "phrases")
 
 
 def _first_words(words: Column, k: Column) -> Column:
@@ -328,8 +387,11 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     inner = inner.select("lang", F.array_join(F.slice("w", F.col("from"), F.col("size")), " ").alias("phrase"), F.col("a").alias("longer"))
     inner = inner.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     kept = scored.join(inner, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * inside_percent))
-    # A rank below a bound: Spark keeps the first `top` of each language in every partition before it moves any.
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # A rank below a bound: Spark keeps the first `top` of each group in every partition before it moves any. The first of some
+    # hash groups of a language come before those of the whole language, so that no task gets more than these.
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    some = F.pmod(F.xxhash64("phrase"), F.lit(RANK_GROUPS))
+    kept = kept.withColumn("rank", F.row_number().over(W.partitionBy("lang", some).orderBy(*order))).filter(F.col("rank") <= top)
+    ranked = kept.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     n = counts.filter("words = 0").select("lang", F.col("count").alias("n"))
     return ranked.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

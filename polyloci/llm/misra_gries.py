@@ -1,4 +1,4 @@
-"""Mergeable Misra-Gries summaries over 64-bit keys, as sorted NumPy arrays."""
+"""Mergeable Misra-Gries summaries over whole-number keys, as sorted NumPy arrays."""
 
 from __future__ import annotations
 
@@ -26,7 +26,7 @@ class Summary:
 
     def __init__(self, size: int, pending: int = 1 << 20):
         self.size, self.pending = size, max(pending, size)
-        self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.keys, self.counts = np.empty(0, np.uint32), np.empty(0, np.int64)
         self.lost = 0
         self._waiting: list[tuple[np.ndarray, np.ndarray]] = []
         self._rows = 0
