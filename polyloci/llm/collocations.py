@@ -34,7 +34,7 @@ MOST_HASHES, MOST_PHRASES = 2_000_000, 200_000
 MAP_BITS = 28
 #: Hash partitions: a power of two near the number of input partitions, so that a summary stays as small as a task's input.
 LEAST_PARTS, MOST_PARTS = 1 << 6, 1 << 16
-RANK_GROUPS = 16
+RANK_GROUPS = (1024, 32, 1)
 
 #: keys: 32 bits of each hash after those that name the partition, in ascending order of counts; counts: (count, keys with it).
 #: Two phrases with the same bits count as one here, which can only let more survive.
@@ -387,11 +387,10 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     inner = inner.select("lang", F.array_join(F.slice("w", F.col("from"), F.col("size")), " ").alias("phrase"), F.col("a").alias("longer"))
     inner = inner.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     kept = scored.join(inner, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * inside_percent))
-    # A rank below a bound: Spark keeps the first `top` of each group in every partition before it moves any. The first of some
-    # hash groups of a language come before those of the whole language, so that no task gets more than these.
-    order = [F.desc("score"), F.desc("a"), "phrase"]
-    some = F.pmod(F.xxhash64("phrase"), F.lit(RANK_GROUPS))
-    kept = kept.withColumn("rank", F.row_number().over(W.partitionBy("lang", some).orderBy(*order))).filter(F.col("rank") <= top)
-    ranked = kept.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
+    # The first `top` of many hash groups of a language, then of few, then of the language: no task ranks a whole language.
+    order, ranked = [F.desc("score"), F.desc("a"), "phrase"], kept
+    for groups in RANK_GROUPS:
+        some = F.pmod(F.xxhash64("phrase"), F.lit(groups))
+        ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("lang", some).orderBy(*order))).filter(F.col("rank") <= top)
     n = counts.filter("words = 0").select("lang", F.col("count").alias("n"))
     return ranked.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
