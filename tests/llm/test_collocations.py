@@ -66,6 +66,12 @@ def test_words_of_any_length_are_told_apart():
     assert w.joined(0, 3) == b"x xx xxx"
 
 
+def test_packed_keys():
+    keys = np.concatenate((np.sort(np.random.default_rng(0).integers(0, 2**32, 500, dtype=np.uint32)), np.array([0, 2**32 - 1, 5], np.uint32)))
+    for own in (keys, keys[:1], keys[:0]):
+        assert np.array_equal(C.unpack_keys(C.pack_keys(own), len(own)), own)
+
+
 def test_parts_end_with_a_break(monkeypatch):
     monkeypatch.setattr(C, "PART_BYTES", 7)
     texts = ["ab cd. ef\n", "\n", "no break in this one\n", "x,y,z\n"]
