@@ -1,11 +1,12 @@
 """Per-site association tests, meta-analysis, polygenic scores and what is shown of them.
 
-A site is a grouping column. Tests are moments: one aggregation per (site, variant) and closed forms over it, with the
-covariates' few sums per site in a broadcast table of one row per site, whose size is checked.
+A site is a grouping column. Tests are moments: one aggregation of sums of products per (site, variant), from which
+covariates are swept in batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -14,12 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.lineage import cut
+from ..functions.ranks import running_within
 from ..functions.scalars import TINY, neglog10, odds_ratio, safe_div
+from ..functions.sweep import least_squares
 
 #: Sites up to this number have their covariate sums joined by broadcast.
 BROADCAST_SITES = 10_000
-#: A covariate is explained by others if so small a share of its squares is left.
-SINGULAR = 1e-9
 
 
 def side(df: DataFrame, most: int = BROADCAST_SITES) -> DataFrame:
@@ -54,46 +55,20 @@ def impute_dosage(df: DataFrame, by: list[str], dosage: str = "dosage") -> DataF
     return out.withColumn("dosage_imputed", F.coalesce(F.col(dosage).cast("double"), F.col("__mean"))).withColumn("maf", F.least(af, 1 - af)).drop("__mean")
 
 
-def _solve3(a: dict, d: list[Column]) -> list[Column]:
-    """x of A x = d for a symmetric 3 x 3 matrix, by cofactors."""
-    a00, a01, a02, a11, a12, a22 = (a[k] for k in ("00", "01", "02", "11", "12", "22"))
-    c00, c01, c02 = a11 * a22 - a12 * a12, a02 * a12 - a01 * a22, a01 * a12 - a02 * a11
-    c11, c12, c22 = a00 * a22 - a02 * a02, a01 * a02 - a00 * a12, a00 * a11 - a01 * a01
-    det = a00 * c00 + a01 * c01 + a02 * c02
-    rows = ((c00, c01, c02), (c01, c11, c12), (c02, c12, c22))
-    return [safe_div(sum((r * x for r, x in zip(row, d, strict=True)), F.lit(0.0)), det) for row in rows]
-
-
-def gwas_linear(df: DataFrame, site: str = "site", variant: str = "variant", g: str = "dosage", y: str = "y", covs: tuple[str, str] = ("c1", "c2"), y_shift: float = 0.0) -> DataFrame:
-    """Linear association of y with each variant's dosage at each site, given two covariates and an intercept.
+def gwas_linear(df: DataFrame, site: str = "site", variant: str = "variant", g: str = "dosage", y: str = "y", covs: Sequence[str] = ("c1", "c2"), y_shift: float = 0.0) -> DataFrame:
+    """Linear association of y with each variant's dosage at each site, given an intercept and any number of covariates.
 
     Columns: site, variant, n, beta, se, stat, dof. Dosages must be imputed. Rows without y, dosage or covariates are left
-    out. A variant without variance left has null beta and se and stat 0. y_shift, one constant for the whole study, is
+    out. A covariate that others explain at a site, as one that is constant there, changes nothing but dof, which counts all
+    of them. A variant without variance left has null beta and se and stat 0. y_shift, one constant for the whole study, is
     taken from y first: it cancels exactly and keeps digits.
     """
-    cols = [site, variant, *covs]
-    df = df.select(*cols, F.col(g).cast("double").alias("g"), (F.col(y).cast("double") - y_shift).alias("y")).dropna()
-    c = [F.lit(1.0), F.col(covs[0]), F.col(covs[1])]
-    sums = {"n": F.count("*"), "gg": F.sum(F.col("g") * F.col("g")), "gy": F.sum(F.col("g") * F.col("y")), "yy": F.sum(F.col("y") * F.col("y"))}
-    for i in range(3):
-        sums[f"a{i}"], sums[f"d{i}"] = F.sum(F.col("g") * c[i]), F.sum(F.col("y") * c[i])
-        for j in range(i, 3):
-            sums[f"A{i}{j}"] = F.sum(c[i] * c[j])
-    m = df.groupBy(site, variant).agg(*[v.cast("double").alias(k) if k != "n" else v.alias(k) for k, v in sums.items()])
-    return _linear(m, site, variant)
-
-
-def _linear(m: DataFrame, site: str, variant: str) -> DataFrame:
-    a = {k: F.col(f"A{k}") for k in ("00", "01", "02", "11", "12", "22")}
-    m = m.withColumns({f"x{i}": x for i, x in enumerate(_solve3(a, [F.col(f"a{i}") for i in range(3)]))})
-    m = m.withColumns({f"z{i}": x for i, x in enumerate(_solve3(a, [F.col(f"d{i}") for i in range(3)]))})
-    dot = lambda p, q: sum((F.col(f"{p}{i}") * F.col(f"{q}{i}") for i in range(3)), F.lit(0.0))
-    m = m.select(site, variant, "n", (F.col("gg") - dot("a", "x")).alias("gg"), (F.col("gy") - dot("a", "z")).alias("gy"), (F.col("yy") - dot("d", "z")).alias("yy"))
-    gg = F.when(F.col("gg") > 1e-9, F.col("gg"))
-    m = m.withColumn("dof", F.col("n") - 4).withColumn("beta", F.col("gy") / gg)
-    rss = F.greatest(F.col("yy") - F.col("gy") * F.col("gy") / gg, F.lit(0.0))
-    m = m.withColumn("se", F.when(F.col("dof") > 0, F.sqrt(safe_div(rss, F.col("dof").cast("double")) / gg)))
-    return m.select(site, variant, "n", "beta", "se", safe_div(F.col("beta"), F.col("se"), F.lit(0.0)).alias("stat"), "dof")
+    m = least_squares(df, [site, variant], [F.col(c) for c in covs], F.col(g), F.col(y).cast("double") - y_shift)
+    xx = F.when(F.col("xx") > 1e-9, F.col("xx"))
+    m = m.withColumn("dof", F.col("n") - len(covs) - 2).withColumn("beta", F.col("xy") / xx)
+    rss = F.greatest(F.col("yy") - F.col("xy") * F.col("xy") / xx, F.lit(0.0))
+    m = m.withColumn("se", F.when(F.col("dof") > 0, F.sqrt(safe_div(rss, F.col("dof").cast("double")) / xx)))
+    return m.select(site, variant, "n", "beta", "se", F.coalesce(safe_div(F.col("beta"), F.col("se"), F.lit(0.0)), F.lit(0.0)).alias("stat"), "dof")
 
 
 def fit_null(df: DataFrame, site: str = "site", case: str = "case", covs: tuple[str, ...] = ("c1", "c2"), iterations: int = 25, tol: float = 1e-8) -> DataFrame:
@@ -137,32 +112,17 @@ def null_mean(df: DataFrame, null: DataFrame, site: str = "site", covs: tuple[st
     return df.join(side(null), site).withColumn("mu", mu).drop(*[f"b{i}" for i in range(len(covs) + 1)])
 
 
-def gwas_score(df: DataFrame, site: str = "site", variant: str = "variant", g: str = "dosage", case: str = "case", covs: tuple[str, str] = ("c1", "c2")) -> DataFrame:
+def gwas_score(df: DataFrame, site: str = "site", variant: str = "variant", g: str = "dosage", case: str = "case", covs: Sequence[str] = ("c1", "c2")) -> DataFrame:
     """Logistic score test of each variant at each site, from rows with mu of the null model.
 
-    Columns: site, variant, n, beta, se, stat and odds_ratio. The intercept and the covariates are taken out one by one; one
-    that those before it explain takes out nothing. A variant without information left has null beta and se and stat 0.
+    Columns: site, variant, n, beta, se, stat and odds_ratio. The intercept and any number of covariates are taken out one by
+    one; one that those before it explain takes out nothing. A variant without information left has null beta and se and
+    stat 0.
     """
-    df = df.select(site, variant, "mu", F.col(covs[0]).cast("double").alias("c1"), F.col(covs[1]).cast("double").alias("c2"), F.col(g).cast("double").alias("g"), F.col(case).cast("double").alias("y")).dropna()
-    w, r = F.col("mu") * (1 - F.col("mu")), F.col("y") - F.col("mu")
-    c = [F.lit(1.0), F.col("c1"), F.col("c2")]
-    sums = [F.count("*").alias("n"), F.sum(w * F.col("g") * F.col("g")).alias("gg"), F.sum(F.col("g") * r).alias("gr")]
-    for i in range(3):
-        sums += [F.sum(w * F.col("g") * c[i]).alias(f"a{i}"), F.sum(r * c[i]).alias(f"d{i}")]
-        sums += [F.sum(w * c[i] * c[j]).alias(f"A{i}{j}") for j in range(i, 3)]
-    m = df.groupBy(site, variant).agg(*sums)
-    m = m.withColumns({f"own{k}": F.col(f"A{k}{k}") for k in range(3)})
-    for k in range(3):
-        pivot = F.when(F.col(f"A{k}{k}") > SINGULAR * F.col(f"own{k}"), F.col(f"A{k}{k}"))
-        less = lambda out, x, y: {out: F.col(out) - F.coalesce(F.col(x) * F.col(y) / pivot, F.lit(0.0))}  # noqa: B023, E731
-        new = less("gg", f"a{k}", f"a{k}") | less("gr", f"a{k}", f"d{k}")
-        for i in range(k + 1, 3):
-            new |= less(f"a{i}", f"A{k}{i}", f"a{k}") | less(f"d{i}", f"A{k}{i}", f"d{k}")
-            for j in range(i, 3):
-                new |= less(f"A{i}{j}", f"A{k}{i}", f"A{k}{j}")
-        m = m.withColumns(new)
-    info = F.when(F.col("gg") > 1e-9, F.col("gg"))
-    m = m.withColumn("beta", F.col("gr") / info).withColumn("se", 1 / F.sqrt(info))
+    w = F.col("mu") * (1 - F.col("mu"))
+    m = least_squares(df, [site, variant], [F.col(c) for c in covs], F.col(g), (F.col(case).cast("double") - F.col("mu")) / w, w)
+    info = F.when(F.col("xx") > 1e-9, F.col("xx"))
+    m = m.withColumn("beta", F.col("xy") / info).withColumn("se", 1 / F.sqrt(info))
     return m.select(site, variant, "n", "beta", "se", safe_div(F.col("beta"), F.col("se"), F.lit(0.0)).alias("stat"), odds_ratio(F.col("beta")).alias("odds_ratio"))
 
 
@@ -207,21 +167,12 @@ def r_squared(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return ok.groupBy(*by).agg(F.count("*").alias("n"), F.regr_r2(F.col(y), F.col(x)).alias("r2"))
 
 
-def r_squared_given(df: DataFrame, score: str, covs: tuple[str, str], y: str, by: list[str]) -> DataFrame:
-    """R squared of a linear fit of y on an intercept, two covariates and a score, from one aggregation of moments about
-    the groups' means. Rows that lack a value are left out; null where y or the covariates don't vary."""
-    cols = {"g": score, "a": covs[0], "b": covs[1], "y": y}
-    x = df.select(*by, *[F.col(c).cast("double").alias(k) for k, c in cols.items()]).dropna()
-    pairs = ("aa", "ab", "bb", "ag", "bg", "ay", "by", "gg", "gy", "yy")
-    m = x.groupBy(*by).agg(F.count("*").alias("n"), *[F.covar_pop(f"`{p[0]}`", f"`{p[1]}`").alias(f"s_{p}") for p in pairs])
-    s = {p: F.col(f"s_{p}") for p in pairs}
-    # Take a out of b, g and y, then b out of g and y, then g out of y.
-    rest = lambda uv, u, v, by_what: uv - safe_div(u * v, by_what, F.lit(0.0))
-    bb, bg, b_y = (rest(s[f"b{v}"], s["ab"], s[f"a{v}"], s["aa"]) for v in "bgy")
-    gg, gy, yy = (rest(s[u + v], s[f"a{u}"], s[f"a{v}"], s["aa"]) for u, v in ("gg", "gy", "yy"))
-    gg, gy, yy = rest(gg, bg, bg, bb), rest(gy, bg, b_y, bb), rest(yy, b_y, b_y, bb)
-    yy = rest(yy, gy, gy, gg)
-    return m.select(*by, "n", (1 - safe_div(yy, s["yy"])).alias("r2"))
+def r_squared_given(df: DataFrame, score: str, covs: Sequence[str], y: str, by: list[str]) -> DataFrame:
+    """R squared of a linear fit of y on an intercept, covariates of any number and rank, and a score. Rows that lack a value
+    are left out; null where y doesn't vary."""
+    m = least_squares(df, by, [F.col(c) for c in covs], F.col(score), F.col(y))
+    left = F.col("yy") - F.coalesce(safe_div(F.col("xy") * F.col("xy"), F.when(F.col("xx") > 1e-9, F.col("xx"))), F.lit(0.0))
+    return m.select(*by, "n", (1 - safe_div(left, F.when(F.col("y0") > 1e-9, F.col("y0")))).alias("r2"))
 
 
 def auroc_given(df: DataFrame, score: str, covs: tuple[str, ...], case: str, site: str) -> DataFrame:
@@ -234,12 +185,11 @@ def auroc_given(df: DataFrame, score: str, covs: tuple[str, ...], case: str, sit
 def auroc(df: DataFrame, score: str, case: str, by: list[str]) -> DataFrame:
     """Area under the ROC curve by ranks, ties at their average rank; null without both classes.
 
-    Ranks come from counts by distinct score, so no group's rows are sorted in one task.
+    Rows are counted by distinct score, and the counts run up over ranges of (group, score): no task holds a group.
     """
     c = df.filter(F.col(score).isNotNull() & F.col(case).isNotNull()).groupBy(*by, score).agg(F.count_if(F.col(case)).alias("pos"), F.count_if(~F.col(case)).alias("neg"))
-    below = F.sum("neg").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1))
-    c = c.withColumn("u", F.col("pos") * (F.coalesce(below, F.lit(0)) + F.col("neg") / 2))
-    m = c.groupBy(*by).agg(F.sum("u").alias("u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    c = running_within(c, by, [score], {"upto": "neg"})
+    m = c.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)).alias("u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return m.select(*by, "n_pos", "n_neg", safe_div(F.col("u"), (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auroc"))
 
 

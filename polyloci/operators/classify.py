@@ -17,7 +17,9 @@ def select_panel(df: DataFrame, k: int, feature: str = "feature", value: str = "
     """the k features of largest population variance among the rows given (training rows): two observations at least and
     some variance; ties by feature order."""
     v = df.groupBy(feature).agg(F.count(value).alias("n"), F.var_pop(value).alias("variance")).filter((F.col("n") >= 2) & (F.col("variance") > 0))
-    return v.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc(F.round("variance", 9)), feature))).filter(F.col("rank") <= k)
+    order = [F.desc(F.round("variance", 9)), F.col(feature)]
+    top = v.orderBy(*order).limit(k)  # each task keeps its own first k
+    return top.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*order)))  # k rows
 
 
 def collapse_classes(df: DataFrame, least: int, label: str, train: str) -> DataFrame:

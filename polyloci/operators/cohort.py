@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -21,20 +21,28 @@ def site_overlaps(df: DataFrame, person: str, site: str = "site") -> DataFrame:
 
 
 def allocate(capacity: DataFrame, total: int, cell: str, size: str = "capacity") -> DataFrame:
-    """A total dealt to cells in proportion to capacity, the leftover to the largest remainders."""
+    """A total dealt to cells in proportion to capacity, the leftover to the largest remainders. A total above the capacity
+    of all cells fails the job."""
     w = W.partitionBy(F.lit(1))
     x = capacity.withColumn("__all", F.sum(size).over(w))
     x = x.withColumn("__base", F.floor(F.col(size) * total / F.col("__all")))
     x = x.withColumn("__rest", F.col(size) * total - F.col("__base") * F.col("__all"))
     x = x.withColumn("__left", F.lit(total) - F.sum("__base").over(w)).withColumn("__r", F.row_number().over(w.orderBy(F.desc("__rest"), cell)))
-    return x.select(*capacity.columns, (F.col("__base") + (F.col("__r") <= F.col("__left")).cast("long")).cast("long").alias("quota"))
+    quota = (F.col("__base") + (F.col("__r") <= F.col("__left")).cast("long")).cast("long")
+    return x.select(*capacity.columns, F.when(F.col("__all") >= total, quota).otherwise(_too_much(total, F.col("__all"))).alias("quota"))
+
+
+def _too_much(total: int, available) -> Column:
+    return F.raise_error(F.concat(F.lit(f"requested {total}, available "), available.cast("string"))).cast("long")
 
 
 def allocate_priority(capacity: DataFrame, total: int, order: list[str], size: str = "capacity") -> DataFrame:
-    """A total dealt to cells in order until it is used up."""
-    w = W.partitionBy(F.lit(1)).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(size).over(w), F.lit(0))
-    return capacity.withColumn("quota", F.greatest(F.lit(0), F.least(F.col(size), F.lit(total) - before)).cast("long"))
+    """A total dealt to cells in order until it is used up. A total above the capacity of all cells fails the job."""
+    every = W.partitionBy(F.lit(1))
+    before = F.coalesce(F.sum(size).over(every.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    x = capacity.withColumn("__all", F.sum(size).over(every))
+    quota = F.greatest(F.lit(0), F.least(F.col(size), F.lit(total) - before)).cast("long")
+    return x.withColumn("quota", F.when(F.col("__all") >= total, quota).otherwise(_too_much(total, F.col("__all")))).drop("__all")
 
 
 def assign_individuals(people: DataFrame, quota: DataFrame, person: str, seed: int, pop: str = "pop", site: str = "site", strict: bool = True) -> DataFrame:
@@ -51,8 +59,13 @@ def assign_individuals(people: DataFrame, quota: DataFrame, person: str, seed: i
     return x.join(side(q), (F.col(pop) == F.col("__pop")) & (F.col("__r") >= F.col("__lo")) & (F.col("__r") < F.col("__hi"))).drop("__pop", "__lo", "__hi", "__r")
 
 
-def compose_cohort(people: DataFrame, quota: DataFrame, person: str, seed: int, by: list[str]) -> DataFrame:
-    """The first `quota` people of each cell in an order that doesn't depend on the quota, so smaller cohorts are nested."""
+def compose_cohort(people: DataFrame, quota: DataFrame, person: str, seed: int, by: list[str], strict: bool = True) -> DataFrame:
+    """The first `quota` people of each cell in an order that doesn't depend on the quota, so smaller cohorts are nested. A
+    cell with fewer people than its quota is an error if strict."""
+    if strict:
+        have = people.groupBy(*by).agg(F.count("*").alias("__have"))
+        if not quota.join(have, by, "left").filter(F.coalesce("__have", F.lit(0)) < F.col("quota")).isEmpty():
+            raise ValueError("a cell has fewer people than its quota")
     x = rank_within(people.withColumn("__k", order_key(F.col(person).cast("long"), seed)), by, ["__k", person], "__r")
     return x.join(side(quota), by).filter(F.col("__r") < F.col("quota")).drop("__r", "__r_n", "__k", "quota")
 
@@ -81,8 +94,8 @@ def patient_holdout(df: DataFrame, patient: str, label: str, seed: int) -> DataF
     with under three patients, and patients with two labels, are marked `excluded`."""
     p = df.groupBy(patient).agg(F.count_distinct(label).alias("k"), F.min(label).alias("__label"))
     good = p.filter("k = 1")
-    w = W.partitionBy("__label")
-    good = good.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(order_key(F.col(patient).cast("long"), seed), patient)))
+    good = rank_within(good.withColumn("__k", order_key(F.col(patient).cast("long"), seed)), ["__label"], ["__k", patient], "__r")
+    good = good.withColumn("n", F.col("__r_n")).withColumn("r", F.col("__r") + 1)
     test = F.greatest(F.lit(1), F.bround(F.col("n") * 0.2, 0))
     val = F.greatest(F.lit(1), F.bround((F.col("n") - test) * 0.1, 0))
     split = F.when(F.col("n") < 3, "excluded").when(F.col("r") <= test, "test").when(F.col("r") <= test + val, "validation").otherwise("train")
@@ -186,6 +199,15 @@ def select_cohort(files: DataFrame, cases: DataFrame, allowed: list[str], patien
     return x.withColumn("reason", reason).drop("k", "__r")
 
 
+def check_cohort(selected: DataFrame, allowed: list[str], label: str, least: int = 20) -> DataFrame:
+    """D12 (action): (label, n) of the patients that select_cohort() took; a class with fewer than `least` is an error."""
+    n = selected.filter("reason = 'ok'").groupBy(label).agg(F.count("*").alias("n"))
+    found = {r[0]: r[1] for r in n.filter(F.col(label).isin(*allowed)).collect()}  # a row a class
+    if short := [c for c in allowed if found.get(c, 0) < least]:
+        raise ValueError(f"classes {short} have fewer than {least} patients")
+    return n
+
+
 def check_split(df: DataFrame, key: str, phase: str, a: str, b: str) -> DataFrame:
     """Keys that are in both phases; there must be none."""
     return df.filter(F.col(phase) == a).select(key).intersect(df.filter(F.col(phase) == b).select(key))

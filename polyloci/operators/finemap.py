@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..functions.ranks import running_within
+from .tiles import tiles_of_pairs
+
 
 def single_effect_pip(ss: DataFrame, tau: DataFrame, by: list[str], pop: str = "pop", variant: str = "j", n: str = "n") -> DataFrame:
     """Log Bayes factor of each variant, added over ancestries, and its posterior with equal priors.
@@ -31,9 +34,8 @@ def softmax(df: DataFrame, by: list[str], col: str, out: str) -> DataFrame:
 
 def credible_set(df: DataFrame, by: list[str], level: float, alpha: str = "pip", order: str = "j", p: str | None = None, threshold: float = 1e-5) -> DataFrame:
     """Variants by falling posterior until the mass before them exceeds the level; with p, sets without a variant at or
-    below the threshold are dropped."""
-    w = W.partitionBy(*by).orderBy(F.desc(alpha), order).rowsBetween(W.unboundedPreceding, -1)
-    x = df.withColumn("mass_before", F.coalesce(F.sum(alpha).over(w), F.lit(0.0))).filter(F.col("mass_before") <= level)
+    below the threshold are dropped. The mass runs over ranges of (group, posterior): no task holds a group."""
+    x = running_within(df, by, [F.desc(alpha), F.col(order)], {"mass_before": alpha}, include=False).filter(F.col("mass_before") <= level)
     if p:
         ok = x.groupBy(*by).agg(F.min(p).alias("__p")).filter(F.col("__p") <= threshold)
         x = x.join(ok, by, "left_semi")
@@ -92,55 +94,67 @@ def ibss(beta: list[np.ndarray], ld: list[np.ndarray], n: list[float], tau: list
     return alpha, float(sigma2.mean()), most, False
 
 
-def fit_multi_effect(ss: DataFrame, ld: DataFrame, by: list[str], ld_by: list[str], pop: str = "pop", effects: int = 10, tol: float = 1e-6, most: int = 1000) -> DataFrame:
+#: Instances of a locus that one task fits, with the locus's LD read once.
+TASK_FITS = 8
+
+
+def fit_multi_effect(ss: DataFrame, ld: DataFrame, by: list[str], ld_by: list[str], pop: str = "pop", effects: int = 10, tol: float = 1e-6, most: int = 1000, task_fits: int = TASK_FITS) -> DataFrame:
     """I4: one joint fit per group of `by`, all of them independent; LD is shared by the groups of a locus.
 
-    ss: by, pop, j, beta_hat, n. ld: ld_by, pop, i <= j, r. Returns by and FIT: alpha by component and variant. Status is
-    converged or nonconverged. The heavy sums are done before: this step sees a locus's variants, not its people.
+    ss: by, pop, j, beta_hat, n. ld: ld_by, pop and tiles of correlations, or pairs i <= j with r. Returns by and FIT: alpha by
+    component and variant. Status is converged or nonconverged. A locus's instances are dealt by hash to as many groups as
+    have about `task_fits` each, and each group gets the locus's tiles once; a locus without LD gives no rows.
     """
     extra = [c for c in by if c not in ld_by]
-    columns = lambda df, cols, name: df.groupBy(*ld_by).agg(F.collect_list(F.struct(*cols)).alias("__c")).select(*ld_by, *[F.col("__c")[c].alias(f"{name}_{c}") for c in cols])
-    own_cols, ld_cols = [*extra, pop, "j", "beta_hat", "n"], [pop, "i", "j", "r"]
-    stats, pairs = columns(ss, own_cols, "ss"), columns(ld, ld_cols, "ld")
+    tiles = ld if "block" in ld.columns else tiles_of_pairs(ld, [*ld_by, pop], "r")
+    loci = ss.select(*by).distinct().groupBy(*ld_by).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / task_fits)).cast("int").alias("__groups"))
+    dealt = F.pmod(F.xxhash64(*extra), F.col("__groups")).cast("int") if extra else F.lit(0)
+    own = ss.select(*by, pop, "j", "beta_hat", "n").join(loci, ld_by).withColumn("__group", dealt).drop("__groups")
+    shared = tiles.join(loci, ld_by).withColumn("__group", F.explode(F.sequence(F.lit(0), F.col("__groups") - 1))).drop("__groups")
     types = dict(ss.dtypes)
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in by], FIT])
-
-    def run(batches):
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                s = pd.DataFrame({c: row[f"ss_{c}"] for c in own_cols})
-                lp, li, lj, lr = (np.asarray(row[f"ld_{c}"]) for c in ld_cols)
-                of = {p: (li[lp == p], lj[lp == p], lr[lp == p]) for p in pd.unique(lp)}
-                out = []
-                for key, own in s.groupby(extra) if extra else [((), s)]:
-                    axis = np.unique(own["j"])
-                    beta, mats, ns, tau = [], [], [], []
-                    for p, part in own.groupby(pop):
-                        b = np.zeros(len(axis))
-                        b[np.searchsorted(axis, part["j"])] = part["beta_hat"]
-                        mat = np.eye(len(axis))
-                        if p in of:
-                            i, j, r = of[p]
-                            mine = np.isin(i, axis) & np.isin(j, axis)
-                            i, j = np.searchsorted(axis, i[mine]), np.searchsorted(axis, j[mine])
-                            mat[i, j] = mat[j, i] = r[mine]
-                        beta.append(b)
-                        mats.append(mat)
-                        ns.append(float(part["n"].max()))
-                        tau.append(max(float((b * b).max()), 1e-12))
-                    alpha, sigma2, rounds, ok = ibss(beta, mats, ns, tau, min(effects, len(axis)), tol, most)
-                    k, v = np.meshgrid(np.arange(alpha.shape[0]), axis, indexing="ij")
-                    f = pd.DataFrame({"component": k.ravel(), "variant": v.ravel(), "alpha": alpha.ravel()})
-                    f["sigma2"], f["iterations"], f["status"] = sigma2, rounds, "converged" if ok else "nonconverged"
-                    for c, x in zip(extra, key if isinstance(key, tuple) else (key,), strict=True):
-                        f[c] = x
-                    out.append(f)
-                f = pd.concat(out)
-                for c in ld_by:
-                    f[c] = row[c]
-                yield f[[*by, "component", "variant", "alpha", "sigma2", "iterations", "status"]]
-
-    return stats.join(pairs, ld_by).mapInPandas(run, schema)
+    columns = [*by, "component", "variant", "alpha", "sigma2", "iterations", "status"]
+
+    def run(s, t):
+        mats: dict = {}
+        for p, part in t.groupby(pop):
+            known = np.unique(np.concatenate([np.asarray(v) for v in part["vi"]]))
+            mats[p] = known, np.eye(len(known))
+            for vi, vj, block in zip(part["vi"], part["vj"], part["block"], strict=True):
+                i, j = np.searchsorted(known, vi), np.searchsorted(known, vj)
+                r = np.frombuffer(block).reshape(len(i), len(j))
+                mats[p][1][np.ix_(i, j)] = r
+                mats[p][1][np.ix_(j, i)] = r.T
+        out = []
+        for key, one in (s.groupby(extra) if extra else [((), s)]) if len(t) else []:
+            axis = np.unique(one["j"])
+            beta, own_ld, ns, tau = [], [], [], []
+            for p, part in one.groupby(pop):
+                b = np.zeros(len(axis))
+                b[np.searchsorted(axis, part["j"])] = part["beta_hat"]
+                mat = np.eye(len(axis))
+                if p in mats:
+                    both, x, y = np.intersect1d(axis, mats[p][0], return_indices=True)
+                    mat[np.ix_(x, x)] = mats[p][1][np.ix_(y, y)]
+                beta.append(b)
+                own_ld.append(mat)
+                ns.append(float(part["n"].max()))
+                tau.append(max(float((b * b).max()), 1e-12))
+            alpha, sigma2, rounds, ok = ibss(beta, own_ld, ns, tau, min(effects, len(axis)), tol, most)
+            k, v = np.meshgrid(np.arange(alpha.shape[0]), axis, indexing="ij")
+            f = pd.DataFrame({"component": k.ravel(), "variant": v.ravel(), "alpha": alpha.ravel()})
+            f["sigma2"], f["iterations"], f["status"] = sigma2, rounds, "converged" if ok else "nonconverged"
+            for c in by:
+                f[c] = one[c].iloc[0]
+            out.append(f)
+        if not out:
+            kinds = {"component": "int32", "variant": "int32", "alpha": float, "sigma2": float, "iterations": "int32", "status": object}
+            return pd.DataFrame({c: pd.Series([], dtype=kinds.get(c, s[c].dtype if c in by else None)) for c in columns})
+        rows = pd.concat(out)[columns]
+        return rows.astype({c: object for c in columns if not pd.api.types.is_numeric_dtype(rows[c])})  # strings in one chunk
+
+    keys = [*ld_by, "__group"]
+    return own.groupBy(*keys).cogroup(shared.groupBy(*keys)).applyInPandas(run, schema)
 
 
 def purity(members: DataFrame, ld: DataFrame, key: list[str], ld_by: list[str], pop: str = "pop", pairwise: bool = False) -> DataFrame:
@@ -166,19 +180,36 @@ def fit_status(df: DataFrame) -> DataFrame:
     return df.withColumn("fit_status", s.when(F.col("n_credible_sets") > 0, "converged_cs").otherwise("converged_no_cs"))
 
 
-def score_fits(pips: DataFrame, sets: DataFrame, truth: DataFrame, key: list[str]) -> DataFrame:
-    """fits against truth. pips: key, variant, pip; sets: key, component, variant; truth: key, variant. A true variant that
-    the fit left out counts with PIP 0; cutoffs are strict."""
+def score_fits(pips: DataFrame, sets: DataFrame, truth: DataFrame, key: list[str], fits: DataFrame | None = None) -> DataFrame:
+    """fits against truth. pips: key, variant, pip; sets: key, component, variant and, if known, purity; truth: key, variant;
+    fits: key, converged, or None if all that have a pip did.
+
+    A fit that did not converge has no probabilities: its causal and top pips are null and it finds nothing. Of one that
+    did, a true variant that the fit left out counts with PIP 0 in causal_pip_max and causal_pip_mean and not in
+    causal_pip_mean_eligible. Cutoffs are strict.
+    """
     t = truth.withColumn("causal", F.lit(True))
-    p = pips.join(t, [*key, "variant"], "full").withColumn("causal", F.coalesce("causal", F.lit(False)))
-    hit = lambda c, x: F.count_if(F.col("causal") == c) if x is None else F.count_if((F.col("causal") == c) & (F.col("pip") > x))
-    cols = [hit(True, None).alias("n_causal"), F.count_if(F.col("causal") & F.col("pip").isNull()).alias("n_excluded_causal"), F.max(F.when(F.col("causal"), F.coalesce("pip", F.lit(0.0)))).alias("causal_pip_max"), F.avg(F.when(F.col("causal"), F.coalesce("pip", F.lit(0.0)))).alias("causal_pip_mean"), F.max("pip").alias("top_pip")]
+    if fits is None:
+        fits = pips.groupBy(*key).agg((F.count("pip") > 0).alias("converged"))
+    p = pips.withColumn("__in", F.lit(True)).join(t, [*key, "variant"], "full").join(fits.select(*key, "converged"), key, "full")
+    p = p.withColumn("converged", F.coalesce("converged", F.lit(False))).withColumn("pip", F.when(F.col("converged"), F.col("pip")))
+    causal, known = F.coalesce("causal", F.lit(False)), F.col("__in").isNotNull()
+    zero = F.when(causal & F.col("converged"), F.coalesce("pip", F.lit(0.0)))
+    cols = [
+        F.max("converged").alias("converged"), F.count_if(causal).alias("n_causal"), F.count_if(causal & known).alias("n_eligible_causal"), F.count_if(causal & ~known).alias("n_excluded_causal"),
+        F.max(zero).alias("causal_pip_max"), F.avg(zero).alias("causal_pip_mean"), F.avg(F.when(known, zero)).alias("causal_pip_mean_eligible"),
+        F.coalesce(F.max("pip"), F.when(F.max("converged"), 0.0)).alias("top_pip"),
+    ]
     for name, x in (("50", 0.5), ("90", 0.9), ("95", 0.95)):
-        cols += [hit(True, x).alias(f"n_true_pip{name}"), hit(False, x).alias(f"n_false_pip{name}")]
+        cols += [F.count_if(causal & (F.col("pip") > x)).alias(f"n_true_pip{name}"), F.count_if(~causal & (F.col("pip") > x)).alias(f"n_false_pip{name}")]
     base = p.groupBy(*key).agg(*cols)
     m = sets.join(t, [*key, "variant"], "left")
-    per = m.groupBy(*key, "component").agg(F.count("*").alias("size"), F.count("causal").alias("true_in_set"))
-    s = per.groupBy(*key).agg(F.count("*").alias("n_credible_sets"), F.count_if(F.col("true_in_set") > 0).alias("n_cs_containing_causal"), F.min(F.when(F.col("true_in_set") > 0, F.col("size"))).alias("best_cs_size"), F.sum("size").alias("total_cs_snps"))
+    pure = F.first("purity") if "purity" in sets.columns else F.lit(None).cast("double")
+    per = m.groupBy(*key, "component").agg(F.count("*").alias("size"), F.count("causal").alias("true_in_set"), pure.alias("purity"))
+    s = per.groupBy(*key).agg(
+        F.count("*").alias("n_credible_sets"), F.count_if(F.col("true_in_set") > 0).alias("n_cs_containing_causal"), F.min(F.when(F.col("true_in_set") > 0, F.col("size"))).alias("best_cs_size"),
+        F.sum("size").alias("total_cs_snps"), F.avg("purity").alias("mean_cs_purity"), F.min("purity").alias("min_cs_purity"),
+    )
     caught = m.filter("causal").groupBy(*key).agg(F.count_distinct("variant").alias("n_causal_captured"))
     out = base.join(s, key, "left").join(caught, key, "left").na.fill(0, ["n_credible_sets", "n_cs_containing_causal", "n_causal_captured", "total_cs_snps"])
     return out.withColumn("any_causal_captured", F.col("n_causal_captured") > 0)

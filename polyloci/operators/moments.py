@@ -14,7 +14,7 @@ from .association import side
 
 
 def geno_moments(geno: DataFrame, by: list[str], sample: str = "sample", j: str = "j", rows: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """G = X'X as rows (by, i <= j, g) and (by, j, u, n), from raw whole dosages without missing values.
+    """G = X'X as rows (by, i <= j, g) and (by, j, u, n), from raw whole dosages without missing values; others fail the job.
 
     One row per sample holds its dosages. Gram blocks of an Arrow batch of samples, `rows` at a time, are added up by
     Spark, so a pair of variants is a row once for each batch, not for each sample. Sums of whole numbers are exact.
@@ -34,13 +34,16 @@ def geno_moments(geno: DataFrame, by: list[str], sample: str = "sample", j: str
                 for s in range(0, len(part), rows):
                     m = np.stack(part["d"].iloc[s : s + rows].to_list())
                     total += m.T @ m
+                if not np.array_equal(total, np.rint(total)):
+                    raise ValueError(f"{key[:-1]}: X'X is not whole: dosages are not counts, or some are missing")
                 a, b = np.triu_indices(len(axis))
                 first = batch.slice(int(part.index[0]), 1)
                 cols = [pa.repeat(first.column(c)[0], len(a)) for c in by] + [pa.array(axis[a], pa.int32()), pa.array(axis[b], pa.int32()), pa.array(np.rint(total[a, b]).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(cols, names=[*by, "i", "j", "g"])
 
     g = x.mapInArrow(gram, schema).groupBy(*by, "i", "j").agg(F.sum("g").alias("g"))
-    u = geno.groupBy(*by, F.col(j).cast("int").alias("j")).agg(F.sum(F.col("dosage").cast("long")).alias("u"), F.count("dosage").alias("n"))
+    whole = F.when(F.col("dosage") == F.floor("dosage"), F.col("dosage").cast("long")).otherwise(F.raise_error(F.lit("dosages are not whole numbers, or some are missing")).cast("long"))
+    u = geno.groupBy(*by, F.col(j).cast("int").alias("j")).agg(F.sum(whole).alias("u"), F.count("dosage").alias("n"))
     return g, u
 
 
@@ -130,9 +133,9 @@ def qc_maf(df: DataFrame, by: list[str], min_n: int) -> DataFrame:
 
 
 def ld_decay(r2: DataFrame, max_bp: int, bins: int, by: list[str]) -> DataFrame:
-    """Mean r2 by distance bin; bins without pairs have a null mean. r2 has bp_i and bp_j."""
+    """Mean r2 by distance bin, pairs at one position included; bins without pairs have a null mean. r2 has i, j, bp_i, bp_j."""
     dist = F.abs(F.col("bp_j") - F.col("bp_i"))
-    x = r2.filter((dist > 0) & (dist <= max_bp)).withColumn("bin", F.least(F.floor(dist * bins / max_bp), F.lit(bins - 1)).cast("int"))
+    x = r2.filter((F.col("i") != F.col("j")) & (dist <= max_bp)).withColumn("bin", F.least(F.floor(dist * bins / max_bp), F.lit(bins - 1)).cast("int"))
     m = x.groupBy(*by, "bin").agg(F.avg("r2").alias("mean_r2"), F.count("*").alias("n_pairs"))
     grid = r2.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return grid.join(m, [*by, "bin"], "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)).cast("long"))

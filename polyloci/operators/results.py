@@ -134,12 +134,22 @@ def paired_method_summary(df: DataFrame, metrics: dict[str, tuple[Column, Column
     return p.join(q, "metric").select("metric", "first", "second", (F.col("second") - F.col("first")).alias("difference"), "lo", "hi")
 
 
-def rank_candidates(df: DataFrame, by: str, coverage: float = 0.93, fdr: float = 0.05) -> DataFrame:
-    """candidates with power, coverage, fdr and solo; those that pass the screen first, then power, solo, name. A
-    candidate without confident variants has no false ones."""
-    x = df.withColumn("eligible", (F.col("coverage") >= coverage) & (F.coalesce("fdr", F.lit(0.0)) <= fdr))
+def rank_candidates(df: DataFrame, by: str, solo: list, coverage: float = 0.93, fdr: float = 0.05) -> DataFrame:
+    """candidates from their result rows (captured, causal_pip, locus, n_true_sets, n_sets, n_true_pip95, n_false_pip95): power,
+    yield, n_instances, n_loci, coverage, fdr, eligible, solo and rank.
+
+    Those that pass the screen come first, then power, then those in `solo`, then name. A candidate without confident variants
+    has no false ones; one without a set has no coverage and doesn't pass.
+    """
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    found = F.sum("n_true_pip95") + F.sum("n_false_pip95")
+    x = df.groupBy(by).agg(
+        share(F.col("captured")).alias("power"), share(F.col("causal_pip") > 0.95).alias("yield"), F.count("*").alias("n_instances"), F.count_distinct("locus").alias("n_loci"),
+        safe_div(F.sum("n_true_sets").cast("double"), F.sum("n_sets").cast("double")).alias("coverage"), safe_div(F.sum("n_false_pip95").cast("double"), found.cast("double")).alias("fdr"),
+    )
+    x = x.withColumn("eligible", F.coalesce(F.col("coverage") >= coverage, F.lit(False)) & (F.coalesce("fdr", F.lit(0.0)) <= fdr)).withColumn("solo", F.col(by).isin(*solo))
     order = [F.desc("eligible"), F.desc("power"), F.desc("solo"), F.col(by)]
-    return x.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*order)))
+    return x.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*order)))  # a row a candidate
 
 
 def pilot_summary(df: DataFrame, by: list[str]) -> DataFrame:
@@ -147,10 +157,16 @@ def pilot_summary(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), safe_div(F.sum("n_caught").cast("double"), F.sum("n_causal").cast("double")).alias("recall"), safe_div(F.sum("n_true_sets").cast("double"), F.sum("n_sets").cast("double")).alias("coverage"), F.avg("best_size").alias("mean_size"), F.sum("n_true_pip95").alias("true_pip95"), F.sum("runtime_s").alias("runtime_s"))
 
 
+OUTCOMES = ("returned", "converged_no_cs", "nonconverged", "error")
+
+
 def outcome_counts(df: DataFrame, by: list[str]) -> DataFrame:
-    """rows by outcome and cell."""
-    o = F.when(F.col("failed"), "failed").when(~F.col("converged"), "nonconverged").when(F.col("captured"), "captured").when(F.col("n_sets") > 0, "missed").otherwise("no_set")
-    return df.withColumn("outcome", o).groupBy(*by, "outcome").agg(F.count("*").alias("n"))
+    """rows by outcome and cell, 0 included: returned sets, converged without a set, not converged, error. A fit that did not
+    converge and yet returned sets is in two of them."""
+    ok, some = ~F.col("failed"), F.col("n_sets") > 0
+    n = (ok & some, ok & F.col("converged") & ~some, ok & ~F.col("converged"), F.col("failed"))
+    wide = df.groupBy(*by).agg(*[F.count_if(c).alias(name) for name, c in zip(OUTCOMES, n, strict=True)])
+    return wide.unpivot(by, list(OUTCOMES), "outcome", "n")
 
 
 def resolution(df: DataFrame, by: list[str], value: str, points: tuple[float, ...] = (0.25, 0.5, 0.75, 0.95)) -> DataFrame:
@@ -236,8 +252,12 @@ def rare_shares(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(s(0.005).alias("under_005"), s(0.01).alias("under_01"), s(0.05).alias("under_05"))
 
 
-def pop_probability(df: DataFrame, by: list[str], prob: str = "prob", call: float = 0.8) -> DataFrame:
-    """median probability and the share that is called, by ancestry."""
+def pop_probability(df: DataFrame, by: list[str], prob: str = "prob", call: float = 0.8, cohort: DataFrame | None = None, pop: str = "pop") -> DataFrame:
+    """median probability and the share that is called, by ancestry, with the people of each ancestry where cohort (pop, n)
+    is given."""
+    if cohort is not None:
+        known = cohort.select(pop, F.col("n").alias("cohort_n"))
+        return pop_probability(df, by, prob, call).join(side(known), pop, "left")
     return df.groupBy(*by).agg(F.count(prob).alias("n"), F.percentile(prob, 0.5).alias("median"), F.avg((F.col(prob) > call).cast("double")).alias("share_called"))
 
 

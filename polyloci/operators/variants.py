@@ -47,10 +47,9 @@ def sample_variants(df: DataFrame, fraction: float, seed: int, variant: str = "v
     """round(fraction * n) distinct variants of each group, one at least, in a reproducible order."""
     by = by or []
     v = df.select(*by, variant).distinct()
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    rank = F.row_number().over(w.orderBy(order_key(F.col(variant).cast("long"), seed), variant))
-    v = v.withColumn("__n", F.count("*").over(w)).withColumn("__r", rank)
-    return v.filter(F.col("__r") <= F.greatest(F.lit(1), F.round(F.col("__n") * fraction))).drop("__n", "__r")
+    v = v.withColumn("__k", order_key(F.col(variant).cast("long"), seed)).withColumn("__all", F.lit(1))
+    v = rank_within(v, by or ["__all"], ["__k", variant], "__r")
+    return v.filter(F.col("__r") < F.greatest(F.lit(1), F.round(F.col("__r_n") * fraction))).select(*by, variant)
 
 
 def ancestry_specific(df: DataFrame, high: float, low: float, variant: list[str], maf: str = "maf") -> DataFrame:
@@ -176,8 +175,8 @@ def sample_strata(df: DataFrame, k: int, key: str, seed: int, strict: bool = Tru
     """H5: k rows of each stratum in a reproducible order; a short stratum is an error if strict."""
     if strict and not df.groupBy("stratum").count().filter(F.col("count") < k).isEmpty():
         raise ValueError(f"a stratum has fewer than {k} rows")
-    rank = F.row_number().over(W.partitionBy("stratum").orderBy(order_key(F.col(key).cast("long"), seed), key))
-    return df.withColumn("__r", rank).filter(F.col("__r") <= k).drop("__r")
+    x = rank_within(df.withColumn("__k", order_key(F.col(key).cast("long"), seed)), ["stratum"], ["__k", key], "__r")
+    return x.filter(F.col("__r") < k).select(*df.columns)
 
 
 def drop_overlaps(df: DataFrame, bucket: int, priority: list[str], key: str, within: list[str] | None = None) -> DataFrame:

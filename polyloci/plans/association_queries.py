@@ -5,32 +5,38 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.sweep import SINGULAR
 from ..operators import association as A
 from .bindings import ASSOC, GENO, assoc, geno, query, r, table
 
 #: About the mean price: taken from y once, for the whole study.
 SHIFT = 35000.0
 
-_SUMS = ", ".join([*(f"sum(c{i} * c{j}) AS A{i}{j}" for i in range(3) for j in range(i, 3)), *(f"sum(g * c{i}) AS a{i}_, sum(y * c{i}) AS d{i}" for i in range(3))])
-
-
-def _solve(d: str) -> str:
-    rows = (("c00", "c01", "c02"), ("c01", "c11", "c12"), ("c02", "c12", "c22"))
-    return ", ".join(f"({' + '.join(f'{c} * {d.format(k)}' for k, c in enumerate(row))}) / det AS {d[0]}s{i}" for i, row in enumerate(rows))
+def _taken_out(source: str, terms: int, pairs: dict[str, tuple[str, str]]) -> str:
+    """Rows of `source` with their first terms taken out one by one, as one that is explained by those before it takes out
+    nothing. h{i}{j}: sums of products of the terms; a letter and i: those of a term with what is kept; pairs: sums of what
+    is kept, by two of these letters."""
+    letters = sorted({x for p in pairs.values() for x in p})
+    sql = f"SELECT *, {', '.join(f'h{k}{k} AS own{k}' for k in range(terms))} FROM {source}"
+    for k in range(terms):
+        less = lambda out, x, y: f"CASE WHEN h{k}{k} > {SINGULAR}::DOUBLE * own{k} THEN {out} - {x} * {y} / h{k}{k} ELSE {out} END AS {out}"  # noqa: B023, E731
+        new = [less(out, f"{x}{k}", f"{y}{k}") for out, (x, y) in pairs.items()]
+        for i in range(k + 1, terms):
+            new += [less(f"{x}{i}", f"h{k}{i}", f"{x}{k}") for x in letters] + [less(f"h{i}{j}", f"h{k}{i}", f"h{k}{j}") for j in range(i, terms)]
+        sql = f"SELECT * REPLACE ({', '.join(new)}) FROM ({sql})"
+    return sql
 
 
-LINEAR = f"""{ASSOC}, x AS (SELECT site, variant, dosage::DOUBLE AS g, y - {SHIFT} AS y, 1.0::DOUBLE AS c0, c1, c2 FROM assoc),
+# Three covariates, of which the third is constant at each site.
+_SUMS = ", ".join([*(f"sum(c{i} * c{j}) AS h{i}{j}" for i in range(4) for j in range(i, 4)), *(f"sum(g * c{i}) AS a{i}, sum(y * c{i}) AS d{i}" for i in range(4))])
+LINEAR = f"""{ASSOC}, x AS (SELECT site, variant, dosage::DOUBLE AS g, y - {SHIFT} AS y, 1.0::DOUBLE AS c0, c1, c2, site::DOUBLE AS c3 FROM assoc),
 m AS (SELECT site, variant, count(*) AS n, sum(g * g) AS gg, sum(g * y) AS gy, sum(y * y) AS yy, {_SUMS} FROM x GROUP BY site, variant),
-q AS (SELECT *, A11 * A22 - A12 * A12 AS c00, A02 * A12 - A01 * A22 AS c01, A01 * A12 - A02 * A11 AS c02,
-  A00 * A22 - A02 * A02 AS c11, A01 * A02 - A00 * A12 AS c12, A00 * A11 - A01 * A01 AS c22,
-  A00 * (A11 * A22 - A12 * A12) + A01 * (A02 * A12 - A01 * A22) + A02 * (A01 * A12 - A02 * A11) AS det FROM m),
-s AS (SELECT *, {_solve('a{}_')}, {_solve('d{}')} FROM q WHERE det > 0),
-t AS (SELECT site, variant, n, gg - (a0_ * as0 + a1_ * as1 + a2_ * as2) AS gg, gy - (a0_ * ds0 + a1_ * ds1 + a2_ * ds2) AS gy, yy - (d0 * ds0 + d1 * ds1 + d2 * ds2) AS yy FROM s),
-lin AS (SELECT site, variant, n, gy / gg AS beta, CASE WHEN n > 4 THEN sqrt(greatest(yy - gy * gy / gg, 0) / (n - 4) / gg) END AS se, n - 4 AS dof FROM t WHERE gg > 1e-6)"""
+t AS ({_taken_out("m", 4, {"gg": ("a", "a"), "gy": ("a", "d"), "yy": ("d", "d")})}),
+lin AS (SELECT site, variant, n, CASE WHEN gg > 1e-9 THEN gy / gg END AS beta, CASE WHEN n > 5 AND gg > 1e-9 THEN sqrt(greatest(yy - gy * gy / gg, 0) / (n - 5) / gg) END AS se, n - 5 AS dof FROM t)"""
 
 
 def _linear(spark, sf):
-    return A.gwas_linear(assoc(spark, sf), y_shift=SHIFT).filter("beta IS NOT NULL AND se > 0")
+    return A.gwas_linear(assoc(spark, sf).withColumn("c3", F.col("site")), covs=("c1", "c2", "c3"), y_shift=SHIFT)
 
 
 @query(f"""WITH {LINEAR}, meta AS (SELECT variant, count(*) AS n_sites, sum(beta / (se * se)) / sum(1 / (se * se)) AS beta, sqrt(1 / sum(1 / (se * se))) AS se FROM lin WHERE se > 0 GROUP BY variant),
@@ -44,12 +50,12 @@ def gwas_meta_hits(spark, sf):
     return top.select("variant", "n_sites", r("beta", 4).alias("beta"), r("se", 4).alias("se"), r("stat", 5).alias("stat"), "rank")
 
 
-@query(f"WITH {LINEAR} SELECT site, variant, n, round(beta, 4) AS beta, round(se, 4) AS se, round(beta / se, 5) AS stat, dof FROM lin WHERE se > 0")
+@query(f"WITH {LINEAR} SELECT site, variant, n, round(beta, 4) AS beta, round(se, 4) AS se, round(coalesce(CASE WHEN se <> 0 THEN beta / se END, 0), 5) AS stat, dof FROM lin")
 def e2_gwas_linear(spark, sf):
     return _linear(spark, sf).select("site", "variant", "n", r("beta", 4).alias("beta"), r("se", 4).alias("se"), r("stat", 5).alias("stat"), "dof")
 
 
-@query(f"""WITH {LINEAR} SELECT variant, count(*) AS n_sites, round(sum(beta / (se * se)) / sum(1 / (se * se)), 4) AS beta, round(sqrt(1 / sum(1 / (se * se))), 4) AS se FROM lin WHERE se > 0 GROUP BY variant""")
+@query(f"""WITH {LINEAR} SELECT variant, count_if(se > 0) AS n_sites, round(sum(CASE WHEN se > 0 THEN beta / (se * se) END) / sum(CASE WHEN se > 0 THEN 1 / (se * se) END), 4) AS beta, round(sqrt(1 / sum(CASE WHEN se > 0 THEN 1 / (se * se) END)), 4) AS se FROM lin GROUP BY variant""")
 def e5_meta_ivw(spark, sf):
     return A.meta_ivw(_linear(spark, sf), ["variant"]).select("variant", "n_sites", r("beta", 4).alias("beta"), r("se", 4).alias("se"))
 
@@ -79,19 +85,7 @@ sums AS (SELECT site, variant, count(*) AS n, sum(w * g * g) AS gg, sum(g * r) A
     FROM (SELECT site, variant, g, c1, c2, y - mu AS r, mu * (1 - mu) AS w FROM (SELECT a.site, variant, dosage::DOUBLE AS g, c1, c2, CASE WHEN is_case THEN 1.0::DOUBLE ELSE 0 END AS y, {_MU.format("a")} FROM assoc a JOIN fit ON a.site = fit.site AND it = 12)) GROUP BY site, variant)"""
 
 
-def _taken_out() -> str:
-    """`sums` with the intercept and the covariates taken out one by one: what is left of gg and gr."""
-    sql = "SELECT *, h00 AS own0, h11 AS own1, h22 AS own2 FROM sums"
-    for k in range(3):
-        less = lambda out, x, y: f"CASE WHEN h{k}{k} > {A.SINGULAR}::DOUBLE * own{k} THEN {out} - {x} * {y} / h{k}{k} ELSE {out} END AS {out}"  # noqa: B023, E731
-        new = [less("gg", f"a{k}", f"a{k}"), less("gr", f"a{k}", f"d{k}")]
-        for i in range(k + 1, 3):
-            new += [less(f"a{i}", f"h{k}{i}", f"a{k}"), less(f"d{i}", f"h{k}{i}", f"d{k}")] + [less(f"h{i}{j}", f"h{k}{i}", f"h{k}{j}") for j in range(i, 3)]
-        sql = f"SELECT * REPLACE ({', '.join(new)}) FROM ({sql})"
-    return f"SELECT site, variant, n, gr AS u, CASE WHEN gg > 1e-9 THEN gg END AS info FROM ({sql})"
-
-
-@query(f"""WITH RECURSIVE {NEWTON}, sc AS (SELECT *, coalesce(u / sqrt(info), 0) AS z FROM ({_taken_out()}))
+@query(f"""WITH RECURSIVE {NEWTON}, sc AS (SELECT site, variant, n, gr AS u, CASE WHEN gg > 1e-9 THEN gg END AS info, coalesce(CASE WHEN gg > 1e-9 THEN gr / sqrt(gg) END, 0) AS z FROM ({_taken_out("sums", 3, {"gg": ("a", "a"), "gr": ("a", "d")})}))
   SELECT site, variant, n, round(u / info, 6) + 0 AS beta, round(1 / sqrt(info), 6) AS se, round(z, 6) + 0 AS stat, CASE WHEN info IS NOT NULL THEN round(exp(greatest(least(u / info, 50), -50)), 6) END AS odds_ratio, round({_TWO_SIDED.format("z")}, 6) AS p FROM sc""")
 def e3_e4_logistic_score(spark, sf):
     df = assoc(spark, sf).withColumnRenamed("is_case", "case")

@@ -9,9 +9,10 @@ from ..operators import cohort as H
 from ..operators import finemap as I
 from ..operators import policy as P
 from ..operators import results as R
+from ..operators import tiles as L
 from ..streaming import status as ST
 from .bindings import GENO, GRID, LCG, geno, grid, query, r, table
-from .variant_queries import _LD, _SS, _ld, _sumstats
+from .variant_queries import _LD, _SS, _ld, _sumstats, tiles
 
 # ---- fine-mapping
 
@@ -48,7 +49,7 @@ def i3_overall_pip(spark, sf):
 def i4_fit_multi_effect(spark, sf):
     """No SQL: iterative. Tested on constructed loci and, with one effect, against I1."""
     ss = _sumstats(spark, sf).withColumn("locus", F.floor((F.col("j") - 1) / 20).cast("int"))
-    return I.fit_multi_effect(ss, _ld(spark, sf).withColumn("locus", F.col("locus").cast("int")), ["locus"], ["locus"])
+    return I.fit_multi_effect(ss, L.ld_tiles(tiles(spark, sf), ["pop", "locus"]), ["locus"], ["locus"])
 
 
 _MEM = "mem AS (SELECT locus, pop AS component, j AS variant FROM (SELECT DISTINCT locus, pop, j FROM geno) WHERE (j * 7 + pop) % 4 = 0)"
@@ -96,16 +97,18 @@ _FIT = """p AS (SELECT o_orderkey AS k, l_linenumber AS v, max(l_discount * 10)
 
 
 @query(f"""WITH {_FIT}, j AS (SELECT coalesce(p.k, t.k) AS k, p.v, pip, t.v IS NOT NULL AS c FROM p FULL JOIN t ON p.k = t.k AND p.v = t.v), s AS (SELECT p.k, p.v % 2 AS comp, count(*) AS size, count(t.v) AS hit FROM p LEFT JOIN t ON p.k = t.k AND p.v = t.v WHERE pip > 0.3 GROUP BY ALL),
-  g AS (SELECT k, count(*) AS n_credible_sets, count_if(hit > 0) AS n_cs_containing_causal, sum(hit)::BIGINT AS n_causal_captured FROM s GROUP BY k)
-  SELECT j.k AS o_orderkey, count_if(c) AS n_causal, count_if(c AND pip IS NULL) AS n_excluded_causal, round(max(CASE WHEN c THEN coalesce(pip, 0) END), 9) AS causal_pip_max, count_if(c AND pip > 0.5) AS n_true_pip50, count_if(NOT c AND pip > 0.5) AS n_false_pip50, count_if(c AND pip > 0.9) AS n_true_pip90,
-  coalesce(any_value(n_credible_sets), 0) AS n_credible_sets, coalesce(any_value(n_cs_containing_causal), 0) AS n_cs_containing_causal, coalesce(any_value(n_causal_captured), 0) AS n_causal_captured, coalesce(any_value(n_causal_captured), 0) > 0 AS any_causal_captured FROM j LEFT JOIN g ON j.k = g.k GROUP BY j.k""")
+  g AS (SELECT k, count(*) AS n_credible_sets, count_if(hit > 0) AS n_cs_containing_causal, sum(hit)::BIGINT AS n_causal_captured, avg((1 + comp) / 4.0::DOUBLE) AS mp FROM s GROUP BY k)
+  SELECT j.k AS o_orderkey, any_value(ok) AS converged, count_if(c) AS n_causal, count_if(c AND j.v IS NULL) AS n_excluded_causal, round(max(CASE WHEN c AND ok THEN coalesce(pip, 0) END), 9) AS causal_pip_max, round(avg(CASE WHEN c AND ok AND j.v IS NOT NULL THEN pip END), 9) AS causal_pip_mean_eligible,
+  round(max(CASE WHEN ok THEN coalesce(pip, 0) END), 9) AS top_pip, count_if(c AND ok AND pip > 0.5) AS n_true_pip50, count_if(NOT c AND ok AND pip > 0.5) AS n_false_pip50, count_if(c AND ok AND pip > 0.9) AS n_true_pip90, round(any_value(mp), 9) AS mean_cs_purity,
+  coalesce(any_value(n_credible_sets), 0) AS n_credible_sets, coalesce(any_value(n_cs_containing_causal), 0) AS n_cs_containing_causal, coalesce(any_value(n_causal_captured), 0) AS n_causal_captured, coalesce(any_value(n_causal_captured), 0) > 0 AS any_causal_captured FROM j JOIN (SELECT o_orderkey AS k, o_orderstatus <> 'P' AS ok FROM orders) f ON f.k = j.k LEFT JOIN g ON j.k = g.k GROUP BY j.k""")
 def f14_score_fits(spark, sf):
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     pips = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey", F.col("l_linenumber").cast("long").alias("variant")).agg(F.max(F.col("l_discount") * 10).alias("pip"))
     truth = o.select("o_orderkey", (1 + F.col("o_custkey") % 3).alias("variant")).union(o.filter("o_custkey % 2 = 0").select("o_orderkey", F.lit(9).cast("long"))).distinct()
-    sets = pips.filter("pip > 0.3").select("o_orderkey", (F.col("variant") % 2).alias("component"), "variant")
-    x = I.score_fits(pips, sets, truth, ["o_orderkey"])
-    return x.select("o_orderkey", "n_causal", "n_excluded_causal", r("causal_pip_max", 9).alias("causal_pip_max"), "n_true_pip50", "n_false_pip50", "n_true_pip90", "n_credible_sets", "n_cs_containing_causal", "n_causal_captured", "any_causal_captured")
+    sets = pips.filter("pip > 0.3").select("o_orderkey", (F.col("variant") % 2).alias("component"), "variant").withColumn("purity", (1 + F.col("component")) / 4.0)
+    x = I.score_fits(pips, sets, truth, ["o_orderkey"], o.select("o_orderkey", (F.col("o_orderstatus") != "P").alias("converged")))
+    rounded = [r(c, 9).alias(c) for c in ("causal_pip_max", "causal_pip_mean_eligible", "top_pip", "mean_cs_purity")]
+    return x.select("o_orderkey", "converged", "n_causal", "n_excluded_causal", *rounded, "n_true_pip50", "n_false_pip50", "n_true_pip90", "n_credible_sets", "n_cs_containing_causal", "n_causal_captured", "any_causal_captured")
 
 
 _GV = f"{GENO}, gv AS (SELECT sample, site, pop, y, sum(((j * (1 + pop)) % 5 - 2)::DOUBLE * dosage) AS gv FROM geno GROUP BY ALL)"
@@ -153,11 +156,11 @@ def e31_summarise_checks(spark, sf):
 # ---- result grids
 
 
-@query("""SELECT o_orderkey, c_mktsegment AS truth, len(string_split(c_mktsegment, 'U'))::INT AS n_ids FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 > 0) ON o_custkey = c_custkey WHERE c_custkey IS NOT NULL""")
+@query("""SELECT o_orderkey, c_mktsegment AS truth, len(string_split(c_mktsegment, 'U'))::INT AS n_ids FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 > 0) ON o_custkey = c_custkey""")
 def d8_join_truth(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("k"))
-    m = table(spark, sf, "customer").filter("c_custkey % 3 > 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("truth"), F.regexp_replace("c_mktsegment", "U", ",").alias("causal_snp_ids"))
-    return R.join_truth(o, m, ["k"]).filter("truth IS NOT NULL").select("o_orderkey", "truth", F.size("causal_ids").alias("n_ids"))
+    m = table(spark, sf, "customer").filter("c_custkey % 5 > 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("truth"), F.regexp_replace("c_mktsegment", "U", ",").alias("causal_snp_ids"))
+    return R.join_truth(o, m, ["k"]).select("o_orderkey", "truth", F.when(F.col("causal_ids").isNotNull(), F.size("causal_ids")).alias("n_ids"))
 
 
 @query("""WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS p FROM orders WHERE o_orderkey % 19 > 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice * 1.001 ELSE o_totalprice * 1.000001 END AS p FROM orders WHERE o_orderkey % 23 > 0)
@@ -264,12 +267,14 @@ def f5_paired_method_summary(spark, sf):
     return x.select("metric", *[r(c, 9).alias(c) for c in ("first", "second", "difference", "lo", "hi")])
 
 
-@query(f"""WITH {GRID}, c AS (SELECT region, avg(CASE WHEN captured THEN 1.0 ELSE 0.0 END) AS power, sum(n_true_sets) / sum(n_sets) AS coverage, sum(n_false_pip95) / sum(n_false_pip95 + n_true_pip95) AS fdr, avg(CASE WHEN n_sets = 1 THEN 1.0 ELSE 0.0 END) AS solo FROM grid GROUP BY region)
-  SELECT region, coverage >= 0.6 AND fdr <= 0.2 AS eligible, row_number() OVER (ORDER BY (coverage >= 0.6 AND fdr <= 0.2) DESC, power DESC, solo DESC, region)::INT AS rank FROM c""")
+# A candidate with no set at all has no coverage.
+@query(f"""WITH {GRID}, c AS (SELECT n_sets || '-' || region AS candidate, avg(CASE WHEN captured THEN 1.0::DOUBLE ELSE 0 END) AS power, avg(CASE WHEN causal_pip > 0.95::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) AS yield, count(*) AS n_instances, count(DISTINCT locus) AS n_loci,
+  CASE WHEN sum(n_sets) > 0 THEN sum(n_true_sets) / sum(n_sets) END AS coverage, sum(n_false_pip95) / sum(n_false_pip95 + n_true_pip95) AS fdr FROM grid GROUP BY 1),
+  e AS (SELECT *, coalesce(coverage >= 0.6, FALSE) AND coalesce(fdr, 0) <= 0.2 AS eligible, candidate IN ('1-1', '1-5') AS solo FROM c)
+  SELECT candidate, n_instances, n_loci, round(yield, 9) AS yield, round(coverage, 9)::DOUBLE AS coverage, eligible, solo, row_number() OVER (ORDER BY eligible DESC, power DESC, solo DESC, candidate)::INT AS rank FROM e""")
 def f7_rank_candidates(spark, sf):
-    one = lambda c: F.avg(c.cast("double"))
-    c = grid(spark, sf).groupBy("region").agg(one(F.col("captured")).alias("power"), (F.sum("n_true_sets") / F.sum("n_sets")).alias("coverage"), (F.sum("n_false_pip95") / F.sum(F.col("n_false_pip95") + F.col("n_true_pip95"))).alias("fdr"), one(F.col("n_sets") == 1).alias("solo"))
-    return R.rank_candidates(c, "region", 0.6, 0.2).select("region", "eligible", "rank")
+    x = grid(spark, sf).withColumn("candidate", F.concat_ws("-", "n_sets", "region"))
+    return R.rank_candidates(x, "candidate", ["1-1", "1-5"], 0.6, 0.2).select("candidate", "n_instances", "n_loci", r("yield", 9).alias("yield"), r("coverage", 9).alias("coverage"), "eligible", "solo", "rank")
 
 
 @query(f"WITH {GRID} SELECT arm, architecture, count(*) AS n, round(sum(n_caught) / sum(n_causal), 9)::DOUBLE AS recall, round(avg(best_size), 9) AS mean_size, sum(n_true_pip95)::BIGINT AS true_pip95, round(sum(runtime_s), 4) AS runtime_s FROM grid GROUP BY arm, architecture")
@@ -277,7 +282,8 @@ def f8_pilot_summary(spark, sf):
     return R.pilot_summary(grid(spark, sf), ["arm", "architecture"]).select("arm", "architecture", "n", r("recall", 9).alias("recall"), r("mean_size", 9).alias("mean_size"), "true_pip95", r("runtime_s", 4).alias("runtime_s"))
 
 
-@query(f"WITH {GRID} SELECT architecture, CASE WHEN failed THEN 'failed' WHEN NOT converged THEN 'nonconverged' WHEN captured THEN 'captured' WHEN n_sets > 0 THEN 'missed' ELSE 'no_set' END AS outcome, count(*) AS n FROM grid GROUP BY ALL")
+@query(f"""WITH {GRID}, o AS (SELECT architecture, unnest([CASE WHEN n_sets > 0 AND NOT failed THEN 'returned' END, CASE WHEN converged AND n_sets = 0 AND NOT failed THEN 'converged_no_cs' END, CASE WHEN NOT converged AND NOT failed THEN 'nonconverged' END, CASE WHEN failed THEN 'error' END]) AS o FROM grid)
+  SELECT architecture, outcome, count_if(o = outcome) AS n FROM o, (VALUES ('returned'), ('converged_no_cs'), ('nonconverged'), ('error')) t(outcome) GROUP BY ALL""")
 def f9_outcome_counts(spark, sf):
     return R.outcome_counts(grid(spark, sf), ["architecture"])
 
@@ -326,10 +332,11 @@ def f13_pivot_power(spark, sf):
     return x.select("architecture", *[r(F.col(f"`{k}`"), 9).alias(f"s{k}") for k in range(3)])
 
 
-@query(f"WITH {GRID} SELECT arm, count(*) AS n, round(quantile_cont(causal_pip, 0.5), 9) AS median, round(avg(CASE WHEN causal_pip > 0.8 THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS share_called FROM grid GROUP BY arm")
+@query(f"WITH {GRID} SELECT arm, count(*) AS n, round(quantile_cont(causal_pip, 0.5), 9) AS median, round(avg(CASE WHEN causal_pip > 0.8 THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS share_called, any_value(people) AS cohort_n FROM grid LEFT JOIN (SELECT c_nationkey % 2 AS a, count(*) AS people FROM customer GROUP BY 1) ON a = arm GROUP BY arm")
 def f24_pop_probability(spark, sf):
-    x = R.pop_probability(grid(spark, sf).withColumn("prob", F.col("causal_pip")), ["arm"])
-    return x.select("arm", "n", r("median", 9).alias("median"), r("share_called", 9).alias("share_called"))
+    people = table(spark, sf, "customer").groupBy((F.col("c_nationkey") % 2).cast("long").alias("arm")).agg(F.count("*").alias("n"))
+    x = R.pop_probability(grid(spark, sf).withColumn("prob", F.col("causal_pip")), ["arm"], cohort=people, pop="arm")
+    return x.select("arm", "n", r("median", 9).alias("median"), r("share_called", 9).alias("share_called"), "cohort_n")
 
 
 @query(f"WITH {GRID} SELECT architecture, h2, stratum, count(*) AS n FROM grid GROUP BY ALL")

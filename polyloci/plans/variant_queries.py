@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import moments as M
+from ..operators import tiles as L
 from ..operators import variants as V
 from .bindings import GENO, LCG, POSITIONS, WINDOWS, geno, positions, query, r, table, windows
 
@@ -171,6 +173,18 @@ def e11_pheno_scalars(spark, sf):
     return M.pheno_moments(g.drop("y"), p, ["site", "pop"])[1].select("site", "pop", r("q").alias("q"), r("w").alias("w"), "n")
 
 
+@query(f"WITH {_G} SELECT site, pop, locus, i, j, g FROM g")
+def e10_geno_tiles(spark, sf):
+    by = ["site", "pop", "locus"]
+    return L.tile_pairs(L.product_tiles(tiles(spark, sf, by), by), by, "g", "long")
+
+
+@query(f"WITH {_G} SELECT pop, locus, i, j, sum(g)::BIGINT AS g FROM g GROUP BY pop, locus, i, j")
+def e12_pool_tiles(spark, sf):
+    by = ["pop", "locus"]
+    return L.tile_pairs(L.product_tiles(tiles(spark, sf, by), by), by, "g", "long")
+
+
 @query(f"WITH {_G} SELECT pop, locus, i, j, sum(g)::BIGINT AS g FROM g GROUP BY pop, locus, i, j")
 def e12_e13_pool(spark, sf):
     return M.pool(_gu(spark, sf)[1], ["pop", "locus", "i", "j"], ["g"])
@@ -185,10 +199,16 @@ def e14_c8_plan_columns(spark, sf):
 _LD = f"""{GENO}, c AS (SELECT a.pop, a.locus, a.j AS i, b.j AS j, corr(a.dosage, b.dosage) AS r FROM geno a JOIN geno b ON a.sample = b.sample AND a.locus = b.locus AND a.j <= b.j GROUP BY ALL)"""
 
 
+def tiles(spark, sf, by=("pop", "locus"), width=16):
+    """Moments of the loci as tiles, pooled to `by`, over the variants that all sites have; small tiles, so that a locus has some."""
+    g = geno(spark, sf)
+    coded = g.select("site", "locus", "j", "bp").distinct()
+    axis = L.variant_axis(coded, ["locus"], codes=("bp",))
+    return L.add_tiles(L.geno_tiles(g, ["site", "pop", "locus"], axis, ["locus"], width=width), list(by))
+
+
 def _ld(spark, sf, by=("pop", "locus")):
-    by = list(by)
-    g, u = M.geno_moments(geno(spark, sf), ["site", "pop", "locus"])
-    return M.pooled_ld(M.pool(g, [*by, "i", "j"], ["g"]), M.pool(u, [*by, "j"], ["u", "n"]), by)
+    return L.tile_pairs(L.ld_tiles(tiles(spark, sf, by), list(by)), list(by), "r")
 
 
 @query(f"WITH {_LD} SELECT pop, locus, i, j, round(r, 6) + 0.0::DOUBLE AS r FROM c")
@@ -220,15 +240,16 @@ def e17_tau_sq(spark, sf):
 
 @query(f"WITH {_G} SELECT site, pop, locus, i, j, round(g - ui * uj / n, 6) AS sxx FROM g")
 def e18_centered_moments(spark, sf):
-    _, g, u = _gu(spark, sf)
-    return M.centered_moments(g, u, ["site", "pop", "locus"]).select("site", "pop", "locus", "i", "j", r("sxx").alias("sxx"))
+    by = ["site", "pop", "locus"]
+    return L.tile_pairs(L.centered_tiles(tiles(spark, sf, by), by), by, "sxx").select(*by, "i", "j", r("sxx").alias("sxx"))
 
 
 _R2 = f"""{GENO}, r2 AS (SELECT a.site, a.locus, a.j AS i, b.j AS j, corr(a.dosage, b.dosage) * corr(a.dosage, b.dosage) AS r2 FROM geno a JOIN geno b ON a.sample = b.sample AND a.locus = b.locus AND a.j <= b.j GROUP BY ALL)"""
 
 
 def _r2(spark, sf):
-    return _ld(spark, sf, ("site", "locus")).withColumn("r2", F.col("r") * F.col("r"))
+    by = ["site", "locus"]
+    return L.tile_pairs(L.r2_tiles(tiles(spark, sf, by), by), by, "r2")
 
 
 @query(f"WITH {_R2} SELECT site, locus, i, j, round(r2, 6) AS r2 FROM r2")
@@ -239,7 +260,8 @@ def e19_r2_pairs(spark, sf):
 @query(f"""WITH {_R2}, d AS (SELECT a.locus, a.site AS sa, b.site AS sb, sqrt(sum(CASE WHEN a.i = a.j THEN 1 ELSE 2 END * (a.r2 - b.r2) * (a.r2 - b.r2))) AS d FROM r2 a JOIN r2 b ON a.locus = b.locus AND a.i = b.i AND a.j = b.j AND a.site < b.site GROUP BY ALL)
   SELECT locus, round(avg(d), 6) AS divergence, count(*) AS n_pairs FROM d GROUP BY locus""")
 def e20_ld_divergence(spark, sf):
-    return M.ld_divergence(_r2(spark, sf), ["locus"]).select("locus", r("divergence").alias("divergence"), "n_pairs")
+    by = ["site", "locus"]
+    return L.tile_divergence(cut(L.r2_tiles(tiles(spark, sf, by), by)), ["locus"]).select("locus", r("divergence").alias("divergence"), "n_pairs")
 
 
 @query(f"WITH {_R2}, m AS (SELECT locus, site, avg(r2) AS m FROM r2 WHERE i <> j GROUP BY locus, site) SELECT locus, round(avg(m), 8) AS mean_r2 FROM m GROUP BY locus")
@@ -253,10 +275,10 @@ def e22_qc_maf(spark, sf):
     return M.qc_maf(u, ["pop"], 50).select("pop", "n_variants", r("median_maf", 8).alias("median_maf"), r("share_common", 8).alias("share_common"))
 
 
-@query(f"""WITH {_R2}, b AS (SELECT site, least((j - i) * 1000 * 20 // 25000, 19)::INT AS bin, r2 FROM r2 WHERE j > i), m AS (SELECT site, bin, avg(r2) AS m, count(*) AS n FROM b GROUP BY site, bin)
+@query(f"""WITH {_R2}, b AS (SELECT site, least((j // 2 - i // 2) * 1000 * 20 // 25000, 19)::INT AS bin, r2 FROM r2 WHERE j > i), m AS (SELECT site, bin, avg(r2) AS m, count(*) AS n FROM b GROUP BY site, bin)
   SELECT g.site, g.bin, round(m, 8) AS mean_r2, coalesce(n, 0) AS n_pairs FROM (SELECT site, bin::INT AS bin FROM (SELECT DISTINCT site FROM r2), range(0, 20) t(bin)) g LEFT JOIN m ON g.site = m.site AND g.bin = m.bin""")
 def e23_ld_decay(spark, sf):
-    x = _r2(spark, sf).withColumn("bp_i", F.col("i") * 1000).withColumn("bp_j", F.col("j") * 1000)
+    x = _r2(spark, sf).withColumn("bp_i", F.floor(F.col("i") / 2) * 1000).withColumn("bp_j", F.floor(F.col("j") / 2) * 1000)  # two variants a position
     return M.ld_decay(x, 25_000, 20, ["site"]).select("site", "bin", r("mean_r2", 8).alias("mean_r2"), "n_pairs")
 
 
