@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,8 +108,8 @@ def blocking(decisions: DataFrame, site: str = "dataset_id", study: str = "reque
     return rows.join(rows.groupBy(study).agg(F.count("*").alias("n_blocking")), study)
 
 
-def fingerprint(df: DataFrame, key: list[str], order: str, line: Column, fan: int = FAN) -> DataFrame:
-    """G5 (action): SHA-256 of a group's lines in order, parted by line feeds.
+def fingerprint(df: DataFrame, key: list[str], order: str, line: Column, fan: int = FAN, parted_by: str = "\n") -> DataFrame:
+    """G5 (action): SHA-256 of a group's lines in order, parted by line feeds or another string.
 
     A group of more than `fan` lines is a tree: each `fan` lines in order are hashed, and the digests take the lines' place
     until one is left; a digest alone in its block is passed on. So no task holds more than `fan` lines of a group.
@@ -115,7 +118,7 @@ def fingerprint(df: DataFrame, key: list[str], order: str, line: Column, fan: in
     leaf = True
     while True:
         x = x.groupBy(*key, F.floor(F.col("__r") / fan).alias("__b")).agg(F.array_sort(F.collect_list(F.struct("__r", "__l"))).alias("__a"))
-        digest = F.sha2(F.array_join(F.col("__a")["__l"], "\n").cast("binary"), 256)
+        digest = F.sha2(F.array_join(F.col("__a")["__l"], parted_by).cast("binary"), 256)
         if not leaf:
             digest = F.when(F.size("__a") == 1, F.col("__a")[0]["__l"]).otherwise(digest)
         x = cut(x.select(*key, F.col("__b").alias("__r"), digest.alias("__l")))
@@ -145,6 +148,68 @@ def bundle_ids(manifest: DataFrame) -> DataFrame:
     return x.select(F.col("parent").alias("path"), "size", F.col("fingerprint").alias("sha256"))
 
 
+def _parent(path: Column) -> Column:
+    """The directory a path is in: "" is the root, which is in none."""
+    return F.when(path != "", F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(""))
+
+
+TREE = "path string, parent string, name string, depth int, is_bundle boolean, size long, id string, checksum string"
+
+
+def content_tree(files: DataFrame, excluded: tuple[str, ...] = (), fan: int = FAN) -> DataFrame:
+    """G6 (action): TREE, every file and directory of (path, size, sha256), from the leaves to the root, whose path is "".
+
+    A file's id and checksum are its SHA-256. A directory's id is the SHA-256 of its children's names and ids in name order
+    (name, NUL, id, line feed), and its checksum that of their sorted checksums, each as fingerprint() takes it where there are
+    over `fan` children. Names in `excluded` are no objects. Directories are made depth by depth, all of a depth at once. A
+    path that is given twice is an error, and so is one that is both a file and a directory.
+    """
+    path = F.col("path")
+    leaves = files.select("path", _parent(path).alias("parent"), F.element_at(F.split(path, "/"), -1).alias("name"), F.size(F.split(path, "/")).alias("depth"), F.lit(False).alias("is_bundle"), F.col("size").cast("long").alias("size"), F.col("sha256").alias("id"), F.col("sha256").alias("checksum"))
+    if excluded:
+        leaves = leaves.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in excluded])))
+    leaves = cut(leaves)
+    deepest = leaves.agg(F.max("depth")).first()[0] or 0
+    level, out = leaves.filter(F.col("depth") == deepest), leaves
+    for depth in range(deepest, 0, -1):
+        level = cut(level)
+        ids = fingerprint(level, ["parent"], "name", F.concat("name", F.lit("\0"), "id", F.lit("\n")), fan, "").withColumnRenamed("fingerprint", "id")
+        sums = fingerprint(level, ["parent"], "checksum", F.col("checksum"), fan, "").withColumnRenamed("fingerprint", "checksum")
+        made = level.groupBy("parent").agg(F.sum("size").alias("size")).join(ids, "parent").join(sums, "parent")
+        made = made.select(F.col("parent").alias("path"), _parent(F.col("parent")).alias("parent"), F.element_at(F.split("parent", "/"), -1).alias("name"), F.lit(depth - 1).alias("depth"), F.lit(True).alias("is_bundle"), "size", "id", "checksum")
+        out = out.unionByName(made)
+        level = made.unionByName(leaves.filter(F.col("depth") == depth - 1))
+    out = cut(out)
+    if not out.groupBy("path").count().filter("count > 1").isEmpty():
+        raise ValueError("some paths occur twice, or are both a file and a directory")
+    return out
+
+
+def verify_tree(recorded: DataFrame, files: DataFrame, excluded: tuple[str, ...] = (), fan: int = FAN) -> DataFrame:
+    """G6 (action): (path, state) of all problems of a recorded TREE against the files that are there, both ways and all the way
+    down: missing, extra, changed (a file's bytes, or a file for a directory or the other way round), and record, a directory
+    whose recorded children do not hash to its id. Of what is missing or extra only the topmost object is named.
+    """
+    there = content_tree(files, excluded, fan).select("path", F.col("is_bundle").alias("__bundle"), F.col("id").alias("__id"))
+    both = cut(recorded.select("path", "is_bundle", "id").join(there, "path", "full"))
+    kind = F.when(F.col("__id").isNull(), "missing").when(F.col("id").isNull(), "extra").when((F.col("is_bundle") != F.col("__bundle")) | (~F.col("is_bundle") & (F.col("id") != F.col("__id"))), "changed")
+    problem = both.select("path", _parent(F.col("path")).alias("parent"), kind.alias("state")).filter(F.col("state").isNotNull())
+    covered = problem.filter("state IN ('missing', 'extra', 'changed')").select(F.col("path").alias("parent"))
+    problem = problem.join(covered, "parent", "left_anti").select("path", "state")
+    children = recorded.filter("parent IS NOT NULL")
+    made = fingerprint(children, ["parent"], "name", F.concat("name", F.lit("\0"), "id", F.lit("\n")), fan, "")
+    bundles = recorded.filter("is_bundle").select(F.col("path").alias("parent"), "id").join(made, "parent", "left")
+    wrong = bundles.filter(~F.col("id").eqNullSafe(F.col("fingerprint"))).select(F.col("parent").alias("path"), F.lit("record").alias("state"))
+    return problem.unionByName(wrong)
+
+
 def scan_files(spark, path: str) -> DataFrame:
-    """A directory's files with their bytes, for content_manifest()."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    """(path, length, content) of a directory's files, for content_manifest() and content_tree().
+
+    Spark's scan passes over files without a byte; these are taken from the list of files that it makes at the driver.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    listed = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(x)),) for x in found.inputFiles()], "path string")
+    found = found.select("path", "length", "content")
+    empty = listed.join(found.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    return found.unionByName(empty)

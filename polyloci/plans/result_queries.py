@@ -441,6 +441,43 @@ def g6_bundle_ids(spark, sf):
     return P.bundle_ids(P.content_manifest(d, "doc_id", F.coalesce("text", F.lit("")), F.col("source")))
 
 
+# Nested paths: a document lies in <source>/<language>/<last digit>.
+_PATH = "coalesce(source, 'none') || '/' || coalesce(lang, 'und') || '/' || doc_id % 10 || '/' || doc_id"
+_FILES = f"files AS (SELECT {_PATH} AS path, strlen(coalesce(text, ''))::BIGINT AS size, sha256(coalesce(text, '')) AS h FROM documents)"
+
+
+def _bundles() -> str:
+    """The directories above `files`, three levels and the root."""
+    up = lambda p: f"CASE WHEN contains({p}, '/') THEN regexp_replace({p}, '/[^/]*$', '') WHEN {p} <> '' THEN '' END"
+    ctes = [f"l4 AS (SELECT path, {up('path')} AS parent, string_split(path, '/')[-1] AS name, 4 AS depth, FALSE AS is_bundle, size, h AS id, h AS checksum FROM files)"]
+    for d in (3, 2, 1, 0):
+        ctes.append(f"l{d} AS (SELECT parent AS path, {up('parent')} AS parent, string_split(parent, '/')[-1] AS name, {d} AS depth, TRUE AS is_bundle, sum(size)::BIGINT AS size, sha256(string_agg(name || chr(0) || id || chr(10), '' ORDER BY name)) AS id, sha256(string_agg(checksum, '' ORDER BY checksum)) AS checksum FROM (SELECT parent AS p, * FROM l{d + 1}) GROUP BY parent)")
+    return ", ".join(ctes)
+
+
+def _nested(spark, sf):
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("und")), F.col("doc_id") % 10, F.col("doc_id"))
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf, "documents").select("doc_id", path.alias("path"), F.octet_length(text).cast("long").alias("size"), F.sha2(text.cast("binary"), 256).alias("sha256"))
+
+
+@query(f"WITH {_FILES}, {_bundles()} SELECT * FROM l4 UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l0")
+def g6_content_tree(spark, sf):
+    return P.content_tree(_nested(spark, sf))
+
+
+@query(f"""WITH {_FILES}, now AS (SELECT path, CASE WHEN path LIKE '%7' THEN 'x' ELSE h END AS h FROM files WHERE path NOT LIKE '%/3/%' AND path NOT LIKE '%11' UNION ALL SELECT path || '-copy', h FROM files WHERE path LIKE '%42' UNION ALL SELECT 'new/' || path, h FROM files WHERE path LIKE '%55'),
+  a AS (SELECT path, h FROM files UNION ALL SELECT DISTINCT array_to_string(string_split(path, '/')[1:k], '/'), NULL FROM files, range(0, 4) t(k)),
+  b AS (SELECT path, h FROM now UNION ALL SELECT DISTINCT array_to_string(s[1:k], '/'), NULL FROM (SELECT string_split(path, '/') AS s FROM now), range(0, 6) t(k) WHERE k < len(s)),
+  j AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'missing' WHEN a.path IS NULL THEN 'extra' WHEN a.h <> b.h THEN 'changed' END AS state FROM a FULL JOIN b ON a.path = b.path)
+  SELECT path, state FROM j WHERE state IS NOT NULL AND CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END NOT IN (SELECT path FROM j WHERE state IS NOT NULL)""")
+def g6_verify_tree(spark, sf):
+    files, p = _nested(spark, sf), F.col("path")
+    now = files.filter(~p.like("%/3/%") & ~p.like("%11")).withColumn("sha256", F.when(p.like("%7"), "x").otherwise(F.col("sha256")))
+    now = now.unionByName(files.filter(p.like("%42")).withColumn("path", F.concat("path", F.lit("-copy")))).unionByName(files.filter(p.like("%55")).withColumn("path", F.concat(F.lit("new/"), "path")))
+    return P.verify_tree(P.content_tree(files), now)
+
+
 @query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def g7_check_split(spark, sf):
     return H.check_split(table(spark, sf, "orders"), "o_custkey", "o_orderstatus", "F", "P")
