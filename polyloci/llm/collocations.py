@@ -2,9 +2,9 @@
 second pass, then scored against their best cut.
 
 Texts are cut into pieces and words, and every phrase of up to four words within a piece is a 64-bit hash of its language and
-words, all in NumPy. (1) Each task combines its phrases by hash and writes them as blocks by hash partition. A partition's
-mass is then known, and its blocks are merged into one summary of more counters than mass / least, so that no phrase of
-`least` occurrences can be lost. What survives is a bit map. Words come first, then pairs of surviving words, then longer
+words, all in NumPy. (1) Each task combines its phrases by hash and sends them as blocks by hash partition, after their
+masses. A partition's blocks are merged into one summary of more counters than mass / least, so that no phrase of `least`
+occurrences can be lost. What survives is a bit map. Words come first, then pairs of surviving words, then longer
 phrases of surviving pairs: a phrase is no more frequent than its parts. (2) A last pass over the texts counts the survivors,
 by their words and not by their hashes, so a collision of hashes can only let through a phrase that is dropped later.
 """
@@ -28,8 +28,8 @@ LEAST, LONGEST, TOP, INSIDE_PERCENT = 30, 4, 2000, 80
 BREAKS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Texts are worked on in parts of so many bytes, cut after a break: about 40 bytes of arrays a byte of text.
 PART_BYTES = 2 << 20
-#: Phrases a task holds before it writes them out, as hashes and as words.
-MOST_HASHES, MOST_PHRASES = 2_000_000, 150_000
+#: Phrases a task holds before it writes them out: as hashes, as Python objects, and as rows of a table of some 40 bytes each.
+MOST_HASHES, MOST_PHRASES, MOST_COUNTED = 2_000_000, 100_000, 1_200_000
 #: Bits of a survivor map: about 16 a survivor, and no more than 2**MAP_BITS (32 MB). Beyond that the map only lets more through.
 MAP_BITS = 28
 #: Hash partitions: a power of two near the number of input partitions, so that a summary stays as small as a task's input.
@@ -37,7 +37,8 @@ LEAST_PARTS, MOST_PARTS = 1 << 6, 1 << 16
 RANK_GROUPS = (1024, 32, 1)
 
 #: keys: 32 bits of each hash after those that name the partition, by ascending count and then key, packed; counts: (count, keys
-#: with it). Two phrases with the same bits count as one here, which can only let more survive.
+#: with it). Two phrases with the same bits count as one here, which can only let more survive. A row without keys tells the
+#: mass of a block and comes before all blocks.
 BLOCKS = "part int, keys binary, counts binary, mass long"
 COUNTED = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("phrase", pa.binary()), ("words", pa.int32()), ("count", pa.int64())])
 
@@ -201,6 +202,7 @@ def _summaries(docs: DataFrame, maps, lengths: tuple[int, ...], part_bits: int)
                     order = np.argsort(own, kind="stable")
                     value, run = np.unique(own, return_counts=True)
                     rows.append((part, pack_keys(short[start:end][order]), np.stack((value, run)).astype("<u4").tobytes(), int(own.sum())))
+            rows += [(part, None, None, mass) for part, _, _, mass in rows]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["part", "keys", "counts", "mass"])
 
         for batch in batches:
@@ -220,38 +222,47 @@ def _summaries(docs: DataFrame, maps, lengths: tuple[int, ...], part_bits: int)
     return docs.mapInArrow(run, BLOCKS)
 
 
-def _survivors(blocks: DataFrame, least: int, part_bits: int) -> SurvivorMap:
-    """Merges the blocks of each hash partition into one summary, and maps what may occur `least` times. The driver sees a
-    mass for each of at most MOST_PARTS partitions, and slices of one map of at most 2**MAP_BITS bits."""
-    masses = dict(tuple(r) for r in blocks.groupBy("part").agg(F.sum("mass")).collect())
-    sizes = {p: capacity(m, least) for p, m in masses.items()}
-    bits = min(MAP_BITS, max(part_bits + 3, (16 * sum(sizes.values())).bit_length()))
-    own = bits - part_bits
+def _survivors(grams: DataFrame, least: int, part_bits: int) -> SurvivorMap:
+    """Merges the blocks of each hash partition into one summary, and maps what may occur `least` times.
+
+    The masses of a partition's blocks come before the blocks, so that its summary has its capacity from the start. The driver
+    sees one map of at most 2**MAP_BITS bits, in compressed slices, and keeps about 16 bits of it for each survivor.
+    """
+    own = MAP_BITS - part_bits
 
     def run(batches):
-        part, summary = None, None
+        part, mass, summary = None, 0, None
 
         def out():
+            keys = summary.at_least(least)
             held = np.zeros(1 << own, np.uint8)
-            held[summary.at_least(least) >> np.uint32(32 - own)] = 1
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())], ["part", "held"])
+            held[keys >> np.uint32(32 - own)] = 1
+            packed = pa.compress(np.packbits(held, bitorder="little").tobytes(), codec="zstd", asbytes=True)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([packed], pa.binary())], ["part", "n", "held"])
 
         for batch in batches:
-            for p, keys, counts in zip(*(batch.column(i) for i in range(3)), strict=True):
+            for p, keys, counts, more in zip(*(batch.column(i) for i in range(4)), strict=True):
                 if p.as_py() != part:
                     if summary:
                         yield out()
-                    part = p.as_py()
-                    summary = Summary(sizes[part])
+                    part, mass, summary = p.as_py(), 0, None
+                if not keys.is_valid:
+                    mass += more.as_py()
+                    continue
+                summary = summary or Summary(capacity(mass, least))
                 value, run = np.frombuffer(counts.as_buffer(), "<u4").reshape(2, -1).astype(np.int64)
                 summary.merge(unpack_keys(keys.as_py(), int(run.sum())), np.repeat(value, run))
         if summary:
             yield out()
 
-    merged = blocks.select("part", "keys", "counts").repartition("part").sortWithinPartitions("part").mapInArrow(run, "part int, held binary")
+    dealt = grams.repartition("part").sortWithinPartitions("part", F.col("keys").isNotNull())
+    slices = dealt.mapInArrow(run, "part int, n long, held binary").collect()
+    bits = min(MAP_BITS, max(part_bits + 3, (16 * sum(r["n"] for r in slices)).bit_length()))
     data = np.zeros(1 << (bits - 3), np.uint8)
-    for part, held in merged.collect():
-        data[part << (own - 3) : (part + 1) << (own - 3)] = np.frombuffer(held, np.uint8)
+    each, fold = 1 << (bits - part_bits - 3), 1 << (MAP_BITS - bits)
+    for r in slices:
+        held = np.unpackbits(np.frombuffer(pa.decompress(r["held"], 1 << (own - 3), codec="zstd", asbytes=True), np.uint8), bitorder="little")
+        data[r["part"] * each : (r["part"] + 1) * each] = np.packbits(held.reshape(-1, fold).max(1), bitorder="little")
     return SurvivorMap(bits, data)
 
 
@@ -319,9 +330,9 @@ def _exact(docs: DataFrame, maps, longest: int, least: int, part_bits: int) -> D
                             row[0] += c
                 if len(found) >= MOST_PHRASES or len(totals) >= MOST_PHRASES:
                     close()
-                    if sum(len(t) for t in tables) >= 4 * MOST_PHRASES:
+                    if sum(len(t) for t in tables) >= MOST_COUNTED:
                         tables = [_added(tables)]
-                        if len(tables[0]) >= 3 * MOST_PHRASES:
+                        if len(tables[0]) >= MOST_COUNTED * 3 // 4:
                             yield _packed(tables.pop())
         close()
         if tables:
@@ -342,7 +353,7 @@ def _exact(docs: DataFrame, maps, longest: int, least: int, part_bits: int) -> D
                         yield from out()
                     part, tables = p, []
                 tables.append(pa.ipc.open_stream(blob.as_buffer()).read_all())
-                if sum(len(t) for t in tables) >= 4 * MOST_PHRASES:
+                if sum(len(t) for t in tables) >= MOST_COUNTED:
                     tables = [_added(tables)]
         if tables:
             yield from out()
@@ -361,7 +372,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, t
     maps: dict[int, SurvivorMap] = {}
     for lengths in [(n,) for n in range(1, min(longest, 2) + 1)] + ([tuple(range(3, longest + 1))] if longest > 2 else []):
         sent = spark.sparkContext.broadcast(dict(maps)) if maps else None
-        found = _survivors(stored(_summaries(own, sent, lengths, part_bits), f"grams{lengths[0]}"), least, part_bits)
+        found = _survivors(_summaries(own, sent, lengths, part_bits), least, part_bits)
         maps |= dict.fromkeys(lengths, found)
     counted = _exact(own, spark.sparkContext.broadcast(maps), longest, least, part_bits)
     return stored(counted.select("lang", F.col("phrase").cast("string").alias("phrase"), "words", "count"), "phrases")

@@ -95,7 +95,7 @@ def test_small_parts_summaries_and_maps_change_nothing(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(" ".join(rng.choice("abcdef") for _ in range(50)), "en") for _ in range(60)]
     want = brute(rows, 20, 2000)
-    for name, value in (("PART_BYTES", 64), ("MOST_HASHES", 50), ("MOST_PHRASES", 20), ("MAP_BITS", 9), ("LEAST_PARTS", 2)):
+    for name, value in (("PART_BYTES", 64), ("MOST_HASHES", 50), ("MOST_PHRASES", 20), ("MOST_COUNTED", 60), ("MAP_BITS", 9), ("LEAST_PARTS", 2)):
         monkeypatch.setattr(C, name, value)
     assert found(spark, rows, least=20) == want
 
