@@ -794,3 +794,17 @@ def j3_stream_pool(spark, sf):
     e = e.unionByName(e)  # each block comes twice
     out = ST.run_available(ST.stream_pool(e, ["k"], "value"), "j3_stream_pool", "complete")
     return out.select("k", r("value", 4).alias("value"), "n_blocks")
+
+
+@query("SELECT user_id % 50 AS round, count(DISTINCT event_type)::INT AS sites, count(*) AS samples, round(max(value), 6) AS slowest, count(DISTINCT event_type) = 5 AS complete FROM events GROUP BY 1")
+def j2_round_progress_updates(spark, sf):
+    e = _stream(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 50).alias("round"), F.col("event_type").alias("site"), F.lit(1).alias("num_samples"), F.col("value").alias("train_time_sec"))
+    parts, _ = ST.run_keyed(ST.round_parts(e, "1 day", "30 days"), "j2_round_progress_updates", ["start", "round"])
+    return ST.rounds_of(parts, 5).select("round", "sites", "samples", r("slowest").alias("slowest"), "complete")
+
+
+@query(f"WITH {_BEAT} SELECT site AS k, round(sum(value), 4) AS value, count(*) AS n_blocks FROM bt GROUP BY 1")
+def j3_stream_pool_updates(spark, sf):
+    e = _beats(_stream(spark, sf)).withColumn("k", F.col("site")).withColumn("block", F.col("event_id"))
+    parts, _ = ST.run_keyed(ST.pool_parts(e.unionByName(e), ["k"], "value", "1 day", "30 days"), "j3_stream_pool_updates", ["start", "k"])
+    return ST.pool_of(parts, ["k"], "value").select("k", r("value", 4).alias("value"), "n_blocks")

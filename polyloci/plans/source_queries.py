@@ -98,3 +98,57 @@ def a14_merge_parts(spark, sf):
     x = table(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 4).cast("int").alias("part"))
     S.write_table(x, path, "parquet", ["part"])
     return S.merge_parts(spark, path, 4, ["o_orderkey"], "o_orderkey long, o_custkey long, part int")
+
+
+@query("""SELECT (row_number() OVER (ORDER BY p_partkey) - 1) % 1000000000 AS vidx, p_partkey::VARCHAR AS snp_id, p_partkey * 1000 AS bp FROM part""")
+def a1_numbered_lines(spark, sf):
+    path, k = new_path(spark, "bim"), F.col("p_partkey")
+    lines = table(spark, sf, "part").orderBy("p_partkey").select(F.concat_ws(" ", k % 5 + 1, k, F.lit(0), k * 1000, F.lit("A"), F.lit("G")))
+    lines.coalesce(1).write.text(path)  # one file, as its order is the order of the genotypes
+    return S.numbered_lines(spark, path, S.BIM, "vidx").select("vidx", "snp_id", "bp")
+
+
+@query("SELECT 'y is no double' AS reason, 'f' || c_custkey || ' i' || c_custkey || ' 1.5.' || c_custkey AS value FROM customer WHERE c_custkey % 7 = 1 UNION ALL SELECT 'no IID', 'f' || c_custkey FROM customer WHERE c_custkey % 7 = 2")
+def a7_bad_rows(spark, sf):
+    path, k = new_path(spark, "instances"), F.col("c_custkey")
+    y = F.when(k % 7 == 1, F.concat(F.lit("1.5."), k)).when(k % 7 == 3, F.lit("NA")).otherwise(F.col("c_acctbal").cast("string"))
+    own = F.concat(F.lit("f"), k)
+    table(spark, sf, "customer").select((k % 10).alias("instance"), F.when(k % 7 == 2, own).otherwise(F.concat_ws(" ", own, F.concat(F.lit("i"), k), y)).alias("value")).write.partitionBy("instance").text(path)
+    return S.bad_rows(spark, f"{path}/*", S.INSTANCE).select("reason", "value")
+
+
+@query("""SELECT 'sets' AS kind, (s_nationkey)::VARCHAR AS instance, (1 + s_suppkey % 2)::VARCHAR AS key, round(max(s_suppkey % 50) / 50.0::DOUBLE, 9) AS value, max((s_suppkey % 11 = 0)::INT) = 1 AS causal FROM supplier WHERE s_nationkey % 5 = 0 AND s_suppkey % 3 = 0 GROUP BY 2, 3
+  UNION ALL SELECT 'members', s_nationkey::VARCHAR, 's' || s_suppkey, round((s_suppkey % 50) / 50.0::DOUBLE, 9), s_suppkey % 11 = 0 FROM supplier WHERE s_nationkey % 5 = 0 AND s_suppkey % 3 = 0
+  UNION ALL SELECT 'variants', s_nationkey::VARCHAR, 's' || s_suppkey, round(1 - (1 - (s_suppkey % 50) / 100.0::DOUBLE) * (1 - (s_suppkey % 7) / 10.0::DOUBLE), 9), s_suppkey % 11 = 0 FROM supplier WHERE s_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_nationkey % 5 = 0 AND s_suppkey % 3 = 0)
+  UNION ALL SELECT 'files', n::VARCHAR, k, NULL, CASE WHEN n % 5 = 0 THEN TRUE END FROM (SELECT DISTINCT s_nationkey AS n FROM supplier), (VALUES ('summary'), ('cs'), ('snp')) t(k)
+    WHERE n % 5 > 0 OR k = 'snp' OR n IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0)""")
+def a10_harvest(spark, sf):
+    """A nation is a fit, a supplier a variant; of the fits some converged without sets, some failed and some left an empty file."""
+    from ..sources.harvest import harvest_outputs
+
+    path, k, n = new_path(spark, "fits"), F.col("s_suppkey"), F.col("s_nationkey")
+    x = table(spark, sf, "supplier").select(k, n)
+    snp = F.concat(F.lit("s"), k)
+    body = lambda header, line, keep=F.lit(True): F.concat(F.lit(header), F.array_join(F.array_sort(F.collect_list(F.when(keep, line))), ""))
+    files = x.groupBy(n.alias("instance")).agg(
+        F.map_from_arrays(
+            F.array(F.lit("cs"), F.lit("snp")),
+            F.array(
+                body("# members\nCS_ID\tSNP\tCS_PIP\tBETA\n", F.concat_ws("\t", 1 + k % 2, snp, k % 50 / 50.0, F.lit("0.5,NA\n")), k % 3 == 0),
+                body("SNP\tBP\tPIP(CS1)\tPIP(CS2)\n", F.concat_ws("\t", snp, k * 10, k % 50 / 100.0, F.concat((k % 7 / 10.0).cast("string"), F.lit("\n")))),
+            ),
+        ).alias("f"),
+        F.count_if(k % 3 == 0).alias("members"),
+    )
+    sets = x.filter(k % 3 == 0).groupBy(n.alias("instance"), (1 + k % 2).alias("cs")).agg((F.max(k % 50) / 50.0).alias("top"))
+    sets = sets.groupBy("instance").agg(F.concat(F.lit("MAX_PIP\tCS_ID\n"), F.array_join(F.collect_list(F.concat("top", F.lit("\t"), "cs", F.lit("\n"))), "")).alias("summary"))
+    mark = F.when(F.col("instance") % 5 == 1, "NULL\n").when(F.col("instance") % 5 == 2, "FAIL\n").when(F.col("instance") % 5 == 3, "SNP\tCS_ID\n")
+    files = files.join(sets, "instance", "left").select("instance", "members", F.explode(F.map_concat("f", F.create_map(F.lit("summary"), F.coalesce("summary", F.lit("CS_ID\n"))))).alias("kind", "value"))
+    files.select("instance", "kind", F.coalesce(mark, F.col("value")).alias("value")).repartition("instance", "kind").write.partitionBy("instance", "kind").option("lineSep", "\n").text(path)
+    back = spark.read.schema("value string, instance string, kind string").text(path, wholetext=True).select("instance", "kind", "value")
+    truth = x.filter(n % 5 != 4).select(n.cast("string").alias("instance"), F.when(k % 11 == 0, snp).alias("snp"))
+    got = harvest_outputs(back, truth, ["EUR", "AFR"])
+    row = lambda name, key, value, causal: got[name].select(F.lit(name).alias("kind"), "instance", key.cast("string").alias("key"), value.alias("value"), causal.alias("causal"))
+    status = got["files"].filter("status <> 'empty' OR instance % 5 > 0").select(F.lit("files").alias("kind"), "instance", F.col("kind").alias("key"), F.lit(None).cast("double").alias("value"), F.when(F.col("status") == "table", True).alias("causal"))
+    out = row("sets", F.col("cs_id"), r("max_pip", 9), F.col("contains_causal")).unionByName(row("members", F.col("snp"), r("cs_pip", 9), F.col("is_causal")))
+    return out.unionByName(row("variants", F.col("snp"), r("pip", 9), F.col("is_causal"))).unionByName(status)

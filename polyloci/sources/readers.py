@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from ..functions.scalars import split_per_pop
+from pyspark.sql import Window as W
 
 BIM = {"chrom": "string", "snp_id": "string", "cm": "double", "bp": "long", "a1": "string", "a2": "string"}
 FAM = {c: "string" for c in ("fid", "iid", "father", "mother", "sex", "pheno")}
+INSTANCE = {"FID": "string", "IID": "string", "y": "double"}
 MANIFEST = "FID string, IID string, superpopulation string"
 LOCI = "locus_id string, window_id string, chrom string, start_bp long, end_bp long, divergence_score double, stratum string, n_variants_in_window long, n_tag_snps long"
 
@@ -19,9 +19,11 @@ def _columns(df: DataFrame, fields: dict[str, str], site: str | None) -> DataFra
     return out.withColumn("site", F.lit(site)) if site else out
 
 
-def read_bim(spark: SparkSession, path: str, site: str | None = None) -> DataFrame:
+def read_bim(spark: SparkSession, path: str, site: str | None = None, strict: bool = False) -> DataFrame:
     """A1: a variant table without header. Its row order is the order in the packed file: join it to read_bed() on vidx through
-    numbered_lines()."""
+    numbered_lines(). Strict (action): a line that lacks a column or a number is an error; otherwise bad_rows() lists them."""
+    if strict:
+        require_good(bad_rows(spark, path, BIM))
     return _columns(spark.read.text(path), BIM, site)
 
 
@@ -30,11 +32,58 @@ def read_fam(spark: SparkSession, path: str, site: str | None = None) -> DataFra
     return _columns(spark.read.text(path), FAM, site)
 
 
+def with_line_numbers(lines: DataFrame, name: str = "line") -> DataFrame:
+    """Rows of spark.read.text() with `file` and a line number from 1, however files are cut into tasks.
+
+    Lines are numbered within their piece of a file and moved up by the lines of the pieces before; there is a row for each
+    piece, which is broadcast.
+    """
+    x = lines.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
+    pieces = x.groupBy("file", "__block").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.partitionBy("file").orderBy("__block").rowsBetween(W.unboundedPreceding, -1))
+    pieces = pieces.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
+    x = x.join(F.broadcast(pieces), ["file", "__block"])
+    return x.withColumn(name, F.col("__before") + F.col("__id") - F.col("__first") + 1).drop("__block", "__id", "__first", "__before")
+
+
 def numbered_lines(spark: SparkSession, path: str, fields: dict[str, str], index: str) -> DataFrame:
-    """A1 and A2 with the row number: the file is read whole, as one row, and split with positions, so that numbers don't depend
-    on how it is cut. For variant and sample tables, which fit in a row."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias(index, "value"))
-    return _columns(lines.withColumn(index, F.col(index).cast("long")), fields, None)
+    """A1 and A2 with the row number from 0, blank lines counted; numbers don't depend on how the file is cut."""
+    lines = with_line_numbers(spark.read.text(path), index)
+    return _columns(lines.withColumn(index, F.col(index) - 1), fields, None).drop("file")
+
+
+def bad_rows(spark: SparkSession, path: str, fields: dict[str, str], checks: dict[str, Column] | None = None, missing: tuple[str, ...] = ("NA", "NaN", "nan"), where: Column | None = None) -> DataFrame:
+    """(file, line, reason, value) of lines that lack a column, have a number that can't be read, or don't meet
+    the check of a column, a condition on its value. `missing` stands for null. where: the lines to look at, by columns."""
+    part = F.split(F.trim("value"), r"\s+")
+    x = with_line_numbers(spark.read.text(path)).filter(F.trim("value") != "")
+    raw = [F.try_element_at(part, F.lit(i + 1)).alias(f"__raw_{c}") for i, c in enumerate(fields)]
+    x = x.select("file", "line", "value", *raw).withColumns({c: F.when(~F.col(f"__raw_{c}").isin(*missing), F.col(f"__raw_{c}")).try_cast(t) for c, t in fields.items()})
+    if where is not None:
+        x = x.filter(where)
+    reason = F.lit(None).cast("string")
+    for c, check in reversed((checks or {}).items()):
+        reason = F.when(F.col(c).isNotNull() & ~F.coalesce(check, F.lit(False)), F.lit(f"{c} out of range")).otherwise(reason)
+    for c in reversed(fields):
+        unread = F.col(c).isNull() & ~F.col(f"__raw_{c}").isin(*missing)
+        reason = F.when(F.col(f"__raw_{c}").isNull(), F.lit(f"no {c}")).when(unread, F.lit(f"{c} is no {fields[c]}")).otherwise(reason)
+    return x.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select("file", "line", "reason", "value")
+
+
+def require_good(bad: DataFrame, show: int = 5) -> None:
+    """(action) An error that names the first bad rows by file and line, and says how many there are."""
+    n = bad.count()
+    if n:
+        first = [f"{r['file']}:{r['line']}: {r['reason']}" for r in bad.orderBy("file", "line").limit(show).collect()]
+        raise ValueError(f"{n} bad rows; " + "; ".join(first))
+
+
+BETA = {"cpg_id": "string", "beta": "double"}
+
+
+def bad_betas(spark: SparkSession, path: str) -> DataFrame:
+    """bad_rows() of probe tables: a probe's beta must be NA or lie within [0, 1]; lines of other probes are passed over."""
+    return bad_rows(spark, path, BETA, {"beta": F.col("beta").between(0, 1)}, where=F.col("cpg_id").rlike(r"^cg\d+$"))
 
 
 def read_pheno(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -57,13 +106,16 @@ def read_scores(spark: SparkSession, path: str, schema: str = "rsID string, hm_c
 
 
 def read_instances(spark: SparkSession, path: str) -> DataFrame:
-    """Phenotype files FID, IID, y; the instance is the file's name."""
+    """Phenotype files FID, IID, y; the instance is the file's name. bad_rows(.., INSTANCE, where=FID is not "FID") lists what
+    can't be read."""
     df = spark.read.text(path).withColumn("instance", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1))
-    return _columns(df.filter(~F.col("value").startswith("FID")), {"FID": "string", "IID": "string", "y": "double"}, None)
+    return _columns(df.filter(~F.col("value").startswith("FID")), INSTANCE, None)
 
 
-def read_betas(spark: SparkSession, path: str) -> DataFrame:
-    """Probe tables, one file per sample: probes `cg<digits>` only, NA as null."""
+def read_betas(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Probe tables, one file per sample: probes `cg<digits>` only, NA as null. Strict (action): bad_betas() are an error."""
+    if strict:
+        require_good(bad_betas(spark, path))
     df = spark.read.text(path).withColumn("sample_id", F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1))
     out = _columns(df, {"cpg_id": "string", "beta": "double"}, None)
     return out.filter(F.col("cpg_id").rlike(r"^cg\d+$"))
@@ -85,15 +137,6 @@ def read_loci(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOCI).csv(path, sep="\t", header=True)
 
 
-def harvest(spark: SparkSession, path: str, pops: list[str], lists: tuple[str, ...] = ("beta", "p")) -> DataFrame:
-    """A10: credible-set tables of many fits: the instance from the file's name, comma lists as one column per ancestry."""
-    df = spark.read.csv(path, sep="\t", header=True, nullValue="NA").withColumn("instance", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^./]+$", 1))
-    for c in lists:
-        if c in df.columns:
-            df = df.withColumns(split_per_pop(c, pops, c)).drop(c)
-    return df
-
-
 def write_table(df: DataFrame, path: str, fmt: str, partition: list[str] | None = None) -> None:
     """A11 (action): csv.gz, tsv or parquet."""
     w = df.write.partitionBy(*partition) if partition else df.write

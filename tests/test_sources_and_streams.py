@@ -59,11 +59,6 @@ def test_many_files(spark, tmp_path):
     (b / "s2.txt").write_text("cg01 0.25\n")
     betas = R.read_betas(spark, str(b))
     assert betas.count() == 3 and [r["cpg_id"] for r in R.same_probes(betas).collect()] == ["cg02"]
-    h = tmp_path / "h"
-    h.mkdir()
-    (h / "L1_x_rep3.tsv").write_text("set\tbeta\n1\t0.5,NA\n")
-    row = R.harvest(spark, str(h), ["EUR", "AFR"]).first()
-    assert (row["instance"], row["beta_EUR"], row["beta_AFR"]) == ("L1_x_rep3", 0.5, None)
 
 
 def test_sinks(spark, tmp_path):
