@@ -8,6 +8,8 @@ pre-tokens that share it, and a pre-token's count is read at its last node.
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,13 +24,20 @@ LONG = 256
 
 
 def piece_scores(path: str) -> dict[str, float]:
-    """The ordinary pieces of a SentencePiece model and the scores that its file states; control, unknown and byte pieces are
-    left out. The scores serve as a unigram model: a split's score is the sum of its pieces'."""
+    """Unigram log probabilities of the ordinary pieces of a SentencePiece model; control, unknown and byte pieces are left out.
+
+    A merge vocabulary states no probabilities: its scores order the pieces by their merges, the most frequent first. Zipf's law
+    gives the piece of rank r, of n, the probability 1 / (r H), H the sum of 1 / r over all. Nothing is fitted to a corpus.
+    Pieces of equal score share the last rank of theirs.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     n = sp.get_piece_size()
-    return {sp.id_to_piece(i): sp.get_score(i) for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    stated = {sp.id_to_piece(i): sp.get_score(i) for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    rank = {score: r for r, score in enumerate(sorted(stated.values(), reverse=True), 1)}
+    whole = math.log(sum(1 / r for r in range(1, len(stated) + 1)))
+    return {piece: -math.log(rank[score]) - whole for piece, score in stated.items()}
 
 
 #: Scores are whole millionths, with the number of tokens in the low bits: a split is one integer, and the larger is

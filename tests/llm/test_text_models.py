@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -223,6 +224,25 @@ def test_token_counts_against_dynamic_programming_by_word(spark, odd_docs, no_do
     assert T.count_tokens(no_docs, path).count() == 0
 
 
+def test_token_counts_are_near_the_librarys(spark):
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    mine = docs.join(T.count_tokens(docs, path), "doc_id").select("text", "tokens").collect()
+    library = sum(len(sp.encode(" ".join((r["text"] or "").split()))) for r in mine)
+    assert abs(sum(r["tokens"] for r in mine) / library - 1) < 0.05  # 1.005 on 150 documents of sf0.01
+    trie = T.Trie.opened(path)
+    assert [trie.tokens([w]) for w in ("the", "information", "internationalization")] == [1, 1, 2]
+
+
+def test_piece_scores_are_probabilities():
+    scores = T.piece_scores(tokenizer_path("piece_bpe_32k.model"))
+    total = sum(math.exp(s) for s in scores.values())
+    assert 0.9 < total <= 1.0 and scores["▁t"] == max(scores.values())
+
+
 def test_a_trie_that_forgets_counts_alike(monkeypatch):
     scores = {T.MARK: -3.0, "a": -2.0, "b": -2.0, "ab": -2.5, T.MARK + "a": -4.0}
     words = ["ab", "aab", "abab", "ba"] * 5
