@@ -14,12 +14,14 @@ from polyloci.llm.simhash import drop_similar
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are near to a language learnt from the labelled ones; others go."""
+    """Documents that are near to a language learnt from the labelled ones; others go, and so do null, empty and blank texts, which
+    have no language. Repeated rows are judged alike; an empty table leaves nothing."""
     return keep_known_languages(docs, fit(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the largest id."""
+    """One document of each group of texts that are equal but for A-Z and a-z, the one with the largest id (null is smallest); of
+    repeated rows of that id one stays."""
     return drop_exact_duplicates(docs)
 
 
@@ -30,12 +32,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of `benchmark`."""
+    """Documents without a passage of `benchmark`, within its edit budget, anywhere in the text. Null and empty texts have none and
+    stay, and so do null ids; without a benchmark all stay."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the documents that are left, with sequence and offset."""
+    """Token pieces of the documents that are left, with sequence and offset; null and empty texts give their end id alone."""
     return pack_documents(docs, tokenizer_path())
 
 
