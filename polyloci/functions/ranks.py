@@ -30,24 +30,27 @@ def rank_within(df: DataFrame, by: list[str], order: list[str], name: str) -> Da
     return x.withColumn(name, F.col("__before") + F.col("__place")).drop("__p", "__place", "__before", *[f"__by{i}" for i in range(len(by) + 1)])
 
 
-def running_within(df: DataFrame, by: list[str], order: list, sums: dict[str, str], include: bool = True) -> DataFrame:
+def running_within(df: DataFrame, by: list[str], order: list, sums: dict[str, str], include: bool = True, largest: bool = False) -> DataFrame:
     """Adds running sums within groups along `order`, each row included or, if not `include`, up to the row before (0 for the
-    first): new name -> column. Null is a group.
+    first): new name -> column. Null is a group. If `largest`, the largest values so far instead (null before the first row).
 
     Rows are dealt by ranges of (by, order) and added up within a range. Only groups that lie in several ranges need the sums
     of the ranges before; these are at most two rows for each range, and are broadcast whatever the input's size. `order` is
     made of column names or of sort expressions and must have no ties, or ties between equal rows only.
     """
+    total = F.max if largest else F.sum
+    some = (lambda c: c) if largest else (lambda c: F.coalesce(c, F.lit(0)))
+    both = F.greatest if largest else (lambda a, b: a + F.coalesce(b, F.lit(0)))
     x = cut(df.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()))
     group = W.partitionBy(*by)
-    per = x.groupBy(*by, "__p").agg(*[F.sum(c).alias(n) for n, c in sums.items()]).withColumn("__ranges", F.count("*").over(group)).filter("__ranges > 1")
+    per = x.groupBy(*by, "__p").agg(*[total(c).alias(n) for n, c in sums.items()]).withColumn("__ranges", F.count("*").over(group)).filter("__ranges > 1")
     before = group.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
     keys = [*by, "__p"]
-    per = per.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(keys)], *[F.sum(n).over(before).alias(f"__before_{n}") for n in sums])
+    per = per.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(keys)], *[total(n).over(before).alias(f"__before_{n}") for n in sums])
     own = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if include else -1)
-    out = x.select("*", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(n) for n, c in sums.items()])
+    out = x.select("*", *[some(total(c).over(own)).alias(n) for n, c in sums.items()])
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(keys)])
     out = out.join(F.broadcast(per), same, "left")
     for n in sums:
-        out = out.withColumn(n, F.col(n) + F.coalesce(F.col(f"__before_{n}"), F.lit(0)))
+        out = out.withColumn(n, both(F.col(n), F.col(f"__before_{n}")))
     return out.drop("__p", *[f"__by{i}" for i in range(len(keys))], *[f"__before_{n}" for n in sums])

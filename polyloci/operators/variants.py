@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from functools import reduce
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.lineage import cut
-from ..functions.ranks import rank_within
+from ..functions.ranks import rank_within, running_within
 from ..functions.scalars import normalize_chr
 from .association import side
 
@@ -179,22 +184,68 @@ def sample_strata(df: DataFrame, k: int, key: str, seed: int, strict: bool = Tru
     return x.filter(F.col("__r") < k).select(*df.columns)
 
 
-def drop_overlaps(df: DataFrame, bucket: int, priority: list[str], key: str, within: list[str] | None = None) -> DataFrame:
+#: Connected runs of up to so many windows are decided in one task.
+TASK_WINDOWS = 100_000
+
+
+def islands(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Adds `name`, the number from 1 of a window's connected run of overlapping windows within `by`, from left to right. The
+    furthest end so far and the numbers run over ranges of (by, start): no task holds a chromosome."""
+    x = running_within(df, by, ["start_bp", "end_bp"], {"__end": "end_bp"}, include=False, largest=True)
+    x = x.withColumn("__new", F.when(F.col("__end").isNull() | (F.col("start_bp") > F.col("__end")), 1).otherwise(0))
+    # Of equal windows only the first can begin a run; it has to be counted before the others.
+    return running_within(x, by, ["start_bp", "end_bp", F.desc("__new")], {name: "__new"}).drop("__end", "__new")
+
+
+def drop_overlaps(df: DataFrame, bucket: int, priority: list[str], key: str, within: list[str] | None = None, task_windows: int = TASK_WINDOWS) -> DataFrame:
     """H6: greedy choice of non-overlapping windows, best priority first.
 
-    In each pass the live windows that beat all live neighbours they overlap are kept and these neighbours drop out with
-    their overlaps: the same choice as one by one, as priorities with the key are unique. A pass writes what it drops and the
-    overlaps left; there are as many passes as the longest falling chain of neighbours.
+    Windows of different islands don't meet, so islands are decided side by side, each one by one in order of priority within a
+    task. Only islands of more than `task_windows` windows are decided in passes over the cluster, see _drop_in_passes().
     """
-    order = F.struct(*priority, key)
-    rows = df.select(F.col(key).alias("k"), "chrom", "start_bp", "end_bp", *(within or []), order.alias("p"))
+    within = within or []
+    rows = df.select(F.col(key).alias("k"), "chrom", "start_bp", "end_bp", *within, F.struct(*priority, key).alias("p"))
+    by = ["chrom", *within]
+    rows = islands(rows, by, "island")
+    sizes = cut(rows.groupBy(*by, "island").agg(F.count("*").alias("n")).filter("n > 1"))
+    meet = reduce(lambda a, b: a & b, [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in [*by, "island"]])
+    rows = cut(rows.join(sizes.select(*[F.col(c).alias(f"__{c}") for c in [*by, "island"]], "n"), meet).drop(*[f"__{c}" for c in [*by, "island"]]))
+
+    def choose(batches):
+        label, starts, ends = None, [], []
+        for batch in batches:
+            lost = []
+            columns = [batch.column(i).to_pylist() for i in range(1, batch.num_columns)]
+            for i, (start, end, *island) in enumerate(zip(*columns, strict=True)):
+                if island != label:
+                    label, starts, ends = island, [], []
+                at = bisect_right(starts, end)  # kept windows don't overlap: the last that starts by `end` ends last
+                if at and ends[at - 1] >= start:
+                    lost.append(i)
+                else:
+                    at = bisect_right(starts, start)
+                    starts.insert(at, start)
+                    ends.insert(at, end)
+            if lost:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lost))], schema=pa.schema([batch.schema.field(0)]))
+
+    small = rows.filter(F.col("n") <= task_windows).repartition(*by, "island").sortWithinPartitions(*by, "island", "p")
+    dropped = small.select("k", "start_bp", "end_bp", *by, "island").mapInArrow(choose, T.StructType([rows.schema["k"]]))
+    large = rows.filter(F.col("n") > task_windows)
+    if not sizes.filter(F.col("n") > task_windows).isEmpty():
+        dropped = dropped.unionByName(_drop_in_passes(large.drop("n", "island"), bucket, within))
+    return df.join(dropped.select(F.col("k").alias(key)), key, "left_anti")
+
+
+def _drop_in_passes(rows: DataFrame, bucket: int, within: list[str]) -> DataFrame:
+    """The windows k that a greedy choice by p drops. In each pass the live windows that beat all live neighbours they overlap are
+    kept and these neighbours drop out with their overlaps: the same choice as one by one, as priorities with the key are
+    unique. There are as many passes as the longest falling chain of neighbours."""
     spread = rows.withColumn("b", F.explode(F.sequence(F.floor(F.col("start_bp") / bucket), F.floor(F.col("end_bp") / bucket))))
     a, b = spread.alias("a"), spread.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ["chrom", "b", *(within or [])]]
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ["chrom", "b"]] + [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in within]
     hit = (F.col("a.k") != F.col("b.k")) & (F.col("a.start_bp") <= F.col("b.end_bp")) & (F.col("b.start_bp") <= F.col("a.end_bp"))
-    cond = hit
-    for c in on:
-        cond = cond & c
+    cond = reduce(lambda x, y: x & y, [hit, *on])
     edges = cut(a.join(b, cond).select(F.col("a.k").alias("k"), F.col("b.k").alias("other"), (F.col("b.p") < F.col("a.p")).alias("beaten")).distinct())
     dropped = rows.select("k").limit(0)
     while not edges.isEmpty():
@@ -202,7 +253,7 @@ def drop_overlaps(df: DataFrame, bucket: int, priority: list[str], key: str, wit
         lost = cut(edges.join(won, "other", "left_semi").select("k").distinct())
         dropped = dropped.unionByName(lost)
         edges = cut(edges.join(lost, "k", "left_anti").join(lost.select(F.col("k").alias("other")), "other", "left_anti"))
-    return df.join(dropped.select(F.col("k").alias(key)), key, "left_anti")
+    return dropped
 
 
 def drop_overlaps_by_extremeness(df: DataFrame, bucket: int, score: str, key: str) -> DataFrame:
@@ -220,10 +271,7 @@ def drop_overlaps_by_extremeness(df: DataFrame, bucket: int, score: str, key: st
 
 def region_ids(df: DataFrame) -> DataFrame:
     """H7: connected runs of overlapping windows: region is numbered within the chromosome."""
-    w = W.partitionBy("chrom").orderBy("start_bp", "end_bp")
-    before = F.max("end_bp").over(w.rowsBetween(W.unboundedPreceding, -1))
-    new = F.when(before.isNull() | (F.col("start_bp") > before), 1).otherwise(0)
-    return df.withColumn("__new", new).withColumn("region", F.sum("__new").over(w)).drop("__new")
+    return islands(df, ["chrom"], "region")
 
 
 def region_stratum(df: DataFrame) -> DataFrame:
