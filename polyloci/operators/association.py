@@ -12,10 +12,12 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.lineage import cut
 from ..functions.ranks import running_within
+from ..functions.rounds import by_group, gathered, in_rounds, summed
 from ..functions.scalars import TINY, neglog10, odds_ratio, safe_div
 from ..functions.sweep import least_squares
 
@@ -71,38 +73,44 @@ def gwas_linear(df: DataFrame, site: str = "site", variant: str = "variant", g:
     return m.select(site, variant, "n", "beta", "se", F.coalesce(safe_div(F.col("beta"), F.col("se"), F.lit(0.0)), F.lit(0.0)).alias("stat"), "dof")
 
 
-def fit_null(df: DataFrame, site: str = "site", case: str = "case", covs: tuple[str, ...] = ("c1", "c2"), iterations: int = 25, tol: float = 1e-8) -> DataFrame:
+def fit_null(df: DataFrame, site: str = "site", case: str = "case", covs: Sequence[str] = ("c1", "c2"), iterations: int = 25, tol: float = 1e-8, tasks: int | None = None) -> DataFrame:
     """E3 (action): covariate-only logistic model of each site by iteratively reweighted least squares.
 
-    Rows of equal covariates are counted once and checkpointed, so that no iteration computes df again. One aggregation an
-    iteration gives each site's small normal equations; these are solved at the driver. Returns
-    (site, b0, b1, ..).
+    Rows of equal covariates are counted once. All iterations are one stage: its tasks keep their rows, and exchange each site's
+    small normal equations in every iteration. A covariate that others explain has the smallest coefficients that fit. Rows
+    that lack a value are left out. Returns (site, b0, b1, ..).
     """
-    spark = df.sparkSession
-    k = len(covs) + 1
-    rows = df.select(F.col(site).alias("__site"), F.col(case).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(covs)]).dropna()
-    rows = rows.groupBy("__site", *[f"c{i}" for i in range(len(covs))]).agg(F.count("*").alias("n"), F.sum("y").alias("y"))
-    rows = cut(rows.select(F.col("__site").alias(site), "n", "y", F.array(F.lit(1.0), *[f"c{i}" for i in range(len(covs))]).alias("c")))
-    names = [r[0] for r in rows.select(site).distinct().collect()]
-    beta = {s: np.zeros(k) for s in names}
-    schema = f"`{site}` {dict(df.dtypes)[site]}, b array<double>"
-    for _ in range(iterations):
-        b = spark.createDataFrame([(s, v.tolist()) for s, v in beta.items()], schema)
-        eta = F.aggregate(F.zip_with("c", "b", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-        mu = F.greatest(F.least(1 / (1 + F.exp(-eta)), F.lit(1 - 1e-8)), F.lit(1e-8))
-        r = rows.join(F.broadcast(b) if len(beta) <= BROADCAST_SITES else b, site).withColumn("mu", mu).withColumn("w", F.col("mu") * (1 - F.col("mu")))
-        sums = [F.sum(F.col("c")[i] * (F.col("y") - F.col("n") * F.col("mu"))).alias(f"s{i}") for i in range(k)]
-        sums += [F.sum(F.col("n") * F.col("w") * F.col("c")[i] * F.col("c")[j]).alias(f"h{i}{j}") for i in range(k) for j in range(i, k)]
-        moved = 0.0
-        for row in r.groupBy(site).agg(*sums).collect():
-            h = np.array([[row[f"h{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)])
-            step = np.linalg.lstsq(h, np.array([row[f"s{i}"] for i in range(k)]), rcond=None)[0]
-            beta[row[site]] = beta[row[site]] + step
-            moved = max(moved, float(np.abs(step).max()))
-        if moved < tol:
-            break
-    out = spark.createDataFrame([(s, v.tolist()) for s, v in beta.items()], schema)
-    return out.select(site, *[F.col("b")[i].alias(f"b{i}") for i in range(k)])
+    k, s = len(covs) + 1, F.col(site)
+    x = df.select(s.alias("__site"), F.col(case).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(covs)]).dropna()
+    x = x.groupBy("__site", *[f"c{i}" for i in range(k - 1)]).agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("y"))
+    upper = np.triu_indices(k)
+
+    def work(table):
+        names = table["__site"].to_pylist() if table else []
+        sites = sorted(set().union(*gathered(set(names))))
+        at = {v: i for i, v in enumerate(sites)}
+        of = np.array([at[v] for v in names], np.int64)
+        column = lambda c: table[c].to_numpy() if table else np.zeros(0)
+        n, y = column("n"), column("y")
+        c = np.column_stack([np.ones(len(n)), *[column(f"c{i}") for i in range(k - 1)]])
+        beta = np.zeros((len(sites), k))
+        for _ in range(iterations):
+            mu = np.clip(1 / (1 + np.exp(-np.einsum("ij,ij->i", c, beta[of]))), 1e-8, 1 - 1e-8)
+            w = n * mu * (1 - mu)
+            sums = summed(by_group(of, len(sites), np.hstack([c * (y - n * mu)[:, None], c[:, upper[0]] * c[:, upper[1]] * w[:, None]])))
+            moved = 0.0
+            for i in range(len(sites)):
+                h = np.zeros((k, k))
+                h[upper] = sums[i, k:]
+                step = np.linalg.lstsq(h + np.triu(h, 1).T, sums[i, :k], rcond=None)[0]
+                beta[i] += step
+                moved = max(moved, float(np.abs(step).max()))
+            if moved < tol:
+                break
+        yield from ((v, *beta[i].tolist()) for i, v in enumerate(sites))
+
+    schema = T.StructType([T.StructField(site, df.schema[site].dataType), *[T.StructField(f"b{i}", T.DoubleType()) for i in range(k)]])
+    return in_rounds(x, work, schema, tasks)
 
 
 def null_mean(df: DataFrame, null: DataFrame, site: str = "site", covs: tuple[str, ...] = ("c1", "c2")) -> DataFrame:

@@ -6,11 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.lineage import cut
+from ..functions.rounds import by_group, gathered, in_rounds, summed
 from ..functions.scalars import safe_div
-from .association import BROADCAST_SITES, side
+from .association import side
 
 
 def select_panel(df: DataFrame, k: int, feature: str = "feature", value: str = "value") -> DataFrame:
@@ -121,40 +123,45 @@ def fed_average(updates: DataFrame, by: list[str], params: str = "params", weigh
     return x.groupBy(*by, "pos").agg(safe_div(F.sum(F.col("__w") * F.col("__v")), F.sum("__w")).alias("value"))
 
 
-def fed_logistic(df: DataFrame, rounds: int, site: str = "site", x: str = "x", y: str = "y", steps: int = 20, rate: float = 0.5, test: str = "test") -> DataFrame:
+def fed_logistic(df: DataFrame, rounds: int, site: str = "site", x: str = "x", y: str = "y", steps: int = 20, rate: float = 0.5, test: str = "test", tasks: int | None = None) -> DataFrame:
     """F23 (action): federated logistic regression: local gradient steps at each site, averaged by rows, each round.
 
-    A step is an aggregation of the site's gradient, so a site of any size stays distributed. Returns (round, n_test,
-    accuracy), accuracy on the test rows before the first and after each round.
+    All rounds are one stage: its tasks keep their rows and exchange the sites' gradients in every step, so a site of any size
+    stays distributed. Returns (round, n_test, accuracy), accuracy on the test rows before the first and after each round;
+    null without test rows. A site without training rows has no part in the mean.
     """
-    spark = df.sparkSession
-    p = len(df.select(x).first()[0]) + 1
-    rows = cut(df.select(site, F.concat(F.array(F.lit(1.0)), F.col(x)).alias("f"), F.col(y).cast("double").alias("y"), test))
-    train, held = rows.filter(~F.col(test)), rows.filter(test)
-    counts = {r[0]: r[1] for r in train.groupBy(site).count().collect()}
-    w = np.zeros(p)
-    out = []
-    dot = F.aggregate(F.zip_with("f", "w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    kind = dict(df.dtypes)[site]
-
-    def score(r):
-        one = spark.createDataFrame([(w.tolist(),)], "w array<double>")
-        n, acc = held.crossJoin(F.broadcast(one)).select(((dot > 0).cast("double") == F.col("y")).alias("ok")).agg(F.count("*"), F.avg(F.col("ok").cast("double"))).first()
-        out.append((r, n, acc))
-
-    score(0)
-    for r in range(1, rounds + 1):
-        local = {s: w.copy() for s in counts}
-        for _ in range(steps):
-            t = spark.createDataFrame([(s, v.tolist()) for s, v in local.items()], f"`{site}` {kind}, w array<double>")
-            e = 1 / (1 + F.exp(-dot)) - F.col("y")
-            g = train.join(F.broadcast(t) if len(local) <= BROADCAST_SITES else t, site).withColumn("e", e).groupBy(site).agg(F.count("*").alias("n"), *[F.sum(F.col("e") * F.col("f")[i]).alias(f"g{i}") for i in range(p)])
-            for row in g.collect():  # one row per site
-                local[row[site]] = local[row[site]] - rate * np.array([row[f"g{i}"] for i in range(p)]) / row["n"]
-        total = sum(counts.values())
-        w = sum(local[s] * (n / total) for s, n in counts.items())
-        score(r)
-    return spark.createDataFrame(out, "round int, n_test long, accuracy double")
+    rows = df.select(F.col(site).alias("site"), F.concat(F.array(F.lit(1.0)), F.col(x)).alias("f"), F.col(y).cast("double").alias("y"), F.coalesce(test, F.lit(False)).alias("test"))
+
+    def work(table):
+        names = table["site"].to_pylist() if table else []
+        f = np.stack(table["f"].to_pylist()).astype(float) if names else None
+        seen = gathered((set(names), 0 if f is None else f.shape[1]))
+        sites, p = sorted(set().union(*[v for v, _ in seen]), key=str), max((n for _, n in seen), default=0)
+        f = np.zeros((0, p)) if f is None else f
+        at = {v: i for i, v in enumerate(sites)}
+        of = np.array([at[v] for v in names], np.int64)
+        label = table["y"].to_numpy() if names else np.zeros(0)
+        held = table["test"].to_numpy(zero_copy_only=False).astype(bool) if names else np.zeros(0, bool)
+        train = ~held
+        counts = summed(by_group(of[train], len(sites), np.ones((int(train.sum()), 1))))
+        w = np.zeros(p)
+
+        def score(r):
+            right = ((f[held] @ w > 0).astype(float) == label[held]).sum()
+            n, ok = summed(np.array([held.sum(), right]))
+            return r, int(n), float(ok / n) if n else None
+
+        yield score(0)
+        for r in range(1, rounds + 1):
+            local = np.tile(w, (len(sites), 1))
+            for _ in range(steps):
+                e = 1 / (1 + np.exp(-np.einsum("ij,ij->i", f[train], local[of[train]]))) - label[train]
+                local -= rate * summed(by_group(of[train], len(sites), e[:, None] * f[train])) / np.maximum(counts, 1)
+            w = (local * counts).sum(0) / max(counts.sum(), 1)
+            yield score(r)
+
+    schema = T.StructType([T.StructField("round", T.IntegerType()), T.StructField("n_test", T.LongType()), T.StructField("accuracy", T.DoubleType())])
+    return in_rounds(rows, work, schema, tasks)
 
 
 def panel_pca(df: DataFrame, ids: str, feature: str, value: str, k: int = 2) -> tuple[DataFrame, list[float]]:
