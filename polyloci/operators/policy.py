@@ -7,6 +7,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.lineage import cut
 from ..functions.ranks import rank_within
@@ -83,23 +84,53 @@ def _modifier_level(m: Column, as_of: str) -> Column:
     return F.when((level == UNDETERMINED) & said, PERMITTED).otherwise(level)
 
 
-def evaluate_data_use(profiles: DataFrame, requests: DataFrame, as_of: str) -> DataFrame:
+#: Distinct rules times requests that are judged once and broadcast.
+CELLS = 200_000
+
+
+def _rule_key(m: Column) -> Column:
+    return F.to_json(F.struct(F.trim(m["id"]).alias("i"), m["value"].alias("v")), {"ignoreNullFields": "false"})
+
+
+def evaluate_data_use(profiles: DataFrame, requests: DataFrame, as_of: str, cells: int = CELLS) -> DataFrame:
     """K1: every dataset against every request: decision (permitted, denied, undetermined) and sorted reasons.
 
     profiles: dataset_id, permission, permission_value, modifiers array<struct<id, value>>. requests: request_id, disease,
     geography, requester, project, institution, ethics_approval, purposes, acknowledged and the flags. The worst rule
     decides. What a request leaves out counts against it; a restriction that can't be checked, or has no rule, is
-    undetermined, and only that can be acknowledged. Requests are a stated query set; rules are evaluated within the row of
-    a dataset and a request, so that nothing is shuffled.
+    undetermined, and only that can be acknowledged. Requests are a stated query set. Each distinct rule is judged once for a
+    request, and datasets look their rules up in this table; only if it were too large to be broadcast are rules judged
+    within the row of a dataset and a request. Nothing is shuffled but distinct rules.
     """
-    pairs = profiles.crossJoin(F.broadcast(requests) if requests.count() <= SMALL else requests)
+    requests = requests.withColumn("__at", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("request_id")))  # a stated set
+    n = requests.count()
+    few = (lambda df: F.broadcast(df)) if n <= SMALL else (lambda df: df)
+    permission = F.struct(F.col("permission").alias("id"), F.col("permission_value").alias("value"))
+    first = F.coalesce(F.trim("permission"), F.lit("(none)"))
+    name = lambda level: F.when(level == DENIED, "denied").when(level == UNDETERMINED, "undetermined").otherwise("permitted")
+
+    def decided(x: DataFrame) -> DataFrame:
+        """From (dataset_id, request_id, rules array<struct<rule, level>>)."""
+        against = F.transform(F.filter("rules", lambda r: r["level"] > PERMITTED), lambda r: F.concat_ws(" ", r["rule"], name(r["level"])))
+        return x.select("dataset_id", "request_id", name(F.array_max(F.col("rules")["level"])).alias("decision"), F.array_join(F.array_sort(F.array_distinct(against)), "; ").alias("reasons"))
+
     rule = lambda code, level: F.struct(code.alias("rule"), level.alias("level"))
-    first = F.array(rule(F.coalesce(F.trim("permission"), F.lit("(none)")), _permission_level()))
+    permissions = profiles.select("permission", "permission_value", F.concat(F.lit("p"), _rule_key(permission)).alias("__key")).dropDuplicates(["__key"])
+    modifiers = profiles.select(F.explode("modifiers").alias("m")).select("m", F.concat(F.lit("m"), _rule_key(F.col("m"))).alias("__key")).dropDuplicates(["__key"])
+    permissions, modifiers = cut(permissions), cut(modifiers)
+    if (permissions.count() + modifiers.count()) * n <= cells:
+        judged = permissions.crossJoin(few(requests)).select("__key", "__at", _permission_level().alias("level"))
+        judged = judged.unionByName(modifiers.crossJoin(few(requests)).select("__key", "__at", _modifier_level(F.col("m"), as_of).alias("level")))
+        rows = judged.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("__at", "level"))).alias("a")).select("__key", F.col("a")["level"].alias("levels"))
+        look_up = rows.agg(F.map_from_entries(F.collect_list(F.struct("__key", "levels"))).alias("__table"))  # one row
+        keys = F.concat(F.array(F.concat(F.lit("p"), _rule_key(permission))), F.transform(F.coalesce("modifiers", F.lit([]).cast(profiles.schema["modifiers"].dataType)), lambda m: F.concat(F.lit("m"), _rule_key(m))))
+        names = F.concat(F.array(first), F.coalesce(F.transform("modifiers", lambda m: F.trim(m["id"])), F.array().cast("array<string>")))
+        own = profiles.crossJoin(F.broadcast(look_up)).select("dataset_id", F.arrays_zip(names.alias("rule"), F.transform(keys, lambda k: F.element_at("__table", k)).alias("levels")).alias("__own"))
+        pairs = own.crossJoin(few(requests.select("request_id", "__at")))
+        return decided(pairs.select("dataset_id", "request_id", F.transform("__own", lambda r: rule(r["rule"], F.element_at(r["levels"], F.col("__at")))).alias("rules")))
+    own = F.array(rule(first, _permission_level()))
     rest = F.transform("modifiers", lambda m: rule(F.trim(m["id"]), _modifier_level(m, as_of)))
-    judged = pairs.select("dataset_id", "request_id", F.concat(first, F.coalesce(rest, F.slice(first, 1, 0))).alias("rules"))
-    name = lambda level: F.when(level == DENIED, "denied").when(level == UNDETERMINED, "undetermined").otherwise("permitted")
-    against = F.transform(F.filter("rules", lambda x: x["level"] > PERMITTED), lambda x: F.concat_ws(" ", x["rule"], name(x["level"])))
-    return judged.select("dataset_id", "request_id", name(F.array_max(F.col("rules")["level"])).alias("decision"), F.array_join(F.array_sort(F.array_distinct(against)), "; ").alias("reasons"))
+    return decided(profiles.crossJoin(few(requests)).select("dataset_id", "request_id", F.concat(own, F.coalesce(rest, F.slice(own, 1, 0))).alias("rules")))
 
 
 def blocking(decisions: DataFrame, site: str = "dataset_id", study: str = "request_id") -> DataFrame:
