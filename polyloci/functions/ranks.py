@@ -30,6 +30,11 @@ def rank_within(df: DataFrame, by: list[str], order: list[str], name: str) -> Da
     return x.withColumn(name, F.col("__before") + F.col("__place")).drop("__p", "__place", "__before", *[f"__by{i}" for i in range(len(by) + 1)])
 
 
+def in_ranges(df: DataFrame, by: list[str], order: list) -> DataFrame:
+    """df dealt by ranges of (by, order), with a row's range as __p, for running_over(); checkpointed, so that ranges stay."""
+    return cut(df.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()))
+
+
 def running_within(df: DataFrame, by: list[str], order: list, sums: dict[str, str], include: bool = True, largest: bool = False) -> DataFrame:
     """Adds running sums within groups along `order`, each row included or, if not `include`, up to the row before (0 for the
     first): new name -> column. Null is a group. If `largest`, the largest values so far instead (null before the first row).
@@ -38,10 +43,14 @@ def running_within(df: DataFrame, by: list[str], order: list, sums: dict[str, st
     of the ranges before; these are at most two rows for each range, and are broadcast whatever the input's size. `order` is
     made of column names or of sort expressions and must have no ties, or ties between equal rows only.
     """
+    return running_over(in_ranges(df, by, order), by, order, sums, include, largest).drop("__p")
+
+
+def running_over(x: DataFrame, by: list[str], order: list, sums: dict[str, str], include: bool = True, largest: bool = False) -> DataFrame:
+    """running_within() of rows that in_ranges() dealt; __p stays, so that another total can follow without moving rows."""
     total = F.max if largest else F.sum
     some = (lambda c: c) if largest else (lambda c: F.coalesce(c, F.lit(0)))
     both = F.greatest if largest else (lambda a, b: a + F.coalesce(b, F.lit(0)))
-    x = cut(df.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()))
     group = W.partitionBy(*by)
     per = x.groupBy(*by, "__p").agg(*[total(c).alias(n) for n, c in sums.items()]).withColumn("__ranges", F.count("*").over(group)).filter("__ranges > 1")
     before = group.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
@@ -53,4 +62,4 @@ def running_within(df: DataFrame, by: list[str], order: list, sums: dict[str, st
     out = out.join(F.broadcast(per), same, "left")
     for n in sums:
         out = out.withColumn(n, both(F.col(n), F.col(f"__before_{n}")))
-    return out.drop("__p", *[f"__by{i}" for i in range(len(keys))], *[f"__before_{n}" for n in sums])
+    return out.drop(*[f"__by{i}" for i in range(len(keys))], *[f"__before_{n}" for n in sums])

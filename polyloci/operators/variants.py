@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.lineage import cut
-from ..functions.ranks import rank_within, running_within
+from ..functions.ranks import in_ranges, rank_within, running_over
 from ..functions.scalars import normalize_chr
 from .association import side
 
@@ -191,10 +191,11 @@ TASK_WINDOWS = 100_000
 def islands(df: DataFrame, by: list[str], name: str) -> DataFrame:
     """Adds `name`, the number from 1 of a window's connected run of overlapping windows within `by`, from left to right. The
     furthest end so far and the numbers run over ranges of (by, start): no task holds a chromosome."""
-    x = running_within(df, by, ["start_bp", "end_bp"], {"__end": "end_bp"}, include=False, largest=True)
+    order = ["start_bp", "end_bp"]
+    x = running_over(in_ranges(df, by, order), by, order, {"__end": "end_bp"}, include=False, largest=True)
     x = x.withColumn("__new", F.when(F.col("__end").isNull() | (F.col("start_bp") > F.col("__end")), 1).otherwise(0))
     # Of equal windows only the first can begin a run; it has to be counted before the others.
-    return running_within(x, by, ["start_bp", "end_bp", F.desc("__new")], {name: "__new"}).drop("__end", "__new")
+    return running_over(x, by, [*order, F.desc("__new")], {name: "__new"}).drop("__end", "__new", "__p")
 
 
 def drop_overlaps(df: DataFrame, bucket: int, priority: list[str], key: str, within: list[str] | None = None, task_windows: int = TASK_WINDOWS) -> DataFrame:
@@ -207,9 +208,7 @@ def drop_overlaps(df: DataFrame, bucket: int, priority: list[str], key: str, wit
     rows = df.select(F.col(key).alias("k"), "chrom", "start_bp", "end_bp", *within, F.struct(*priority, key).alias("p"))
     by = ["chrom", *within]
     rows = islands(rows, by, "island")
-    sizes = cut(rows.groupBy(*by, "island").agg(F.count("*").alias("n")).filter("n > 1"))
-    meet = reduce(lambda a, b: a & b, [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in [*by, "island"]])
-    rows = cut(rows.join(sizes.select(*[F.col(c).alias(f"__{c}") for c in [*by, "island"]], "n"), meet).drop(*[f"__{c}" for c in [*by, "island"]]))
+    large = cut(rows.groupBy(*by, "island").agg(F.count("*").alias("n")).filter(F.col("n") > task_windows))
 
     def choose(batches):
         label, starts, ends = None, [], []
@@ -229,11 +228,15 @@ def drop_overlaps(df: DataFrame, bucket: int, priority: list[str], key: str, wit
             if lost:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lost))], schema=pa.schema([batch.schema.field(0)]))
 
-    small = rows.filter(F.col("n") <= task_windows).repartition(*by, "island").sortWithinPartitions(*by, "island", "p")
+    small, passed = rows, None
+    if not large.isEmpty():
+        meet = reduce(lambda a, b: a & b, [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in [*by, "island"]])
+        keys = large.select(*[F.col(c).alias(f"__{c}") for c in [*by, "island"]])
+        passed = _drop_in_passes(rows.join(keys, meet, "left_semi").drop("island"), bucket, within)
+        small = rows.join(keys, meet, "left_anti")
+    small = small.repartition(*by, "island").sortWithinPartitions(*by, "island", "p")
     dropped = small.select("k", "start_bp", "end_bp", *by, "island").mapInArrow(choose, T.StructType([rows.schema["k"]]))
-    large = rows.filter(F.col("n") > task_windows)
-    if not sizes.filter(F.col("n") > task_windows).isEmpty():
-        dropped = dropped.unionByName(_drop_in_passes(large.drop("n", "island"), bucket, within))
+    dropped = dropped.unionByName(passed) if passed is not None else dropped
     return df.join(dropped.select(F.col("k").alias(key)), key, "left_anti")
 
 
