@@ -201,14 +201,16 @@ def islands(df: DataFrame, by: list[str], name: str) -> DataFrame:
 def drop_overlaps(df: DataFrame, bucket: int, priority: list[str], key: str, within: list[str] | None = None, task_windows: int = TASK_WINDOWS) -> DataFrame:
     """H6: greedy choice of non-overlapping windows, best priority first.
 
-    Windows of different islands don't meet, so islands are decided side by side, each one by one in order of priority within a
-    task. Only islands of more than `task_windows` windows are decided in passes over the cluster, see _drop_in_passes().
+    A chromosome of up to `task_windows` windows is decided one by one in order of priority within a task. Larger ones are cut
+    into islands, which don't meet and are decided side by side in the same way; only islands of more than `task_windows`
+    windows are decided in passes over the cluster, see _drop_in_passes().
     """
     within = within or []
     rows = df.select(F.col(key).alias("k"), "chrom", "start_bp", "end_bp", *within, F.struct(*priority, key).alias("p"))
     by = ["chrom", *within]
-    rows = islands(rows, by, "island")
-    large = cut(rows.groupBy(*by, "island").agg(F.count("*").alias("n")).filter(F.col("n") > task_windows))
+    matched = lambda cols: reduce(lambda a, b: a & b, [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in cols])
+    renamed = lambda df, cols: cut(df.groupBy(*cols).agg(F.count("*").alias("n")).filter(F.col("n") > task_windows).select(*[F.col(c).alias(f"__{c}") for c in cols]))
+    large = renamed(rows, by)
 
     def choose(batches):
         label, starts, ends = None, [], []
@@ -228,12 +230,12 @@ def drop_overlaps(df: DataFrame, bucket: int, priority: list[str], key: str, wit
             if lost:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lost))], schema=pa.schema([batch.schema.field(0)]))
 
-    small, passed = rows, None
+    small, passed = rows.withColumn("island", F.lit(0).cast("long")), None
     if not large.isEmpty():
-        meet = reduce(lambda a, b: a & b, [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in [*by, "island"]])
-        keys = large.select(*[F.col(c).alias(f"__{c}") for c in [*by, "island"]])
-        passed = _drop_in_passes(rows.join(keys, meet, "left_semi").drop("island"), bucket, within)
-        small = rows.join(keys, meet, "left_anti")
+        parts = cut(islands(rows.join(large, matched(by), "left_semi"), by, "island"))
+        long_ones = renamed(parts, [*by, "island"])
+        passed = _drop_in_passes(parts.join(long_ones, matched([*by, "island"]), "left_semi").drop("island"), bucket, within)
+        small = small.join(large, matched(by), "left_anti").unionByName(parts.join(long_ones, matched([*by, "island"]), "left_anti"))
     small = small.repartition(*by, "island").sortWithinPartitions(*by, "island", "p")
     dropped = small.select("k", "start_bp", "end_bp", *by, "island").mapInArrow(choose, T.StructType([rows.schema["k"]]))
     dropped = dropped.unionByName(passed) if passed is not None else dropped
