@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.lineage import cut
@@ -30,6 +33,8 @@ PERMITTED, UNDETERMINED, DENIED = 0, 1, 2
 SMALL = 10_000
 #: Lines or digests that are hashed as one.
 FAN = 4096
+#: Lines of a longer group that flow through its hash as one row.
+FLOW = 64
 
 
 def _list(c: Column | str) -> Column:
@@ -158,6 +163,40 @@ def fingerprint(df: DataFrame, key: list[str], order: str, line: Column, fan: in
         leaf = False
 
 
+def whole_digest(df: DataFrame, key: str, order: str, line: Column, fan: int = FAN) -> DataFrame:
+    """(key, digest): SHA-256 of all of a group's lines in order, end to end, however many there are.
+
+    Lines are ranked by ranges. A group of up to `fan` lines is hashed as one string. A longer one is cut into blocks by many
+    tasks, and one task lets the blocks flow through the hash, one at a time; SHA-256 can't be taken in parts.
+    """
+    x = rank_within(df.select(key, F.col(order).alias("__o"), line.alias("__l")), [key], ["__o", "__l"], "__r").select(key, "__r", "__r_n", "__l")
+    text = F.array_join(F.array_sort(F.collect_list(F.struct("__r", "__l")))["__l"], "").alias("__text")
+    few = x.filter(F.col("__r_n") <= fan).groupBy(key).agg(text).select(key, F.sha2(F.encode("__text", "UTF-8"), 256).alias("digest"))
+    blocks = x.filter(F.col("__r_n") > fan).groupBy(key, F.floor(F.col("__r") / FLOW).alias("__b")).agg(text)
+    schema = T.StructType([df.schema[key], T.StructField("digest", T.StringType())])
+
+    def run(batches):
+        at, h = None, None  # a group's first block is block 0
+        for batch in batches:
+            rows = []
+            for k, b, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if b == 0:
+                    if h:
+                        rows.append((at, h.hexdigest()))
+                    at, h = k, hashlib.sha256()
+                h.update(part.encode())
+            if rows:
+                yield made(batch, rows)
+        if h:
+            yield made(batch, [(at, h.hexdigest())])
+
+    def made(batch, rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.field(0).type), pa.array([r[1] for r in rows])], names=[key, "digest"])
+
+    many = blocks.repartition(key).sortWithinPartitions(key, "__b").mapInArrow(run, schema)
+    return few.unionByName(many)
+
+
 def diff_manifest(a: DataFrame, b: DataFrame, key: str = "path", digest: str = "sha256") -> DataFrame:
     """Paths missing from b, extra in b, or with another digest."""
     x = a.select(key, F.col(digest).alias("__a")).join(b.select(key, F.col(digest).alias("__b")), key, "full")
@@ -191,8 +230,7 @@ def content_tree(files: DataFrame, excluded: tuple[str, ...] = (), fan: int = FA
     """G6 (action): TREE, every file and directory of (path, size, sha256), from the leaves to the root, whose path is "".
 
     A file's id and checksum are its SHA-256. A directory's id is the SHA-256 of its children's names and ids in name order
-    (name, NUL, id, line feed), and its checksum that of their sorted checksums, each as fingerprint() takes it where there are
-    over `fan` children. Names in `excluded` are no objects. Directories are made depth by depth, all of a depth at once. A
+    (name, NUL, id, line feed), and its checksum that of their sorted checksums, each as whole_digest() takes it. Names in `excluded` are no objects. Directories are made depth by depth, all of a depth at once. A
     path that is given twice is an error, and so is one that is both a file and a directory.
     """
     path = F.col("path")
@@ -204,8 +242,8 @@ def content_tree(files: DataFrame, excluded: tuple[str, ...] = (), fan: int = FA
     level, out = leaves.filter(F.col("depth") == deepest), leaves
     for depth in range(deepest, 0, -1):
         level = cut(level)
-        ids = fingerprint(level, ["parent"], "name", F.concat("name", F.lit("\0"), "id", F.lit("\n")), fan, "").withColumnRenamed("fingerprint", "id")
-        sums = fingerprint(level, ["parent"], "checksum", F.col("checksum"), fan, "").withColumnRenamed("fingerprint", "checksum")
+        ids = whole_digest(level, "parent", "name", F.concat("name", F.lit("\0"), "id", F.lit("\n")), fan).withColumnRenamed("digest", "id")
+        sums = whole_digest(level, "parent", "checksum", F.col("checksum"), fan).withColumnRenamed("digest", "checksum")
         made = level.groupBy("parent").agg(F.sum("size").alias("size")).join(ids, "parent").join(sums, "parent")
         made = made.select(F.col("parent").alias("path"), _parent(F.col("parent")).alias("parent"), F.element_at(F.split("parent", "/"), -1).alias("name"), F.lit(depth - 1).alias("depth"), F.lit(True).alias("is_bundle"), "size", "id", "checksum")
         out = out.unionByName(made)
@@ -228,9 +266,9 @@ def verify_tree(recorded: DataFrame, files: DataFrame, excluded: tuple[str, ...]
     covered = problem.filter("state IN ('missing', 'extra', 'changed')").select(F.col("path").alias("parent"))
     problem = problem.join(covered, "parent", "left_anti").select("path", "state")
     children = recorded.filter("parent IS NOT NULL")
-    made = fingerprint(children, ["parent"], "name", F.concat("name", F.lit("\0"), "id", F.lit("\n")), fan, "")
+    made = whole_digest(children, "parent", "name", F.concat("name", F.lit("\0"), "id", F.lit("\n")), fan)
     bundles = recorded.filter("is_bundle").select(F.col("path").alias("parent"), "id").join(made, "parent", "left")
-    wrong = bundles.filter(~F.col("id").eqNullSafe(F.col("fingerprint"))).select(F.col("parent").alias("path"), F.lit("record").alias("state"))
+    wrong = bundles.filter(~F.col("id").eqNullSafe(F.col("digest"))).select(F.col("parent").alias("path"), F.lit("record").alias("state"))
     return problem.unionByName(wrong)
 
 

@@ -95,3 +95,11 @@ def test_wide_directories_and_clashes(spark):
     clash = spark.createDataFrame([("a", 1, "x"), ("a/b", 1, "y")], "path string, size int, sha256 string")
     with pytest.raises(ValueError, match="both"):
         P.content_tree(clash)
+
+
+def test_a_wide_directory_is_hashed_as_a_narrow_one(spark):
+    wide = spark.range(200).select(F.concat(F.when(F.col("id") < 150, "a/f").otherwise("b/é"), "id").alias("path"), F.lit(1).alias("size"), F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("sha256"))
+    got = {r["path"]: (r["id"], r["checksum"], r["size"]) for r in P.content_tree(wide, fan=4).collect()}
+    for d, ids in (("a", range(150)), ("b", range(150, 200))):
+        kids = sorted((f"{'f' if d == 'a' else 'é'}{i}".encode(), sha(str(i).encode())) for i in ids)
+        assert got[d] == (sha(b"".join(n + b"\0" + i.encode() + b"\n" for n, i in kids)), sha("".join(sorted(i for _, i in kids)).encode()), len(kids))
