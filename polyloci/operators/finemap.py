@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..functions.dealing import dealt
 from ..functions.ranks import running_within
 from .tiles import tiles_of_pairs
 
@@ -244,14 +245,21 @@ def h2_calibration(df: DataFrame, by: list[str], tolerance: float, h2: str = "h2
     return e.groupBy(*by).agg(F.count("__e").alias("n"), F.percentile("__e", 0.5).alias("median"), F.percentile("__e", 0.95).alias("p95"), F.max("__e").alias("largest"), F.avg((F.col("__e") <= tolerance).cast("double")).alias("share_pass"))
 
 
-def effect_correlation(df: DataFrame, by: list[str], pops: list, pop: str = "pop", variant: str = "variant") -> DataFrame:
-    """Correlation of effects between pairs of ancestries over variants that have an effect in all of them; null under 2."""
-    wide = df.groupBy(*by, variant).pivot(pop, pops).agg(F.first("effect"))
+def effect_correlation(df: DataFrame, by: list[str], pops: list, pop: str = "pop", variant: str | list[str] = "variant") -> DataFrame:
+    """E28 (action): correlation of effects between pairs of ancestries over variants that have an effect in all of them; null under 2,
+    NaN where effects don't vary. Several rows of a variant and ancestry count as their mean."""
+    key = [*by, *([variant] if isinstance(variant, str) else variant)]
+    x = dealt(df.select(*key, pop, "effect"), key)
+    wide = x.groupBy(*key).agg(*[F.avg(F.when(F.col(pop) == p, F.col("effect"))).alias(str(p)) for p in pops])
     for p in pops:
         wide = wide.filter(F.col(f"`{p}`").isNotNull() & (F.col(f"`{p}`") != 0))
-    pairs = [(a, b) for i, a in enumerate(pops) for b in pops[i + 1 :]]
-    cor = [F.when(F.count("*") >= 2, F.corr(F.col(f"`{a}`"), F.col(f"`{b}`"))).alias(f"r_{a}_{b}") for a, b in pairs]
-    return wide.groupBy(*by).agg(F.count("*").alias("n"), *cor)
+    varies = lambda c: F.min(c) < F.max(c)
+    cor = []
+    for a, b in [(F.col(f"`{a}`"), F.col(f"`{b}`")) for i, a in enumerate(pops) for b in pops[i + 1 :]]:
+        r = F.when(varies(a) & varies(b), F.covar_pop(a, b) / (F.stddev_pop(a) * F.stddev_pop(b))).otherwise(F.lit(float("nan")))
+        cor.append(F.when(F.count("*") >= 2, r))
+    names = [f"r_{a}_{b}" for i, a in enumerate(pops) for b in pops[i + 1 :]]
+    return wide.groupBy(*by).agg(F.count("*").alias("n"), *[c.alias(n) for c, n in zip(cor, names, strict=True)])
 
 
 def invariants(rows: list[tuple[str, DataFrame, float]]) -> DataFrame:

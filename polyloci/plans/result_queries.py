@@ -135,9 +135,9 @@ def e27_h2_calibration(spark, sf):
 @query("""WITH e AS (SELECT l_suppkey, l_partkey, avg(CASE WHEN l_returnflag = 'A' THEN l_discount END) AS a, avg(CASE WHEN l_returnflag = 'N' THEN l_discount END) AS b, avg(CASE WHEN l_returnflag = 'R' THEN l_discount END) AS c FROM lineitem GROUP BY 1, 2), k AS (SELECT * FROM e WHERE a <> 0 AND b <> 0 AND c <> 0)
   SELECT l_suppkey % 10 AS target, count(*) AS n, round(CASE WHEN count(*) > 1 THEN corr(a, b) END, 6) AS r_A_N, round(CASE WHEN count(*) > 1 THEN corr(a, c) END, 6) AS r_A_R, round(CASE WHEN count(*) > 1 THEN corr(b, c) END, 6) AS r_N_R FROM k GROUP BY 1""")
 def e28_effect_correlation(spark, sf):
-    li = table(spark, sf, "lineitem")
-    e = li.groupBy((F.col("l_suppkey") % 10).alias("target"), F.concat_ws("-", "l_suppkey", "l_partkey").alias("variant"), F.col("l_returnflag").alias("pop")).agg(F.avg("l_discount").alias("effect"))
-    return I.effect_correlation(e, ["target"], ["A", "N", "R"]).select("target", "n", *[r(c).alias(c) for c in ("r_A_N", "r_A_R", "r_N_R")])
+    e = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 10).alias("target"), "l_suppkey", "l_partkey", F.col("l_returnflag").alias("pop"), F.col("l_discount").alias("effect"))
+    x = I.effect_correlation(e, ["target"], ["A", "N", "R"], variant=["l_suppkey", "l_partkey"])
+    return x.select("target", "n", *[r(c).alias(c) for c in ("r_A_N", "r_A_R", "r_N_R")])
 
 
 @query("""SELECT 'orders' AS name, (SELECT count(*) FROM orders)::DOUBLE AS observed, 10 * (SELECT count(*) FROM customer)::DOUBLE AS expected, (SELECT count(*) FROM orders) = 10 * (SELECT count(*) FROM customer) AS ok UNION ALL SELECT 'orphans', (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders))::DOUBLE, 0.0, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) = 0""")
