@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..functions.dealing import dealt
 from ..functions.lineage import cut
 from ..functions.ranks import in_ranges, rank_within, running_over
 from ..functions.scalars import normalize_chr
@@ -108,11 +109,11 @@ def check_variant_axis(df: DataFrame, site: str = "site", ordinal: str = "vidx",
 
 
 def prepare_scores(scores: DataFrame, bim: DataFrame) -> DataFrame:
-    """Scoring weights for a variant table: chromosomes as numbers, kept where the variant is known, weights of one
+    """D5 and C7 (action): scoring weights for a variant table: chromosomes as numbers, kept where the variant is known, weights of one
     (position, allele) added up, and only alleles the variant has. Columns: snp_id, chrom, bp, weight, flip (A2 counted)."""
     s = scores.select(normalize_chr(F.col("hm_chr")).alias("chrom"), F.col("hm_pos").cast("long").alias("bp"), F.upper("effect_allele").alias("ea"), F.col("effect_weight").cast("double").alias("w")).dropna()
     b = bim.select("snp_id", normalize_chr(F.col("chrom")).alias("chrom"), "bp", F.upper("a1").alias("a1"), F.upper("a2").alias("a2"))
-    s = s.join(b.select("chrom", "bp").distinct(), ["chrom", "bp"], "left_semi").groupBy("chrom", "bp", "ea").agg(F.sum("w").alias("weight"))
+    s = dealt(s, ["chrom", "bp"], scores).groupBy("chrom", "bp", "ea").agg(F.sum("w").alias("weight"))
     return s.join(b, ["chrom", "bp"]).filter(F.col("ea").isin(F.col("a1"), F.col("a2"))).select("snp_id", "chrom", "bp", "ea", "weight", (F.col("ea") == F.col("a2")).alias("flip"))
 
 

@@ -1,7 +1,10 @@
 import numpy as np
+from pyspark.sql import functions as F
 
+from polyloci.functions.dealing import dealt
 from polyloci.operators import association as A
 from polyloci.operators import finemap as I
+from polyloci.operators import variants as V
 
 
 def test_effects_that_do_not_vary_have_no_correlation(spark):
@@ -9,3 +12,12 @@ def test_effects_that_do_not_vary_have_no_correlation(spark):
     df = spark.createDataFrame(rows, "t string, variant int, pop string, effect double")
     got = {r["t"]: r for r in I.effect_correlation(df, ["t"], ["A", "N", "R"]).collect()}
     assert np.isnan(got["a"]["r_A_N"]) and np.isclose(got["a"]["r_N_R"], 1) and got["a"]["n"] == 4 and got["b"]["r_A_N"] is None
+
+
+def test_tasks_grow_in_number_and_not_in_size(spark):
+    df = spark.range(5_000).select((F.col("id") % 1000).alias("k"))
+    assert dealt(df, ["k"], task_rows=100).rdd.getNumPartitions() == 50
+    assert dealt(df, ["k"]).rdd.getNumPartitions() == df.rdd.getNumPartitions()
+    scores = spark.createDataFrame([("chr1", 5, "a", 0.5), ("1", 5, "A", 0.25), ("2", 7, "g", 1.0), ("1", 5, "t", 9.0)], "hm_chr string, hm_pos int, effect_allele string, effect_weight double")
+    bim = spark.createDataFrame([("x", "1", 5, "G", "A")], "snp_id string, chrom string, bp long, a1 string, a2 string")
+    assert [tuple(r)[-2:] for r in V.prepare_scores(scores, bim).collect()] == [(0.75, True)]
