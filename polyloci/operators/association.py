@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 
 from ..functions.lineage import cut
 from ..functions.ranks import running_within
-from ..functions.rounds import by_group, gathered, in_rounds, summed
+from ..functions.rounds import by_group, codes, gathered, in_rounds, summed
 from ..functions.scalars import TINY, neglog10, odds_ratio, safe_div
 from ..functions.sweep import least_squares
 
@@ -76,7 +76,7 @@ def gwas_linear(df: DataFrame, site: str = "site", variant: str = "variant", g:
 def fit_null(df: DataFrame, site: str = "site", case: str = "case", covs: Sequence[str] = ("c1", "c2"), iterations: int = 25, tol: float = 1e-8, tasks: int | None = None) -> DataFrame:
     """E3 (action): covariate-only logistic model of each site by iteratively reweighted least squares.
 
-    Rows of equal covariates are counted once. All iterations are one stage: its tasks keep their rows, and exchange each site's
+    Rows of equal covariates are counted once. All iterations are one stage: its tasks keep their rows on disk, and exchange each site's
     small normal equations in every iteration. A covariate that others explain has the smallest coefficients that fit. Rows
     that lack a value are left out. Returns (site, b0, b1, ..).
     """
@@ -85,19 +85,20 @@ def fit_null(df: DataFrame, site: str = "site", case: str = "case", covs: Sequen
     x = x.groupBy("__site", *[f"c{i}" for i in range(k - 1)]).agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("y"))
     upper = np.triu_indices(k)
 
-    def work(table):
-        names = table["__site"].to_pylist() if table else []
-        sites = sorted(set().union(*gathered(set(names))))
+    def work(rows):
+        sites = sorted(set().union(*gathered({v for b in rows for v in b.column("__site").unique().to_pylist()})))
         at = {v: i for i, v in enumerate(sites)}
-        of = np.array([at[v] for v in names], np.int64)
-        column = lambda c: table[c].to_numpy() if table else np.zeros(0)
-        n, y = column("n"), column("y")
-        c = np.column_stack([np.ones(len(n)), *[column(f"c{i}") for i in range(k - 1)]])
         beta = np.zeros((len(sites), k))
-        for _ in range(iterations):
+
+        def equations(b):
+            of, n, y = codes(b.column("__site"), at), b.column("n").to_numpy(), b.column("y").to_numpy()
+            c = np.column_stack([np.ones(len(n)), *[b.column(f"c{i}").to_numpy() for i in range(k - 1)]])
             mu = np.clip(1 / (1 + np.exp(-np.einsum("ij,ij->i", c, beta[of]))), 1e-8, 1 - 1e-8)
             w = n * mu * (1 - mu)
-            sums = summed(by_group(of, len(sites), np.hstack([c * (y - n * mu)[:, None], c[:, upper[0]] * c[:, upper[1]] * w[:, None]])))
+            return by_group(of, len(sites), np.hstack([c * (y - n * mu)[:, None], c[:, upper[0]] * c[:, upper[1]] * w[:, None]]))
+
+        for _ in range(iterations):
+            sums = summed(sum(map(equations, rows), np.zeros((len(sites), k + len(upper[0])))))
             moved = 0.0
             for i in range(len(sites)):
                 h = np.zeros((k, k))

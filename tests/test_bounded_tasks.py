@@ -1,12 +1,32 @@
+import tempfile
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from polyloci.functions.dealing import dealt
+from polyloci.functions.rounds import Kept
 from polyloci.operators import association as A
 from polyloci.operators import finemap as I
 from polyloci.operators import variants as V
 
 
+def test_rows_of_rounds_are_read_batch_by_batch(spark):
+    df = spark.range(40_000).select(F.lit("a").alias("site"), (F.hash("id") % 3 == 0).alias("case"), (F.col("id") / 40_000).alias("c1"))
+    with tempfile.TemporaryDirectory() as folder:
+        kept = Kept(iter([pa.RecordBatch.from_pydict({"x": [i, i]}) for i in range(5)]), f"{folder}/rows")
+        for _ in range(2):
+            assert [b.num_rows for b in kept] == [2] * 5
+        assert list(Kept(iter([]), f"{folder}/none")) == []
+    x = df.toPandas()
+    c, y, b = np.column_stack([np.ones(len(x)), x["c1"]]), x["case"].to_numpy(float), np.zeros(2)
+    for _ in range(20):
+        mu = 1 / (1 + np.exp(-c @ b))
+        b += np.linalg.solve(c.T @ (c * (mu * (1 - mu))[:, None]), c.T @ (y - mu))
+    got = A.fit_null(df, covs=("c1",), tasks=1).first()
+    assert np.allclose([got["b0"], got["b1"]], b, atol=1e-8)
+
+
 def test_effects_that_do_not_vary_have_no_correlation(spark):
     rows = [("a", v, p, e) for v in range(4) for p, e in (("A", 0.5), ("N", 0.1 + v), ("R", 2.0 * v + 1))] + [("b", 0, p, 1.0) for p in "ANR"]
     df = spark.createDataFrame(rows, "t string, variant int, pop string, effect double")
