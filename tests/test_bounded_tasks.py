@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from polyloci.functions.dealing import dealt
 from polyloci.functions.rounds import Kept
 from polyloci.operators import association as A
+from polyloci.operators import classify as C
 from polyloci.operators import finemap as I
 from polyloci.operators import variants as V
 
@@ -27,6 +28,15 @@ def test_rows_of_rounds_are_read_batch_by_batch(spark):
     assert np.allclose([got["b0"], got["b1"]], b, atol=1e-8)
 
 
+def test_temperature_of_rows_of_any_length(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(0, k)), rng.normal(size=k).tolist()) for k in (2, 3, 5) * 30] + [(None, [1.0]), (0, [None, 1.0]), (0, [])]
+    loss = {t: np.mean([np.log(np.exp(np.array(z) / t).sum()) - z[y] / t for y, z in rows[:90]]) for t in C.temperature_grid()}
+    got = C.fit_temperature(spark.createDataFrame(rows, "y int, logits array<double>").repartition(3)).first()
+    assert np.isclose(got["nll"], min(loss.values()), rtol=1e-12) and got["temperature"] == min(loss, key=loss.get)
+    assert C.fit_temperature(spark.createDataFrame([], "y int, logits array<double>")).first()["temperature"] is None
+
+
 def test_effects_that_do_not_vary_have_no_correlation(spark):
     rows = [("a", v, p, e) for v in range(4) for p, e in (("A", 0.5), ("N", 0.1 + v), ("R", 2.0 * v + 1))] + [("b", 0, p, 1.0) for p in "ANR"]
     df = spark.createDataFrame(rows, "t string, variant int, pop string, effect double")
