@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -36,6 +37,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Spark removes the shuffle files of each write in this block once it has ended: what it wrote is read instead."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """Write df as a compressed table in the shared folder and read it again; for what is too wide to checkpoint."""
     path = new_table_path(df.sparkSession, name)

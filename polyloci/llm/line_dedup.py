@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, shuffles_removed, stored
 
 #: Similarity of at least NUM / DEN.
 NUM, DEN = 4, 5
@@ -31,6 +31,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE, _MIX = 0x100000001B3, 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
+_SPARE: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,20 +49,35 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def _scratch(n: int) -> np.ndarray:
+    """n numbers of the process's own work space, whose pages are not asked for anew for each piece of text."""
+    if not _SPARE or len(_SPARE[0]) < n:
+        _SPARE[:] = [np.empty(max(n, 2 * CHUNK), np.uint64)]
+    return _SPARE[0][:n]
+
+
 def line_words(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     """(64-bit hash of each word, its line, number of lines). Lines end with a line feed; words are parted by ASCII space."""
     b = np.frombuffer(data, np.uint8)
     space = _SPACE[b]
-    edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    edge = np.concatenate(([0] if len(b) and not space[0] else [], edge, [len(b)] if len(b) and not space[-1] else [])).astype(np.int64)
+    start, end = edge[::2], edge[1::2]
     feeds = np.flatnonzero(b == 10)
     power, inverse = _powers(len(b) + 1)
+    total = _scratch(len(b) + 1)
     with np.errstate(over="ignore"):
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], dtype=np.uint64)))
+        total[0] = 0
+        total[1:] = b
+        total[1:] += np.uint64(1)
+        total[1:] *= power[: len(b)]
+        np.cumsum(total[1:], out=total[1:])
         h = (total[end] - total[start]) * inverse[start]
         h = (h ^ (h >> np.uint64(32))) * np.uint64(_MIX)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(_MIX) ^ (end - start).astype(np.uint64)
-    return h, np.searchsorted(feeds, start), len(feeds)
+    ends = np.searchsorted(start, feeds)
+    line = np.repeat(np.arange(len(feeds) + 1), np.diff(ends, prepend=0, append=len(start)))
+    return h, line, len(feeds)
 
 
 def cells(word: np.ndarray, row: int) -> np.ndarray:
@@ -81,13 +97,25 @@ def rarity(word: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def by_rank(word: np.ndarray, rank: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
+    """The order by line, rank and word: by one number that has the word's upper bits, where these tell all words apart."""
+    bits = int(lines).bit_length() + 8
+    with np.errstate(over="ignore"):
+        key = (line.astype(np.uint64) << np.uint64(8) | rank.astype(np.uint64)) << np.uint64(64 - bits) | word >> np.uint64(bits)
+    order = np.argsort(key)
+    key, sorted_word = key[order], word[order]
+    if ((key[1:] == key[:-1]) & (sorted_word[1:] != sorted_word[:-1])).any():
+        order = np.lexsort((word, rank, line))
+    return order
+
+
 class Lines:
     """The lines of some texts with their sets of words, ordered by rank within a line."""
 
     def __init__(self, data: bytes, counts: np.ndarray | None):
         word, line, self.n = line_words(data)
         rank = np.zeros(len(word), np.uint8) if counts is None else rarity(word, counts)
-        order = np.lexsort((word, rank, line))
+        order = by_rank(word, rank, line, self.n)
         word, line, rank = word[order], line[order], rank[order]
         new = np.ones(len(word), bool)
         new[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
@@ -102,12 +130,14 @@ class Lines:
             key = (key ^ (key >> np.uint64(30))) * np.uint64(_MIX) + self.size.astype(np.uint64)
         self.key = key.view(np.int64)
 
-    def parity(self) -> np.ndarray:
-        """64 bits of each set: bit b is the parity of the number of words that fall to it."""
-        bit = np.uint64(1) << (self.word >> np.uint64(7) & np.uint64(63))
-        total = np.concatenate((np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bit))) if len(bit) else np.zeros(1, np.uint64)
-        ends = np.append(self.first[1:], len(self.line)) if self.n else np.zeros(0, int)
-        return (total[ends] ^ total[self.first]).view(np.int64)
+    def parity(self) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, offsets by line): bit b of a set is the parity of the number of words that fall to it. Sets of over 64 and 128
+        words have 128 and 256 bits instead of 64, which fold to fewer by exclusive or of their halves."""
+        wide = 1 + (self.size > 64) + 2 * (self.size > 128)
+        base = np.concatenate(([0], np.cumsum(wide)))
+        bit = (self.word >> np.uint64(7)).astype(np.int64) & (64 * wide[self.line] - 1)
+        odd = np.bincount(64 * base[self.line] + bit, minlength=64 * int(base[-1])) & 1
+        return np.packbits(odd.astype(np.uint8), bitorder="little"), 8 * base
 
 
 def _chunks(batch):
@@ -140,7 +170,9 @@ def word_counts(docs: DataFrame) -> np.ndarray:
             for _, parts in _chunks(batch):
                 word, _, _ = line_words(b"".join(parts))
                 for row in range(CELL_ROWS):
-                    np.add.at(total[row], cells(word, row), 1)
+                    met = np.sort(cells(word, row).astype(np.int32))  # cells in order: memory is walked, not jumped about in
+                    start = np.flatnonzero(np.diff(met, prepend=-1))
+                    total[row][met[start]] += np.diff(start, append=len(met)).astype(np.int32)
         for row in range(CELL_ROWS):
             for b in range(blocks):
                 part = total[row, b * _CELL_BLOCK : (b + 1) * _CELL_BLOCK]
@@ -172,7 +204,19 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-LINES = "id long, text_hash long, line long, class long, size int, parity long, prefix array<long>, common array<long>"
+def _lists(values: np.ndarray, line: np.ndarray, there: np.ndarray | None, n: int | None = None) -> pa.Array:
+    """The values of each line as a list; null where it is not there, or else where it has none."""
+    count = np.bincount(line, minlength=len(there) if n is None else n)
+    offsets = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()), mask=pa.array(count == 0 if there is None else ~there))
+
+
+def _binaries(data: np.ndarray, length: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+LINES = "id long, text_hash long, line long, class long, size int, parity binary, prefix array<long>, common array<long>"
 
 
 def _lines(docs: DataFrame, counts) -> DataFrame:
@@ -191,25 +235,55 @@ def _lines(docs: DataFrame, counts) -> DataFrame:
                 nth = np.arange(x.n) - np.repeat(np.cumsum(per) - per, per)
                 length = prefix_lengths(x.size)
                 words = np.where(x.rank > 1, x.word, np.uint64(0)).view(np.int64)
-                prefix, common = [], []
-                for i, k in enumerate(x.key.tolist()):
-                    if not x.size[i] or k in seen:
-                        prefix.append(None)
-                        common.append(None)
-                        continue
-                    seen.add(k)
-                    own = slice(x.first[i], x.first[i] + length[i])
-                    prefix.append(words[own])
-                    many = x.rank[own] >= often
-                    common.append(words[own][many] if many.any() else None)
+                new = np.zeros(x.n, bool)
+                for i in np.flatnonzero(x.size).tolist():
+                    if (k := int(x.key[i])) not in seen:
+                        seen.add(k)
+                        new[i] = True
+                own = new[x.line] & (np.arange(len(words)) - x.first[x.line] < length[x.line])
+                many = own & (x.rank >= often)
+                prefix, common = _lists(words[own], x.line[own], new), _lists(words[many], x.line[many], None, x.n)
+                bits, at = x.parity()
+                kept = np.repeat(new, np.diff(at))
+                parity = _binaries(bits[kept], np.where(new, np.diff(at), 0))
                 if len(seen) > 400_000:
                     seen.clear()
-                cols = [pa.array([ids[r] for r in row], pa.int64()), pa.array([hashes[r] for r in row], pa.int64()), pa.array(nth), pa.array(x.key), pa.array(x.size.astype(np.int32)), pa.array(x.parity()), pa.array(prefix, pa.list_(pa.int64())), pa.array(common, pa.list_(pa.int64()))]
+                cols = [pa.array([ids[r] for r in row], pa.int64()), pa.array([hashes[r] for r in row], pa.int64()), pa.array(nth), pa.array(x.key), pa.array(x.size.astype(np.int32)), parity, prefix, common]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "text_hash", "line", "class", "size", "parity", "prefix", "common"])
 
     return docs.mapInArrow(run, LINES)
 
 
+def _parity_words(column: pa.Array) -> np.ndarray:
+    """Parities of 64, 128 and 256 bits as rows of four numbers, zeros where there are fewer."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 8
+    flat = np.frombuffer(column.buffers()[2] or b"", np.uint64, count=int(at[-1]))
+    out, wide = np.zeros((len(column), 4), np.uint64), np.diff(at)
+    for k in range(4):
+        has = wide > k
+        out[has, k] = flat[at[:-1][has] + k]
+    return out
+
+
+def _parity_allows(parity: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Whether the sets of rows i and j may share as many words as needed: a bit in which they differ is a word that only one has.
+    Sizes rise, so that row i's bits are as many as both have."""
+    ok = np.ones(len(i), bool)
+    for over, cols in ((0, ((0, 1, 2, 3),)), (64, ((0, 2), (1, 3))), (128, ((0,), (1,), (2,), (3,)))):
+        at = np.flatnonzero(ok & (size[i] > over))
+        if not len(at):
+            break
+        a, b = i[at], j[at]
+        off = np.zeros(len(at), np.int64)
+        for c in cols:
+            x = parity[a, c[0]] ^ parity[b, c[0]]
+            for k in c[1:]:
+                x ^= parity[a, k] ^ parity[b, k]
+            off += np.bitwise_count(x)
+        ok[at] = (size[a] + size[b] - off) // 2 >= need[at]
+    return ok
+
+
 def with_partner(key: np.ndarray, size: np.ndarray, pos: np.ndarray, cls: np.ndarray, parity: np.ndarray, own: np.ndarray, head: np.ndarray) -> np.ndarray:
     """Which rows pass the length, positional and parity filters with some other class of their key. Rows are sorted by key,
     then size; rows of one block (own, if not negative) meet elsewhere, and so do rows that have the first word of both
@@ -225,7 +299,7 @@ def with_partner(key: np.ndarray, size: np.ndarray, pos: np.ndarray, cls: np.nda
         need = -(-NUM * (size[i] + size[j]) // (NUM + DEN))
         ok = (cls[i] != cls[j]) & ((own[i] < 0) | (own[i] != own[j])) & ((head[i] == 0) | (head[i] != head[j]))
         ok &= np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need
-        ok &= (size[i] + size[j] - np.bitwise_count((parity[i] ^ parity[j]).view(np.uint64)).astype(np.int64)) // 2 >= need
+        ok[ok] = _parity_allows(parity, size, i[ok], j[ok], need[ok])
         out[i[ok]] = True
         out[j[ok]] = True
         d += 1
@@ -233,18 +307,25 @@ def with_partner(key: np.ndarray, size: np.ndarray, pos: np.ndarray, cls: np.nda
 
 
 def _members(batches):
-    """mapInArrow over (key, at, class, parity, own, head) sorted by key and at, the size and the position in one number: the rows
+    """mapInArrow over (key, at, class, parity, own, head) sorted by key; at is the size and the position in one number: the rows
     (key, class, pos, own) that need verification in their bucket."""
     held = None
 
     def out(cols):
-        key, at, cls, parity, own, head = cols
+        again = np.flatnonzero(cols[0][1:] == cols[0][:-1])
+        shared = np.zeros(len(cols[0]), bool)
+        shared[again] = shared[again + 1] = True
+        order = np.flatnonzero(shared)  # words of one class alone are done with
+        order = order[np.lexsort((cols[1][order], cols[0][order]))]
+        key, at, cls, parity, own, head = (c[order] for c in cols)
         pos = at & 0xFFFFFFFF
         ok = with_partner(key, at >> 32, pos, cls, parity, own, head)
         yield pa.RecordBatch.from_arrays([pa.array(key[ok]), pa.array(cls[ok]), pa.array(pos[ok].astype(np.int32)), pa.array(own[ok].astype(np.int32))], ["key", "class", "pos", "own"])
 
     for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+        if not batch.num_rows:
+            continue
+        cols = [_parity_words(c) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
         if held is not None:
             cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
         if not len(cols[0]):
@@ -264,15 +345,21 @@ def _sets(docs: DataFrame, wanted, counts) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for _, parts in _chunks(batch):
-                x = Lines(b"".join(parts), counts.value)
+                x = Lines(b"".join(parts), None)
                 cell = (x.key.view(np.uint64) >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
                 hit = np.flatnonzero((wanted.value[cell >> 3] >> (cell & 7)) & 1)
-                hit = [i for i in hit if int(x.key[i]) not in seen and x.size[i]]
-                seen.update(x.key[hit].tolist())
+                take = np.zeros(x.n, bool)
+                for i in hit.tolist():
+                    if (k := int(x.key[i])) not in seen and x.size[i]:
+                        seen.add(k)
+                        take[i] = True
                 if len(seen) > 400_000:
                     seen.clear()
-                words = [x.word[x.first[i] : x.first[i] + x.size[i]].tobytes() for i in hit]
-                yield pa.RecordBatch.from_arrays([pa.array(x.key[hit], pa.int64()), pa.array(words, pa.binary())], ["class", "words"])
+                own = take[x.line]
+                word, line = x.word[own], x.line[own]
+                word = word[by_rank(word, rarity(word, counts.value), line, x.n)]
+                words = _binaries(word.view(np.uint8), 8 * x.size[take])
+                yield pa.RecordBatch.from_arrays([pa.array(x.key[take], pa.int64()), words], ["class", "words"])
 
     return docs.mapInArrow(run, "class long, words binary")
 
@@ -377,7 +464,7 @@ def class_links(docs: DataFrame, lines: DataFrame, counts, firsts: DataFrame) ->
     spark = docs.sparkSession
     place = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at")
     # The first word that is not alone in all texts; most similar classes share it, and then need to meet in no other bucket.
-    first = F.coalesce(F.get(F.filter("prefix", lambda w: w != 0), F.lit(0)), F.lit(0)).alias("first")
+    first = F.coalesce(F.get(F.array_remove("prefix", 0), F.lit(0)), F.lit(0)).alias("first")
     posts = lines.filter("prefix IS NOT NULL").select("class", "size", "parity", first, F.posexplode("prefix").alias("pos", "key"))
     posts = posts.filter("key <> 0").withColumn("head", F.when(F.col("key") != F.col("first"), F.col("first")).otherwise(0))
     posts = posts.select("key", place, "class", "parity", F.lit(-1).alias("own"), "head")
@@ -393,9 +480,10 @@ def class_links(docs: DataFrame, lines: DataFrame, counts, firsts: DataFrame) ->
         posts = posts.withColumn("key", F.when(F.col("blocks") > 1, pair).otherwise(F.col("key")))
         # Two classes of one block meet in the bucket of that block alone.
         posts = posts.withColumn("own", F.when(F.col("mine") != F.col("other"), F.col("mine")).otherwise(-1))
-    dealt = posts.select("key", "at", "class", "parity", "own", "head").repartition("key").sortWithinPartitions("key", "at")
+    dealt = posts.select("key", "at", "class", "parity", "own", "head").repartition("key").sortWithinPartitions("key")
     # A class may come from several tasks, and so more than once to a bucket.
-    member = stored(dealt.mapInArrow(_members, "key long, class long, pos int, own int").distinct(), "members")
+    with shuffles_removed(spark):
+        member = stored(dealt.mapInArrow(_members, "key long, class long, pos int, own int").distinct(), "members")
 
     shifted = F.shiftrightunsigned("class", 64 - CLASS_BITS)
     bits = member.select(F.shiftright(shifted, 3).alias("byte"), F.expr(f"shiftleft(1, int(shiftrightunsigned(class, {64 - CLASS_BITS}) & 7))").alias("bit"))
@@ -425,7 +513,8 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = spark.sparkContext.broadcast(word_counts(source))
     lines = stored(_lines(source, counts), "lines")
     place = F.struct("id", "text_hash", "line")
-    firsts = stored(lines.filter("size > 0").groupBy("class").agg(F.min(place).alias("first")), "classes")
+    with shuffles_removed(spark):
+        firsts = stored(lines.filter("size > 0").groupBy("class").agg(F.min(place).alias("first")), "classes")
     found = class_links(source, lines, counts, firsts)
     info = firsts.join(found, "class", "left").select("class", "first", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("later"))
     empty = F.col("size") == 0
