@@ -3,7 +3,8 @@
 A line is the set of its words. Lines of equal sets are one class. Words are ordered by rarity; two classes with Jaccard
 similarity of at least 0.8 share a word among the first n - ceil(0.8 n) + 1 of both, have sizes within that ratio, and
 have enough words left after the first word they share. Classes with any partner that passes, and whose words' parities
-don't rule it out, come to the bucket of that word with their whole sets. There pairs are verified and counted, each in
+don't rule it out, come to the bucket of that word with their whole sets. Classes are sent to the buckets in blocks of many
+postings, which are sorted where they arrive. There pairs are verified and counted, each in
 the bucket of the first word that both share: what leaves a bucket is a count for each class, never a list of pairs.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, shuffles_removed, stored
@@ -22,38 +23,18 @@ NUM, DEN = 4, 5
 #: words gives the same result, so the size can be fixed: 16 MB are broadcast.
 CELL_BITS, CELL_ROWS = 23, 2
 _CELL_BLOCK = 1 << 16
-#: Cells of the map of classes that need verification; fixed too, and a collision only sends more sets.
-CLASS_BITS = 24
+#: Cells of the map of lines whose sets need verification, 16 MB; fixed too, and a collision only sends more sets.
+PLACE_BITS = 27
+#: Postings that are sorted at once, some 20 MB, on average: words are dealt to as many parts as that takes.
+PART_POSTS = 300_000
 #: Classes that share a word are compared in one piece up to this number, beyond it in blocks, two by two.
 BLOCK = 4096
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE, _MIX = 0x100000001B3, 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = []
-_SPARE: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers and inverse powers modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 2 * CHUNK)
-        inverse = pow(_BASE, -1, 1 << 64)
-        out = []
-        for base in (_BASE, inverse):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            with np.errstate(over="ignore"):
-                out.append(np.multiply.accumulate(p))
-        _POWERS[:] = out
-    return _POWERS[0], _POWERS[1]
-
-
-def _scratch(n: int) -> np.ndarray:
-    """n numbers of the process's own work space, whose pages are not asked for anew for each piece of text."""
-    if not _SPARE or len(_SPARE[0]) < n:
-        _SPARE[:] = [np.empty(max(n, 2 * CHUNK), np.uint64)]
-    return _SPARE[0][:n]
+#: Masks of the lowest 0 to 8 bytes of a number.
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def line_words(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
@@ -64,17 +45,18 @@ def line_words(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     edge = np.concatenate(([0] if len(b) and not space[0] else [], edge, [len(b)] if len(b) and not space[-1] else [])).astype(np.int64)
     start, end = edge[::2], edge[1::2]
     feeds = np.flatnonzero(b == 10)
-    power, inverse = _powers(len(b) + 1)
-    total = _scratch(len(b) + 1)
-    with np.errstate(over="ignore"):
-        total[0] = 0
-        total[1:] = b
-        total[1:] += np.uint64(1)
-        total[1:] *= power[: len(b)]
-        np.cumsum(total[1:], out=total[1:])
-        h = (total[end] - total[start]) * inverse[start]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(_MIX)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(_MIX) ^ (end - start).astype(np.uint64)
+    eight = np.ndarray(len(b) + 1, "<u8", buffer=data + bytes(8), strides=(1,))  # the eight bytes from each place on
+    left = end - start
+    h = left.astype(np.uint64) * np.uint64(_BASE)
+    which, at = slice(None), start
+    while len(at):
+        h[which] = (h[which] ^ (eight[at] & _LOWEST[np.minimum(left, 8)])) * np.uint64(_MIX)
+        h[which] ^= h[which] >> np.uint64(32)
+        more = np.flatnonzero(left > 8)
+        which = more if isinstance(which, slice) else which[more]
+        at, left = at[more] + 8, left[more] - 8
+    h *= np.uint64(_MIX)
+    h ^= h >> np.uint64(29)
     ends = np.searchsorted(start, feeds)
     line = np.repeat(np.arange(len(feeds) + 1), np.diff(ends, prepend=0, append=len(start)))
     return h, line, len(feeds)
@@ -140,10 +122,10 @@ class Lines:
         return np.packbits(odd.astype(np.uint8), bitorder="little"), 8 * base
 
 
-def _chunks(batch):
+def _chunks(batch, column: int = 1):
     """(rows, data) of texts in pieces of about CHUNK bytes; each text ends with a line feed. A text isn't cut."""
     rows, parts, size = [], [], 0
-    for i, text in enumerate(batch.column(1).to_pylist()):
+    for i, text in enumerate(batch.column(column).to_pylist()):
         data = (text or "").encode("utf-8", "surrogatepass") + b"\n"
         rows.append(i)
         parts.append(data)
@@ -167,7 +149,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros((CELL_ROWS, 1 << CELL_BITS), np.int32)
         for batch in batches:
-            for _, parts in _chunks(batch):
+            for _, parts in _chunks(batch, 0):
                 word, _, _ = line_words(b"".join(parts))
                 for row in range(CELL_ROWS):
                     met = np.sort(cells(word, row).astype(np.int32))  # cells in order: memory is walked, not jumped about in
@@ -306,75 +288,145 @@ def with_partner(key: np.ndarray, size: np.ndarray, pos: np.ndarray, cls: np.nda
     return out
 
 
-def _members(batches):
-    """mapInArrow over (key, at, class, parity, own, head) sorted by key; at is the size and the position in one number: the rows
-    (key, class, pos, own) that need verification in their bucket."""
-    held = None
-
-    def out(cols):
-        again = np.flatnonzero(cols[0][1:] == cols[0][:-1])
-        shared = np.zeros(len(cols[0]), bool)
-        shared[again] = shared[again + 1] = True
-        order = np.flatnonzero(shared)  # words of one class alone are done with
-        order = order[np.lexsort((cols[1][order], cols[0][order]))]
-        key, at, cls, parity, own, head = (c[order] for c in cols)
-        pos = at & 0xFFFFFFFF
-        ok = with_partner(key, at >> 32, pos, cls, parity, own, head)
-        yield pa.RecordBatch.from_arrays([pa.array(key[ok]), pa.array(cls[ok]), pa.array(pos[ok].astype(np.int32)), pa.array(own[ok].astype(np.int32))], ["key", "class", "pos", "own"])
+POSTS = pa.schema([("key", pa.int64()), ("at", pa.int64()), ("class", pa.int64()), ("parity", pa.binary()), ("own", pa.int32()), ("head", pa.int64())])
+
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(_MIX)
+        return x ^ (x >> np.uint64(29))
+
+
+def _posts(batch, hot: np.ndarray, blocks: np.ndarray) -> list[pa.Array]:
+    """The postings of classes (class, size, parity, prefix) as columns of POSTS; at is the size and the position in one number.
+    head is the class's first word that is not alone in all texts; most similar classes share it, and then need to meet in no
+    other bucket. Words of `hot` have several buckets, one for each two of their blocks of classes."""
+    cls, size = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+    word, count = batch.column(3).flatten().to_numpy(), np.diff(batch.column(3).offsets.to_numpy())
+    row = np.repeat(np.arange(len(count)), count)
+    pos = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
+    there = word != 0
+    key, row, pos = word[there], row[there], pos[there]
+    begins = np.diff(row, prepend=-1) != 0
+    first = np.zeros(len(count), np.int64)
+    first[row[begins]] = key[begins]
+    head = np.where(key != first[row], first[row], 0)
+    own = np.full(len(key), -1)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+        n = np.where(hot[at] == key, blocks[at], 1)
+        mine = (_mixed(cls.view(np.uint64))[row] % n.astype(np.uint64)).astype(np.int64)
+        copy = np.repeat(np.arange(len(key)), n)
+        other = np.arange(len(copy)) - np.repeat(np.cumsum(n) - n, n)
+        key, row, pos, head, n, mine = (x[copy] for x in (key, row, pos, head, n, mine))
+        pair = (np.minimum(mine, other) << 32 | np.maximum(mine, other)).astype(np.uint64)
+        key = np.where(n > 1, _mixed(_mixed(pair) ^ key.view(np.uint64)).view(np.int64), key)
+        own = np.where(mine != other, mine, -1)  # two classes of one block meet in the bucket of that block alone
+    return [pa.array(key), pa.array(size[row] << 32 | pos), pa.array(cls[row]), batch.column(2).take(pa.array(row)), pa.array(own.astype(np.int32)), pa.array(head)]
+
+
+def _parts(classes: DataFrame, parts: int, hot: np.ndarray, blocks: np.ndarray) -> DataFrame:
+    """(part, posts): the postings of all classes, with those of a bucket in one part; a row holds many, in Arrow's format."""
+    shared = classes.sparkSession.sparkContext.broadcast((hot, blocks))
+
+    def run(batches):
+        held, number = [], 0
+
+        def out():
+            table = pa.Table.from_batches(held).combine_chunks()
+            part = (_mixed(table.column(0).to_numpy().view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            table = table.take(pa.array(np.argsort(part, kind="stable"))).combine_chunks().to_batches()[0]
+            end = np.cumsum(np.bincount(part, minlength=parts))
+            there = np.flatnonzero(np.diff(end, prepend=0))
+            blobs = [table.slice(a, b - a).serialize().to_pybytes() for a, b in zip([0, *end[there][:-1].tolist()], end[there].tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "posts"])
+
+        for batch in batches:
+            held.append(pa.RecordBatch.from_arrays(_posts(batch, *shared.value), schema=POSTS))
+            number += held[-1].num_rows
+            if number >= PART_POSTS:
+                yield out()
+                held.clear()
+                number = 0
+        if number:
+            yield out()
+
+    return classes.mapInArrow(run, "part int, posts binary")
+
+
+def _part_members(batches):
+    """mapInArrow over (part, posts) sorted by part: _members() of each part."""
+    at, held = None, []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [_parity_words(c) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        if not len(cols[0]):
-            continue
-        last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-        if last:
-            yield from out([c[:last] for c in cols])
-        held = [c[last:] for c in cols]
-    if held is not None:
-        yield from out(held)
+        for part, posts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if part != at:
+                yield from _members(held)
+                at, held = part, []
+            held.append(pa.ipc.read_record_batch(posts.as_buffer(), POSTS))
+    yield from _members(held)
+
+
+def _members(batches):
+    """Of postings (POSTS), in any order, the rows (key, class, pos, own) that need verification in their bucket."""
+    table = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
+    if table is None:
+        return
+    key = table.column(0).to_numpy()
+    order = np.argsort(key)
+    again = np.flatnonzero(np.diff(key[order]) == 0)
+    shared = np.zeros(len(key), bool)
+    shared[again] = shared[again + 1] = True
+    order = order[shared]  # words of one class alone are done with
+    order = order[np.lexsort((table.column(1).to_numpy()[order], key[order]))]
+    key, at, cls, own, head = (table.column(c).to_numpy()[order].astype(np.int64) for c in (0, 1, 2, 4, 5))
+    parity = np.concatenate([_parity_words(c) for c in table.column(3).chunks])[order]
+    pos = at & 0xFFFFFFFF
+    ok = with_partner(key, at >> 32, pos, cls, parity, own, head)
+    yield pa.RecordBatch.from_arrays([pa.array(key[ok]), pa.array(cls[ok]), pa.array(pos[ok].astype(np.int32)), pa.array(own[ok].astype(np.int32))], ["key", "class", "pos", "own"])
+
+
+def _place_cell(ids: np.ndarray, hashes: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The cell of a line's place, as in place_cell()."""
+    return ((hashes.view(np.uint64) >> np.uint64(64 - PLACE_BITS)).astype(np.int64) ^ ids ^ line) & ((1 << PLACE_BITS) - 1)
+
+
+def place_cell() -> Column:
+    cell = F.shiftrightunsigned("text_hash", 64 - PLACE_BITS).bitwiseXOR(F.coalesce("id", F.lit(0))).bitwiseXOR(F.col("line").cast("long"))
+    return cell.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
 
 
 def _sets(docs: DataFrame, wanted, counts) -> DataFrame:
-    """(class, words) of the classes whose cell is set in the map `wanted`, words by rank; a class may come from several tasks."""
+    """(class, words) of the lines whose place's cell is set in the map `wanted`, words by rank; a class may come more than once.
+    Other lines aren't parted into words."""
 
     def run(batches):
-        seen: set[int] = set()
         for batch in batches:
-            for _, parts in _chunks(batch):
-                x = Lines(b"".join(parts), None)
-                cell = (x.key.view(np.uint64) >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
-                hit = np.flatnonzero((wanted.value[cell >> 3] >> (cell & 7)) & 1)
-                take = np.zeros(x.n, bool)
-                for i in hit.tolist():
-                    if (k := int(x.key[i])) not in seen and x.size[i]:
-                        seen.add(k)
-                        take[i] = True
-                if len(seen) > 400_000:
-                    seen.clear()
-                own = take[x.line]
-                word, line = x.word[own], x.line[own]
-                word = word[by_rank(word, rarity(word, counts.value), line, x.n)]
-                words = _binaries(word.view(np.uint8), 8 * x.size[take])
-                yield pa.RecordBatch.from_arrays([pa.array(x.key[take], pa.int64()), words], ["class", "words"])
+            ids, hashes = batch.column(0).fill_null(0).to_numpy(), batch.column(2).to_numpy()
+            for rows, parts in _chunks(batch):
+                per = np.array([p.count(b"\n") for p in parts])
+                row, n = np.repeat(np.array(rows), per), int(per.sum())
+                cell = _place_cell(ids[row], hashes[row], np.arange(n) - np.repeat(np.cumsum(per) - per, per))
+                hit = np.flatnonzero((wanted.value[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1))
+                if not len(hit):
+                    continue
+                data = b"".join(parts)
+                end = np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1
+                start = np.concatenate(([0], end[:-1]))
+                x = Lines(b"".join([data[a:b] for a, b in zip(start[hit].tolist(), end[hit].tolist(), strict=True)]), counts.value)
+                yield pa.RecordBatch.from_arrays([pa.array(x.key, pa.int64()), _binaries(x.word.view(np.uint8), 8 * x.size)], ["class", "words"])
 
     return docs.mapInArrow(run, "class long, words binary")
 
 
-def few_links(words: list[np.ndarray], pos: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
+def few_links(words: list[list[int]], pos: list[int], own: list[int]) -> list[tuple[int, int]]:
     """Pairs of a small bucket that are similar and share no word before the bucket's, by plain sets."""
-    lists = [w.tolist() for w in words]
-    sets = [frozenset(w) for w in lists]
-    before = [frozenset(w[:p]) for w, p in zip(lists, pos.tolist(), strict=True)]
+    sets = [frozenset(w) for w in words]
     out = []
     for j in range(1, len(sets)):
         for i in range(j):
             n, m = len(sets[i]), len(sets[j])
-            if (own[i] < 0 or own[i] != own[j]) and DEN * n >= NUM * m and DEN * m >= NUM * n and before[i].isdisjoint(before[j]):
-                if (NUM + DEN) * len(sets[i] & sets[j]) >= NUM * (n + m):
+            if (own[i] < 0 or own[i] != own[j]) and DEN * n >= NUM * m and DEN * m >= NUM * n:
+                if (NUM + DEN) * len(sets[i] & sets[j]) >= NUM * (n + m) and set(words[i][: pos[i]]).isdisjoint(words[j][: pos[j]]):
                     out.append((i, j))
     return out
 
@@ -418,24 +470,29 @@ def _counted(batches):
     with links in the bucket, how many, and the earliest place of the classes linked to (COUNTED)."""
     at, held = None, []
 
+    def few():
+        least: dict[int, tuple] = {}
+        links: dict[int, int] = {}
+        for pair in few_links([np.frombuffer(r[4], np.uint64).tolist() for r in held], [r[2] for r in held], [r[3] for r in held]):
+            for i, j in (pair, pair[::-1]):
+                links[i] = links.get(i, 0) + 1
+                least[i] = min(least.get(i, held[j][5:9]), held[j][5:9])
+        return [(held[i][1], n, *least[i]) for i, n in links.items()]
+
     def out():
+        if len(held) <= FEW:
+            return few()
         cls = np.array([r[1] for r in held], np.int64)
         pos, own = np.array([r[2] for r in held]), np.array([r[3] for r in held])
         words = [np.frombuffer(r[4], np.uint64) for r in held]
         place = np.empty(len(held), np.int64)
         place[np.lexsort([np.array([r[c] for r in held], np.int64) for c in (8, 7, 6, 5)])] = np.arange(len(held))
         links, least = np.zeros(len(held), np.int64), np.full(len(held), len(held))
-        if len(held) <= FEW:
-            for i, j in few_links(words, pos, own):
-                links[i] += 1
-                links[j] += 1
-                least[i], least[j] = min(least[i], place[j]), min(least[j], place[i])
-        else:
-            for i, hit in many_links(words, pos, own):
-                links[i] += len(hit)
-                links[hit] += 1
-                least[i] = min(least[i], place[hit].min())
-                least[hit] = np.minimum(least[hit], place[i])
+        for i, hit in many_links(words, pos, own):
+            links[i] += len(hit)
+            links[hit] += 1
+            least[i] = min(least[i], place[hit].min())
+            least[hit] = np.minimum(least[hit], place[i])
         who = np.empty(len(held), np.int64)
         who[place] = np.arange(len(held))
         return [(int(cls[i]), int(links[i]), *held[who[least[i]]][5:9]) for i in np.flatnonzero(links)]
@@ -462,37 +519,27 @@ def class_links(docs: DataFrame, lines: DataFrame, counts, firsts: DataFrame) ->
     """(class, links, other) of the classes with links: the number of classes with similarity of at least NUM / DEN, and the
     earliest place of these; checkpointed. firsts: (class, first), the place of each class."""
     spark = docs.sparkSession
-    place = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at")
-    # The first word that is not alone in all texts; most similar classes share it, and then need to meet in no other bucket.
-    first = F.coalesce(F.get(F.array_remove("prefix", 0), F.lit(0)), F.lit(0)).alias("first")
-    posts = lines.filter("prefix IS NOT NULL").select("class", "size", "parity", first, F.posexplode("prefix").alias("pos", "key"))
-    posts = posts.filter("key <> 0").withColumn("head", F.when(F.col("key") != F.col("first"), F.col("first")).otherwise(0))
-    posts = posts.select("key", place, "class", "parity", F.lit(-1).alias("own"), "head")
     hot = lines.filter("common IS NOT NULL").select("class", F.explode("common").alias("key"))
     hot = cut(hot.groupBy("key").agg(F.count("*").alias("count")).filter(F.col("count") > BLOCK))
-    many = hot.count()
-    if many:
-        side = F.broadcast(hot) if many <= 10_000 else hot
-        posts = posts.join(side, "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / F.lit(BLOCK)), F.lit(1)).cast("int"))
-        posts = posts.withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-        posts = posts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pair = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
-        posts = posts.withColumn("key", F.when(F.col("blocks") > 1, pair).otherwise(F.col("key")))
-        # Two classes of one block meet in the bucket of that block alone.
-        posts = posts.withColumn("own", F.when(F.col("mine") != F.col("other"), F.col("mine")).otherwise(-1))
-    dealt = posts.select("key", "at", "class", "parity", "own", "head").repartition("key").sortWithinPartitions("key")
+    # At most one of BLOCK postings' words; a posting goes to as many buckets as its word's classes have blocks.
+    hot = hot.select("key", F.ceil(F.col("count") / F.lit(BLOCK)).alias("blocks"), (F.col("count") * (F.ceil(F.col("count") / F.lit(BLOCK)) - 1)).alias("more")).orderBy("key").toArrow()
+    classes = lines.filter("prefix IS NOT NULL").select("class", "size", "parity", "prefix")
+    number = (classes.agg(F.sum(F.size("prefix"))).first()[0] or 0) + int(hot["more"].to_numpy().sum())
+    parts = -(-number // PART_POSTS) or 1
+    posts = _parts(classes, parts, hot["key"].to_numpy(), hot["blocks"].to_numpy())
     # A class may come from several tasks, and so more than once to a bucket.
     with shuffles_removed(spark):
-        member = stored(dealt.mapInArrow(_members, "key long, class long, pos int, own int").distinct(), "members")
-
-    shifted = F.shiftrightunsigned("class", 64 - CLASS_BITS)
-    bits = member.select(F.shiftright(shifted, 3).alias("byte"), F.expr(f"shiftleft(1, int(shiftrightunsigned(class, {64 - CLASS_BITS}) & 7))").alias("bit"))
-    bits = bits.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2**CLASS_BITS / 8 rows
-    wanted = np.zeros((1 << CLASS_BITS) // 8, np.uint8)
+        found = posts.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_part_members, "key long, class long, pos int, own int")
+        member = stored(found.distinct(), "members")
+    known = member.select("class").distinct().join(firsts, "class").select("class", "first.*")
+    with shuffles_removed(spark):
+        known = stored(known, "verified")
+    bits = known.withColumn("cell", place_cell()).groupBy(F.shiftright("cell", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(cell & 63))")).alias("bits")).toArrow()  # at most 2**PLACE_BITS / 64 rows
+    wanted = np.zeros((1 << PLACE_BITS) // 64, np.uint64)
     if bits.num_rows:
-        wanted[bits["byte"].to_numpy()] = bits["bits"].to_numpy()
+        wanted[bits["at"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
     sets = _sets(docs, spark.sparkContext.broadcast(wanted), counts).dropDuplicates(["class"])
-    placed = sets.join(firsts, "class").select("class", "words", F.octet_length("words").alias("size"), F.col("first.id").isNotNull().alias("has_id"), F.coalesce("first.id", F.lit(0)).alias("id"), F.coalesce("first.text_hash", F.lit(0)).alias("text_hash"), "first.line")
+    placed = sets.join(known, "class").select("class", "words", F.octet_length("words").alias("size"), F.col("id").isNotNull().alias("has_id"), F.coalesce("id", F.lit(0)).alias("id"), "text_hash", "line")
     both = member.join(placed, "class").select("key", "size", "class", "pos", "own", "words", "has_id", "id", "text_hash", "line")
     found = both.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_counted, COUNTED)
     other = F.struct(F.when(F.col("has_id"), F.col("id")).alias("id"), "text_hash", "line")
@@ -510,7 +557,7 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    counts = spark.sparkContext.broadcast(word_counts(source))
+    counts = spark.sparkContext.broadcast(word_counts(source.select("text")))
     lines = stored(_lines(source, counts), "lines")
     place = F.struct("id", "text_hash", "line")
     with shuffles_removed(spark):
