@@ -70,7 +70,7 @@ def sequences(docs: DataFrame, tokenizer_path: str, sequence: int, id_col: str,
 
     def run(batches):
         bpe = WordBpe.opened(tokenizer_path)
-        end = np.array([END_OF_TEXT], "<u4").tobytes()
+        end = np.array([END_OF_TEXT], np.uint32)
         held, info = [], []  # ids of the open sequence, and the pieces they are from
         rows: list[tuple[bytes, bytes]] = []
         size = 0
@@ -86,8 +86,8 @@ def sequences(docs: DataFrame, tokenizer_path: str, sequence: int, id_col: str,
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(pieces, pa.binary())], ["ids", "pieces"])
 
         for batch in slices(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, at = np.frombuffer(bpe.ids(text) + end, "<u4"), 0
+            for doc, own in zip(batch.column(0).to_pylist(), bpe.many(batch.column(1).to_pylist()), strict=True):
+                ids, at = np.concatenate((own, end)), 0
                 while at < len(ids):
                     n = min(len(ids) - at, sequence - size)
                     held.append(ids[at : at + n])

@@ -45,8 +45,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         end = np.array([END_OF_TEXT], "<u4").tobytes()
         for batch in slices(batches):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = bpe.ids(text) + end
+            for doc, own in zip(batch.column(0).to_pylist(), bpe.many(batch.column(1).to_pylist()), strict=True):
+                ids = own.astype("<u4").tobytes() + end
                 n = len(ids) // 4
                 for s, k in cuts(n, capacity, longest):
                     own = ids[4 * s : 4 * (s + k)]

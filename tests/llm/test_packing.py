@@ -108,3 +108,23 @@ def test_lengths_just_over_half_are_cut_shorter():
     shorter = P.pack_histogram(P._recut({1100: 1000}, 2048, longest), 2048)
     assert P.padding_share(shorter, 2048) < P.padding_share(P.pack_histogram({1100: 1000}, 2048), 2048) / 5
     assert P.cuts(5000, 2048, 512) == [(0, 2048), (2048, 2048), (4096, 512), (4608, 392)]
+
+
+def test_many_texts_at_once(monkeypatch):
+    """Contractions after letters, marks, at the end and the start of texts; numbers, Latin-1 letters and spaces, pre-tokens of
+    8, 16 and more bytes, texts that go through the library, and a table that starts anew all the time."""
+    import random
+
+    from polyloci.llm import bpe_tokens as T
+
+    random.seed(4)
+    signs = "ab'strevlmdé \n\t0189²½.,!-\xa0ÀßªŸ\x85<|"
+    texts = ["".join(random.choice(signs[:n]) for _ in range(random.randint(0, 60))) for n in (len(signs), len(signs) - 4, 18) for _ in range(400)]
+    texts += [None, "", " ", "'", "''s", "x's 're'll ve'd", "'second", "a'", "'s", "Ünïcode Straße", "<|EndOfText|> it's", "日本 it's", "e\u0301t\u00e9"]
+    texts += [c * n for c in "aé." for n in (7, 8, 9, 15, 16, 17, 40)] + ["it's " * 1000]
+    for words, together in ((T.Remembered.WORDS, T.TOGETHER), (150, 60)):
+        monkeypatch.setattr(T.Remembered, "WORDS", words)
+        monkeypatch.setattr(T, "TOGETHER", together)
+        own = WordBpe(tokenizer_path())
+        for text, ids in zip(texts, own.many(texts), strict=True):
+            assert ids.tolist() == reference_ids(text)[:-1].tolist(), text
