@@ -33,10 +33,12 @@ def softmax(df: DataFrame, by: list[str], col: str, out: str) -> DataFrame:
     return x.withColumn(out, F.col("__e") / F.sum("__e").over(w)).drop("__e")
 
 
-def credible_set(df: DataFrame, by: list[str], level: float, alpha: str = "pip", order: str = "j", p: str | None = None, threshold: float = 1e-5) -> DataFrame:
+def credible_set(df: DataFrame, by: list[str], level: float, alpha: str = "pip", order: str = "j", p: str | None = None, threshold: float = 1e-5, digits: int | None = None) -> DataFrame:
     """Variants by falling posterior until the mass before them exceeds the level; with p, sets without a variant at or
-    below the threshold are dropped. The mass runs over ranges of (group, posterior): no task holds a group."""
-    x = running_within(df, by, [F.desc(alpha), F.col(order)], {"mass_before": alpha}, include=False).filter(F.col("mass_before") <= level)
+    below the threshold are dropped; with digits, posteriors that agree to so many are ties, but count as they are. The mass runs
+    over ranges of (group, posterior): no task holds a group."""
+    rank = F.col(alpha) if digits is None else F.round(alpha, digits)
+    x = running_within(df, by, [rank.desc(), F.col(order)], {"mass_before": alpha}, include=False).filter(F.col("mass_before") <= level)
     if p:
         ok = x.groupBy(*by).agg(F.min(p).alias("__p")).filter(F.col("__p") <= threshold)
         x = x.join(ok, by, "left_semi")

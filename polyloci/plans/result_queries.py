@@ -35,7 +35,7 @@ def i1_single_effect_pip(spark, sf):
 
 @query(f"""WITH {_PIP}, m AS (SELECT locus, j, pip, coalesce(sum(pip) OVER (PARTITION BY locus ORDER BY round(pip, 9) DESC, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM pip) SELECT locus, j, round(pip, 6) AS pip FROM m WHERE b <= 0.9""")
 def i2_credible_set(spark, sf):
-    x = I.credible_set(_pips(spark, sf).withColumn("pip", F.round("pip", 9)), ["locus"], 0.9)
+    x = I.credible_set(_pips(spark, sf), ["locus"], 0.9, digits=9)
     return x.select("locus", "j", r("pip").alias("pip"))
 
 
